@@ -1,0 +1,115 @@
+"""Balanced positions, scalar attach, pivot, and table search/sort/page."""
+
+import random
+from decimal import Decimal
+
+from pyspark.sql import functions as F
+
+from pozo.operators import ranking, tables
+from pozo.operators.pivot import pivot_sums, select_matching
+from pozo.operators.ranking import positions
+from pozo.operators.scalar import with_scalar
+from pozo.operators.tables import page_rows, search_rows, sort_rows, table_order
+
+
+def _skewed(spark, n=3000, seed=7):
+    rnd = random.Random(seed)
+    rows = []
+    for i in range(n):
+        k = "hot" if i % 3 == 0 else f"k{rnd.randrange(200)}"   # one key holds a third
+        rows.append((k, rnd.randrange(50), rnd.randrange(1000), i))
+    return spark.createDataFrame(rows, "k string, a int, b int, id int")
+
+
+def test_positions_match_brute_force_with_hot_key(spark):
+    df = _skewed(spark)
+    got = positions(df, [F.col("a").desc(), F.col("b").asc(), F.col("id").asc()], keys=["k"],
+                    num_partitions=16)
+    pdf = df.toPandas().sort_values(["k", "a", "b", "id"], ascending=[True, False, True, True])
+    pdf["want"] = pdf.groupby("k").cumcount() + 1
+    want = dict(zip(pdf["id"], pdf["want"]))
+    got_map = {r["id"]: r["pos"] for r in got.collect()}
+    assert got_map == want
+    # The hot key really spans several range partitions.
+    parts = (df.repartitionByRange(16, F.col("k"), F.col("a").desc(), F.col("b"), F.col("id"))
+             .where("k = 'hot'").select(F.spark_partition_id().alias("p")).distinct().count())
+    assert parts > 1
+
+
+def test_positions_global_and_null_keys(spark):
+    df = spark.createDataFrame([(None, 3), (None, 1), ("x", 2), ("x", 5)], "k string, v int")
+    g = {r["v"]: r["pos"] for r in positions(df, [F.col("v").asc()], num_partitions=3).collect()}
+    assert g == {1: 1, 2: 2, 3: 3, 5: 4}
+    kk = {r["v"]: r["pos"] for r in positions(df, [F.col("v").asc()], keys=["k"]).collect()}
+    assert kk == {1: 1, 3: 2, 2: 1, 5: 2}
+
+
+def test_positions_identical_rows_distinct_positions(spark):
+    df = spark.createDataFrame([("h", 1)] * 50 + [("c", 1)], "k string, v int")
+    got = sorted(r["pos"] for r in positions(df, [F.col("v")], keys=["k"], num_partitions=8)
+                 .where("k = 'h'").collect())
+    assert got == list(range(1, 51))
+
+
+def test_with_scalar(spark):
+    df = spark.createDataFrame([(1,), (5,), (3,)], "v int")
+    got = [r["mx"] for r in with_scalar(df, df, F.max("v").alias("mx")).collect()]
+    assert got == [5, 5, 5]
+
+
+def test_pivot_sums_null_category_and_order(spark):
+    df = spark.createDataFrame([("a", "x", Decimal(1)), ("a", None, Decimal(2)), ("b", "y", Decimal(3))],
+                               "k string, c string, v decimal(18,2)")
+    out = pivot_sums(df, "k", "c", "v", ["y", None, "x"])
+    assert out.columns == ["k", "y", "NA", "x"]
+    got = {r["k"]: (r["y"], r["NA"], r["x"]) for r in out.collect()}
+    assert got == {"a": (None, Decimal("2.00"), Decimal("1.00")), "b": (Decimal("3.00"), None, None)}
+
+
+def test_select_matching_is_case_insensitive_unanchored(spark):
+    df = spark.createDataFrame([(1, 2, 3)], "`Multa Técnica` int, `técnica` int, otro int")
+    assert select_matching(df, "Técnica") == ["Multa Técnica", "técnica"]
+    assert select_matching(df, "nada") == []
+
+
+def _summary(spark):
+    return spark.createDataFrame(
+        [("Ana", 3, Decimal("250.00")), ("Bob", 25, Decimal("125.00")), ("x25", 1, Decimal("9.50")),
+         ("Zed", 2, None), (None, 4, Decimal("40.00"))],
+        "miembro string, cantidad_aportes bigint, total decimal(18,2)")
+
+
+def test_search_rules(spark):
+    s = _summary(spark)
+    got = {r["miembro"] for r in search_rows(s, "25").collect()}
+    assert got == {"Ana", "Bob", "x25"}   # total 250 starts with 25; count 25; name contains 25
+    assert {r["miembro"] for r in search_rows(s, "AN").collect()} == {"Ana"}
+    assert {r["miembro"] for r in search_rows(s, "9.5").collect()} == {"x25"}
+    assert search_rows(s, ".*").count() == 0   # literal, not a pattern
+    assert search_rows(s, "").count() == 5
+
+
+def test_sort_text_lowercase_nulls_smallest(spark):
+    s = _summary(spark).union(spark.createDataFrame([("bea", 1, Decimal(1))], s_schema()))
+    got = [r["miembro"] for r in sort_rows(s, "miembro", False, ["cantidad_aportes"]).collect()]
+    assert got == [None, "Ana", "bea", "Bob", "x25", "Zed"]
+    got = [r["miembro"] for r in sort_rows(s, "total", True, ["miembro"]).collect()]
+    assert got[0] == "Ana" and got[-1] == "Zed"
+
+
+def s_schema():
+    return "miembro string, cantidad_aportes bigint, total decimal(18,2)"
+
+
+def test_pages_reconstruct_sorted_table_both_paths(spark, monkeypatch):
+    df = _skewed(spark, n=237)
+    order = table_order(df, "a", True, ["id"])
+    full = [r["id"] for r in sort_rows(df, "a", True, ["id"]).collect()]
+    for limit in (tables.TOPK_DEPTH_LIMIT, 0):
+        monkeypatch.setattr(tables, "TOPK_DEPTH_LIMIT", limit)
+        got = []
+        for page in range(1, 26):
+            p = page_rows(df, order, page, 10).collect()
+            assert [r["pos"] for r in p] == list(range((page - 1) * 10 + 1, (page - 1) * 10 + 1 + len(p)))
+            got += [r["id"] for r in p]
+        assert got == full
