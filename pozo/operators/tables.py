@@ -74,7 +74,9 @@ def sort_rows(df: DataFrame, by: str, descending: bool = False,
               tiebreak: Sequence[str] = (), name: str = "pos") -> DataFrame:
     """``df`` ordered by ``by`` with a 1-based position column ``name``."""
     order = table_order(df, by, descending, tiebreak)
-    return positions(df, order, name=name).orderBy(name)
+    # positions() leaves rows range-partitioned in this order; sorting inside
+    # each partition completes the global order without another exchange.
+    return positions(df, order, name=name).sortWithinPartitions(name)
 
 
 def page_rows(df: DataFrame, order: Sequence[Column], page: int, page_size: int = 10,
@@ -89,4 +91,4 @@ def page_rows(df: DataFrame, order: Sequence[Column], page: int, page_size: int
         w = Window.orderBy(*order)  # at most page_size rows here
         return top.withColumn(name, (F.row_number().over(w) + F.lit(skip)).cast("long")).orderBy(name)
     numbered = positions(df, order, name=name)
-    return numbered.where(F.col(name).between(skip + 1, skip + page_size)).orderBy(name)
+    return numbered.where(F.col(name).between(skip + 1, skip + page_size)).sortWithinPartitions(name)

@@ -44,15 +44,14 @@ def _dues_frame(ledger: DataFrame, members: DataFrame, params: Params) -> DataFr
     """Members left-joined with this year's category sums, plus target and balance.
 
     Keeps ``condicion`` for the status report. The latest month with a payment
-    this year is one scalar shared by every row (a subquery over the pivot,
-    whose aggregation Spark plans once and reuses).
+    this year is one scalar shared by every row.
     """
     year = params.report_year()
     y = year_slice(ledger, year)
-    piv = pivot_sums(y, "miembro", "concepto", "aporte", params.categories,
-                     extra_aggs=[F.max(F.month("fecha")).alias("_nm")])
-    nmonth = piv.select(F.max("_nm")).scalar()
-    piv = piv.drop("_nm").withColumnRenamed("miembro", "_k")
+    piv = pivot_sums(y, "miembro", "concepto", "aporte", params.categories)
+    piv = piv.withColumnRenamed("miembro", "_k")
+    # One-row partial max over the pruned year slice; planned as a subquery.
+    nmonth = y.select(F.max(F.month("fecha"))).scalar()
 
     key = F.col("nombre_pago") if params.raw_member_keys else title_case("nombre_pago")
     m = members.select(key.alias("miembro"), "condicion", "fecha_inicio")
