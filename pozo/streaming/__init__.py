@@ -1,0 +1,17 @@
+"""Incremental refresh of the ledger reports as new ledger files arrive.
+
+The original recomputes every report from the files on each render. With
+Structured Streaming, payments and expenses are read as they land and the
+per-member totals and per-day flows are kept as streaming state, so a refresh
+only processes the new files. The reports that need the whole table at once
+(running balance, sorted pages) are then computed in batch from these small
+aggregates.
+"""
+
+from pozo.streaming.ledger_stream import (
+    daily_flows_stream,
+    member_totals_stream,
+    start_to_parquet,
+)
+
+__all__ = ["member_totals_stream", "daily_flows_stream", "start_to_parquet"]
