@@ -19,6 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pozo.functions.text import title_case
 from pozo.sources.readers import prepare_expenses, prepare_fines, prepare_ledger, prepare_members
 from pozo.sources.schemas import AMOUNT
 
@@ -36,14 +37,16 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def aportes(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = _read(spark, sf_dir, "orders").select("o_custkey", "o_orderdate", "o_totalprice",
                                                 "o_orderpriority")
-    c = _read(spark, sf_dir, "customer").select("c_custkey", "c_name")
+    # Names are normalised on the customer side, once per customer rather
+    # than once per order.
+    c = _read(spark, sf_dir, "customer").select("c_custkey", title_case("c_name").alias("c_name"))
     raw = o.join(c, o["o_custkey"] == c["c_custkey"], "inner").select(
         F.col("c_name").alias("miembro"),
         F.to_date("o_orderdate").alias("fecha"),
         F.col("o_totalprice").cast(AMOUNT).alias("aporte"),
         F.when(F.col("o_orderpriority") == F.lit(FINE_PRIORITY), F.lit("Técnica"))
          .otherwise(F.lit("Aporte")).alias("concepto"))
-    return prepare_ledger(raw)
+    return prepare_ledger(raw, title_case_members=False)
 
 
 def miembros(spark: SparkSession, sf_dir: str) -> DataFrame:
