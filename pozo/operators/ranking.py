@@ -39,9 +39,12 @@ def positions(df: DataFrame, order: Sequence[Column], keys: Sequence[str] = (),
     keys = list(keys)
     spark = df.sparkSession
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # Final tie-break so that even a run of identical sort keys can be split
-    # by the range partitioner; stable across task retries for a file scan.
-    base = df.withColumn(_TB, F.monotonically_increasing_id())
+    # Final tie-break: a hash of the whole row, so rows that tie on every
+    # order column still spread over range partitions unless fully identical
+    # (and identical rows are interchangeable). Being a function of the row,
+    # it is the same on every task retry, which keeps the range exchange
+    # deterministic when lost map output is recomputed.
+    base = df.withColumn(_TB, F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]))
     sort_cols = [F.col(k).asc_nulls_first() for k in keys] + list(order) + [F.col(_TB)]
     t = (base.repartitionByRange(n, *sort_cols)
          .sortWithinPartitions(*sort_cols)

@@ -8,6 +8,7 @@ SQL. Amounts are compared as DOUBLE, counts and positions as BIGINT.
 from __future__ import annotations
 
 from pozo.functions.dates import MONTHS_ABBR_ES, MONTHS_FULL_ES
+from pozo.plans.display import CARD_TEMPLATE
 from pozo.registry import REPORT_PARAMS, SEARCH_QUERY, SORT_SPEC, PAGE_SPEC, AS_OF
 
 
@@ -239,6 +240,11 @@ SELECT "Fecha", "Deudor", "Concepto", CAST("Monto" AS DOUBLE) AS "Monto" FROM mu
 
     q["q_member_directory"] = _with() + """
 SELECT nombre_pago, nombre, condicion, fecha_inicio, avatar_img
+FROM miembros WHERE avatar_img IS NOT NULL"""
+
+    card = CARD_TEMPLATE.replace("'", "''")
+    q["q_member_cards"] = _with() + f"""
+SELECT nombre, avatar_img, printf('{card}', avatar_img, nombre) AS tarjeta
 FROM miembros WHERE avatar_img IS NOT NULL"""
 
     sq = SEARCH_QUERY.lower()

@@ -11,6 +11,7 @@ from pozo.plans.dues import category_pivot, debt_band, member_status, year_dues
 from pozo.plans.listings import expense_list, fines_list, member_directory
 from pozo.plans.labels import date_labels, label_order
 from pozo.plans.timeline import balance_timeline
+from pozo.plans.display import display_names, member_cards
 
 __all__ = [
     "ledger_window", "member_summary", "member_detail", "member_pages",
@@ -18,4 +19,5 @@ __all__ = [
     "category_pivot", "year_dues", "debt_band", "member_status",
     "expense_list", "fines_list", "member_directory",
     "date_labels", "label_order", "balance_timeline",
+    "display_names", "member_cards",
 ]

@@ -121,6 +121,7 @@ def _build() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "q_expense_list": lambda i: plans.expense_list(i.gastos),
         "q_fines_list": lambda i: plans.fines_list(i.multas),
         "q_member_directory": lambda i: plans.member_directory(i.miembros),
+        "q_member_cards": lambda i: plans.member_cards(i.miembros),
         "q_table_search": lambda i: search_rows(plans.member_summary(i.aportes), SEARCH_QUERY),
         "q_table_sort": _table_sort,
         "q_table_page": _table_page,

@@ -1,0 +1,92 @@
+"""Property tests: operators against plain-Python brute force on random input."""
+
+from decimal import ROUND_HALF_EVEN, Decimal
+
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from pozo.functions.text import format_amount
+from pozo.operators.pivot import pivot_sums
+from pozo.operators.ranking import positions
+from pozo.operators.tables import search_rows
+
+SETTINGS = settings(max_examples=15, deadline=None,
+                    suppress_health_check=[HealthCheck.function_scoped_fixture, HealthCheck.too_slow])
+
+keys = st.sampled_from(["a", "b", "c", None])
+small = st.integers(min_value=0, max_value=5)
+
+
+@SETTINGS
+@given(rows=st.lists(st.tuples(keys, small, small), min_size=0, max_size=60),
+       parts=st.integers(min_value=1, max_value=7))
+def test_positions_equal_sorted_rank(spark, rows, parts):
+    data = [(k, a, b, i) for i, (k, a, b) in enumerate(rows)]
+    df = spark.createDataFrame(data, "k string, a int, b int, id int")
+    got = {r["id"]: r["pos"] for r in
+           positions(df, [F.col("a").desc(), F.col("b").asc(), F.col("id").asc()], keys=["k"],
+                     num_partitions=parts).collect()}
+    want = {}
+    for k in {r[0] for r in data}:
+        group = sorted((r for r in data if r[0] == k), key=lambda r: (-r[1], r[2], r[3]))
+        want.update({r[3]: i + 1 for i, r in enumerate(group)})
+    assert got == want
+
+
+amounts = st.one_of(st.none(), st.integers(min_value=-500, max_value=500))
+
+
+@SETTINGS
+@given(rows=st.lists(st.tuples(st.sampled_from(["m1", "m2", "m3"]),
+                               st.sampled_from(["Aporte", "Técnica", "Otro", None]), amounts),
+                     min_size=1, max_size=40))
+def test_pivot_strict_sums_equal_brute_force(spark, rows):
+    df = spark.createDataFrame([(m, c, None if v is None else Decimal(v)) for m, c, v in rows],
+                               "m string, c string, v decimal(18,2)")
+    cats = ["Aporte", "Técnica", None]
+    got = {r["m"]: (r["Aporte"], r["Técnica"], r["NA"]) for r in pivot_sums(df, "m", "c", "v", cats).collect()}
+    want = {}
+    for m in {r[0] for r in rows}:
+        cells = []
+        for cat in cats:
+            vals = [v for mm, c, v in rows if mm == m and c == cat]
+            cells.append(None if not vals or any(v is None for v in vals)
+                         else Decimal(sum(vals)).quantize(Decimal("0.01")))
+        want[m] = tuple(cells)
+    assert got == want
+
+
+def _js_text(d: Decimal) -> str:
+    s = format(d, "f")
+    return s.rstrip("0").rstrip(".") if "." in s else s
+
+
+@SETTINGS
+@given(rows=st.lists(st.tuples(st.text(alphabet="ab25 -", max_size=6), st.integers(0, 300),
+                               st.integers(0, 30000)), min_size=0, max_size=30),
+       q=st.text(alphabet="ab25.", min_size=1, max_size=3))
+def test_search_equals_python_rule(spark, rows, q):
+    data = [(n, c, Decimal(t) / 100) for n, c, t in rows]
+    df = spark.createDataFrame(data, "n string, c bigint, t decimal(18,2)")
+    got = sorted(tuple(r) for r in search_rows(df, q).collect())
+    ql = q.lower()
+    want = sorted(r for r in data if ql in r[0].lower() or str(r[1]).startswith(ql)
+                  or _js_text(r[2]).startswith(ql))
+    assert got == want
+
+
+def _r_format(x: Decimal) -> str:
+    int_digits = len(str(abs(x).to_integral_value(rounding="ROUND_FLOOR")))
+    places = max(0, min(2, 7 - int_digits))
+    y = x.quantize(Decimal(1).scaleb(-places), rounding=ROUND_HALF_EVEN)
+    s = f"{y:,.{places}f}"
+    return s.rstrip("0").rstrip(".") if "." in s else s
+
+
+@SETTINGS
+@given(vals=st.lists(st.integers(min_value=-10**11, max_value=10**11), min_size=1, max_size=25))
+def test_format_amount_equals_rule(spark, vals):
+    data = [(Decimal(v) / 100,) for v in vals]
+    got = [r[0] for r in spark.createDataFrame(data, "x decimal(18,2)").select(format_amount("x")).collect()]
+    assert got == [_r_format(d) for (d,) in data]

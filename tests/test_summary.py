@@ -103,3 +103,16 @@ def test_month_windows_are_subsets(ledger):
     cur = {r["fecha"] for r in ledger_window(led, "current_month").collect()}
     prev = {r["fecha"] for r in ledger_window(led, "last_month").collect()}
     assert cur and prev and cur <= allm and prev <= allm and not (cur & prev)
+
+
+def test_display_names_and_cards(spark, members):
+    from pozo.plans.display import SUMMARY_HEADINGS, display_names, member_cards
+    s = spark.createDataFrame([("a", 1, Decimal("2"), "x")],
+                              "miembro string, cantidad_aportes bigint, total decimal(18,2), otra string")
+    assert display_names(s, SUMMARY_HEADINGS).columns == ["Miembro", "Aportes", "Total", "otra"]
+    mem = spark.createDataFrame([("p", "Activo", None, "Ana", "ana.png"), ("q", "Activo", None, "Bo", None)],
+                                "nombre_pago string, condicion string, fecha_inicio date, nombre string, avatar_img string")
+    cards = member_cards(mem).collect()
+    assert len(cards) == 1
+    assert "<img src='images/avatars/ana.png'/>" in cards[0]["tarjeta"]
+    assert "<h5> Ana </h5>" in cards[0]["tarjeta"]
