@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pozo.functions.dates import MONTHS_ABBR_ES, MONTHS_FULL_ES
 from pozo.plans.display import CARD_TEMPLATE
-from pozo.registry import REPORT_PARAMS, SEARCH_QUERY, SORT_SPEC, PAGE_SPEC, AS_OF
+from pozo.registry import AS_OF, EXPENSE_PAGE_SPEC, PAGE_SPEC, REPORT_PARAMS, SEARCH_QUERY, SORT_SPEC
 
 
 def _list(values) -> str:
@@ -235,6 +235,13 @@ FROM du"""
     q["q_expense_list"] = _with() + """
 SELECT fecha AS "Fecha", item AS "Concepto", CAST(monto AS DOUBLE) AS "Monto" FROM gastos"""
 
+    page, size = EXPENSE_PAGE_SPEC
+    q["q_expense_page"] = _with() + f"""
+SELECT * FROM (
+  SELECT row_number() OVER (ORDER BY fecha DESC NULLS LAST, item ASC NULLS FIRST, monto ASC NULLS FIRST) AS pos,
+         fecha AS "Fecha", item AS "Concepto", CAST(monto AS DOUBLE) AS "Monto" FROM gastos)
+WHERE pos BETWEEN {(page - 1) * size + 1} AND {page * size}"""
+
     q["q_fines_list"] = _with() + """
 SELECT "Fecha", "Deudor", "Concepto", CAST("Monto" AS DOUBLE) AS "Monto" FROM multas"""
 

@@ -5,13 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pozo.operators.tables import page_rows
+
+
+def _expense_order():
+    return [F.col("Fecha").desc_nulls_last(), F.col("Concepto").asc_nulls_first(),
+            F.col("Monto").asc_nulls_first()]
+
+
+def _expense_rows(expenses: DataFrame) -> DataFrame:
+    return expenses.select(F.col("fecha").alias("Fecha"), F.col("item").alias("Concepto"),
+                           F.col("monto").alias("Monto"))
+
 
 def expense_list(expenses: DataFrame) -> DataFrame:
     """``Fecha, Concepto, Monto``, newest first (ties: item, then amount)."""
-    return (expenses.select(F.col("fecha").alias("Fecha"), F.col("item").alias("Concepto"),
-                            F.col("monto").alias("Monto"))
-            .orderBy(F.col("Fecha").desc_nulls_last(), F.col("Concepto").asc_nulls_first(),
-                     F.col("Monto").asc_nulls_first()))
+    return _expense_rows(expenses).orderBy(*_expense_order())
+
+
+def expense_page(expenses: DataFrame, page: int, page_size: int = 10) -> DataFrame:
+    """One page of the expense list (the table pages by 10 rows), with ``pos``."""
+    return page_rows(_expense_rows(expenses), _expense_order(), page, page_size)
 
 
 def fines_list(fines: DataFrame) -> DataFrame:

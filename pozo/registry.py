@@ -25,6 +25,7 @@ AS_OF = _dt.date(2001, 6, 30)
 SEARCH_QUERY = "25"
 SORT_SPEC = ("cantidad_aportes", True)   # column, descending
 PAGE_SPEC = (3, 10)                       # page, page size (by total, largest first)
+EXPENSE_PAGE_SPEC = (2, 10)               # page, page size of the expense list
 
 
 def as_doubles(df: DataFrame) -> DataFrame:
@@ -119,6 +120,7 @@ def _build() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             .select("miembro", "balance", "banda"),
         "q_member_status": lambda i: plans.member_status(i.aportes, i.miembros, P),
         "q_expense_list": lambda i: plans.expense_list(i.gastos),
+        "q_expense_page": lambda i: plans.expense_page(i.gastos, *EXPENSE_PAGE_SPEC),
         "q_fines_list": lambda i: plans.fines_list(i.multas),
         "q_member_directory": lambda i: plans.member_directory(i.miembros),
         "q_member_cards": lambda i: plans.member_cards(i.miembros),
