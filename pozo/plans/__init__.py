@@ -1,6 +1,7 @@
 """The treasury reports, each a DataFrame -> DataFrame function."""
 
 from pozo.plans.summary import (
+    expand_member,
     ledger_window,
     member_detail,
     member_pages,
@@ -14,7 +15,7 @@ from pozo.plans.timeline import balance_timeline
 from pozo.plans.display import display_names, member_cards
 
 __all__ = [
-    "ledger_window", "member_summary", "member_detail", "member_pages",
+    "ledger_window", "member_summary", "expand_member", "member_detail", "member_pages",
     "headline_kpis", "formatted_kpis",
     "category_pivot", "year_dues", "debt_band", "member_status",
     "expense_list", "expense_page", "fines_list", "member_directory",

@@ -71,6 +71,21 @@ def member_detail(ledger: DataFrame, window: str = "all",
     return positions(led, order, keys=["miembro"], name="pos").select("miembro", "pos", *fields)
 
 
+def expand_member(ledger: DataFrame, miembro: str | None, window: str = "all",
+                  as_of: _dt.date | None = None) -> DataFrame:
+    """The detail behind one summary row, looked up by member key (not by row index).
+
+    The key filter is applied to the ledger first, so the scan and the
+    numbering only carry that member's rows.
+    """
+    key = F.col("miembro").isNull() if miembro is None else (F.col("miembro") == F.lit(miembro))
+    led = ledger_window(ledger, window, as_of)
+    fields = _detail_fields(window)
+    rows = led.where(key).select("miembro", *fields)
+    order = [F.col(c).desc_nulls_last() for c in fields]
+    return positions(rows, order, keys=["miembro"], name="pos").select("miembro", "pos", *fields)
+
+
 def member_pages(ledger: DataFrame, window: str = "all", page_size: int = 10,
                  as_of: _dt.date | None = None) -> DataFrame:
     """The nested detail, one row per (member, page) of ``page_size`` payments.

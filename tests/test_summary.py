@@ -116,3 +116,14 @@ def test_display_names_and_cards(spark, members):
     assert len(cards) == 1
     assert "<img src='images/avatars/ana.png'/>" in cards[0]["tarjeta"]
     assert "<h5> Ana </h5>" in cards[0]["tarjeta"]
+
+
+def test_expand_member_matches_detail_by_key(ledger):
+    led = ledger([("2023-01-01", "a", 5, "Aporte"), ("2023-02-01", "a", 1, "Aporte"),
+                  ("2023-01-01", "b", 3, "Aporte"), ("2023-01-02", None, 2, "Aporte")])
+    full = plans.member_detail(led)
+    for key in ("a", "b", None):
+        got = rows(plans.expand_member(led, key).orderBy("pos"), "miembro", "pos", "fecha", "aporte")
+        cond = full["miembro"].isNull() if key is None else (full["miembro"] == key)
+        want = rows(full.where(cond).orderBy("pos"), "miembro", "pos", "fecha", "aporte")
+        assert got == want and got
