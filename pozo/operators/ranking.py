@@ -6,13 +6,15 @@ single core. Here the rows are range-partitioned on (key, order, tie-break),
 so a hot key spans many partitions, and positions are stitched together from
 per-partition counts:
 
-1. range exchange on the full sort order, then sort within partitions;
-2. per row: partition id and a per-partition increasing id (contiguous within
-   a partition, so a key's rows there form one run of ids);
-3. per (partition, key) segment: first id and row count — a small aggregate;
-   a running sum of counts over earlier partitions gives each segment's start;
-4. position = start + (id - first id) + 1, joining rows to their segment on
-   (partition, key), which is balanced because a hot key is split by partition.
+1. range exchange on the full sort order (keys, order, row-hash tie-break);
+2. per (partition, key) segment, a row count — a partial aggregate read from
+   the same exchange, no sort needed. Running sums over this small table give
+   each segment's first row index inside its partition (rows of smaller keys
+   there) and its start within the key (rows of the key in earlier partitions);
+3. sort within partitions; a row's index in its partition comes from the
+   increasing id (restarting at ``partition << 33``);
+4. position = start + (index - first index) + 1, joining rows to their segment
+   on (partition, key), which is balanced because a hot key is split by partition.
 
 Without keys the same steps number the whole table; then there is one segment
 per partition, so the offsets table has as many rows as partitions and is
@@ -45,28 +47,36 @@ def positions(df: DataFrame, order: Sequence[Column], keys: Sequence[str] = (),
     # it is the same on every task retry, which keeps the range exchange
     # deterministic when lost map output is recomputed.
     base = df.withColumn(_TB, F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]))
-    sort_cols = [F.col(k).asc_nulls_first() for k in keys] + list(order) + [F.col(_TB)]
-    t = (base.repartitionByRange(n, *sort_cols)
-         .sortWithinPartitions(*sort_cols)
-         .withColumn(_P, F.spark_partition_id())
-         .withColumn(_RID, F.monotonically_increasing_id()))
+    key_order = [F.col(k).asc_nulls_first() for k in keys]
+    sort_cols = key_order + list(order) + [F.col(_TB)]
+    ranged = base.repartitionByRange(n, *sort_cols).withColumn(_P, F.spark_partition_id())
 
-    # Segment keys get fresh names: seg derives from t, and joining t with
-    # itself on same-named columns would be ambiguous.
+    # Segment table, from the same (reused) exchange without sorting it:
+    # rows per (partition, key). A segment starts, inside its partition,
+    # after the rows of smaller keys there, and its key continues the count
+    # of the same key in earlier partitions. Fresh names avoid an ambiguous
+    # self-join.
     sk = [f"_pz_k{i}" for i in range(len(keys))]
-    seg = (t.groupBy(F.col(_P).alias("_pz_sp"), *[F.col(k).alias(a) for k, a in zip(keys, sk)])
-           .agg(F.min(_RID).alias(_FIRST), F.count(F.lit(1)).alias(_N)))
+    counts = (ranged.groupBy(F.col(_P).alias("_pz_sp"), *[F.col(k).alias(a) for k, a in zip(keys, sk)])
+              .agg(F.count(F.lit(1)).alias(_N)))
+    before = (Window.unboundedPreceding, -1)
     if keys:
-        w = Window.partitionBy(*sk).orderBy("_pz_sp")
+        in_part = (Window.partitionBy("_pz_sp").orderBy(*[F.col(a).asc_nulls_first() for a in sk])
+                   .rowsBetween(*before))
+        same_key = Window.partitionBy(*sk).orderBy("_pz_sp").rowsBetween(*before)
+        seg = (counts.withColumn(_FIRST, F.coalesce(F.sum(_N).over(in_part), F.lit(0)))
+               .withColumn(_START, F.coalesce(F.sum(_N).over(same_key), F.lit(0))))
     else:
-        w = Window.orderBy("_pz_sp")
-    w = w.rowsBetween(Window.unboundedPreceding, -1)
-    seg = seg.withColumn(_START, F.coalesce(F.sum(_N).over(w), F.lit(0))).drop(_N)
+        # One segment per partition: as many rows as partitions, so broadcast.
+        seg = F.broadcast(counts.withColumn(_FIRST, F.lit(0)).withColumn(
+            _START, F.coalesce(F.sum(_N).over(Window.orderBy("_pz_sp").rowsBetween(*before)), F.lit(0))))
+    seg = seg.drop(_N)
 
+    # Rows in sorted order; the increasing id restarts at partition << 33.
+    t = (ranged.sortWithinPartitions(*sort_cols)
+         .withColumn(_RID, F.monotonically_increasing_id()
+                     - F.shiftleft(F.col(_P).cast("long"), 33)))
     cond = [F.col(_P) == F.col("_pz_sp")] + [F.col(k).eqNullSafe(F.col(a)) for k, a in zip(keys, sk)]
-    if not keys:
-        # One segment per partition: bounded by the partition count.
-        seg = F.broadcast(seg)
     joined = t.join(seg, cond, "inner")
     out = joined.withColumn(name, F.col(_START) + F.col(_RID) - F.col(_FIRST) + F.lit(1))
     return out.drop(_P, _RID, _TB, _FIRST, _START, "_pz_sp", *sk)
