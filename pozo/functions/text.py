@@ -43,6 +43,10 @@ def format_amount(c, significant: int = 7) -> Column:
     integer digits, and no trailing fraction zeros: 12055 -> "12,055",
     12055.5 -> "12,055.5", 1234567.8 -> "1,234,568". Ties round half-even.
     Input must be a decimal with scale 2 (the ledger amount type).
+
+    R would switch to scientific notation when that is narrower (100000 ->
+    "1e+05", and totals of 13 or more digits); that quirk is not copied:
+    amounts always print in fixed notation with separators.
     """
     x = _col(c).cast("decimal(38,2)")
     int_digits = F.length(F.floor(F.abs(x)).cast("string"))

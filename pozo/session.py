@@ -55,7 +55,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         if not sc.getCheckpointDir():
             sc.setCheckpointDir(current)
         return current
-    # Unset: only in local runs and tests. A cluster always names shared storage.
+    if not sc.master.startswith("local"):
+        # A machine-local folder would not survive the loss of that machine.
+        raise RuntimeError("set spark.checkpoint.dir to a shared folder (e.g. on the "
+                           "cluster's distributed file system) before running pozo jobs")
+    # Unset in a local run (tests, a laptop): a fresh folder of our own.
     path = tempfile.mkdtemp(prefix="pozo-ckpt-", dir=os.environ.get("POZO_LOCAL_TMP", "/tmp"))
     sc.setCheckpointDir(path)
     return sc.getCheckpointDir() or path

@@ -45,3 +45,18 @@ def test_daily_flows_stream(spark):
     got = _rows(spark.read.parquet(out), ["fecha", "ingreso_dia", "gasto_dia"])
     assert got == [(dt.date(2023, 1, 5), Decimal("10.00"), Decimal("4.00")),
                    (dt.date(2023, 1, 7), Decimal("0.00"), Decimal("1.00"))]
+
+
+def test_member_totals_stream_resumes_with_new_files(spark):
+    base = tempfile.mkdtemp(prefix="pozo-stream-", dir="/tmp")
+    src, out = os.path.join(base, "ledger"), os.path.join(base, "out")
+    spark.createDataFrame([(dt.date(2023, 1, 5), "ana", Decimal("300"), "Aporte")],
+                          schemas.APORTES).write.mode("append").parquet(src)
+    start_to_parquet(member_totals_stream(spark, src), out, "resume_test").awaitTermination(120)
+    assert _rows(spark.read.parquet(out), ["miembro", "total"]) == [("Ana", Decimal("300.00"))]
+    spark.createDataFrame([(dt.date(2023, 2, 5), "ana", Decimal("50"), "Aporte")],
+                          schemas.APORTES).write.mode("append").parquet(src)
+    # Same query name, same checkpoint: only the new file is read; state keeps the rest.
+    start_to_parquet(member_totals_stream(spark, src), out, "resume_test").awaitTermination(120)
+    assert _rows(spark.read.parquet(out), ["miembro", "cantidad_aportes", "total"]) == [
+        ("Ana", 2, Decimal("350.00"))]
