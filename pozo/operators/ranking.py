@@ -28,7 +28,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_P, _RID, _TB, _FIRST, _N, _START = "_pz_p", "_pz_rid", "_pz_tb", "_pz_first", "_pz_n", "_pz_start"
+from pozo.session import cut_lineage
+
+_P, _RID, _FIRST, _N, _START = "_pz_p", "_pz_rid", "_pz_first", "_pz_n", "_pz_start"
 
 
 def positions(df: DataFrame, order: Sequence[Column], keys: Sequence[str] = (),
@@ -43,13 +45,19 @@ def positions(df: DataFrame, order: Sequence[Column], keys: Sequence[str] = (),
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     # Final tie-break: a hash of the whole row, so rows that tie on every
     # order column still spread over range partitions unless fully identical
-    # (and identical rows are interchangeable). Being a function of the row,
-    # it is the same on every task retry, which keeps the range exchange
-    # deterministic when lost map output is recomputed.
-    base = df.withColumn(_TB, F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]))
+    # (and identical rows are interchangeable). It is written inside the
+    # partitioning expression, so the exchange reads every column: the
+    # segment counts and the rows below then see one identical exchange,
+    # which Spark plans once and reuses. Two exchanges would each sample
+    # their own range bounds and could disagree.
+    tie = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
     key_order = [F.col(k).asc_nulls_first() for k in keys]
-    sort_cols = key_order + list(order) + [F.col(_TB)]
-    ranged = base.repartitionByRange(n, *sort_cols).withColumn(_P, F.spark_partition_id())
+    sort_cols = key_order + list(order) + [tie]
+    ranged = df.repartitionByRange(n, *sort_cols)
+    if spark.conf.get("spark.sql.exchange.reuse", "true").lower() != "true":
+        # Without exchange reuse, materialise the partitioned rows once.
+        ranged = cut_lineage(ranged)
+    ranged = ranged.withColumn(_P, F.spark_partition_id())
 
     # Segment table, from the same (reused) exchange without sorting it:
     # rows per (partition, key). A segment starts, inside its partition,
@@ -79,4 +87,4 @@ def positions(df: DataFrame, order: Sequence[Column], keys: Sequence[str] = (),
     cond = [F.col(_P) == F.col("_pz_sp")] + [F.col(k).eqNullSafe(F.col(a)) for k, a in zip(keys, sk)]
     joined = t.join(seg, cond, "inner")
     out = joined.withColumn(name, F.col(_START) + F.col(_RID) - F.col(_FIRST) + F.lit(1))
-    return out.drop(_P, _RID, _TB, _FIRST, _START, "_pz_sp", *sk)
+    return out.drop(_P, _RID, _FIRST, _START, "_pz_sp", *sk)

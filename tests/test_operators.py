@@ -113,3 +113,31 @@ def test_pages_reconstruct_sorted_table_both_paths(spark, monkeypatch):
             assert [r["pos"] for r in p] == list(range((page - 1) * 10 + 1, (page - 1) * 10 + 1 + len(p)))
             got += [r["id"] for r in p]
         assert got == full
+
+
+def test_positions_with_payload_columns_over_sampled_input(spark):
+    # More rows than the range sampler keeps, an input whose row order varies
+    # (an aggregate), and a column outside the sort order: the segment counts
+    # and the rows must still come from one and the same range exchange.
+    src = spark.range(0, 20000).select((F.col("id") % 7000).alias("g"), (F.col("id") % 13).alias("v"))
+    agg = src.groupBy("g").agg(F.sum("v").alias("s"), F.count(F.lit(1)).alias("n"))
+    got = positions(agg, [F.col("n").desc(), F.col("g").asc()], num_partitions=8)
+    pos = sorted(r["pos"] for r in got.collect())
+    assert pos == list(range(1, 7001))
+    keyed = positions(agg.withColumn("k", F.col("g") % 3), [F.col("s").desc(), F.col("g")], keys=["k"],
+                      num_partitions=8)
+    per = {}
+    for r in keyed.collect():
+        per.setdefault(r["k"], []).append(r["pos"])
+    assert all(sorted(v) == list(range(1, len(v) + 1)) for v in per.values())
+
+
+def test_positions_without_exchange_reuse_falls_back_to_checkpoint(spark):
+    spark.conf.set("spark.sql.exchange.reuse", "false")
+    try:
+        src = spark.range(0, 20000).select((F.col("id") % 7000).alias("g"), (F.col("id") % 13).alias("v"))
+        agg = src.groupBy("g").agg(F.sum("v").alias("s"), F.count(F.lit(1)).alias("n"))
+        pos = sorted(r["pos"] for r in positions(agg, [F.col("n").desc(), F.col("g")], num_partitions=8).collect())
+        assert pos == list(range(1, 7001))
+    finally:
+        spark.conf.set("spark.sql.exchange.reuse", "true")
