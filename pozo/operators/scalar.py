@@ -1,16 +1,20 @@
 """Attach whole-table aggregates to every row.
 
-A one-row aggregate joined to every row is broadcast (one row, always), so no
-rows move; an unpartitioned window would instead pull all rows into one task.
+Each aggregate becomes a scalar subquery: Spark runs the one-row aggregate
+once (partial per task, then one merge) and uses the value in a projection,
+so no rows move and no join is planned. An unpartitioned window would
+instead pull all rows into one task.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
 
 
 def with_scalar(df: DataFrame, source: DataFrame, *aggs: Column) -> DataFrame:
-    """``df`` plus the columns of ``source.agg(*aggs)`` (exactly one row)."""
-    one_row = source.agg(*aggs)
-    return df.crossJoin(F.broadcast(one_row))
+    """``df`` plus one column per aggregate of ``source`` (aliased aggregates)."""
+    out = df
+    for agg in aggs:
+        one = source.select(agg)
+        out = out.withColumn(one.columns[0], one.scalar())
+    return out

@@ -123,8 +123,8 @@ def _dues_ctes(year: int) -> list[str]:
                  pv."Técnica", coalesce(pv."Aporte", 0) AS "Aporte",
                  CASE WHEN m.condicion IS NULL OR m.condicion = '{p.inactive_label}' THEN 0
                       ELSE (nm.nmonth - (month(m.fecha_inicio) - 1)) * {p.dues} END AS objetivo
-          FROM miembros m LEFT JOIN pv ON {title('m.nombre_pago')} IS NOT DISTINCT FROM pv.miembro
-          CROSS JOIN nm)""",
+          FROM miembros m LEFT JOIN pv ON {title('m.nombre_pago')} IS NOT DISTINCT FROM pv.miembro,
+          nm)""",
         f"""du AS (SELECT *, CASE WHEN condicion = '{p.inactive_label}' THEN {p.inactive_balance}
                              ELSE "Aporte" - objetivo END AS balance FROM jd)""",
     ]
@@ -180,12 +180,12 @@ FROM led WHERE fecha >= (SELECT m FROM mb) - INTERVAL 1 MONTH AND fecha < (SELEC
         "g AS (SELECT coalesce(sum(monto), 0) AS gasto FROM gastos)") + """
 SELECT fecha_max, CAST(ingreso AS DOUBLE) AS ingreso, CAST(gasto AS DOUBLE) AS gasto,
        CAST(ingreso - gasto AS DOUBLE) AS balance
-FROM i CROSS JOIN g"""
+FROM i, g"""
 
     q["q_formatted_kpis"] = _with(
         "i AS (SELECT max(fecha) AS fecha_max, coalesce(sum(aporte), 0) AS ingreso FROM aportes)",
         "g AS (SELECT coalesce(sum(monto), 0) AS gasto FROM gastos)",
-        "k AS (SELECT fecha_max, ingreso, gasto, ingreso - gasto AS balance FROM i CROSS JOIN g)") + f"""
+        "k AS (SELECT fecha_max, ingreso, gasto, ingreso - gasto AS balance FROM i, g)") + f"""
 SELECT {heading_label('fecha_max')} AS titulo, {tab_label('fecha_max')} AS pestana,
        {fmt_amount('ingreso')} AS ingreso_txt, {fmt_amount('gasto')} AS gasto_txt,
        {fmt_amount('balance')} AS balance_txt

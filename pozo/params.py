@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import datetime as _dt
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from decimal import Decimal
 
 
@@ -37,7 +37,6 @@ class Params:
     # the original, which compares a title-cased ledger name with a raw one).
     raw_member_keys: bool = False
     page_size: int = 10
-    extra: dict = field(default_factory=dict)
 
     def report_year(self) -> int:
         return self.year if self.year is not None else _dt.date.today().year

@@ -16,15 +16,15 @@ def headline_kpis(ledger: DataFrame, expenses: DataFrame,
                   as_of: _dt.date | None = None) -> DataFrame:
     """One row: ``fecha_max``, ``ingreso``, ``gasto``, ``balance``.
 
-    Two one-row aggregates (partial sums per task) joined side by side.
-    NULL amounts and NULL dates are ignored.
+    One-row aggregates (partial sums per task); the expense total enters as a
+    scalar subquery. NULL amounts and NULL dates are ignored.
     """
     if as_of is not None:
         ledger = ledger.where(F.col("fecha") <= F.lit(as_of))
         expenses = expenses.where(F.col("fecha") <= F.lit(as_of))
     inc = ledger.agg(F.max("fecha").alias("fecha_max"), lenient_sum("aporte").alias("ingreso"))
-    exp = expenses.agg(lenient_sum("monto").alias("gasto"))
-    return (inc.crossJoin(exp)
+    gasto = expenses.select(lenient_sum("monto")).scalar()
+    return (inc.withColumn("gasto", gasto)
             .withColumn("balance", F.col("ingreso") - F.col("gasto")))
 
 
