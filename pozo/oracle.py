@@ -111,7 +111,16 @@ def _strict(cat: str) -> str:
             f"THEN sum(aporte) {f} END")
 
 
-def _dues_ctes(year: int) -> list[str]:
+def _active_months(year: int, mode: str) -> str:
+    if mode == "month_only":
+        return "(nm.nmonth - (month(m.fecha_inicio) - 1))"
+    return (f"(CASE WHEN m.fecha_inicio IS NULL OR nm.nmonth IS NULL THEN NULL "
+            f"WHEN year(m.fecha_inicio) > {year} THEN 0 "
+            f"ELSE greatest(0, nm.nmonth - (CASE WHEN year(m.fecha_inicio) < {year} THEN 1 "
+            f"ELSE month(m.fecha_inicio) END - 1)) END)")
+
+
+def _dues_ctes(year: int, mode: str = "month_only") -> list[str]:
     p = REPORT_PARAMS
     lo, hi = f"DATE '{year}-01-01'", f"DATE '{year + 1}-01-01'"
     cats = ", ".join(f'{_strict(c)} AS "{c}"' for c in p.categories)
@@ -122,7 +131,7 @@ def _dues_ctes(year: int) -> list[str]:
         f"""jd AS (SELECT {title('m.nombre_pago')} AS miembro, m.condicion, m.fecha_inicio,
                  pv."Técnica", coalesce(pv."Aporte", 0) AS "Aporte",
                  CASE WHEN m.condicion IS NULL OR m.condicion = '{p.inactive_label}' THEN 0
-                      ELSE (nm.nmonth - (month(m.fecha_inicio) - 1)) * {p.dues} END AS objetivo
+                      ELSE {_active_months(year, mode)} * {p.dues} END AS objetivo
           FROM miembros m LEFT JOIN pv ON {title('m.nombre_pago')} IS NOT DISTINCT FROM pv.miembro,
           nm)""",
         f"""du AS (SELECT *, CASE WHEN condicion = '{p.inactive_label}' THEN {p.inactive_balance}
@@ -175,6 +184,13 @@ SELECT miembro,
        fecha, CAST(aporte AS DOUBLE) AS aporte
 FROM led WHERE fecha >= (SELECT m FROM mb) - INTERVAL 1 MONTH AND fecha < (SELECT m FROM mb)"""
 
+    q["q_current_month_detail"] = _with(_month_bounds(None)) + """
+SELECT miembro,
+       row_number() OVER (PARTITION BY miembro ORDER BY fecha DESC NULLS LAST, aporte DESC NULLS LAST,
+                          concepto DESC NULLS LAST) AS pos,
+       fecha, CAST(aporte AS DOUBLE) AS aporte, concepto
+FROM led WHERE fecha >= (SELECT m FROM mb)"""
+
     q["q_headline_kpis"] = _with(
         "i AS (SELECT max(fecha) AS fecha_max, coalesce(sum(aporte), 0) AS ingreso FROM aportes)",
         "g AS (SELECT coalesce(sum(monto), 0) AS gasto FROM gastos)") + """
@@ -217,6 +233,11 @@ SELECT miembro, CAST("Técnica" AS DOUBLE) AS "Técnica", CAST("Aporte" AS DOUBL
        CAST(objetivo AS DOUBLE) AS objetivo, CAST(balance AS DOUBLE) AS balance
 FROM du"""
 
+    q["q_year_dues_calendar"] = _with(*_dues_ctes(year, "calendar")) + """
+SELECT miembro, CAST("Técnica" AS DOUBLE) AS "Técnica", CAST("Aporte" AS DOUBLE) AS "Aporte",
+       CAST(objetivo AS DOUBLE) AS objetivo, CAST(balance AS DOUBLE) AS balance
+FROM du"""
+
     q["q_debt_band"] = _with(*_dues_ctes(year)) + f"""
 SELECT miembro, CAST(balance AS DOUBLE) AS balance,
        CASE WHEN balance < {p.red_below} THEN 'red' WHEN balance < {p.yellow_below} THEN 'yellow' END AS banda

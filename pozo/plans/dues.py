@@ -34,9 +34,11 @@ def _active_months(nmonth: Column, start: Column, year: int, mode: str) -> Colum
         return nmonth - (F.month(start) - 1)
     if mode == "calendar":
         # Months from the later of the start date and January, never negative.
+        # An unknown start or latest month stays unknown (greatest skips NULLs).
         first_month = F.when(F.year(start) < year, F.lit(1)).otherwise(F.month(start))
-        months = F.greatest(F.lit(0), nmonth - (first_month - 1))
-        return F.when(F.year(start) > year, F.lit(0)).otherwise(months)
+        return (F.when(start.isNull() | nmonth.isNull(), F.lit(None))
+                 .when(F.year(start) > year, F.lit(0))
+                 .otherwise(F.greatest(F.lit(0), nmonth - (first_month - 1))))
     raise ValueError("target_mode must be 'month_only' or 'calendar'")
 
 

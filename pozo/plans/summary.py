@@ -57,6 +57,13 @@ def _detail_fields(window: str) -> list[str]:
     return ["fecha", "aporte"] if window == "last_month" else ["fecha", "aporte", "concepto"]
 
 
+def _numbered(rows: DataFrame, window: str) -> DataFrame:
+    fields = _detail_fields(window)
+    order = [F.col(c).desc_nulls_last() for c in fields]
+    return (positions(rows.select("miembro", *fields), order, keys=["miembro"], name="pos")
+            .select("miembro", "pos", *fields))
+
+
 def member_detail(ledger: DataFrame, window: str = "all",
                   as_of: _dt.date | None = None) -> DataFrame:
     """Every payment with its 1-based position in the member's list.
@@ -65,25 +72,18 @@ def member_detail(ledger: DataFrame, window: str = "all",
     category, descending. Positions come from :func:`positions`, which splits
     a hot member across tasks instead of sorting it in one.
     """
-    fields = _detail_fields(window)
-    led = ledger_window(ledger, window, as_of).select("miembro", *fields)
-    order = [F.col(c).desc_nulls_last() for c in fields]
-    return positions(led, order, keys=["miembro"], name="pos").select("miembro", "pos", *fields)
+    return _numbered(ledger_window(ledger, window, as_of), window)
 
 
 def expand_member(ledger: DataFrame, miembro: str | None, window: str = "all",
                   as_of: _dt.date | None = None) -> DataFrame:
     """The detail behind one summary row, looked up by member key (not by row index).
 
-    The key filter is applied to the ledger first, so the scan and the
-    numbering only carry that member's rows.
+    The month bounds still come from the whole ledger; the key filter then
+    reaches the scan, so the numbering only carries that member's rows.
     """
     key = F.col("miembro").isNull() if miembro is None else (F.col("miembro") == F.lit(miembro))
-    led = ledger_window(ledger, window, as_of)
-    fields = _detail_fields(window)
-    rows = led.where(key).select("miembro", *fields)
-    order = [F.col(c).desc_nulls_last() for c in fields]
-    return positions(rows, order, keys=["miembro"], name="pos").select("miembro", "pos", *fields)
+    return _numbered(ledger_window(ledger, window, as_of).where(key), window)
 
 
 def member_pages(ledger: DataFrame, window: str = "all", page_size: int = 10,

@@ -20,6 +20,7 @@ from pozo.sources import adapter
 
 # The driver's orders end in August 2001: the dues report is for that year.
 REPORT_PARAMS = Params(year=2001)
+CALENDAR_PARAMS = Params(year=2001, target_mode="calendar")
 # Month reports "as of" the end of June 2001 (the data's last month is nearly empty).
 AS_OF = _dt.date(2001, 6, 30)
 SEARCH_QUERY = "25"
@@ -107,6 +108,7 @@ def _build() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "q_last_month": lambda i: plans.member_summary(i.aportes, "last_month"),
         "q_last_month_asof": lambda i: plans.member_summary(i.aportes, "last_month", as_of=AS_OF),
         "q_last_month_detail": lambda i: plans.member_detail(i.aportes, "last_month"),
+        "q_current_month_detail": lambda i: plans.member_detail(i.aportes, "current_month"),
         "q_headline_kpis": lambda i: plans.headline_kpis(i.aportes, i.gastos),
         "q_formatted_kpis": lambda i: plans.formatted_kpis(i.aportes, i.gastos),
         "q_date_labels": lambda i: plans.date_labels(i.aportes),
@@ -116,6 +118,7 @@ def _build() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             "nombre_pago", title_case("nombre_pago").alias("miembro")),
         "q_category_pivot": lambda i: plans.category_pivot(i.aportes, P),
         "q_year_dues": lambda i: plans.year_dues(i.aportes, i.miembros, P),
+        "q_year_dues_calendar": lambda i: plans.year_dues(i.aportes, i.miembros, CALENDAR_PARAMS),
         "q_debt_band": lambda i: plans.debt_band(plans.year_dues(i.aportes, i.miembros, P), P)
             .select("miembro", "balance", "banda"),
         "q_member_status": lambda i: plans.member_status(i.aportes, i.miembros, P),

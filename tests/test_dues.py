@@ -123,3 +123,15 @@ def test_member_key_normalised_or_raw(ledger, members):
     assert norm["Ana Pérez"]["Aporte"] == Decimal("300.00")
     raw = by_member(plans.year_dues(led, mem, Params(year=2023, raw_member_keys=True)))
     assert raw["ana pérez"]["Aporte"] == 0
+
+
+def test_calendar_mode_unknowns_stay_unknown(ledger, members):
+    cal = Params(year=2023, target_mode="calendar")
+    led = ledger([("2023-03-05", "A", 100, "Aporte")])
+    mem = members([("A", "Activo", None), ("B", "Activo", "2024-02-01"), ("C", "Activo", "2023-02-01")])
+    got = by_member(plans.year_dues(led, mem, cal))
+    assert got["A"]["objetivo"] is None and got["A"]["balance"] is None
+    assert got["B"]["objetivo"] == 0                       # starts after the report year
+    assert got["C"]["objetivo"] == Decimal("600")          # February and March
+    empty = by_member(plans.year_dues(ledger([("2022-01-01", "A", 1, "Aporte")]), mem, cal))
+    assert empty["C"]["objetivo"] is None
