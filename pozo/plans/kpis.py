@@ -29,10 +29,14 @@ def headline_kpis(ledger: DataFrame, expenses: DataFrame,
 
 
 def formatted_kpis(ledger: DataFrame, expenses: DataFrame,
-                   as_of: _dt.date | None = None) -> DataFrame:
-    """The page heading, tab label and the three badges as text."""
+                   as_of: _dt.date | None = None, keep_values: bool = False) -> DataFrame:
+    """The page heading, tab label and the three badges as text.
+
+    With ``keep_values`` the numeric KPIs stay alongside the text.
+    """
     k = headline_kpis(ledger, expenses, as_of)
     return k.select(
+        *(k.columns if keep_values else []),
         heading_label("fecha_max").alias("titulo"),
         tab_label("fecha_max").alias("pestana"),
         format_amount("ingreso").alias("ingreso_txt"),
