@@ -58,15 +58,19 @@ def search_rows(df: DataFrame, query: str, columns: Sequence[str] | None = None)
 
 def table_order(df: DataFrame, by: str, descending: bool = False,
                 tiebreak: Sequence[str] = ()) -> list[Column]:
-    """Sort columns for a click on ``by``: text lower-cased, NULL smallest."""
+    """Sort columns for a click on ``by``: text lower-cased, NULL smallest.
+
+    Tie-break columns compare raw values ("Ana" before "ana"), so that with a
+    unique tie-break the order is total and positions are reproducible.
+    """
     types = dict((f.name, f.dataType) for f in df.schema.fields)
-    out = []
-    for i, name in enumerate([by, *tiebreak]):
-        c = F.col(name)
-        if isinstance(types[name], T.StringType):
-            c = F.lower(c)
-        desc = descending if i == 0 else False
-        out.append(c.desc_nulls_last() if desc else c.asc_nulls_first())
+    c = F.col(by)
+    if isinstance(types[by], T.StringType):
+        c = F.lower(c)
+    out = [c.desc_nulls_last() if descending else c.asc_nulls_first()]
+    if isinstance(types[by], T.StringType) and by not in tiebreak:
+        out.append(F.col(by).asc_nulls_first())   # case variants of one text
+    out += [F.col(t).asc_nulls_first() for t in tiebreak]
     return out
 
 

@@ -141,3 +141,9 @@ def test_positions_without_exchange_reuse_falls_back_to_checkpoint(spark):
         assert pos == list(range(1, 7001))
     finally:
         spark.conf.set("spark.sql.exchange.reuse", "true")
+
+
+def test_sort_case_variants_are_ordered_totally(spark):
+    df = spark.createDataFrame([("ana", 1), ("Ana", 1), ("ANA", 2), ("bob", 0)], "m string, n int")
+    got = [(r["m"], r["pos"]) for r in sort_rows(df, "m").collect()]
+    assert got == [("ANA", 1), ("Ana", 2), ("ana", 3), ("bob", 4)]
