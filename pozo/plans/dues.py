@@ -10,12 +10,16 @@ from pyspark.sql import functions as F
 from pozo.functions.text import title_case
 from pozo.operators.pivot import pivot_sums, select_matching
 from pozo.params import Params
+from pozo.sources.ledger_store import has_partitions
 
 
 def year_slice(ledger: DataFrame, year: int) -> DataFrame:
     """Ledger rows dated in ``year``, as a date range the scan can push down."""
     lo, hi = _dt.date(year, 1, 1), _dt.date(year + 1, 1, 1)
-    return ledger.where((F.col("fecha") >= F.lit(lo)) & (F.col("fecha") < F.lit(hi)))
+    cond = (F.col("fecha") >= F.lit(lo)) & (F.col("fecha") < F.lit(hi))
+    if has_partitions(ledger):
+        cond = cond & (F.col("anio") == F.lit(year))   # prunes to one year's folders
+    return ledger.where(cond)
 
 
 def category_pivot(ledger: DataFrame, params: Params = Params()) -> DataFrame:

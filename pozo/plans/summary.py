@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from pozo.functions.nulls import lenient_sum
 from pozo.operators.ranking import positions
+from pozo.sources.ledger_store import has_partitions, month_of_partition
 
 WINDOWS = ("all", "current_month", "last_month")
 
@@ -24,7 +25,8 @@ def ledger_window(ledger: DataFrame, window: str = "all",
 
     The month start of the latest date is a scalar subquery planned once and
     reused; the filter stays a plain predicate on every row (no join, no
-    single-task window).
+    single-task window). On a stored ledger (:mod:`pozo.sources.ledger_store`)
+    the bound also prunes the year/month folders at run time.
     """
     if window not in WINDOWS:
         raise ValueError(f"window must be one of {WINDOWS}")
@@ -32,9 +34,15 @@ def ledger_window(ledger: DataFrame, window: str = "all",
     if window == "all":
         return led
     start = led.select(F.trunc(F.max("fecha"), "month")).scalar()
-    if window == "current_month":
-        return led.where(F.col("fecha") >= start)
-    return led.where((F.col("fecha") >= F.add_months(start, -1)) & (F.col("fecha") < start))
+    lo = start if window == "current_month" else F.add_months(start, -1)
+    cond = F.col("fecha") >= lo
+    if window == "last_month":
+        cond = cond & (F.col("fecha") < start)
+    if has_partitions(led):
+        # The same bounds on the partition columns: only those month folders are listed.
+        part = month_of_partition()
+        cond = cond & (part >= lo) & ((part < start) if window == "last_month" else F.lit(True))
+    return led.where(cond)
 
 
 def member_summary(ledger: DataFrame, window: str = "all",
