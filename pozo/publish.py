@@ -20,6 +20,7 @@ from pozo import plans
 from pozo.params import Params
 from pozo.sources.readers import (prepare_expenses, prepare_fines, prepare_ledger,
                                   prepare_members, read_table)
+from pozo.sources.ledger_store import read_ledger, write_ledger
 from pozo.sources.sinks import write_report
 
 
@@ -78,12 +79,20 @@ def main(argv: list[str] | None = None) -> None:
     ap.add_argument("--year", type=int, default=None)
     ap.add_argument("--as-of", type=_dt.date.fromisoformat, default=None)
     ap.add_argument("--target-mode", default="month_only", choices=["month_only", "calendar"])
+    ap.add_argument("--no-stage", action="store_true",
+                    help="build every report from the raw inputs instead of the stored ledger")
     a = ap.parse_args(argv)
     from pozo.session import build_session
     spark = build_session()
-    inputs = load_inputs(spark, a.ledger, a.expenses, a.fines, a.members, a.input_format)
+    led, exp, fin, mem = load_inputs(spark, a.ledger, a.expenses, a.fines, a.members, a.input_format)
+    if not a.no_stage:
+        # Prepare the ledger once into a year/month-partitioned table; every
+        # report then reads it (and prunes it) instead of re-reading the input.
+        staged = os.path.join(a.out, "ledger_por_mes")
+        write_ledger(led, staged)
+        led = read_ledger(spark, staged)
     params = Params(year=a.year, as_of=a.as_of, target_mode=a.target_mode)
-    publish(treasury_reports(*inputs, params), a.out, a.format)
+    publish(treasury_reports(led, exp, fin, mem, params), a.out, a.format)
 
 
 if __name__ == "__main__":
