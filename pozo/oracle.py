@@ -207,6 +207,18 @@ SELECT {heading_label('fecha_max')} AS titulo, {tab_label('fecha_max')} AS pesta
        {fmt_amount('balance')} AS balance_txt
 FROM k"""
 
+    cut = f"DATE '{AS_OF.isoformat()}'"
+    q["q_kpis_asof"] = _with(
+        f"i AS (SELECT max(fecha) AS fecha_max, coalesce(sum(aporte), 0) AS ingreso FROM aportes WHERE fecha <= {cut})",
+        f"g AS (SELECT coalesce(sum(monto), 0) AS gasto FROM gastos WHERE fecha <= {cut})",
+        "k AS (SELECT fecha_max, ingreso, gasto, ingreso - gasto AS balance FROM i, g)") + f"""
+SELECT fecha_max, CAST(ingreso AS DOUBLE) AS ingreso, CAST(gasto AS DOUBLE) AS gasto,
+       CAST(balance AS DOUBLE) AS balance,
+       {heading_label('fecha_max')} AS titulo, {tab_label('fecha_max')} AS pestana,
+       {fmt_amount('ingreso')} AS ingreso_txt, {fmt_amount('gasto')} AS gasto_txt,
+       {fmt_amount('balance')} AS balance_txt
+FROM k"""
+
     q["q_date_labels"] = _with("d AS (SELECT DISTINCT fecha FROM aportes WHERE fecha IS NOT NULL)") + f"""
 SELECT fecha, {day_label('fecha')} AS label_dia, {month_label('fecha')} AS label_mes,
        {heading_label('fecha')} AS titulo, {tab_label('fecha')} AS pestana

@@ -111,6 +111,7 @@ def _build() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "q_current_month_detail": lambda i: plans.member_detail(i.aportes, "current_month"),
         "q_headline_kpis": lambda i: plans.headline_kpis(i.aportes, i.gastos),
         "q_formatted_kpis": lambda i: plans.formatted_kpis(i.aportes, i.gastos),
+        "q_kpis_asof": lambda i: plans.formatted_kpis(i.aportes, i.gastos, AS_OF, keep_values=True),
         "q_date_labels": lambda i: plans.date_labels(i.aportes),
         "q_label_order": lambda i: _label_order(i.aportes, day_label),
         "q_expense_label_order": lambda i: _label_order(i.gastos, month_label),
