@@ -51,7 +51,7 @@ def positions(df: DataFrame, order: Sequence[Column], keys: Sequence[str] = (),
     # which Spark plans once and reuses. Two exchanges would each sample
     # their own range bounds and could disagree.
     tie = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
-    key_order = [F.col(k).asc_nulls_first() for k in keys]
+    key_order = [F.col(f"`{k}`").asc_nulls_first() for k in keys]
     sort_cols = key_order + list(order) + [tie]
     ranged = df.repartitionByRange(n, *sort_cols)
     if spark.conf.get("spark.sql.exchange.reuse", "true").lower() != "true":
@@ -65,7 +65,7 @@ def positions(df: DataFrame, order: Sequence[Column], keys: Sequence[str] = (),
     # of the same key in earlier partitions. Fresh names avoid an ambiguous
     # self-join.
     sk = [f"_pz_k{i}" for i in range(len(keys))]
-    counts = (ranged.groupBy(F.col(_P).alias("_pz_sp"), *[F.col(k).alias(a) for k, a in zip(keys, sk)])
+    counts = (ranged.groupBy(F.col(_P).alias("_pz_sp"), *[F.col(f"`{k}`").alias(a) for k, a in zip(keys, sk)])
               .agg(F.count(F.lit(1)).alias(_N)))
     before = (Window.unboundedPreceding, -1)
     if keys:
@@ -84,7 +84,7 @@ def positions(df: DataFrame, order: Sequence[Column], keys: Sequence[str] = (),
     t = (ranged.sortWithinPartitions(*sort_cols)
          .withColumn(_RID, F.monotonically_increasing_id()
                      - F.shiftleft(F.col(_P).cast("long"), 33)))
-    cond = [F.col(_P) == F.col("_pz_sp")] + [F.col(k).eqNullSafe(F.col(a)) for k, a in zip(keys, sk)]
+    cond = [F.col(_P) == F.col("_pz_sp")] + [F.col(f"`{k}`").eqNullSafe(F.col(a)) for k, a in zip(keys, sk)]
     joined = t.join(seg, cond, "inner")
     out = joined.withColumn(name, F.col(_START) + F.col(_RID) - F.col(_FIRST) + F.lit(1))
     return out.drop(_P, _RID, _FIRST, _START, "_pz_sp", *sk)

@@ -33,11 +33,16 @@ TOPK_DEPTH_LIMIT = 100_000
 
 def _number_text(c: Column, dtype: T.DataType) -> Column:
     if isinstance(dtype, (T.FloatType, T.DoubleType)):
-        # Plain notation (no exponent), like the browser for ordinary amounts.
-        c = c.cast("decimal(38,9)")
+        # Plain notation (no exponent), like the browser for ordinary amounts;
+        # values beyond the decimal range keep Spark's own text.
+        return F.coalesce(js_number_text(c.try_cast("decimal(38,9)")), c.cast("string"))
     return js_number_text(c)
 
 
+def _c(name: str) -> Column:
+    return F.col(f"`{name}`")
+
+
 def search_rows(df: DataFrame, query: str, columns: Sequence[str] | None = None) -> DataFrame:
     """Rows of ``df`` where any of ``columns`` (default: all) matches ``query``."""
     if query is None or query == "":
@@ -47,7 +52,7 @@ def search_rows(df: DataFrame, query: str, columns: Sequence[str] | None = None)
     conds = []
     for name in columns or df.columns:
         dt = types[name]
-        c = F.col(name)
+        c = _c(name)
         if isinstance(dt, _NUMERIC):
             conds.append(F.lower(_number_text(c, dt)).startswith(F.lit(q)))
         else:
@@ -64,13 +69,13 @@ def table_order(df: DataFrame, by: str, descending: bool = False,
     unique tie-break the order is total and positions are reproducible.
     """
     types = dict((f.name, f.dataType) for f in df.schema.fields)
-    c = F.col(by)
+    c = _c(by)
     if isinstance(types[by], T.StringType):
         c = F.lower(c)
     out = [c.desc_nulls_last() if descending else c.asc_nulls_first()]
     if isinstance(types[by], T.StringType) and by not in tiebreak:
-        out.append(F.col(by).asc_nulls_first())   # case variants of one text
-    out += [F.col(t).asc_nulls_first() for t in tiebreak]
+        out.append(_c(by).asc_nulls_first())   # case variants of one text
+    out += [_c(t).asc_nulls_first() for t in tiebreak]
     return out
 
 

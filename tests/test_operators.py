@@ -147,3 +147,10 @@ def test_sort_case_variants_are_ordered_totally(spark):
     df = spark.createDataFrame([("ana", 1), ("Ana", 1), ("ANA", 2), ("bob", 0)], "m string, n int")
     got = [(r["m"], r["pos"]) for r in sort_rows(df, "m").collect()]
     assert got == [("ANA", 1), ("Ana", 2), ("ana", 3), ("bob", 4)]
+
+
+def test_search_huge_double_and_dotted_names(spark):
+    df = spark.createDataFrame([(1e300, "a"), (2.5, "b")], "`x.v` double, n string")
+    assert [r["n"] for r in search_rows(df, "2.5").collect()] == ["b"]
+    assert [r["n"] for r in search_rows(df, "1.0E300").collect()] == ["a"]
+    assert [r["n"] for r in sort_rows(df, "x.v", True).collect()] == ["a", "b"]
