@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import datetime as _dt
 from collections.abc import Callable
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,31 +40,48 @@ def as_doubles(df: DataFrame) -> DataFrame:
 
 
 class Inputs:
-    """The four inputs for one data folder (built lazily, no job runs)."""
+    """The four inputs for one data folder, defined once per session.
+
+    Like tables registered in a catalog: each is a lazy DataFrame (no job
+    runs here, no data is cached), defined on first use and shared by every
+    query of the session, so file listing and schema reading happen once.
+    """
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
 
-    @property
+    @cached_property
     def aportes(self) -> DataFrame:
         return adapter.aportes(self.spark, self.sf_dir)
 
-    @property
+    @cached_property
     def miembros(self) -> DataFrame:
         return adapter.miembros(self.spark, self.sf_dir)
 
-    @property
+    @cached_property
     def gastos(self) -> DataFrame:
         return adapter.gastos(self.spark, self.sf_dir)
 
-    @property
+    @cached_property
     def multas(self) -> DataFrame:
         return adapter.multas(self.spark, self.sf_dir)
 
 
+_DEFINED: dict[tuple[int, str], Inputs] = {}
+
+
+def inputs_for(spark: SparkSession, sf_dir: str) -> Inputs:
+    """The shared input definitions of ``spark`` for ``sf_dir``."""
+    key = (id(spark), sf_dir)
+    got = _DEFINED.get(key)
+    if got is None or got.spark is not spark:
+        got = _DEFINED[key] = Inputs(spark, sf_dir)
+    return got
+
+
 def _q(fn: Callable[[Inputs], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return as_doubles(fn(Inputs(spark, sf_dir)))
+        return as_doubles(fn(inputs_for(spark, sf_dir)))
     run.__name__ = fn.__name__
     run.__doc__ = fn.__doc__
     return run

@@ -67,12 +67,14 @@ def clean_names(df: DataFrame) -> DataFrame:
         n = seen.get(base, 0) + 1
         seen[base] = n
         out.append(base if n == 1 else f"{base}_{n}")
-    return df.toDF(*out)
+    return df if out == df.columns else df.toDF(*out)
 
 
 # -- per-table preparation ---------------------------------------------------
 
 def _conform(df: DataFrame, schema: T.StructType) -> DataFrame:
+    if [(f.name, f.dataType) for f in df.schema.fields] == [(f.name, f.dataType) for f in schema.fields]:
+        return df   # already the declared shape
     cols = []
     for f in schema.fields:
         if f.name in df.columns:
