@@ -26,16 +26,44 @@ def pivot_sums(df: DataFrame, key: str, category: str, value: str,
     """
     cols = []
     for cat in categories:
-        if cat is None:
-            cond = F.col(category).isNull()
-            name = NULL_CATEGORY_NAME
-        else:
-            cond = F.col(category) == F.lit(cat)
-            name = cat
+        cond, name = _cat(category, cat)
         cols.append(strict_sum(value, where=cond).alias(name))
     return df.groupBy(key).agg(*cols, *extra_aggs)
 
 
+def _cat(category: str, cat: str | None) -> tuple[Column, str]:
+    if cat is None:
+        return F.col(category).isNull(), NULL_CATEGORY_NAME
+    return F.col(category) == F.lit(cat), cat
+
+
+def pivot_counters(df: DataFrame, keys: Sequence[str], category: str, value: str,
+                   categories: Sequence[str | None]) -> DataFrame:
+    """Mergeable parts of :func:`pivot_sums`: per category, rows, non-NULL values, sum.
+
+    Counters from any split of the rows add up to the counters of the whole,
+    so they can be built per payer key and merged per member after a join.
+    """
+    cols = []
+    for cat in categories:
+        cond, name = _cat(category, cat)
+        v = F.when(cond, F.col(value))
+        cols += [F.count(F.when(cond, F.lit(1))).alias(f"{name}__n"),
+                 F.count(v).alias(f"{name}__nn"),
+                 F.sum(v).alias(f"{name}__s")]
+    return df.groupBy(*keys).agg(*cols)
+
+
+def pivot_from_counters(df: DataFrame, key: str, categories: Sequence[str | None]) -> DataFrame:
+    """Merge counters per ``key`` and apply the strict rule (same cells as pivot_sums)."""
+    cols = []
+    for cat in categories:
+        _, name = _cat("_", cat)
+        n, nn = F.sum(f"`{name}__n`"), F.sum(f"`{name}__nn`")
+        cols.append(F.when((n > 0) & (nn == n), F.sum(f"`{name}__s`")).alias(name))
+    return df.groupBy(key).agg(*cols)
+
+
 def select_matching(df: DataFrame, pattern: str, ignore_case: bool = True) -> list[str]:
     """Names of the columns whose name contains a match of ``pattern``.
 

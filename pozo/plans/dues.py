@@ -8,16 +8,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pozo.functions.text import title_case
-from pozo.operators.pivot import pivot_sums, select_matching
+from pozo.operators.pivot import pivot_counters, pivot_from_counters, pivot_sums, select_matching
 from pozo.params import Params
+from pozo.sources.keyed import KeyedLedger
 from pozo.sources.ledger_store import has_partitions
+from pozo.sources.schemas import TOTAL
 
 
 def year_slice(ledger: DataFrame, year: int) -> DataFrame:
     """Ledger rows dated in ``year``, as a date range the scan can push down."""
     lo, hi = _dt.date(year, 1, 1), _dt.date(year + 1, 1, 1)
     cond = (F.col("fecha") >= F.lit(lo)) & (F.col("fecha") < F.lit(hi))
-    if has_partitions(ledger):
+    rows = ledger.payments if isinstance(ledger, KeyedLedger) else ledger
+    if has_partitions(rows):
         cond = cond & (F.col("anio") == F.lit(year))   # prunes to one year's folders
     return ledger.where(cond)
 
@@ -29,9 +32,25 @@ def category_pivot(ledger: DataFrame, params: Params = Params()) -> DataFrame:
     category, or when any of those amounts is NULL.
     """
     y = year_slice(ledger, params.report_year())
+    return _pivot(y, params)
+
+
+def _pivot(y, params: Params) -> DataFrame:
+    if isinstance(y, KeyedLedger):
+        # Counters per payer key, names attached at key grain, merged per member.
+        counters = pivot_counters(y.payments, [y.key], "concepto", "aporte", params.categories)
+        piv = pivot_from_counters(y.name(counters), "miembro", params.categories)
+        return piv.select("miembro", *[F.col(f"`{c}`").cast(TOTAL).alias(c) for c in piv.columns[1:]])
     return pivot_sums(y, "miembro", "concepto", "aporte", params.categories)
 
 
+def _latest_month(y):
+    if isinstance(y, KeyedLedger):
+        per_key = y.payments.groupBy(y.key).agg(F.max(F.month("fecha")).alias("_pz_m"))
+        return y.name(per_key).select(F.max("_pz_m")).scalar()
+    return y.select(F.max(F.month("fecha"))).scalar()
+
+
 def _active_months(nmonth: Column, start: Column, year: int, mode: str) -> Column:
     if mode == "month_only":
         # Published rule: only the start *month* counts, whatever its year.
@@ -54,10 +73,9 @@ def _dues_frame(ledger: DataFrame, members: DataFrame, params: Params) -> DataFr
     """
     year = params.report_year()
     y = year_slice(ledger, year)
-    piv = pivot_sums(y, "miembro", "concepto", "aporte", params.categories)
-    piv = piv.withColumnRenamed("miembro", "_k")
+    piv = _pivot(y, params).withColumnRenamed("miembro", "_k")
     # One-row partial max over the pruned year slice; planned as a subquery.
-    nmonth = y.select(F.max(F.month("fecha"))).scalar()
+    nmonth = _latest_month(y)
 
     key = F.col("nombre_pago") if params.raw_member_keys else title_case("nombre_pago")
     m = members.select(key.alias("miembro"), "condicion", "fecha_inicio")

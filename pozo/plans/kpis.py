@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pozo.functions.dates import heading_label, tab_label
 from pozo.functions.nulls import lenient_sum
 from pozo.functions.text import format_amount
+from pozo.sources.keyed import KeyedLedger
+from pozo.sources.schemas import TOTAL
 
 
 def headline_kpis(ledger: DataFrame, expenses: DataFrame,
@@ -22,7 +24,13 @@ def headline_kpis(ledger: DataFrame, expenses: DataFrame,
     if as_of is not None:
         ledger = ledger.where(F.col("fecha") <= F.lit(as_of))
         expenses = expenses.where(F.col("fecha") <= F.lit(as_of))
-    inc = ledger.agg(F.max("fecha").alias("fecha_max"), lenient_sum("aporte").alias("ingreso"))
+    if isinstance(ledger, KeyedLedger):
+        parts = ledger.payments.groupBy(ledger.key).agg(F.max("fecha").alias("_pz_m"),
+                                                        F.sum("aporte").alias("_pz_s"))
+        inc = ledger.name(parts).agg(F.max("_pz_m").alias("fecha_max"),
+                                     F.coalesce(F.sum("_pz_s"), F.lit(0)).cast(TOTAL).alias("ingreso"))
+    else:
+        inc = ledger.agg(F.max("fecha").alias("fecha_max"), lenient_sum("aporte").alias("ingreso"))
     gasto = expenses.select(lenient_sum("monto")).scalar()
     return (inc.withColumn("gasto", gasto)
             .withColumn("balance", F.col("ingreso") - F.col("gasto")))

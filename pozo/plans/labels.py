@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pozo.functions.dates import day_label, heading_label, month_label, tab_label
+from pozo.sources.keyed import flat
 
 
 def date_labels(df: DataFrame, date_col: str = "fecha") -> DataFrame:
@@ -17,7 +18,7 @@ def date_labels(df: DataFrame, date_col: str = "fecha") -> DataFrame:
     "05 de septiembre del 2023", ``pestana`` "Septiembre". One partial
     aggregate per task, so only distinct dates are shuffled.
     """
-    d = df.select(F.col(date_col).alias("fecha")).where(F.col("fecha").isNotNull()).distinct()
+    d = flat(df).select(F.col(date_col).alias("fecha")).where(F.col("fecha").isNotNull()).distinct()
     return d.select("fecha",
                     day_label("fecha").alias("label_dia"),
                     month_label("fecha").alias("label_mes"),
@@ -35,7 +36,7 @@ def label_order(df: DataFrame, date_col: str = "fecha",
     bounds by 31. The numbering runs over the label grain only (one row per
     day or month in the data), never over ledger rows.
     """
-    d = df.where(F.col(date_col).isNotNull())
+    d = flat(df).where(F.col(date_col).isNotNull())
     per = (d.groupBy(label(F.col(date_col)).alias("label"))
            .agg(F.median(F.unix_date(F.col(date_col))).cast("double").alias("mediana")))
     w = Window.orderBy(F.col("mediana").asc(), F.col("label").asc())

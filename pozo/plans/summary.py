@@ -14,50 +14,69 @@ from pyspark.sql import functions as F
 
 from pozo.functions.nulls import lenient_sum
 from pozo.operators.ranking import positions
+from pozo.sources.keyed import KeyedLedger, flat
 from pozo.sources.ledger_store import has_partitions, month_of_partition
+from pozo.sources.schemas import TOTAL
+
+Ledger = DataFrame | KeyedLedger
 
 WINDOWS = ("all", "current_month", "last_month")
 
 
-def ledger_window(ledger: DataFrame, window: str = "all",
-                  as_of: _dt.date | None = None) -> DataFrame:
-    """Rows of the ledger in ``window``.
+def ledger_window(ledger: Ledger, window: str = "all",
+                  as_of: _dt.date | None = None) -> Ledger:
+    """Rows of the ledger in ``window`` (same input form as given).
 
     The month start of the latest date is a scalar subquery planned once and
     reused; the filter stays a plain predicate on every row (no join, no
     single-task window). On a stored ledger (:mod:`pozo.sources.ledger_store`)
-    the bound also prunes the year/month folders at run time.
+    the bound also prunes the year/month folders at run time. For a keyed
+    ledger the latest date is taken per payer key first, then over the keys
+    that have a payer.
     """
     if window not in WINDOWS:
         raise ValueError(f"window must be one of {WINDOWS}")
     led = ledger if as_of is None else ledger.where(F.col("fecha") <= F.lit(as_of))
     if window == "all":
         return led
-    start = led.select(F.trunc(F.max("fecha"), "month")).scalar()
+    if isinstance(led, KeyedLedger):
+        latest = led.name(led.payments.groupBy(led.key).agg(F.max("fecha").alias("_pz_max")))
+        start = latest.select(F.trunc(F.max("_pz_max"), "month")).scalar()
+        rows = led.payments
+    else:
+        start = led.select(F.trunc(F.max("fecha"), "month")).scalar()
+        rows = led
     lo = start if window == "current_month" else F.add_months(start, -1)
     cond = F.col("fecha") >= lo
     if window == "last_month":
         cond = cond & (F.col("fecha") < start)
-    if has_partitions(led):
+    if has_partitions(rows):
         # The same bounds on the partition columns: only those month folders are listed.
         part = month_of_partition()
         cond = cond & (part >= lo) & ((part < start) if window == "last_month" else F.lit(True))
     return led.where(cond)
 
 
-def member_summary(ledger: DataFrame, window: str = "all",
+def member_summary(ledger: Ledger, window: str = "all",
                    as_of: _dt.date | None = None) -> DataFrame:
     """One row per member: payment count and total (NULL amounts ignored).
 
     ``cantidad_aportes`` counts rows, NULL amounts included. Sorted by total,
     largest first, then by member so ties are stable. A member holding a large
-    share of rows is still one partial aggregate per task.
+    share of rows is still one partial aggregate per task. A keyed ledger is
+    summed per payer key before names are attached (eager aggregation).
     """
     led = ledger_window(ledger, window, as_of)
-    return (led.groupBy("miembro")
-            .agg(F.count(F.lit(1)).alias("cantidad_aportes"),
-                 lenient_sum("aporte").alias("total"))
-            .orderBy(F.col("total").desc_nulls_last(), F.col("miembro").asc_nulls_first()))
+    if isinstance(led, KeyedLedger):
+        parts = led.payments.groupBy(led.key).agg(F.count(F.lit(1)).alias("_pz_n"),
+                                                  F.sum("aporte").alias("_pz_s"))
+        out = led.name(parts).groupBy("miembro").agg(
+            F.sum("_pz_n").alias("cantidad_aportes"),
+            F.coalesce(F.sum("_pz_s"), F.lit(0)).cast(TOTAL).alias("total"))
+    else:
+        out = led.groupBy("miembro").agg(F.count(F.lit(1)).alias("cantidad_aportes"),
+                                         lenient_sum("aporte").alias("total"))
+    return out.orderBy(F.col("total").desc_nulls_last(), F.col("miembro").asc_nulls_first())
 
 
 def _detail_fields(window: str) -> list[str]:
@@ -72,7 +91,7 @@ def _numbered(rows: DataFrame, window: str) -> DataFrame:
             .select("miembro", "pos", *fields))
 
 
-def member_detail(ledger: DataFrame, window: str = "all",
+def member_detail(ledger: Ledger, window: str = "all",
                   as_of: _dt.date | None = None) -> DataFrame:
     """Every payment with its 1-based position in the member's list.
 
@@ -80,10 +99,10 @@ def member_detail(ledger: DataFrame, window: str = "all",
     category, descending. Positions come from :func:`positions`, which splits
     a hot member across tasks instead of sorting it in one.
     """
-    return _numbered(ledger_window(ledger, window, as_of), window)
+    return _numbered(flat(ledger_window(ledger, window, as_of)), window)
 
 
-def expand_member(ledger: DataFrame, miembro: str | None, window: str = "all",
+def expand_member(ledger: Ledger, miembro: str | None, window: str = "all",
                   as_of: _dt.date | None = None) -> DataFrame:
     """The detail behind one summary row, looked up by member key (not by row index).
 
@@ -91,10 +110,10 @@ def expand_member(ledger: DataFrame, miembro: str | None, window: str = "all",
     reaches the scan, so the numbering only carries that member's rows.
     """
     key = F.col("miembro").isNull() if miembro is None else (F.col("miembro") == F.lit(miembro))
-    return _numbered(ledger_window(ledger, window, as_of).where(key), window)
+    return _numbered(flat(ledger_window(ledger, window, as_of)).where(key), window)
 
 
-def member_pages(ledger: DataFrame, window: str = "all", page_size: int = 10,
+def member_pages(ledger: Ledger, window: str = "all", page_size: int = 10,
                  as_of: _dt.date | None = None) -> DataFrame:
     """The nested detail, one row per (member, page) of ``page_size`` payments.
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pozo.sources.keyed import KeyedLedger
 from pozo.sources.schemas import AMOUNT
 
 
@@ -17,6 +18,10 @@ def balance_timeline(ledger: DataFrame, expenses: DataFrame) -> DataFrame:
     in the data, not by the number of payments.
     """
     zero = F.lit(None).cast(AMOUNT)
+    if isinstance(ledger, KeyedLedger):
+        # Income per (payer key, day) first; names only decide which keys count.
+        per_key = ledger.payments.groupBy(ledger.key, "fecha").agg(F.sum("aporte").alias("aporte"))
+        ledger = ledger.name(per_key).select("fecha", "aporte")
     flows = (ledger.select("fecha", F.col("aporte").alias("ingreso"), zero.alias("gasto"))
              .unionByName(expenses.select("fecha", zero.alias("ingreso"), F.col("monto").alias("gasto")))
              .where(F.col("fecha").isNotNull()))

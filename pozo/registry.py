@@ -54,6 +54,11 @@ class Inputs:
     def aportes(self) -> DataFrame:
         return adapter.aportes(self.spark, self.sf_dir)
 
+    @cached_property
+    def keyed(self):
+        """The ledger as payments by customer key + customer names (eager aggregation)."""
+        return adapter.aportes_keyed(self.spark, self.sf_dir)
+
     @cached_property
     def miembros(self) -> DataFrame:
         return adapter.miembros(self.spark, self.sf_dir)
@@ -96,7 +101,7 @@ def _pages(i: Inputs) -> DataFrame:
 
 
 def _table_page(i: Inputs) -> DataFrame:
-    s = plans.member_summary(i.aportes)
+    s = plans.member_summary(i.keyed)
     page, size = PAGE_SPEC
     return page_rows(s, table_order(s, "total", True, ["miembro"]), page, size).select(
         "pos", "miembro", "cantidad_aportes", "total")
@@ -104,7 +109,7 @@ def _table_page(i: Inputs) -> DataFrame:
 
 def _table_sort(i: Inputs) -> DataFrame:
     by, desc = SORT_SPEC
-    s = plans.member_summary(i.aportes)
+    s = plans.member_summary(i.keyed)
     return sort_rows(s, by, desc, ["miembro"]).select("pos", "miembro", "cantidad_aportes", "total")
 
 
@@ -119,37 +124,37 @@ def _build() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     P = REPORT_PARAMS
     defs: dict[str, Callable[[Inputs], DataFrame]] = {
         "q_ledger_prep": lambda i: i.aportes.select("miembro", "fecha", "aporte", "concepto"),
-        "q_member_summary": lambda i: plans.member_summary(i.aportes),
+        "q_member_summary": lambda i: plans.member_summary(i.keyed),
         "q_member_detail": lambda i: plans.member_detail(i.aportes),
         "q_member_pages": _pages,
-        "q_current_month": lambda i: plans.member_summary(i.aportes, "current_month"),
-        "q_last_month": lambda i: plans.member_summary(i.aportes, "last_month"),
-        "q_last_month_asof": lambda i: plans.member_summary(i.aportes, "last_month", as_of=AS_OF),
+        "q_current_month": lambda i: plans.member_summary(i.keyed, "current_month"),
+        "q_last_month": lambda i: plans.member_summary(i.keyed, "last_month"),
+        "q_last_month_asof": lambda i: plans.member_summary(i.keyed, "last_month", as_of=AS_OF),
         "q_last_month_detail": lambda i: plans.member_detail(i.aportes, "last_month"),
         "q_current_month_detail": lambda i: plans.member_detail(i.aportes, "current_month"),
-        "q_headline_kpis": lambda i: plans.headline_kpis(i.aportes, i.gastos),
-        "q_formatted_kpis": lambda i: plans.formatted_kpis(i.aportes, i.gastos),
-        "q_kpis_asof": lambda i: plans.formatted_kpis(i.aportes, i.gastos, AS_OF, keep_values=True),
+        "q_headline_kpis": lambda i: plans.headline_kpis(i.keyed, i.gastos),
+        "q_formatted_kpis": lambda i: plans.formatted_kpis(i.keyed, i.gastos),
+        "q_kpis_asof": lambda i: plans.formatted_kpis(i.keyed, i.gastos, AS_OF, keep_values=True),
         "q_date_labels": lambda i: plans.date_labels(i.aportes),
         "q_label_order": lambda i: _label_order(i.aportes, day_label),
         "q_expense_label_order": lambda i: _label_order(i.gastos, month_label),
         "q_title_case": lambda i: i.miembros.select(
             "nombre_pago", title_case("nombre_pago").alias("miembro")),
-        "q_category_pivot": lambda i: plans.category_pivot(i.aportes, P),
-        "q_year_dues": lambda i: plans.year_dues(i.aportes, i.miembros, P),
-        "q_year_dues_calendar": lambda i: plans.year_dues(i.aportes, i.miembros, CALENDAR_PARAMS),
-        "q_debt_band": lambda i: plans.debt_band(plans.year_dues(i.aportes, i.miembros, P), P)
+        "q_category_pivot": lambda i: plans.category_pivot(i.keyed, P),
+        "q_year_dues": lambda i: plans.year_dues(i.keyed, i.miembros, P),
+        "q_year_dues_calendar": lambda i: plans.year_dues(i.keyed, i.miembros, CALENDAR_PARAMS),
+        "q_debt_band": lambda i: plans.debt_band(plans.year_dues(i.keyed, i.miembros, P), P)
             .select("miembro", "balance", "banda"),
-        "q_member_status": lambda i: plans.member_status(i.aportes, i.miembros, P),
+        "q_member_status": lambda i: plans.member_status(i.keyed, i.miembros, P),
         "q_expense_list": lambda i: plans.expense_list(i.gastos),
         "q_expense_page": lambda i: plans.expense_page(i.gastos, *EXPENSE_PAGE_SPEC),
         "q_fines_list": lambda i: plans.fines_list(i.multas),
         "q_member_directory": lambda i: plans.member_directory(i.miembros),
         "q_member_cards": lambda i: plans.member_cards(i.miembros),
-        "q_table_search": lambda i: search_rows(plans.member_summary(i.aportes), SEARCH_QUERY),
+        "q_table_search": lambda i: search_rows(plans.member_summary(i.keyed), SEARCH_QUERY),
         "q_table_sort": _table_sort,
         "q_table_page": _table_page,
-        "q_balance_timeline": lambda i: plans.balance_timeline(i.aportes, i.gastos),
+        "q_balance_timeline": lambda i: plans.balance_timeline(i.keyed, i.gastos),
     }
     out = {}
     for k, fn in defs.items():

@@ -2,7 +2,8 @@
 
 * ``aportes``  — orders joined to their customer: the customer name pays the
   order total on the order date; urgent orders are fines ("Técnica"), the
-  rest dues ("Aporte").
+  rest dues ("Aporte"). Also offered keyed (:func:`aportes_keyed`): orders by
+  customer key plus the customer names, for reports that only aggregate.
 * ``miembros`` — customers: FURNITURE is inactive, MACHINERY has no recorded
   condition, everyone else is active; start month from the key; customers
   with a non-negative balance have a picture.
@@ -20,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pozo.functions.text import title_case
+from pozo.sources.keyed import KeyedLedger
 from pozo.sources.readers import prepare_expenses, prepare_fines, prepare_ledger, prepare_members
 from pozo.sources.schemas import AMOUNT
 
@@ -34,19 +36,27 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def aportes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = _read(spark, sf_dir, "orders").select("o_custkey", "o_orderdate", "o_totalprice",
-                                                "o_orderpriority")
-    # Names are normalised on the customer side, once per customer rather
-    # than once per order.
-    c = _read(spark, sf_dir, "customer").select("c_custkey", title_case("c_name").alias("c_name"))
-    raw = o.join(c, o["o_custkey"] == c["c_custkey"], "inner").select(
-        F.col("c_name").alias("miembro"),
+def aportes_keyed(spark: SparkSession, sf_dir: str) -> KeyedLedger:
+    """Payments as orders keyed by customer, payers as customers with their name.
+
+    Names are normalised on the customer side, once per customer rather than
+    once per order.
+    """
+    o = _read(spark, sf_dir, "orders")
+    payments = o.select(
+        F.col("o_custkey").alias("id_pagador"),
         F.to_date("o_orderdate").alias("fecha"),
         F.col("o_totalprice").cast(AMOUNT).alias("aporte"),
         F.when(F.col("o_orderpriority") == F.lit(FINE_PRIORITY), F.lit("Técnica"))
          .otherwise(F.lit("Aporte")).alias("concepto"))
-    return prepare_ledger(raw, title_case_members=False)
+    c = _read(spark, sf_dir, "customer")
+    payers = c.select(F.col("c_custkey").alias("id_pagador"), title_case("c_name").alias("miembro"))
+    return KeyedLedger(payments, payers, "id_pagador")
+
+
+def aportes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flat ledger: every order with its customer's name."""
+    return prepare_ledger(aportes_keyed(spark, sf_dir).flat(), title_case_members=False)
 
 
 def miembros(spark: SparkSession, sf_dir: str) -> DataFrame:

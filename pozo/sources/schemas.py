@@ -3,6 +3,8 @@
 from pyspark.sql import types as T
 
 AMOUNT = T.DecimalType(18, 2)
+# Type of a sum of amounts (Spark widens decimal(18,2) sums to 28 digits).
+TOTAL = T.DecimalType(28, 2)
 
 # Payments ledger: one row per payment.
 APORTES = T.StructType([
