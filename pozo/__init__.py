@@ -12,5 +12,32 @@ driver except one-row scalars that Spark itself plans as subqueries.
 """
 
 from pozo.params import Params
+from pozo.plans import (
+    balance_timeline,
+    category_pivot,
+    date_labels,
+    debt_band,
+    expand_member,
+    expense_list,
+    expense_page,
+    fines_list,
+    formatted_kpis,
+    headline_kpis,
+    label_order,
+    member_detail,
+    member_directory,
+    member_pages,
+    member_status,
+    member_summary,
+    year_dues,
+)
+from pozo.session import build_session
+from pozo.sources.keyed import KeyedLedger
 
-__all__ = ["Params"]
+__all__ = [
+    "Params", "KeyedLedger", "build_session",
+    "headline_kpis", "formatted_kpis", "member_summary", "member_detail", "member_pages",
+    "expand_member", "category_pivot", "year_dues", "debt_band", "member_status",
+    "expense_list", "expense_page", "fines_list", "member_directory",
+    "date_labels", "label_order", "balance_timeline",
+]
