@@ -19,6 +19,9 @@ per-partition counts:
 Without keys the same steps number the whole table; then there is one segment
 per partition, so the offsets table has as many rows as partitions and is
 broadcast (its size is bounded by the partition count, not the data).
+
+With keys, only hot keys need this: keys under one partition's worth of rows
+are numbered with a plain window, one shuffle, see :func:`positions`.
 """
 
 from __future__ import annotations
@@ -34,15 +37,43 @@ _P, _RID, _FIRST, _N, _START = "_pz_p", "_pz_rid", "_pz_first", "_pz_n", "_pz_st
 
 
 def positions(df: DataFrame, order: Sequence[Column], keys: Sequence[str] = (),
-              name: str = "pos", num_partitions: int | None = None) -> DataFrame:
+              name: str = "pos", num_partitions: int | None = None,
+              split_hot: bool = True) -> DataFrame:
     """Add ``name`` = 1-based row number within ``keys`` in ``order``.
 
     ``order`` should be a total order for deterministic numbering; rows that
     tie on every order column get distinct, arbitrary positions.
+
+    With keys and ``split_hot``, only hot keys take the range-split path: a
+    key is hot when it holds more than ``rows / num_partitions`` rows, which
+    at most ``num_partitions`` keys can do, so the hot-key list has a proven
+    bound and is broadcast. Every other key is numbered by ``row_number``
+    over its own window, one hash shuffle, with no group larger than an
+    average partition.
     """
     keys = list(keys)
     spark = df.sparkSession
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if not keys or not split_hot:
+        return _range_positions(df, order, keys, name, n)
+
+    hk = [f"_pz_h{i}" for i in range(len(keys))]
+    counts = df.groupBy(*[F.col(f"`{k}`").alias(a) for k, a in zip(keys, hk)]).agg(
+        F.count(F.lit(1)).alias(_N))
+    total = counts.select(F.sum(_N)).scalar()
+    hot = F.broadcast(counts.where(F.col(_N) * F.lit(n) > total).select(*hk))
+    match = [F.col(f"`{k}`").eqNullSafe(F.col(a)) for k, a in zip(keys, hk)]
+    tie = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
+    cold = df.join(hot, match, "left_anti")
+    w = Window.partitionBy(*[F.col(f"`{k}`") for k in keys]).orderBy(*order, tie)
+    cold = cold.withColumn(name, F.row_number().over(w).cast("long"))
+    hot_rows = _range_positions(df.join(hot, match, "left_semi"), order, keys, name, n)
+    return cold.unionByName(hot_rows)
+
+
+def _range_positions(df: DataFrame, order: Sequence[Column], keys: list[str], name: str,
+                     n: int) -> DataFrame:
+    spark = df.sparkSession
     # Final tie-break: a hash of the whole row, so rows that tie on every
     # order column still spread over range partitions unless fully identical
     # (and identical rows are interchangeable). It is written inside the

@@ -154,3 +154,12 @@ def test_search_huge_double_and_dotted_names(spark):
     assert [r["n"] for r in search_rows(df, "2.5").collect()] == ["b"]
     assert [r["n"] for r in search_rows(df, "1.0E300").collect()] == ["a"]
     assert [r["n"] for r in sort_rows(df, "x.v", True).collect()] == ["a", "b"]
+
+
+def test_positions_hot_split_equals_range_only(spark):
+    df = _skewed(spark, n=2000, seed=11)
+    order = [F.col("a").desc(), F.col("b"), F.col("id")]
+    a = {r["id"]: r["pos"] for r in positions(df, order, keys=["k"], num_partitions=8).collect()}
+    b = {r["id"]: r["pos"] for r in positions(df, order, keys=["k"], num_partitions=8,
+                                              split_hot=False).collect()}
+    assert a == b and len(a) == 2000
