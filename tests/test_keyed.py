@@ -13,7 +13,7 @@ from pozo.params import Params
 from pozo.sources import schemas
 from pozo.sources.keyed import KeyedLedger
 
-SETTINGS = settings(max_examples=6, deadline=None,
+SETTINGS = settings(max_examples=4, deadline=None,
                     suppress_health_check=[HealthCheck.function_scoped_fixture, HealthCheck.too_slow])
 
 keys = st.one_of(st.none(), st.integers(min_value=1, max_value=5))   # 5 has no payer: orphan
