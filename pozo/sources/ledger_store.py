@@ -23,16 +23,18 @@ def write_ledger(ledger: DataFrame, path: str, num_files: int | None = None,
                  mode: str = "overwrite") -> None:
     """Write a prepared ledger partitioned by year and month of ``fecha``.
 
-    Rows are range-partitioned on the date (sampled bounds, so a busy month
-    is split over several tasks rather than landing in one) and sorted within
-    each task, so each task writes a few date-contiguous files.
+    Rows are range-partitioned on the date, then member, then a row hash
+    (sampled bounds, so a busy month, day or member is split over several
+    tasks rather than landing in one) and sorted within each task, so each
+    task writes a few date-contiguous files.
     """
     spark = ledger.sparkSession
     n = num_files or int(spark.conf.get("spark.sql.shuffle.partitions"))
     out = (ledger.select(*[f.name for f in APORTES.fields])
            .withColumn("anio", F.year("fecha"))
            .withColumn("mes", F.month("fecha"))
-           .repartitionByRange(n, F.col("fecha").asc_nulls_first(), F.col("miembro"))
+           .repartitionByRange(n, F.col("fecha").asc_nulls_first(), F.col("miembro"),
+                               F.xxhash64("fecha", "miembro", "aporte", "concepto"))
            .sortWithinPartitions("anio", "mes", "fecha"))
     out.write.mode(mode).partitionBy(*PARTITION_COLUMNS).parquet(path)
 
