@@ -10,12 +10,12 @@ from pyspark.sql import functions as F
 from pozo.functions.text import title_case
 from pozo.operators.pivot import pivot_counters, pivot_from_counters, pivot_sums, select_matching
 from pozo.params import Params
-from pozo.sources.keyed import KeyedLedger
+from pozo.sources.keyed import KeyedLedger, Ledger
 from pozo.sources.ledger_store import has_partitions
 from pozo.sources.schemas import TOTAL
 
 
-def year_slice(ledger: DataFrame, year: int) -> DataFrame:
+def year_slice(ledger: Ledger, year: int) -> Ledger:
     """Ledger rows dated in ``year``, as a date range the scan can push down."""
     lo, hi = _dt.date(year, 1, 1), _dt.date(year + 1, 1, 1)
     cond = (F.col("fecha") >= F.lit(lo)) & (F.col("fecha") < F.lit(hi))
@@ -25,7 +25,7 @@ def year_slice(ledger: DataFrame, year: int) -> DataFrame:
     return ledger.where(cond)
 
 
-def category_pivot(ledger: DataFrame, params: Params = Params()) -> DataFrame:
+def category_pivot(ledger: Ledger, params: Params = Params()) -> DataFrame:
     """One row per member paying this year; one strict-sum column per category.
 
     A member/category cell is NULL when the member paid nothing in that
@@ -35,7 +35,7 @@ def category_pivot(ledger: DataFrame, params: Params = Params()) -> DataFrame:
     return _pivot(y, params)
 
 
-def _pivot(y, params: Params) -> DataFrame:
+def _pivot(y: Ledger, params: Params) -> DataFrame:
     if isinstance(y, KeyedLedger):
         # Counters per payer key, names attached at key grain, merged per member.
         counters = pivot_counters(y.payments, [y.key], "concepto", "aporte", params.categories)
@@ -44,7 +44,7 @@ def _pivot(y, params: Params) -> DataFrame:
     return pivot_sums(y, "miembro", "concepto", "aporte", params.categories)
 
 
-def _latest_month(y):
+def _latest_month(y: Ledger) -> Column:
     if isinstance(y, KeyedLedger):
         per_key = y.payments.groupBy(y.key).agg(F.max(F.month("fecha")).alias("_pz_m"))
         return y.name(per_key).select(F.max("_pz_m")).scalar()
@@ -65,7 +65,7 @@ def _active_months(nmonth: Column, start: Column, year: int, mode: str) -> Colum
     raise ValueError("target_mode must be 'month_only' or 'calendar'")
 
 
-def _dues_frame(ledger: DataFrame, members: DataFrame, params: Params) -> DataFrame:
+def _dues_frame(ledger: Ledger, members: DataFrame, params: Params) -> DataFrame:
     """Members left-joined with this year's category sums, plus target and balance.
 
     Keeps ``condicion`` for the status report. The latest month with a payment
@@ -83,7 +83,7 @@ def _dues_frame(ledger: DataFrame, members: DataFrame, params: Params) -> DataFr
 
     dues_col = params.dues_category
     if dues_col not in j.columns:
-        j = j.withColumn(dues_col, F.lit(None).cast("decimal(28,2)"))
+        j = j.withColumn(dues_col, F.lit(None).cast(TOTAL))
     cond = F.col("condicion")
     inactive = cond == F.lit(params.inactive_label)
     active_months = _active_months(nmonth, F.col("fecha_inicio"), year, params.target_mode)
@@ -94,7 +94,7 @@ def _dues_frame(ledger: DataFrame, members: DataFrame, params: Params) -> DataFr
                         .otherwise(F.col(dues_col) - F.col("objetivo"))))
 
 
-def year_dues(ledger: DataFrame, members: DataFrame, params: Params = Params()) -> DataFrame:
+def year_dues(ledger: Ledger, members: DataFrame, params: Params = Params()) -> DataFrame:
     """Every registered member with this year's payments, target and balance.
 
     Columns: ``miembro``, the categories matching ``params.fine_pattern``,
@@ -126,7 +126,7 @@ STATUS_ACTIVE, STATUS_INACTIVE, STATUS_ARREARS, STATUS_SUSPENDED = (
     "Activo", "Inactivo", "En atraso", "Suspendido")
 
 
-def member_status(ledger: DataFrame, members: DataFrame, params: Params = Params()) -> DataFrame:
+def member_status(ledger: Ledger, members: DataFrame, params: Params = Params()) -> DataFrame:
     """Status by the written rules, next to the dues balance.
 
     Owing one month's dues or more is "En atraso", three months or more is

@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 from pozo.functions.dates import heading_label, tab_label
 from pozo.functions.nulls import lenient_sum
 from pozo.functions.text import format_amount
-from pozo.sources.keyed import KeyedLedger
+from pozo.sources.keyed import KeyedLedger, Ledger
 from pozo.sources.schemas import TOTAL
 
 
-def headline_kpis(ledger: DataFrame, expenses: DataFrame,
+def headline_kpis(ledger: Ledger, expenses: DataFrame,
                   as_of: _dt.date | None = None) -> DataFrame:
     """One row: ``fecha_max``, ``ingreso``, ``gasto``, ``balance``.
 
@@ -36,7 +36,7 @@ def headline_kpis(ledger: DataFrame, expenses: DataFrame,
             .withColumn("balance", F.col("ingreso") - F.col("gasto")))
 
 
-def formatted_kpis(ledger: DataFrame, expenses: DataFrame,
+def formatted_kpis(ledger: Ledger, expenses: DataFrame,
                    as_of: _dt.date | None = None, keep_values: bool = False) -> DataFrame:
     """The page heading, tab label and the three badges as text.
 

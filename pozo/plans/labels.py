@@ -8,10 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pozo.functions.dates import day_label, heading_label, month_label, tab_label
-from pozo.sources.keyed import flat
+from pozo.sources.keyed import Ledger, flat
 
 
-def date_labels(df: DataFrame, date_col: str = "fecha") -> DataFrame:
+def date_labels(df: Ledger, date_col: str = "fecha") -> DataFrame:
     """Every distinct date with its Spanish labels.
 
     ``label_dia`` "05 sep 2023", ``label_mes`` "sep 2023", ``titulo``
@@ -26,7 +26,7 @@ def date_labels(df: DataFrame, date_col: str = "fecha") -> DataFrame:
                     tab_label("fecha").alias("pestana"))
 
 
-def label_order(df: DataFrame, date_col: str = "fecha",
+def label_order(df: Ledger, date_col: str = "fecha",
                 label: Callable[[Column], Column] = day_label) -> DataFrame:
     """Levels of a date label ordered by the median date behind each label.
 

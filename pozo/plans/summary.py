@@ -14,12 +14,10 @@ from pyspark.sql import functions as F
 
 from pozo.functions.nulls import lenient_sum
 from pozo.operators.ranking import positions
-from pozo.sources.keyed import KeyedLedger, flat
+from pozo.sources.keyed import KeyedLedger, Ledger, flat
 from pozo.sources.ledger_store import has_partitions, month_of_partition
 from pozo.sources.schemas import TOTAL
 
-Ledger = DataFrame | KeyedLedger
-
 WINDOWS = ("all", "current_month", "last_month")
 
 

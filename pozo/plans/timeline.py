@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pozo.sources.keyed import KeyedLedger
+from pozo.sources.keyed import KeyedLedger, Ledger
 from pozo.sources.schemas import AMOUNT
 
 
-def balance_timeline(ledger: DataFrame, expenses: DataFrame) -> DataFrame:
+def balance_timeline(ledger: Ledger, expenses: DataFrame) -> DataFrame:
     """Per day with any flow: day totals and running income, expense, balance.
 
     Payments and expenses are unioned as signed flows and summed per day

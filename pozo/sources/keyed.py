@@ -47,6 +47,9 @@ class KeyedLedger:
                 .drop("_pz_key"))
 
 
-def flat(ledger) -> DataFrame:
+Ledger = DataFrame | KeyedLedger
+
+
+def flat(ledger: Ledger) -> DataFrame:
     """The row-level ledger of either input form."""
     return ledger.flat() if isinstance(ledger, KeyedLedger) else ledger
