@@ -9,7 +9,8 @@ from __future__ import annotations
 
 from pozo.functions.dates import MONTHS_ABBR_ES, MONTHS_FULL_ES
 from pozo.plans.display import CARD_TEMPLATE
-from pozo.registry import AS_OF, EXPENSE_PAGE_SPEC, PAGE_SPEC, REPORT_PARAMS, SEARCH_QUERY, SORT_SPEC
+from pozo.registry import (AS_OF, DUES_SEARCH_QUERY, EXPENSE_PAGE_SPEC, PAGE_SPEC, REPORT_PARAMS,
+                           SEARCH_QUERY, SORT_SPEC)
 
 
 def _list(values) -> str:
@@ -294,6 +295,15 @@ WHERE coalesce(contains(lower(miembro), '{sq}'), FALSE)
    OR coalesce(starts_with(lower(CAST(cantidad_aportes AS VARCHAR)), '{sq}'), FALSE)
    OR coalesce(starts_with(lower({js_number('total')}), '{sq}'), FALSE)"""
 
+    dq = DUES_SEARCH_QUERY.lower()
+    num = [f'coalesce(starts_with(lower({js_number(c)}), \'{dq}\'), FALSE)'
+           for c in ('"Técnica"', '"Aporte"', "objetivo", "balance")]
+    q["q_dues_search"] = _with(*_dues_ctes(year)) + f"""
+SELECT miembro, CAST("Técnica" AS DOUBLE) AS "Técnica", CAST("Aporte" AS DOUBLE) AS "Aporte",
+       CAST(objetivo AS DOUBLE) AS objetivo, CAST(balance AS DOUBLE) AS balance
+FROM du
+WHERE coalesce(contains(lower(miembro), '{dq}'), FALSE) OR {" OR ".join(num)}"""
+
     by, desc = SORT_SPEC
     q["q_table_sort"] = _with(_summary_cte("s")) + f"""
 SELECT row_number() OVER (ORDER BY {by} {'DESC NULLS LAST' if desc else 'ASC NULLS FIRST'},

@@ -25,6 +25,7 @@ CALENDAR_PARAMS = Params(year=2001, target_mode="calendar")
 # Month reports "as of" the end of June 2001 (the data's last month is nearly empty).
 AS_OF = _dt.date(2001, 6, 30)
 SEARCH_QUERY = "25"
+DUES_SEARCH_QUERY = "-9"                  # balances (or other numbers) starting with -9
 SORT_SPEC = ("cantidad_aportes", True)   # column, descending
 PAGE_SPEC = (3, 10)                       # page, page size (by total, largest first)
 EXPENSE_PAGE_SPEC = (2, 10)               # page, page size of the expense list
@@ -152,6 +153,7 @@ def _build() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "q_member_directory": lambda i: plans.member_directory(i.miembros),
         "q_member_cards": lambda i: plans.member_cards(i.miembros),
         "q_table_search": lambda i: search_rows(plans.member_summary(i.keyed), SEARCH_QUERY),
+        "q_dues_search": lambda i: search_rows(plans.year_dues(i.keyed, i.miembros, P), DUES_SEARCH_QUERY),
         "q_table_sort": _table_sort,
         "q_table_page": _table_page,
         "q_balance_timeline": lambda i: plans.balance_timeline(i.keyed, i.gastos),
