@@ -163,3 +163,11 @@ def test_positions_hot_split_equals_range_only(spark):
     b = {r["id"]: r["pos"] for r in positions(df, order, keys=["k"], num_partitions=8,
                                               split_hot=False).collect()}
     assert a == b and len(a) == 2000
+
+
+def test_search_negative_amounts_as_the_browser_prints_them(spark):
+    df = spark.createDataFrame([("a", Decimal("-300.00")), ("b", Decimal("-30.50")), ("c", None)],
+                               "m string, balance decimal(18,2)")
+    assert sorted(r["m"] for r in search_rows(df, "-3").collect()) == ["a", "b"]
+    assert [r["m"] for r in search_rows(df, "-30.5").collect()] == ["b"]
+    assert search_rows(df, "-300.").count() == 0     # "-300", not "-300.00"
