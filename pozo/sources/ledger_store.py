@@ -14,27 +14,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pozo.sources.schemas import APORTES
 
 PARTITION_COLUMNS = ("anio", "mes")
 
 
 def write_ledger(ledger: DataFrame, path: str, num_files: int | None = None,
                  mode: str = "overwrite") -> None:
-    """Write a prepared ledger partitioned by year and month of ``fecha``.
+    """Write a prepared ledger (or keyed payments) partitioned by year and month.
 
-    Rows are range-partitioned on the date, then member, then a row hash
-    (sampled bounds, so a busy month, day or member is split over several
-    tasks rather than landing in one) and sorted within each task, so each
-    task writes a few date-contiguous files.
+    Any columns are kept; ``fecha`` decides the folder. Rows are
+    range-partitioned on the date, then a hash of the whole row (sampled
+    bounds, so a busy month, day or payer is split over several tasks rather
+    than landing in one), and sorted within each task, so each task writes a
+    few date-contiguous files.
     """
     spark = ledger.sparkSession
     n = num_files or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    out = (ledger.select(*[f.name for f in APORTES.fields])
+    cols = [c for c in ledger.columns if c not in PARTITION_COLUMNS]
+    row_hash = F.xxhash64(*[F.col(f"`{c}`") for c in cols])
+    out = (ledger.select(*[F.col(f"`{c}`") for c in cols])
            .withColumn("anio", F.year("fecha"))
            .withColumn("mes", F.month("fecha"))
-           .repartitionByRange(n, F.col("fecha").asc_nulls_first(), F.col("miembro"),
-                               F.xxhash64("fecha", "miembro", "aporte", "concepto"))
+           .repartitionByRange(n, F.col("fecha").asc_nulls_first(), row_hash)
            .sortWithinPartitions("anio", "mes", "fecha"))
     out.write.mode(mode).partitionBy(*PARTITION_COLUMNS).parquet(path)
 

@@ -57,3 +57,15 @@ def test_stored_ledger_reports_equal_and_prune(spark):
     dues = plans.year_dues(led, mem, p)
     assert sorted(map(tuple, dues.collect())) == sorted(map(tuple, plans.year_dues(src, mem, p).collect()))
     assert "anio" not in dues.columns and "mes" not in plans.member_detail(led).columns
+
+
+def test_stored_keyed_payments_prune_too(spark):
+    from pozo.sources.keyed import KeyedLedger
+    keyed = adapter.aportes_keyed(spark, SF)
+    path = os.path.join(tempfile.mkdtemp(prefix="pozo-ledger-", dir="/tmp"), "pagos")
+    write_ledger(keyed.payments, path, num_files=4)
+    stored = KeyedLedger(read_ledger(spark, path), keyed.payers, keyed.key)
+    got = plans.member_summary(stored, "last_month")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, plans.member_summary(keyed, "last_month").collect()))
+    parts = [m.get("numPartitions") for m in _scan_metrics(got) if "numPartitions" in m]
+    assert parts and max(parts) == 1
