@@ -38,13 +38,21 @@ def test_every_query_has_an_oracle():
     assert set(queries()) == set(oracle_sql())
 
 
+# Spark type -> DuckDB type of the same column.
+_TYPES = {"LongType": "BIGINT", "IntegerType": "INTEGER", "DoubleType": "DOUBLE",
+          "StringType": "VARCHAR", "DateType": "DATE"}
+
+
 @pytest.mark.parametrize("name", sorted(queries()))
 def test_query_matches_oracle(spark, con, name):
     df = queries()[name](spark, SF)
-    res = con.execute(oracle_sql()[name])
-    ocols = [d[0] for d in res.description]
+    rel = con.sql(oracle_sql()[name])
+    ocols = rel.columns
     assert sorted(df.columns) == sorted(ocols)
-    assert _bag(df.collect(), df.columns) == _bag(res.fetchall(), ocols)
+    otypes = dict(zip(ocols, map(str, rel.types)))
+    for f in df.schema.fields:
+        assert _TYPES.get(type(f.dataType).__name__) == otypes[f.name], (f.name, f.dataType)
+    assert _bag(df.collect(), df.columns) == _bag(rel.fetchall(), ocols)
 
 
 def test_entry_runs(spark):
