@@ -5,7 +5,7 @@ from decimal import Decimal
 
 from pyspark.sql import functions as F
 
-from pozo.operators import ranking, tables
+from pozo.operators import tables
 from pozo.operators.pivot import pivot_sums, select_matching
 from pozo.operators.ranking import positions
 from pozo.operators.scalar import with_scalar
