@@ -8,10 +8,10 @@
   sort and paging with the interactive table's rules.
 """
 
-from pozo.operators.ranking import positions
+from pozo.operators.ranking import position_parts, positions
 from pozo.operators.scalar import with_scalar
 from pozo.operators.pivot import pivot_sums, select_matching
 from pozo.operators.tables import page_rows, search_rows, sort_rows, table_order
 
-__all__ = ["positions", "with_scalar", "pivot_sums", "select_matching",
+__all__ = ["positions", "position_parts", "with_scalar", "pivot_sums", "select_matching",
            "search_rows", "sort_rows", "page_rows", "table_order"]

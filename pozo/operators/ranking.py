@@ -27,6 +27,7 @@ are numbered with a plain window, one shuffle, see :func:`positions`.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -41,9 +42,23 @@ def positions(df: DataFrame, order: Sequence[Column], keys: Sequence[str] = (),
               split_hot: bool = True) -> DataFrame:
     """Add ``name`` = 1-based row number within ``keys`` in ``order``.
 
+    See :func:`position_parts`; this is the union of its parts.
+    """
+    parts = position_parts(df, order, keys, name, num_partitions, split_hot)
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+def position_parts(df: DataFrame, order: Sequence[Column], keys: Sequence[str] = (),
+                   name: str = "pos", num_partitions: int | None = None,
+                   split_hot: bool = True) -> list[DataFrame]:
+    """Add ``name`` = 1-based row number within ``keys`` in ``order``.
+
     ``order`` should be a total order for deterministic numbering; rows that
     tie on every order column get distinct, arbitrary positions.
 
+    Returns the numbered rows as parts (cold keys, hot keys), so that per-key
+    work can run on each part before they are combined.
+
     With keys and ``split_hot``, only hot keys take the range-split path: a
     key is hot when it holds more than ``rows / num_partitions`` rows, which
     at most ``num_partitions`` keys can do, so the hot-key list has a proven
@@ -55,7 +70,7 @@ def positions(df: DataFrame, order: Sequence[Column], keys: Sequence[str] = (),
     spark = df.sparkSession
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     if not keys or not split_hot:
-        return _range_positions(df, order, keys, name, n)
+        return [_range_positions(df, order, keys, name, n)]
 
     hk = [f"_pz_h{i}" for i in range(len(keys))]
     counts = df.groupBy(*[F.col(f"`{k}`").alias(a) for k, a in zip(keys, hk)]).agg(
@@ -68,7 +83,9 @@ def positions(df: DataFrame, order: Sequence[Column], keys: Sequence[str] = (),
     w = Window.partitionBy(*[F.col(f"`{k}`") for k in keys]).orderBy(*order, tie)
     cold = cold.withColumn(name, F.row_number().over(w).cast("long"))
     hot_rows = _range_positions(df.join(hot, match, "left_semi"), order, keys, name, n)
-    return cold.unionByName(hot_rows)
+    # Each key lies wholly in one part; the cold part stays hash-partitioned
+    # by the keys, so per-key work after it needs no further shuffle.
+    return [cold, hot_rows]
 
 
 def _range_positions(df: DataFrame, order: Sequence[Column], keys: list[str], name: str,

@@ -8,12 +8,13 @@ maximum date, NULL dates ignored), optionally capped by ``as_of``.
 from __future__ import annotations
 
 import datetime as _dt
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pozo.functions.nulls import lenient_sum
-from pozo.operators.ranking import positions
+from pozo.operators.ranking import position_parts, positions
 from pozo.sources.keyed import KeyedLedger, Ledger, flat
 from pozo.sources.ledger_store import has_partitions, month_of_partition
 from pozo.sources.schemas import TOTAL
@@ -120,9 +121,15 @@ def member_pages(ledger: Ledger, window: str = "all", page_size: int = 10,
     of payments is spread over many small groups and no row is left out.
     """
     fields = _detail_fields(window)
-    det = member_detail(ledger, window, as_of)
+    rows = flat(ledger_window(ledger, window, as_of)).select("miembro", *fields)
+    order = [F.col(c).desc_nulls_last() for c in fields]
     page = (F.floor((F.col("pos") - 1) / page_size) + 1).cast("int")
-    return (det.withColumn("pagina", page)
-            .groupBy("miembro", "pagina")
-            .agg(F.count(F.lit(1)).alias("filas"),
-                 F.array_sort(F.collect_list(F.struct("pos", *fields))).alias("data")))
+    # Pages are grouped inside each part of the numbering: a member is wholly
+    # in one part, and the part of ordinary members is already partitioned by
+    # member, so grouping it into pages needs no second shuffle.
+    pages = [part.withColumn("pagina", page)
+             .groupBy("miembro", "pagina")
+             .agg(F.count(F.lit(1)).alias("filas"),
+                  F.array_sort(F.collect_list(F.struct("pos", *fields))).alias("data"))
+             for part in position_parts(rows, order, keys=["miembro"], name="pos")]
+    return reduce(lambda a, b: a.unionByName(b), pages)
