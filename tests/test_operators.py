@@ -171,3 +171,13 @@ def test_search_negative_amounts_as_the_browser_prints_them(spark):
     assert sorted(r["m"] for r in search_rows(df, "-3").collect()) == ["a", "b"]
     assert [r["m"] for r in search_rows(df, "-30.5").collect()] == ["b"]
     assert search_rows(df, "-300.").count() == 0     # "-300", not "-300.00"
+
+
+def test_position_parts_keep_each_key_in_one_part(spark):
+    from pozo.operators.ranking import position_parts
+    df = _skewed(spark, n=1500, seed=5)
+    parts = position_parts(df, [F.col("a").desc(), F.col("b"), F.col("id")], keys=["k"], num_partitions=8)
+    assert len(parts) == 2
+    seen = [set(r["k"] for r in p.select("k").distinct().collect()) for p in parts]
+    assert not (seen[0] & seen[1])
+    assert "hot" in seen[1] and sum(p.count() for p in parts) == 1500
