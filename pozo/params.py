@@ -39,4 +39,7 @@ class Params:
     page_size: int = 10
 
     def report_year(self) -> int:
-        return self.year if self.year is not None else _dt.date.today().year
+        """The dues year: ``year``, else the year of ``as_of``, else the clock's."""
+        if self.year is not None:
+            return self.year
+        return (self.as_of or _dt.date.today()).year

@@ -69,9 +69,12 @@ def _dues_frame(ledger: Ledger, members: DataFrame, params: Params) -> DataFrame
     """Members left-joined with this year's category sums, plus target and balance.
 
     Keeps ``condicion`` for the status report. The latest month with a payment
-    this year is one scalar shared by every row.
+    this year is one scalar shared by every row. With ``params.as_of`` only
+    payments up to that date count (a snapshot of the report on that day).
     """
     year = params.report_year()
+    if params.as_of is not None:
+        ledger = ledger.where(F.col("fecha") <= F.lit(params.as_of))
     y = year_slice(ledger, year)
     piv = _pivot(y, params).withColumnRenamed("miembro", "_k")
     # One-row partial max over the pruned year slice; planned as a subquery.

@@ -135,3 +135,13 @@ def test_calendar_mode_unknowns_stay_unknown(ledger, members):
     assert got["C"]["objetivo"] == Decimal("600")          # February and March
     empty = by_member(plans.year_dues(ledger([("2022-01-01", "A", 1, "Aporte")]), mem, cal))
     assert empty["C"]["objetivo"] is None
+
+
+def test_as_of_snapshot_of_the_dues(ledger, members):
+    import datetime as dt
+    led = ledger([("2023-02-05", "A", 300, "Aporte"), ("2023-05-05", "A", 300, "Aporte")])
+    mem = members([("A", "Activo", "2023-01-01")])
+    snap = by_member(plans.year_dues(led, mem, Params(as_of=dt.date(2023, 3, 31))))["A"]
+    assert snap["Aporte"] == Decimal("300.00") and snap["objetivo"] == Decimal("600")   # through February
+    full = by_member(plans.year_dues(led, mem, Params(year=2023)))["A"]
+    assert full["Aporte"] == Decimal("600.00") and full["objetivo"] == Decimal("1500")  # through May
