@@ -7,6 +7,8 @@ SQL. Amounts are compared as DOUBLE, counts and positions as BIGINT.
 
 from __future__ import annotations
 
+import datetime as _dt
+
 from pozo.functions.dates import MONTHS_ABBR_ES, MONTHS_FULL_ES
 from pozo.plans.display import CARD_TEMPLATE
 from pozo.registry import (AS_OF, DUES_SEARCH_QUERY, EXPENSE_PAGE_SPEC, PAGE_SPEC, REPORT_PARAMS,
@@ -121,9 +123,11 @@ def _active_months(year: int, mode: str) -> str:
             f"ELSE month(m.fecha_inicio) END - 1)) END)")
 
 
-def _dues_ctes(year: int, mode: str = "month_only") -> list[str]:
+def _dues_ctes(year: int, mode: str = "month_only", as_of=None) -> list[str]:
     p = REPORT_PARAMS
     lo, hi = f"DATE '{year}-01-01'", f"DATE '{year + 1}-01-01'"
+    if as_of is not None:
+        hi = f"DATE '{(as_of + _dt.timedelta(days=1)).isoformat()}'" if as_of.year == year else hi
     cats = ", ".join(f'{_strict(c)} AS "{c}"' for c in p.categories)
     return [
         f"y AS (SELECT * FROM aportes WHERE fecha >= {lo} AND fecha < {hi})",
@@ -251,6 +255,11 @@ SELECT miembro, CAST("Técnica" AS DOUBLE) AS "Técnica", CAST("Aporte" AS DOUBL
        CAST(objetivo AS DOUBLE) AS objetivo, CAST(balance AS DOUBLE) AS balance
 FROM du"""
 
+    q["q_year_dues_asof"] = _with(*_dues_ctes(AS_OF.year, as_of=AS_OF)) + """
+SELECT miembro, CAST("Técnica" AS DOUBLE) AS "Técnica", CAST("Aporte" AS DOUBLE) AS "Aporte",
+       CAST(objetivo AS DOUBLE) AS objetivo, CAST(balance AS DOUBLE) AS balance
+FROM du"""
+
     q["q_debt_band"] = _with(*_dues_ctes(year)) + f"""
 SELECT miembro, CAST(balance AS DOUBLE) AS balance,
        CASE WHEN balance < {p.red_below} THEN 'red' WHEN balance < {p.yellow_below} THEN 'yellow' END AS banda

@@ -24,6 +24,7 @@ REPORT_PARAMS = Params(year=2001)
 CALENDAR_PARAMS = Params(year=2001, target_mode="calendar")
 # Month reports "as of" the end of June 2001 (the data's last month is nearly empty).
 AS_OF = _dt.date(2001, 6, 30)
+ASOF_PARAMS = Params(as_of=AS_OF)         # dues as they stood on that day (year 2001)
 SEARCH_QUERY = "25"
 DUES_SEARCH_QUERY = "-9"                  # balances (or other numbers) starting with -9
 SORT_SPEC = ("cantidad_aportes", True)   # column, descending
@@ -144,6 +145,7 @@ def _build() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "q_category_pivot": lambda i: plans.category_pivot(i.keyed, P),
         "q_year_dues": lambda i: plans.year_dues(i.keyed, i.miembros, P),
         "q_year_dues_calendar": lambda i: plans.year_dues(i.keyed, i.miembros, CALENDAR_PARAMS),
+        "q_year_dues_asof": lambda i: plans.year_dues(i.keyed, i.miembros, ASOF_PARAMS),
         "q_debt_band": lambda i: plans.debt_band(plans.year_dues(i.keyed, i.miembros, P), P)
             .select("miembro", "balance", "banda"),
         "q_member_status": lambda i: plans.member_status(i.keyed, i.miembros, P),
