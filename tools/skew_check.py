@@ -1,6 +1,6 @@
 """Task balance of the member detail when one member holds a third of the rows.
 
-Usage: python tools/skew_check.py [balanced|window] [sf_dir] [copies]
+Usage: python tools/skew_check.py [balanced|window|summary_flat|summary_keyed] [sf_dir] [copies]
 
 Builds a ledger from the driver's orders and customers, repeated ``copies``
 times (array explode, no join), and hands a third of all rows to one member.
@@ -10,6 +10,11 @@ through the ``noop`` sink, and reads task metrics from Spark's event log in
 a fresh scratch folder. Prints one JSON line: wall time and, for the stage
 whose largest task read the most shuffle records, that task's share of all
 records it read and its run time against the stage median.
+
+The ``summary_*`` modes compare the member summary over the row-level join
+(flat) and over the keyed ledger (per-key aggregation first), with broadcast
+joins switched off as they would be at full scale, one customer holding a
+third of the orders; they also report all shuffle records written.
 """
 
 from __future__ import annotations
@@ -28,6 +33,8 @@ from pyspark.sql import Window  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 
 from pozo.operators.ranking import positions  # noqa: E402
+from pozo.plans import member_summary  # noqa: E402
+from pozo.sources.keyed import KeyedLedger  # noqa: E402
 from pozo.session import build_session  # noqa: E402
 from pozo.sources import adapter  # noqa: E402
 
@@ -40,6 +47,9 @@ def main() -> None:
     spark = build_session("local[8]", 16, app_name=f"skew-{mode}",
                           extra={"spark.eventLog.enabled": "true", "spark.eventLog.dir": f"file://{logs}", "spark.eventLog.compress": "false",
                                  "spark.driver.memory": "8g"})
+    if mode.startswith("summary"):
+        run_summary(spark, mode, sf_dir, copies, logs)
+        return
     led = adapter.aportes(spark, sf_dir)
     rep = led.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(copies))))
     hot = F.pmod(F.xxhash64("miembro", "fecha", "aporte", "copy"), F.lit(3)) == 0
@@ -54,7 +64,28 @@ def main() -> None:
     wall = time.perf_counter() - t0
     spark.stop()
 
+    report(logs, {"mode": mode, "copies": copies, "wall_sec": round(wall, 2)})
+
+
+def run_summary(spark, mode: str, sf_dir: str, copies: int, logs: str) -> None:
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
+    keyed = adapter.aportes_keyed(spark, sf_dir)
+    pay = keyed.payments.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(copies))))
+    hot = F.pmod(F.xxhash64("id_pagador", "fecha", "aporte", "copy"), F.lit(3)) == 0
+    pay = pay.withColumn("id_pagador", F.when(hot, F.lit(1)).otherwise(F.col("id_pagador"))).drop("copy")
+    ledger = KeyedLedger(pay, keyed.payers, keyed.key)
+    out = member_summary(ledger if mode == "summary_keyed" else ledger.flat())
+    t0 = time.perf_counter()
+    out.write.format("noop").mode("overwrite").save()
+    wall = time.perf_counter() - t0
+    spark.stop()
+    report(logs, {"mode": mode, "copies": copies, "wall_sec": round(wall, 2)})
+
+
+def report(logs: str, head: dict) -> None:
     stages: dict[int, list[tuple[int, int]]] = {}
+    written = 0
     for path in glob.glob(os.path.join(logs, "**", "*"), recursive=True):
         if not os.path.isfile(path):
             continue
@@ -65,12 +96,13 @@ def main() -> None:
                     continue
                 m = ev.get("Task Metrics") or {}
                 recs = (m.get("Shuffle Read Metrics") or {}).get("Total Records Read", 0)
+                written += (m.get("Shuffle Write Metrics") or {}).get("Shuffle Records Written", 0)
                 stages.setdefault(ev["Stage ID"], []).append((recs, m.get("Executor Run Time", 0)))
     sid, tasks = max(stages.items(), key=lambda kv: max(r for r, _ in kv[1]))
     total = sum(r for r, _ in tasks)
     top_recs, top_time = max(tasks)
     print(json.dumps({
-        "mode": mode, "copies": copies, "wall_sec": round(wall, 2),
+        **head, "shuffle_records_written": written,
         "stage": sid, "tasks": len(tasks),
         "largest_task_share_of_records": round(top_recs / total, 3) if total else None,
         "largest_task_ms": top_time,
