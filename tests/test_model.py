@@ -54,7 +54,9 @@ def model_summary(rows, window):
     return {m: (n, _dec(t)) for m, (n, t) in out.items()}
 
 
-def model_dues(rows, members):
+def model_dues(rows, members, as_of=None, mode="month_only"):
+    if as_of is not None:
+        rows = [r for r in rows if r[0] is not None and r[0] <= as_of]
     ys = [r for r in rows if r[0] is not None and r[0].year == YEAR]
     nmonth = max((r[0].month for r in ys), default=None)
     cells = {}
@@ -75,6 +77,9 @@ def model_dues(rows, members):
             target = Decimal(0)
         elif nmonth is None or start is None:
             target = None
+        elif mode == "calendar":
+            months = 0 if start.year > YEAR else max(0, nmonth - ((1 if start.year < YEAR else start.month) - 1))
+            target = Decimal(months * 300)
         else:
             target = Decimal((nmonth - (start.month - 1)) * 300)
         if cond == "Inactivo":
@@ -114,3 +119,15 @@ def test_dues_follow_the_model(spark, rows, members):
            .collect()}
     want = model_dues(rows, members)
     assert got == want
+
+
+@SETTINGS
+@given(rows=ledger_rows, members=member_rows,
+       as_of=st.one_of(st.none(), st.dates(min_value=dt.date(2023, 1, 15), max_value=dt.date(2023, 6, 30))),
+       mode=st.sampled_from(["month_only", "calendar"]))
+def test_dues_options_follow_the_model(spark, rows, members, as_of, mode):
+    p = Params(year=YEAR, as_of=as_of, target_mode=mode)
+    got = {r["miembro"]: (r["Técnica"], r["Aporte"], r["objetivo"], r["balance"], r["banda"])
+           for r in plans.debt_band(plans.year_dues(_ledger(spark, rows), _members(spark, members), p), p)
+           .collect()}
+    assert got == model_dues(rows, members, as_of, mode)
