@@ -35,13 +35,17 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType | None = Non
 
 # -- column-name normalisation --------------------------------------------
 
-# Symbol words used when normalising column names.
+# Symbol words used when normalising column names, and the
+# quote characters that are dropped rather than turned into separators.
 _SYMBOL_WORDS = {"%": "percent", "#": "number"}
+_DROPPED = ("'", '"')
 
 
 def clean_name(name: str) -> str:
     """One column name in snake_case ASCII ("Monto Total" -> "monto_total")."""
     s = name
+    for q in _DROPPED:
+        s = s.replace(q, "")
     for sym, word in _SYMBOL_WORDS.items():
         s = s.replace(sym, f"_{word}_")
     s = unicodedata.normalize("NFKD", s).encode("ascii", "ignore").decode("ascii")

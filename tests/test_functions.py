@@ -65,6 +65,7 @@ def test_clean_names():
     assert clean_name("Año") == "ano"
     assert clean_name("% pago") == "percent_pago"
     assert clean_name("1er") == "x1er"
+    assert clean_name("Member's Name") == "members_name"
 
 
 def test_clean_names_duplicates(spark):
