@@ -11,10 +11,12 @@ from pozo.sources.readers import (
     read_table,
 )
 from pozo.sources.sinks import write_report
+from pozo.sources.keyed import KeyedLedger
+from pozo.sources.ledger_store import read_ledger, write_ledger
 
 __all__ = [
     "APORTES", "GASTOS", "MIEMBROS", "MULTAS",
     "clean_name", "clean_names", "read_table",
     "prepare_ledger", "prepare_expenses", "prepare_fines", "prepare_members",
-    "write_report",
+    "write_report", "KeyedLedger", "read_ledger", "write_ledger",
 ]
