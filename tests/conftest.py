@@ -14,7 +14,8 @@ from pozo.sources import schemas  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    s = build_session("local[4]", 8, app_name="pozo-tests")
+    # Up to 3 attempts per task, so retry behaviour can be tested.
+    s = build_session("local[4,3]", 8, app_name="pozo-tests")
     yield s
     s.stop()
 

@@ -181,3 +181,29 @@ def test_position_parts_keep_each_key_in_one_part(spark):
     seen = [set(r["k"] for r in p.select("k").distinct().collect()) for p in parts]
     assert not (seen[0] & seen[1])
     assert "hot" in seen[1] and sum(p.count() for p in parts) == 1500
+
+
+def test_positions_survive_task_retries(spark):
+    """First attempts of partition 0 fail in every job; retried tasks must agree."""
+    import os
+    import tempfile
+
+    from pyspark import TaskContext
+
+    marks = tempfile.mkdtemp(prefix="pozo-retry-", dir="/tmp")
+
+    @F.udf("int")
+    def flaky(v):
+        ctx = TaskContext.get()
+        if ctx is not None and ctx.partitionId() == 0 and ctx.attemptNumber() == 0:
+            open(os.path.join(marks, f"stage{ctx.stageId()}"), "w").close()
+            raise RuntimeError("injected task failure")
+        return v
+
+    df = _skewed(spark, n=1200, seed=3).repartition(4).withColumn("a", flaky("a"))
+    got = {r["id"]: r["pos"] for r in positions(df, [F.col("a").desc(), F.col("b"), F.col("id")],
+                                                keys=["k"], num_partitions=6).collect()}
+    pdf = df.toPandas().sort_values(["k", "a", "b", "id"], ascending=[True, False, True, True])
+    want = dict(zip(pdf["id"], pdf.groupby("k").cumcount() + 1))
+    assert got == want
+    assert len(os.listdir(marks)) >= 2      # failures were injected in several stages
