@@ -90,6 +90,25 @@ def _numbered(rows: DataFrame, window: str) -> DataFrame:
             .select("miembro", "pos", *fields))
 
 
+def _numbered_parts(led: Ledger, window: str) -> list[DataFrame]:
+    """Detail rows numbered per member, as parts (see ``position_parts``).
+
+    A keyed ledger whose payers are one-to-one is numbered per payer key:
+    the rows are shuffled once, by key, and the names join the numbered rows
+    on that same key, so no second shuffle of the payments follows.
+    Otherwise names are attached first and rows are numbered per name.
+    """
+    fields = _detail_fields(window)
+    order = [F.col(c).desc_nulls_last() for c in fields]
+    if isinstance(led, KeyedLedger) and led.unique_names:
+        rows = led.payments.select(led.key, *fields)
+        parts = position_parts(rows, order, keys=[led.key], name="pos")
+        return [led.name(p).select("miembro", "pos", *fields) for p in parts]
+    rows = flat(led).select("miembro", *fields)
+    return [p.select("miembro", "pos", *fields)
+            for p in position_parts(rows, order, keys=["miembro"], name="pos")]
+
+
 def member_detail(ledger: Ledger, window: str = "all",
                   as_of: _dt.date | None = None) -> DataFrame:
     """Every payment with its 1-based position in the member's list.
@@ -98,7 +117,8 @@ def member_detail(ledger: Ledger, window: str = "all",
     category, descending. Positions come from :func:`positions`, which splits
     a hot member across tasks instead of sorting it in one.
     """
-    return _numbered(flat(ledger_window(ledger, window, as_of)), window)
+    parts = _numbered_parts(ledger_window(ledger, window, as_of), window)
+    return reduce(lambda a, b: a.unionByName(b), parts)
 
 
 def expand_member(ledger: Ledger, miembro: str | None, window: str = "all",
@@ -121,8 +141,6 @@ def member_pages(ledger: Ledger, window: str = "all", page_size: int = 10,
     of payments is spread over many small groups and no row is left out.
     """
     fields = _detail_fields(window)
-    rows = flat(ledger_window(ledger, window, as_of)).select("miembro", *fields)
-    order = [F.col(c).desc_nulls_last() for c in fields]
     page = (F.floor((F.col("pos") - 1) / page_size) + 1).cast("int")
     # Pages are grouped inside each part of the numbering: a member is wholly
     # in one part, and the part of ordinary members is already partitioned by
@@ -131,5 +149,5 @@ def member_pages(ledger: Ledger, window: str = "all", page_size: int = 10,
              .groupBy("miembro", "pagina")
              .agg(F.count(F.lit(1)).alias("filas"),
                   F.array_sort(F.collect_list(F.struct("pos", *fields))).alias("data"))
-             for part in position_parts(rows, order, keys=["miembro"], name="pos")]
+             for part in _numbered_parts(ledger_window(ledger, window, as_of), window)]
     return reduce(lambda a, b: a.unionByName(b), pages)

@@ -95,7 +95,7 @@ def _q(fn: Callable[[Inputs], DataFrame]) -> Callable[[SparkSession, str], DataF
 
 
 def _pages(i: Inputs) -> DataFrame:
-    p = plans.member_pages(i.aportes, page_size=REPORT_PARAMS.page_size)
+    p = plans.member_pages(i.keyed, page_size=REPORT_PARAMS.page_size)
     text = F.transform("data", lambda x: F.concat_ws(
         "|", x["pos"].cast("string"), x["fecha"].cast("string"),
         x["aporte"].cast("string"), x["concepto"]))
@@ -127,13 +127,13 @@ def _build() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     defs: dict[str, Callable[[Inputs], DataFrame]] = {
         "q_ledger_prep": lambda i: i.aportes.select("miembro", "fecha", "aporte", "concepto"),
         "q_member_summary": lambda i: plans.member_summary(i.keyed),
-        "q_member_detail": lambda i: plans.member_detail(i.aportes),
+        "q_member_detail": lambda i: plans.member_detail(i.keyed),
         "q_member_pages": _pages,
         "q_current_month": lambda i: plans.member_summary(i.keyed, "current_month"),
         "q_last_month": lambda i: plans.member_summary(i.keyed, "last_month"),
         "q_last_month_asof": lambda i: plans.member_summary(i.keyed, "last_month", as_of=AS_OF),
-        "q_last_month_detail": lambda i: plans.member_detail(i.aportes, "last_month"),
-        "q_current_month_detail": lambda i: plans.member_detail(i.aportes, "current_month"),
+        "q_last_month_detail": lambda i: plans.member_detail(i.keyed, "last_month"),
+        "q_current_month_detail": lambda i: plans.member_detail(i.keyed, "current_month"),
         "q_headline_kpis": lambda i: plans.headline_kpis(i.keyed, i.gastos),
         "q_formatted_kpis": lambda i: plans.formatted_kpis(i.keyed, i.gastos),
         "q_kpis_asof": lambda i: plans.formatted_kpis(i.keyed, i.gastos, AS_OF, keep_values=True),

@@ -51,7 +51,8 @@ def aportes_keyed(spark: SparkSession, sf_dir: str) -> KeyedLedger:
          .otherwise(F.lit("Aporte")).alias("concepto"))
     c = _read(spark, sf_dir, "customer")
     payers = c.select(F.col("c_custkey").alias("id_pagador"), title_case("c_name").alias("miembro"))
-    return KeyedLedger(payments, payers, "id_pagador")
+    # Customer keys and names are both unique in the driver's customer table.
+    return KeyedLedger(payments, payers, "id_pagador", unique_names=True)
 
 
 def aportes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,6 +26,10 @@ class KeyedLedger:
     payments: DataFrame   # key column + fecha, aporte, concepto
     payers: DataFrame     # key column + miembro
     key: str = "id_pagador"
+    # True when payers is one-to-one: each key listed once, each name used by
+    # one key. Per-member numbering can then run per key, before the names
+    # are attached (see plans.summary.member_detail).
+    unique_names: bool = False
 
     def _names(self) -> DataFrame:
         return self.payers.select(F.col(self.key).alias("_pz_key"), "miembro")

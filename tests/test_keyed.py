@@ -68,3 +68,20 @@ def test_keyed_schema_matches_flat(spark):
                                                                     F.col("aporte").alias("monto")))) == \
         _types(plans.headline_kpis(flat, flat.limit(0).select("fecha", F.lit("x").alias("item"),
                                                               F.col("aporte").alias("monto"))))
+
+
+UNIQUE = [(1, "Ana"), (2, "Bo"), (3, "Cy")]
+
+
+@SETTINGS
+@given(rows=payments)
+def test_one_to_one_payers_number_per_key(spark, rows):
+    pay = spark.createDataFrame([(k, f, None if a is None else Decimal(a), c) for k, f, a, c in rows],
+                                "id_pagador int, fecha date, aporte decimal(18,2), concepto string")
+    names = spark.createDataFrame(UNIQUE, "id_pagador int, miembro string")
+    keyed = KeyedLedger(pay, names, "id_pagador", unique_names=True)
+    flat = keyed.flat()
+    for window in ("all", "last_month"):
+        assert _bag(plans.member_detail(keyed, window)) == _bag(plans.member_detail(flat, window)), window
+    assert _bag(plans.member_pages(keyed, page_size=3)) == _bag(plans.member_pages(flat, page_size=3))
+    assert plans.member_detail(keyed).columns == plans.member_detail(flat).columns
