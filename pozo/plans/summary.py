@@ -142,12 +142,22 @@ def member_pages(ledger: Ledger, window: str = "all", page_size: int = 10,
     """
     fields = _detail_fields(window)
     page = (F.floor((F.col("pos") - 1) / page_size) + 1).cast("int")
+
+    def group(part: DataFrame, key: str) -> DataFrame:
+        return (part.withColumn("pagina", page).groupBy(key, "pagina")
+                .agg(F.count(F.lit(1)).alias("filas"),
+                     F.array_sort(F.collect_list(F.struct("pos", *fields))).alias("data")))
+
     # Pages are grouped inside each part of the numbering: a member is wholly
     # in one part, and the part of ordinary members is already partitioned by
-    # member, so grouping it into pages needs no second shuffle.
-    pages = [part.withColumn("pagina", page)
-             .groupBy("miembro", "pagina")
-             .agg(F.count(F.lit(1)).alias("filas"),
-                  F.array_sort(F.collect_list(F.struct("pos", *fields))).alias("data"))
-             for part in _numbered_parts(ledger_window(ledger, window, as_of), window)]
+    # its key, so grouping it into pages needs no second shuffle. For a
+    # one-to-one keyed ledger, pages are grouped by payer key and the names
+    # join the page rows, not the payments.
+    led = ledger_window(ledger, window, as_of)
+    if isinstance(led, KeyedLedger) and led.unique_names:
+        order = [F.col(c).desc_nulls_last() for c in fields]
+        parts = position_parts(led.payments.select(led.key, *fields), order, keys=[led.key], name="pos")
+        pages = [led.name(group(p, led.key)).select("miembro", "pagina", "filas", "data") for p in parts]
+    else:
+        pages = [group(p, "miembro") for p in _numbered_parts(led, window)]
     return reduce(lambda a, b: a.unionByName(b), pages)
