@@ -1,6 +1,7 @@
 """Task balance of the member detail when one member holds a third of the rows.
 
-Usage: python tools/skew_check.py [balanced|window|summary_flat|summary_keyed] [sf_dir] [copies]
+Usage: python tools/skew_check.py [balanced|window|summary_flat|summary_keyed|detail_flat|detail_keyed]
+       [sf_dir] [copies]
 
 Builds a ledger from the driver's orders and customers, repeated ``copies``
 times (array explode, no join), and hands a third of all rows to one member.
@@ -11,10 +12,11 @@ a fresh scratch folder. Prints one JSON line: wall time and, for the stage
 whose largest task read the most shuffle records, that task's share of all
 records it read and its run time against the stage median.
 
-The ``summary_*`` modes compare the member summary over the row-level join
-(flat) and over the keyed ledger (per-key aggregation first), with broadcast
-joins switched off as they would be at full scale, one customer holding a
-third of the orders; they also report all shuffle records written.
+The ``summary_*`` and ``detail_*`` modes compare the member summary and the
+numbered detail over the row-level join (flat) and over the keyed ledger,
+with broadcast joins switched off as they would be at full scale and one
+customer holding a third of the orders; they also report all shuffle
+records written.
 """
 
 from __future__ import annotations
@@ -33,7 +35,7 @@ from pyspark.sql import Window  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 
 from pozo.operators.ranking import positions  # noqa: E402
-from pozo.plans import member_summary  # noqa: E402
+from pozo.plans import member_detail, member_summary  # noqa: E402
 from pozo.sources.keyed import KeyedLedger  # noqa: E402
 from pozo.session import build_session  # noqa: E402
 from pozo.sources import adapter  # noqa: E402
@@ -47,7 +49,7 @@ def main() -> None:
     spark = build_session("local[8]", 16, app_name=f"skew-{mode}",
                           extra={"spark.eventLog.enabled": "true", "spark.eventLog.dir": f"file://{logs}", "spark.eventLog.compress": "false",
                                  "spark.driver.memory": "8g"})
-    if mode.startswith("summary"):
+    if mode.startswith(("summary", "detail")):
         run_summary(spark, mode, sf_dir, copies, logs)
         return
     led = adapter.aportes(spark, sf_dir)
@@ -74,8 +76,9 @@ def run_summary(spark, mode: str, sf_dir: str, copies: int, logs: str) -> None:
     pay = keyed.payments.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(copies))))
     hot = F.pmod(F.xxhash64("id_pagador", "fecha", "aporte", "copy"), F.lit(3)) == 0
     pay = pay.withColumn("id_pagador", F.when(hot, F.lit(1)).otherwise(F.col("id_pagador"))).drop("copy")
-    ledger = KeyedLedger(pay, keyed.payers, keyed.key)
-    out = member_summary(ledger if mode == "summary_keyed" else ledger.flat())
+    ledger = KeyedLedger(pay, keyed.payers, keyed.key, unique_names=True)
+    report_fn = member_summary if mode.startswith("summary") else member_detail
+    out = report_fn(ledger if mode.endswith("_keyed") else ledger.flat())
     t0 = time.perf_counter()
     out.write.format("noop").mode("overwrite").save()
     wall = time.perf_counter() - t0
