@@ -16,6 +16,7 @@ from pozo.registry import (AS_OF, DUES_SEARCH_QUERY, EXPENSE_PAGE_SPEC, PAGE_SPE
 
 
 def _list(values) -> str:
+    """A DuckDB list literal of strings."""
     return "[" + ", ".join("'" + v + "'" for v in values) + "]"
 
 
@@ -35,18 +36,22 @@ def _yyyy(d):
 
 
 def day_label(d):
+    """``%d %b %Y`` in Spanish, as :func:`pozo.functions.day_label`."""
     return f"({_dd(d)} || ' ' || {_list(MONTHS_ABBR_ES)}[month({d})] || ' ' || {_yyyy(d)})"
 
 
 def month_label(d):
+    """``%b %Y`` in Spanish."""
     return f"({_list(MONTHS_ABBR_ES)}[month({d})] || ' ' || {_yyyy(d)})"
 
 
 def heading_label(d):
+    """``%d de %B del %Y`` in Spanish."""
     return f"({_dd(d)} || ' de ' || {_list(MONTHS_FULL_ES)}[month({d})] || ' del ' || {_yyyy(d)})"
 
 
 def tab_label(d):
+    """Sentence-cased full month name."""
     n = f"{_list(MONTHS_FULL_ES)}[month({d})]"
     return f"(upper(substr({n}, 1, 1)) || lower(substr({n}, 2)))"
 
@@ -56,6 +61,7 @@ def _strip_zeros(s):
 
 
 def fmt_amount(x):
+    """Amount text by R's rules, as :func:`pozo.functions.format_amount`."""
     places = f"greatest(0, least(2, 7 - length(CAST(CAST(floor(abs({x})) AS HUGEINT) AS VARCHAR))))"
     text = (f"CASE WHEN {places} = 0 THEN format('{{:,.0f}}', CAST(round_even({x}, 0) AS DOUBLE)) "
             f"WHEN {places} = 1 THEN format('{{:,.1f}}', CAST(round_even({x}, 1) AS DOUBLE)) "
@@ -64,6 +70,7 @@ def fmt_amount(x):
 
 
 def js_number(x):
+    """A decimal as the browser prints it (no trailing fraction zeros)."""
     return _strip_zeros(f"CAST({x} AS VARCHAR)")
 
 
@@ -109,6 +116,7 @@ def _month_bounds(as_of: str | None) -> str:
 
 
 def _strict(cat: str) -> str:
+    """Strict per-category sum: NULL when missing or when any amount is NULL."""
     f = f"FILTER (WHERE concepto = '{cat}')"
     return (f"CASE WHEN count(*) {f} > 0 AND count(aporte) {f} = count(*) {f} "
             f"THEN sum(aporte) {f} END")
