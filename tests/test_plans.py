@@ -52,3 +52,12 @@ def test_summary_aggregates_orders_per_key_before_names(plans_text):
     # Orders are aggregated by customer key (eager aggregation), then by name.
     assert "Keys [1]: [id_pagador" in text
     assert "Keys [1]: [miembro" in text
+
+
+def test_keyed_detail_shuffles_payments_once_by_key(plans_text):
+    for name in ("q_member_detail", "q_member_pages"):
+        final = plans_text[name].split("== Initial Plan ==")[0]
+        parts = re.findall(r"Arguments: hashpartitioning\(([^)]*)\)", plans_text[name])
+        assert any(p.startswith("id_pagador") for p in parts), name
+        assert not any(p.startswith("miembro") for p in parts), name
+        assert "Window" in final
