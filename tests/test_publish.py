@@ -39,3 +39,27 @@ def test_publish_all_reports_from_csv(spark):
     led, *_ = load_inputs(spark, src["ledger"], src["expenses"], src["fines"], src["members"], "csv")
     hist = spark.read.parquet(os.path.join(out, "historico"))
     assert sorted(map(tuple, hist.collect())) == sorted(map(tuple, plans.member_summary(led).collect()))
+
+
+def test_publish_from_json_lines(spark):
+    import json as _json
+    base = tempfile.mkdtemp(prefix="pozo-publish-", dir="/tmp")
+    rows = {
+        "ledger": [{"fecha": "2023-03-05", "miembro": "ana", "aporte": 300, "concepto": "Aporte"}],
+        "expenses": [{"fecha": "2023-03-01", "item": "Agua", "monto": 50}],
+        "fines": [{"Fecha": "2023-03-05", "Deudor": "ana", "Concepto": "Técnica", "Monto": 100}],
+        "members": [{"nombre_pago": "Ana", "condicion": "Activo", "fecha_inicio": "2023-01-01",
+                     "nombre": "Ana", "avatar_img": None}],
+    }
+    for name, recs in rows.items():
+        os.makedirs(os.path.join(base, name))
+        with open(os.path.join(base, name, "part.json"), "w", encoding="utf-8") as fh:
+            fh.write("\n".join(_json.dumps(r, ensure_ascii=False) for r in recs))
+    out = os.path.join(base, "out")
+    main(["--ledger", os.path.join(base, "ledger"), "--expenses", os.path.join(base, "expenses"),
+          "--fines", os.path.join(base, "fines"), "--members", os.path.join(base, "members"),
+          "--out", out, "--input-format", "json", "--format", "json", "--year", "2023"])
+    k = spark.read.json(os.path.join(out, "kpis")).first()
+    assert (k["ingreso_txt"], k["gasto_txt"], k["balance_txt"]) == ("300", "50", "250")
+    dues = spark.read.json(os.path.join(out, "este_ano")).first()
+    assert dues["miembro"] == "Ana" and dues["objetivo"] == 900
