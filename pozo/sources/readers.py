@@ -28,8 +28,11 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType | None = Non
         r = r.schema(schema)
     df = r.options(**options).load(path)
     if schema is not None and fmt == "parquet":
-        # Parquet carries its own types; align names/types to the declared schema.
-        df = df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
+        # Parquet carries its own types; align names/types to the declared
+        # schema, a missing column reading as NULL (as CSV and JSON do).
+        have = set(df.columns)
+        df = df.select(*[(F.col(f"`{f.name}`") if f.name in have else F.lit(None))
+                         .cast(f.dataType).alias(f.name) for f in schema.fields])
     return df
 
 

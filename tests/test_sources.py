@@ -53,3 +53,11 @@ def test_checkpoint_dir_and_lineage_cut(spark):
     df = spark.range(10).selectExpr("id * 2 AS v")
     cut = cut_lineage(df)
     assert cut.count() == 10
+
+
+def test_parquet_missing_optional_column_reads_as_null(spark):
+    from pozo.sources import MIEMBROS
+    path = os.path.join(_tmp(), "m")
+    spark.createDataFrame([("Ana", "Activo")], "nombre_pago string, condicion string").write.parquet(path)
+    r = read_table(spark, path, MIEMBROS).first()
+    assert r["nombre_pago"] == "Ana" and r["avatar_img"] is None and r["fecha_inicio"] is None
