@@ -20,7 +20,12 @@ from pozo.sources import schemas
 
 def read_table(spark: SparkSession, path: str, schema: T.StructType | None = None,
                fmt: str = "parquet", **options) -> DataFrame:
-    """Read one input table. CSV defaults to a header row."""
+    """Read one input table. CSV defaults to a header row.
+
+    Without ``schema``, CSV and JSON columns keep their header names and the
+    ``prepare_*`` functions match them by name (the robust route for sheet
+    exports). With ``schema``, Spark applies CSV columns by position.
+    """
     r = spark.read.format(fmt)
     if fmt == "csv":
         options.setdefault("header", "true")
