@@ -1,20 +1,21 @@
 """Attach whole-table aggregates to every row.
 
-Each aggregate becomes a scalar subquery: Spark runs the one-row aggregate
-once (partial per task, then one merge) and uses the value in a projection,
-so no rows move and no join is planned. An unpartitioned window would
-instead pull all rows into one task.
+The aggregates become one scalar subquery returning a struct: Spark runs the
+one-row aggregate once (partial per task, then one merge, a single pass over
+the source) and reads its fields in a projection, so no rows move and no
+join is planned. An unpartitioned window would instead pull all rows into
+one task.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 
 def with_scalar(df: DataFrame, source: DataFrame, *aggs: Column) -> DataFrame:
     """``df`` plus one column per aggregate of ``source`` (aliased aggregates)."""
-    out = df
-    for agg in aggs:
-        one = source.select(agg)
-        out = out.withColumn(one.columns[0], one.scalar())
-    return out
+    one = source.select(*aggs)
+    names = one.columns
+    packed = one.select(F.struct(*[F.col(f"`{n}`") for n in names]).alias("_pz_s")).scalar()
+    return df.select("*", *[packed.getField(n).alias(n) for n in names])

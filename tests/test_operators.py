@@ -207,3 +207,10 @@ def test_positions_survive_task_retries(spark):
     want = dict(zip(pdf["id"], pdf.groupby("k").cumcount() + 1))
     assert got == want
     assert len(os.listdir(marks)) >= 2      # failures were injected in several stages
+
+
+def test_with_scalar_several_aggregates(spark):
+    df = spark.createDataFrame([(1,), (5,), (3,)], "v int")
+    got = with_scalar(df, df, F.max("v").alias("mx"), F.min("v").alias("mn"), F.count(F.lit(1)).alias("n"))
+    assert got.columns == ["v", "mx", "mn", "n"]
+    assert sorted(tuple(r) for r in got.collect()) == [(1, 5, 1, 3), (3, 5, 1, 3), (5, 5, 1, 3)]
