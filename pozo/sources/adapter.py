@@ -52,7 +52,7 @@ def aportes_keyed(spark: SparkSession, sf_dir: str) -> KeyedLedger:
     c = _read(spark, sf_dir, "customer")
     payers = c.select(F.col("c_custkey").alias("id_pagador"), title_case("c_name").alias("miembro"))
     # Customer keys and names are both unique in the driver's customer table.
-    return KeyedLedger(payments, payers, "id_pagador", unique_names=True)
+    return KeyedLedger(payments, payers, "id_pagador", unique_names=True, title_case_names=False)
 
 
 def aportes(spark: SparkSession, sf_dir: str) -> DataFrame:

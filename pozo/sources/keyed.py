@@ -20,6 +20,8 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pozo.functions.text import title_case
+
 
 @dataclass(frozen=True)
 class KeyedLedger:
@@ -30,9 +32,14 @@ class KeyedLedger:
     # one key. Per-member numbering can then run per key, before the names
     # are attached (see plans.summary.member_detail).
     unique_names: bool = False
+    # Title-case payer names when attaching them, as prepare_ledger does for a
+    # flat ledger, so they match the member directory's key. Applied at key
+    # grain; switch off when the payer table is already normalised.
+    title_case_names: bool = True
 
     def _names(self) -> DataFrame:
-        return self.payers.select(F.col(self.key).alias("_pz_key"), "miembro")
+        name = title_case("miembro") if self.title_case_names else F.col("miembro")
+        return self.payers.select(F.col(self.key).alias("_pz_key"), name.alias("miembro"))
 
     def flat(self) -> DataFrame:
         """The ledger rows: payments joined to their payer (inner join on the key)."""

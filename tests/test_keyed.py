@@ -85,3 +85,17 @@ def test_one_to_one_payers_number_per_key(spark, rows):
         assert _bag(plans.member_detail(keyed, window)) == _bag(plans.member_detail(flat, window)), window
     assert _bag(plans.member_pages(keyed, page_size=3)) == _bag(plans.member_pages(flat, page_size=3))
     assert plans.member_detail(keyed).columns == plans.member_detail(flat).columns
+
+
+def test_keyed_names_are_title_cased_like_a_prepared_ledger(spark):
+    from pozo.sources.readers import prepare_ledger
+    pay = spark.createDataFrame([(1, dt.date(2023, 3, 1), Decimal("300"), "Aporte")],
+                                "id_pagador int, fecha date, aporte decimal(18,2), concepto string")
+    names = spark.createDataFrame([(1, "ana pérez")], "id_pagador int, miembro string")
+    keyed = KeyedLedger(pay, names, "id_pagador")
+    flat = prepare_ledger(KeyedLedger(pay, names, "id_pagador", title_case_names=False).flat())
+    mem = spark.createDataFrame([("ana pérez", "Activo", dt.date(2023, 1, 1), "Ana", None)], schemas.MIEMBROS)
+    p = Params(year=2023)
+    assert _bag(plans.member_summary(keyed)) == _bag(plans.member_summary(flat))
+    dues = plans.year_dues(keyed, mem, p).collect()
+    assert dues[0]["miembro"] == "Ana Pérez" and dues[0]["Aporte"] == Decimal("300.00")
