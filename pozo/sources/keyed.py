@@ -37,6 +37,29 @@ class KeyedLedger:
     # grain; switch off when the payer table is already normalised.
     title_case_names: bool = True
 
+    @classmethod
+    def prepare(cls, payments: DataFrame, payers: DataFrame, key: str = "id_pagador",
+                **options) -> "KeyedLedger":
+        """Clean column names and declared types as ``prepare_ledger`` does.
+
+        ``payments`` gets ``fecha`` as DATE, ``aporte`` as DECIMAL(18,2) and
+        ``concepto`` as STRING next to its key; ``payers`` keeps key and name.
+        """
+        from pozo.sources.readers import clean_names
+        from pozo.sources.schemas import APORTES
+
+        pay = clean_names(payments)
+        cols = [F.col(f"`{key}`")]
+        for f in APORTES.fields:
+            if f.name == "miembro":
+                continue
+            c = F.col(f.name) if f.name in pay.columns else F.lit(None)
+            if f.name == "fecha":
+                c = F.to_date(c)
+            cols.append(c.cast(f.dataType).alias(f.name))
+        named = clean_names(payers).select(F.col(f"`{key}`"), F.col("miembro").cast("string"))
+        return cls(pay.select(*cols), named, key, **options)
+
     def _names(self) -> DataFrame:
         name = title_case("miembro") if self.title_case_names else F.col("miembro")
         return self.payers.select(F.col(self.key).alias("_pz_key"), name.alias("miembro"))

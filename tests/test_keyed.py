@@ -99,3 +99,14 @@ def test_keyed_names_are_title_cased_like_a_prepared_ledger(spark):
     assert _bag(plans.member_summary(keyed)) == _bag(plans.member_summary(flat))
     dues = plans.year_dues(keyed, mem, p).collect()
     assert dues[0]["miembro"] == "Ana Pérez" and dues[0]["Aporte"] == Decimal("300.00")
+
+
+def test_prepare_conforms_types_and_names(spark):
+    pay = spark.createDataFrame([(1, "2023-03-01", "300", "Aporte")],
+                                "id_pagador int, Fecha string, Aporte string, Concepto string")
+    names = spark.createDataFrame([(1, "ana")], "id_pagador int, Miembro string")
+    keyed = KeyedLedger.prepare(pay, names)
+    assert [(f.name, f.dataType.simpleString()) for f in keyed.payments.schema.fields] == [
+        ("id_pagador", "int"), ("fecha", "date"), ("aporte", "decimal(18,2)"), ("concepto", "string")]
+    r = plans.member_summary(keyed).first()
+    assert r["miembro"] == "Ana" and r["total"] == Decimal("300.00")
