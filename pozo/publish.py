@@ -17,6 +17,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 
 from pozo import plans
+from pozo.functions.dates import month_label
 from pozo.params import Params
 from pozo.sources.readers import (prepare_expenses, prepare_fines, prepare_ledger,
                                   prepare_members, read_table)
@@ -41,7 +42,11 @@ def treasury_reports(ledger: DataFrame, expenses: DataFrame, fines: DataFrame,
         "gastos": plans.expense_list(expenses),
         "multas": plans.fines_list(fines),
         "orden_fechas": plans.label_order(ledger),
+        "orden_meses_gastos": plans.label_order(expenses, label=month_label),
+        "etiquetas_fechas": plans.date_labels(ledger),
         "saldo_diario": plans.balance_timeline(ledger, expenses),
+        "directorio": plans.member_directory(members),
+        "tarjetas": plans.member_cards(members),
     }
 
 

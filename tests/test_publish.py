@@ -29,6 +29,7 @@ def test_publish_all_reports_from_csv(spark):
     written = sorted(os.listdir(out))
     assert "kpis" in written and "este_ano" in written and "historico_detalle" in written
     assert "ledger_por_mes" in written
+    assert {"etiquetas_fechas", "orden_meses_gastos", "directorio", "tarjetas"} <= set(written)
     k = spark.read.parquet(os.path.join(out, "kpis")).first()
     assert (k["ingreso_txt"], k["gasto_txt"], k["balance_txt"]) == ("800", "240.5", "559.5")
     assert k["titulo"] == "12 de marzo del 2023" and k["pestana"] == "Marzo"
