@@ -82,14 +82,18 @@ def position_parts(df: DataFrame, order: Sequence[Column], keys: Sequence[str] =
     cold = df.join(hot, match, "left_anti")
     w = Window.partitionBy(*[F.col(f"`{k}`") for k in keys]).orderBy(*order, tie)
     cold = cold.withColumn(name, F.row_number().over(w).cast("long"))
-    hot_rows = _range_positions(df.join(hot, match, "left_semi"), order, keys, name, n)
+    # Hot rows hold at most n keys; range-split into n partitions sorted by key,
+    # each boundary splits at most one key, so they form at most 2n segments:
+    # that segment table is broadcast, and the hot rows are not shuffled again.
+    hot_rows = _range_positions(df.join(hot, match, "left_semi"), order, keys, name, n,
+                                few_segments=True)
     # Each key lies wholly in one part; the cold part stays hash-partitioned
     # by the keys, so per-key work after it needs no further shuffle.
     return [cold, hot_rows]
 
 
 def _range_positions(df: DataFrame, order: Sequence[Column], keys: list[str], name: str,
-                     n: int) -> DataFrame:
+                     n: int, few_segments: bool = False) -> DataFrame:
     spark = df.sparkSession
     # Final tie-break: a hash of the whole row, so rows that tie on every
     # order column still spread over range partitions unless fully identical
@@ -122,6 +126,8 @@ def _range_positions(df: DataFrame, order: Sequence[Column], keys: list[str], na
         same_key = Window.partitionBy(*sk).orderBy("_pz_sp").rowsBetween(*before)
         seg = (counts.withColumn(_FIRST, F.coalesce(F.sum(_N).over(in_part), F.lit(0)))
                .withColumn(_START, F.coalesce(F.sum(_N).over(same_key), F.lit(0))))
+        if few_segments:
+            seg = F.broadcast(seg)
     else:
         # One segment per partition: as many rows as partitions, so broadcast.
         seg = F.broadcast(counts.withColumn(_FIRST, F.lit(0)).withColumn(
