@@ -214,3 +214,15 @@ def test_with_scalar_several_aggregates(spark):
     got = with_scalar(df, df, F.max("v").alias("mx"), F.min("v").alias("mn"), F.count(F.lit(1)).alias("n"))
     assert got.columns == ["v", "mx", "mn", "n"]
     assert sorted(tuple(r) for r in got.collect()) == [(1, 5, 1, 3), (3, 5, 1, 3), (5, 5, 1, 3)]
+
+
+def test_positions_null_key_can_be_hot(spark):
+    rows = [(None if i % 3 == 0 else f"k{i % 40}", i % 17, i) for i in range(1500)]
+    df = spark.createDataFrame(rows, "k string, a int, id int")
+    got = {r["id"]: r["pos"] for r in positions(df, [F.col("a").desc(), F.col("id")], keys=["k"],
+                                                num_partitions=8).collect()}
+    pdf = df.toPandas()
+    pdf["kk"] = pdf["k"].fillna("\x00null")
+    pdf = pdf.sort_values(["kk", "a", "id"], ascending=[True, False, True])
+    want = dict(zip(pdf["id"], pdf.groupby("kk").cumcount() + 1))
+    assert got == want
