@@ -7,11 +7,31 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pozo.session import cut_lineage, ensure_checkpoint_dir
+from pozo.session import cut_lineage as checkpointed
+from pozo.session import ensure_checkpoint_dir
 
 __all__ = ["cut_lineage", "row_key", "scratch_path", "read_table", "connected", "shuffle_tasks"]
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared checkpoint folder.
+
+    The shuffle files of this one execution are given back as soon as the
+    checkpoint is complete: nothing reads them again. The session's setting
+    for other executions is put back.
+    """
+    conf = df.sparkSession.conf
+    before = conf.get(_CLEANUP, None)
+    conf.set(_CLEANUP, "true")
+    try:
+        return checkpointed(df.select("*"))
+    finally:
+        conf.unset(_CLEANUP) if before is None else conf.set(_CLEANUP, before)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -8,8 +8,10 @@ other, where pivots alone cannot part them. So regions are formed in two steps.
    symmetric difference that fall into it); these add up to the whole
    difference, so linked sets are at distance 0 in some part: they have the
    same content there. Sets meet where a part's content is equal. (Small sets
-   meet on their first elements instead: linked sets share one of those.) Sets
-   that meet, directly or through others, form a region; no link leaves it.
+   meet on their first elements instead: linked sets share one of those.) Of the sets that
+   meet, sizes and parity sketches part most that are not linked; neither ever
+   exceeds the true difference. What is left, directly or through others,
+   forms a region; no link leaves it.
 2. In a region, pivots create Voronoi cells. A set goes to its nearest pivot's
    cell, and by the triangle inequality also to every cell whose pivot is no
    farther than that distance plus twice the link distance. Cells are joined
@@ -37,6 +39,7 @@ from pozo.llm.textgrams import BLANKS, Words, gram_hashes, mix, pieces
 SMALL = 30            # sets up to this size meet on their first elements
 GROWTH = 1.25         # width of a size class
 BLOCK = 3000          # sets of a region compared in one task
+LONG = 200_000        # rows of one meeting place held together
 SEEN = 200_000        # set keys a worker remembers, so that copies meet once per task
 _U = np.uint64
 
@@ -163,7 +166,10 @@ def _describe(k: int):
                 s1, s2 = _set_keys(g, offs)
                 yield pa.RecordBatch.from_arrays(
                     [part.column("_id"), part.column("_k1"), part.column("_k2"), pa.array(np.diff(offs), pa.int64()),
-                     pa.array(s1), pa.array(s2)], names=["_id", "_k1", "_k2", "n", "s1", "s2"])
+                     pa.array(s1), pa.array(s2),
+                     pa.array([sketch(g[a:b], sketch_bits(b - a)).tobytes() if b > a else None
+                               for a, b in zip(offs[:-1].tolist(), offs[1:].tolist())], pa.binary())],
+                    names=["_id", "_k1", "_k2", "n", "s1", "s2", "sketch"])
     return run
 
 
@@ -190,22 +196,132 @@ def _meet(k: int, rule: Rule):
     return run
 
 
-def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (place, s1): every set with the first set of its place."""
-    place0 = s0 = before = None
+def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by (place, s1): the sets of every place where at least two meet.
+
+    A cell is named by its members, so that the many places where the same sets
+    meet are one cell. Of a place with over ``LONG`` rows the name is the place.
+    """
+    held: list[np.ndarray] = []
+    place = None
+    long = False
+    seen: set = set()
+
+    def close() -> list[tuple[int, np.ndarray]]:
+        members = np.unique(np.concatenate(held)) if held else np.empty(0, np.int64)
+        if long:
+            return [(int(place), members)] if len(members) else []
+        if len(members) < 2:
+            return []
+        with np.errstate(over="ignore"):
+            name = int(mix(mix(members.view(_U)).sum(keepdims=True) + _U(len(members))).view(np.int64)[0])
+        if name in seen:
+            return []
+        seen.add(name)
+        if len(seen) > SEEN:
+            seen.clear()
+        return [(name, members)]
+
+    def rows(found: list[tuple[int, np.ndarray]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.concatenate([np.full(len(m), c, np.int64) for c, m in found])),
+             pa.array(np.concatenate([m for _, m in found]))], names=["cell", "s1"])
+
     for batch in batches:
-        place, s = np.asarray(batch.column("place")), np.asarray(batch.column("s1"))
-        if not len(place):
+        p, s = np.asarray(batch.column("place")), np.asarray(batch.column("s1"))
+        found = []
+        if not len(p):
             continue
-        begin = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
-        first = np.repeat(s[begin], np.diff(np.r_[begin, len(place)]))
-        if place[0] == place0:
-            end = begin[1] if len(begin) > 1 else len(place)
-            first[:end] = s0
-        pairs = (s != first) & np.r_[not (place[0] == place0 and s[0] == before), (s[1:] != s[:-1]) | (place[1:] != place[:-1])]
-        place0, s0, before = place[-1], first[-1], s[-1]
-        if pairs.any():
-            yield pa.RecordBatch.from_arrays([pa.array(s[pairs]), pa.array(first[pairs])], names=["a", "b"])
+        begin = np.flatnonzero(np.r_[True, p[1:] != p[:-1]])
+        end = np.r_[begin[1:], len(p)]
+        # Places of one row inside the batch hold one set: nothing meets there.
+        some = (end - begin > 1) | (begin == 0) | (end == len(p))
+        for a, b in zip(begin[some].tolist(), end[some].tolist()):
+            if p[a] != place:
+                found += close()
+                held, place, long = [], p[a], False
+            held.append(s[a:b])
+            if sum(map(len, held)) > LONG:
+                found.append((int(place), np.unique(np.concatenate(held))))
+                held, long = [], True
+        if found:
+            yield rows(found)
+    found = close()
+    if found:
+        yield rows(found)
+
+
+def sketch(g: np.ndarray, bits: int) -> np.ndarray:
+    """Parities of a set's elements over ``bits`` hash classes. The differing bits of two
+    sketches never exceed the sets' symmetric difference; halves add up to a shorter one."""
+    return np.packbits((np.bincount((g & _U(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8), bitorder="little")
+
+
+def sketch_bits(n: int) -> int:
+    return 1 << min(13, max(6, int(n).bit_length()))
+
+
+def _fold(s: np.ndarray, size: int) -> np.ndarray:
+    while len(s) > size:
+        s = s[:len(s) // 2] ^ s[len(s) // 2:]
+    return s
+
+
+def _near(sizes: np.ndarray, sketches: list[np.ndarray], rule: Rule) -> list[tuple[int, int]]:
+    """A forest of the pairs of a cell that sizes and sketches allow to be linked."""
+    order = np.argsort(sizes, kind="stable")
+    sizes = sizes[order]
+    root = np.arange(len(order))
+    edges = []
+    widths = np.array([len(sketches[i]) for i in order])
+    folded: dict[int, np.ndarray] = {}
+    for i in range(len(order) - 1):
+        to = int(np.searchsorted(sizes, rule.most(int(sizes[i])), side="right"))
+        w = int(widths[i])
+        at = np.arange(i + 1, to)
+        at = at[root[at] != root[i]]
+        if not len(at):
+            continue
+        if w not in folded:
+            # sets from here on are at least as large, so their sketches are as wide
+            folded[w] = np.zeros((len(order), w // 8), _U)
+            for j in np.flatnonzero(widths >= w).tolist():
+                folded[w][j] = _fold(sketches[order[j]], w).view(_U)
+        gap = np.bitwise_count(folded[w][at] ^ folded[w][i]).sum(axis=1)
+        for j in at[gap <= rule.apart(sizes[i] + sizes[at])].tolist():
+            if root[i] != root[j]:
+                root[root == root[j]] = root[i]
+                edges.append((int(order[i]), int(order[j])))
+    return edges
+
+
+def _candidates(rule: Rule):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows sorted by cell, with sketches: pairs that may be linked."""
+        held: list[tuple] = []
+        cell = None
+
+        def close() -> tuple[list[int], list[int]]:
+            if len(held) < 2:
+                return [], []
+            pairs = _near(np.array([h[1] for h in held]), [np.frombuffer(h[2], np.uint8) for h in held], rule)
+            return [held[a][0] for a, _ in pairs], [held[b][0] for _, b in pairs]
+
+        for batch in batches:
+            out_a, out_b = [], []
+            for c, s, n, bits in zip(*(batch.column(x).to_pylist() for x in ("cell", "s1", "n", "sketch"))):
+                if c != cell:
+                    a, b = close()
+                    out_a += a
+                    out_b += b
+                    held, cell = [], c
+                held.append((s, n, bits))
+            if out_a:
+                yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["a", "b"])
+        a, b = close()
+        if a:
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+    return run
 
 
 def _store(k: int):
@@ -352,11 +468,16 @@ def classes(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_i
     base = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text"))
     base = base.select("_id", *row_key("_id", "text"), "text")
     kind = docs.schema[id_col].dataType.simpleString()
-    slim = cut_lineage(base.mapInArrow(_describe(k), f"_id {kind}, _k1 bigint, _k2 bigint, n bigint, s1 bigint, s2 bigint"))
+    slim = cut_lineage(base.mapInArrow(_describe(k), f"_id {kind}, _k1 bigint, _k2 bigint, n bigint, s1 bigint, s2 bigint, sketch binary"))
     met = base.where("text is not null").select("text").mapInArrow(_meet(k, rule), "place bigint, s1 bigint")
-    stars = (met.repartition(shuffle_tasks(spark), "place").sortWithinPartitions("place", "s1")
-             .mapInArrow(_stars, "a bigint, b bigint"))
-    regions = connected(stars.distinct()).select(F.col("node").alias("s1"), F.col("root").alias("region"))
+    cells = cut_lineage(met.repartition(shuffle_tasks(spark), "place").sortWithinPartitions("place", "s1")
+                        .mapInArrow(_cells, "cell bigint, s1 bigint").distinct())
+    # Sets that meet by chance (a passage many texts quote) are parted by their sketches.
+    bits = cut_lineage(slim.where("n > 0").groupBy("s1").agg(F.max(F.struct("n", "sketch")).alias("x"))
+                       .select("s1", "x.n", "x.sketch"))
+    near = (cells.join(bits, "s1").select("cell", "s1", "n", "sketch").repartition(shuffle_tasks(spark), "cell")
+            .sortWithinPartitions("cell").mapInArrow(_candidates(rule), "a bigint, b bigint"))
+    regions = connected(near.distinct()).select(F.col("node").alias("s1"), F.col("root").alias("region"))
     # One text per set of a region.
     one = slim.where("n > 0").groupBy("s1", "s2").agg(F.min(F.struct("_k1", "_k2")).alias("_k")).join(regions, "s1")
     one = one.select(F.col("_k._k1").alias("_k1"), F.col("_k._k2").alias("_k2"), "s1", "s2", "region")
