@@ -1,0 +1,50 @@
+import os
+import random
+
+import pytest
+
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
+
+
+@pytest.fixture(scope="session")
+def words():
+    rnd = random.Random(5)
+    return ["".join(rnd.choices(LETTERS, k=rnd.randint(2, 9))) for _ in range(3000)]
+
+
+@pytest.fixture(scope="session")
+def corpus(words):
+    """Texts with copies, near copies, shared passages, nulls, blanks, short and long ones."""
+    rnd = random.Random(11)
+    text = lambda n: " ".join(rnd.choices(words, k=n))
+    out = [None, "", "  \n\t ", "one", "One", "1234 %%", "a b c d", "x" * 5000, text(20000)]
+    passage = text(60)
+    for i in range(40):
+        out.append(f"{text(30)} {passage} {text(30)}" if i % 3 == 0 else text(rnd.randint(1, 200)))
+    base = text(150).split()
+    for i in range(25):
+        near = list(base)
+        for _ in range(i % 6):
+            near[rnd.randrange(len(near))] = rnd.choice(words)
+        out.append(" ".join(near))
+    out += [text(50)] * 7 + ["Été " + text(40), "This work is under the MIT License. Apache License, Version 2.0; CC-BY-NC"]
+    return out
+
+
+@pytest.fixture(scope="session")
+def documents(spark, corpus):
+    """Two ids are null, two repeat, two rows are equal; other columns clash with result names."""
+    rows = [(i, t, ["en", "fr", None][i % 3], ["a", "b", "c", None][i % 4], -1, "junk") for i, t in enumerate(corpus)]
+    rows += [(None, corpus[20], "en", "a", -1, "junk"), (None, None, None, None, -1, None), (5, corpus[30], "en", "b", -1, "junk"),
+             (6, corpus[31], "fr", "b", -1, "junk"), (6, corpus[31], "fr", "b", -1, "junk")]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_words int, _k1 string").repartition(3).cache()
+
+
+@pytest.fixture(scope="session")
+def empty(documents):
+    return documents.where("false")
+
+
+@pytest.fixture(scope="session")
+def vocabulary():
+    return os.path.join(os.environ.get("POZO_TOKENIZERS", "/opt/tokenizers"), "byte_bpe_50k.json")
