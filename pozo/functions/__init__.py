@@ -6,7 +6,6 @@ from pozo.functions.dates import (
     day_label,
     heading_label,
     month_label,
-    month_start,
     tab_label,
 )
 from pozo.functions.text import (
@@ -19,7 +18,7 @@ from pozo.functions.nulls import lenient_sum, strict_sum
 
 __all__ = [
     "MONTHS_ABBR_ES", "MONTHS_FULL_ES",
-    "day_label", "month_label", "heading_label", "tab_label", "month_start",
+    "day_label", "month_label", "heading_label", "tab_label",
     "title_case", "sentence_case", "format_amount", "js_number_text",
     "lenient_sum", "strict_sum",
 ]

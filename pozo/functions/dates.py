@@ -56,8 +56,3 @@ def tab_label(c) -> Column:
     """Sentence-cased full month name: ``Septiembre``."""
     from pozo.functions.text import sentence_case
     return sentence_case(_month_name(_col(c), MONTHS_FULL_ES))
-
-
-def month_start(c) -> Column:
-    """First day of the month (``floor_date(x, "month")``)."""
-    return F.trunc(_col(c), "month")

@@ -2,16 +2,14 @@
 
 * :func:`positions` — row numbers within groups (or globally) that stay
   balanced when one group holds a large share of the rows.
-* :func:`with_scalar` — attach one-row aggregates to every row.
 * :func:`pivot_sums` — long-to-wide category sums in a single aggregation.
 * :func:`search_rows`, :func:`sort_rows`, :func:`page_rows` — table search,
   sort and paging with the interactive table's rules.
 """
 
 from pozo.operators.ranking import position_parts, positions
-from pozo.operators.scalar import with_scalar
 from pozo.operators.pivot import pivot_sums, select_matching
 from pozo.operators.tables import page_rows, search_rows, sort_rows, table_order
 
-__all__ = ["positions", "position_parts", "with_scalar", "pivot_sums", "select_matching",
+__all__ = ["positions", "position_parts", "pivot_sums", "select_matching",
            "search_rows", "sort_rows", "page_rows", "table_order"]

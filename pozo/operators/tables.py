@@ -8,8 +8,9 @@ never a pattern.
 Sort: text compares lower-cased; NULL is the smallest value (first going up,
 last going down); extra tie-break columns make the order total.
 
-Paging: shallow pages keep only the top rows per task (a bounded top-k);
-deep pages number the whole table with the balanced :func:`positions`.
+Paging: every page, shallow or deep, comes from the same numbering of the
+table (balanced :func:`positions`, ties broken by a hash of the row), so pages
+never overlap and no task merges the rows before a page.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,9 +28,6 @@ from pozo.operators.ranking import positions
 _NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType,
             T.FloatType, T.DoubleType, T.DecimalType)
 
-# Pages up to this many rows deep use per-task top-k; deeper ones number all rows.
-TOPK_DEPTH_LIMIT = 100_000
-
 
 def _number_text(c: Column, dtype: T.DataType) -> Column:
     if isinstance(dtype, (T.FloatType, T.DoubleType)):
@@ -94,10 +92,5 @@ def page_rows(df: DataFrame, order: Sequence[Column], page: int, page_size: int
     if page < 1 or page_size < 1:
         raise ValueError("page and page_size start at 1")
     skip = (page - 1) * page_size
-    if skip + page_size <= TOPK_DEPTH_LIMIT:
-        # Each task keeps its best skip+page_size rows; one task merges them.
-        top = df.orderBy(*order).offset(skip).limit(page_size)
-        w = Window.orderBy(*order)  # at most page_size rows here
-        return top.withColumn(name, (F.row_number().over(w) + F.lit(skip)).cast("long")).orderBy(name)
     numbered = positions(df, order, name=name)
     return numbered.where(F.col(name).between(skip + 1, skip + page_size)).sortWithinPartitions(name)

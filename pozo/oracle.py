@@ -79,7 +79,8 @@ aportes AS (
   SELECT {title('c.c_name')} AS miembro,
          CAST(o.o_orderdate AS DATE) AS fecha,
          CAST(o.o_totalprice AS DECIMAL(18,2)) AS aporte,
-         CASE WHEN o.o_orderpriority = '1-URGENT' THEN 'Técnica' ELSE 'Aporte' END AS concepto
+         CASE o.o_orderpriority WHEN '1-URGENT' THEN 'Técnica' WHEN '2-HIGH' THEN 'Multa técnica'
+              WHEN '5-LOW' THEN 'Donación' ELSE 'Aporte' END AS concepto
   FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey),
 miembros AS (
   SELECT c_name AS nombre_pago,
@@ -96,7 +97,7 @@ gastos AS (
 multas AS (
   SELECT CAST(ts AS DATE) AS "Fecha", CAST(user_id AS VARCHAR) AS "Deudor",
          event_type AS "Concepto", CAST(value AS DECIMAL(18,2)) AS "Monto"
-  FROM events WHERE event_type = 'error')
+  FROM events)
 """
 
 
@@ -122,6 +123,10 @@ def _strict(cat: str) -> str:
             f"THEN sum(aporte) {f} END")
 
 
+# The categories the driver's orders map to.
+CATEGORIES = ("Aporte", "Donación", "Multa técnica", "Técnica")
+
+
 def _active_months(year: int, mode: str) -> str:
     if mode == "month_only":
         return "(nm.nmonth - (month(m.fecha_inicio) - 1))"
@@ -136,13 +141,13 @@ def _dues_ctes(year: int, mode: str = "month_only", as_of=None) -> list[str]:
     lo, hi = f"DATE '{year}-01-01'", f"DATE '{year + 1}-01-01'"
     if as_of is not None:
         hi = f"DATE '{(as_of + _dt.timedelta(days=1)).isoformat()}'" if as_of.year == year else hi
-    cats = ", ".join(f'{_strict(c)} AS "{c}"' for c in p.categories)
+    cats = ", ".join(f'{_strict(c)} AS "{c}"' for c in CATEGORIES)
     return [
         f"y AS (SELECT * FROM aportes WHERE fecha >= {lo} AND fecha < {hi})",
         f"pv AS (SELECT miembro, {cats} FROM y GROUP BY miembro)",
         "nm AS (SELECT max(month(fecha)) AS nmonth FROM y)",
         f"""jd AS (SELECT {title('m.nombre_pago')} AS miembro, m.condicion, m.fecha_inicio,
-                 pv."Técnica", coalesce(pv."Aporte", 0) AS "Aporte",
+                 pv."Técnica", pv."Multa técnica", coalesce(pv."Aporte", 0) AS "Aporte",
                  CASE WHEN m.condicion IS NULL OR m.condicion = '{p.inactive_label}' THEN 0
                       ELSE {_active_months(year, mode)} * {p.dues} END AS objetivo
           FROM miembros m LEFT JOIN pv ON {title('m.nombre_pago')} IS NOT DISTINCT FROM pv.miembro,
@@ -179,6 +184,11 @@ SELECT miembro, CAST((pos - 1) // {p.page_size} + 1 AS INTEGER) AS pagina, count
                             CAST(aporte AS VARCHAR), concepto), ';' ORDER BY pos) AS detalle
 FROM d GROUP BY 1, 2"""
 
+    q["q_expand_member"] = _with("""d AS (SELECT row_number() OVER (ORDER BY fecha DESC NULLS LAST,
+                   aporte DESC NULLS LAST, concepto DESC NULLS LAST) AS pos, *
+                 FROM aportes WHERE miembro = 'Customer#000000001')""") + """
+SELECT miembro, pos, fecha, CAST(aporte AS DOUBLE) AS aporte, concepto FROM d"""
+
     q["q_current_month"] = _with(_month_bounds(None), _summary_cte(
         "s", "fecha >= (SELECT m FROM mb)", "led")) + """
 SELECT miembro, cantidad_aportes, CAST(total AS DOUBLE) AS total FROM s"""
@@ -248,23 +258,23 @@ SELECT label, mediana, row_number() OVER (ORDER BY mediana, label) AS orden FROM
 SELECT nombre_pago, {title('nombre_pago')} AS miembro FROM miembros"""
 
     lo, hi = f"DATE '{year}-01-01'", f"DATE '{year + 1}-01-01'"
-    cats = ", ".join(f'CAST({_strict(c)} AS DOUBLE) AS "{c}"' for c in p.categories)
+    cats = ", ".join(f'CAST({_strict(c)} AS DOUBLE) AS "{c}"' for c in CATEGORIES)
     q["q_category_pivot"] = _with() + f"""
 SELECT miembro, {cats}
 FROM aportes WHERE fecha >= {lo} AND fecha < {hi} GROUP BY miembro"""
 
     q["q_year_dues"] = _with(*_dues_ctes(year)) + """
-SELECT miembro, CAST("Técnica" AS DOUBLE) AS "Técnica", CAST("Aporte" AS DOUBLE) AS "Aporte",
+SELECT miembro, CAST("Técnica" AS DOUBLE) AS "Técnica", CAST("Multa técnica" AS DOUBLE) AS "Multa técnica", CAST("Aporte" AS DOUBLE) AS "Aporte",
        CAST(objetivo AS DOUBLE) AS objetivo, CAST(balance AS DOUBLE) AS balance
 FROM du"""
 
     q["q_year_dues_calendar"] = _with(*_dues_ctes(year, "calendar")) + """
-SELECT miembro, CAST("Técnica" AS DOUBLE) AS "Técnica", CAST("Aporte" AS DOUBLE) AS "Aporte",
+SELECT miembro, CAST("Técnica" AS DOUBLE) AS "Técnica", CAST("Multa técnica" AS DOUBLE) AS "Multa técnica", CAST("Aporte" AS DOUBLE) AS "Aporte",
        CAST(objetivo AS DOUBLE) AS objetivo, CAST(balance AS DOUBLE) AS balance
 FROM du"""
 
     q["q_year_dues_asof"] = _with(*_dues_ctes(AS_OF.year, as_of=AS_OF)) + """
-SELECT miembro, CAST("Técnica" AS DOUBLE) AS "Técnica", CAST("Aporte" AS DOUBLE) AS "Aporte",
+SELECT miembro, CAST("Técnica" AS DOUBLE) AS "Técnica", CAST("Multa técnica" AS DOUBLE) AS "Multa técnica", CAST("Aporte" AS DOUBLE) AS "Aporte",
        CAST(objetivo AS DOUBLE) AS objetivo, CAST(balance AS DOUBLE) AS balance
 FROM du"""
 
@@ -316,7 +326,7 @@ WHERE coalesce(contains(lower(miembro), '{sq}'), FALSE)
     num = [f'coalesce(starts_with(lower({js_number(c)}), \'{dq}\'), FALSE)'
            for c in ('"Técnica"', '"Aporte"', "objetivo", "balance")]
     q["q_dues_search"] = _with(*_dues_ctes(year)) + f"""
-SELECT miembro, CAST("Técnica" AS DOUBLE) AS "Técnica", CAST("Aporte" AS DOUBLE) AS "Aporte",
+SELECT miembro, CAST("Técnica" AS DOUBLE) AS "Técnica", CAST("Multa técnica" AS DOUBLE) AS "Multa técnica", CAST("Aporte" AS DOUBLE) AS "Aporte",
        CAST(objetivo AS DOUBLE) AS objetivo, CAST(balance AS DOUBLE) AS balance
 FROM du
 WHERE coalesce(contains(lower(miembro), '{dq}'), FALSE) OR {" OR ".join(num)}"""

@@ -25,7 +25,8 @@ class Params:
     inactive_label: str = "Inactivo"             # member condition meaning paused
     dues_category: str = "Aporte"                # ledger category holding dues
     fine_pattern: str = "Técnica"                # category columns kept in dues view
-    categories: tuple = ("Aporte", "Técnica")    # pivot columns, in output order
+    categories: tuple | None = None              # pivot columns, in output order; None: all of the year's
+    max_categories: int = 500                    # more distinct categories than this raise an error
 
     year: int | None = None
     as_of: _dt.date | None = None

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as _dt
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -35,7 +36,23 @@ def category_pivot(ledger: Ledger, params: Params = Params()) -> DataFrame:
     return _pivot(y, params)
 
 
+def year_categories(y: Ledger, params: Params) -> tuple:
+    """Categories of the year slice, sorted, the dues category always among them.
+
+    Only the distinct names come to the driver; too many raise instead of
+    being left out.
+    """
+    rows = y.payments if isinstance(y, KeyedLedger) else y
+    got = [r["concepto"] for r in rows.select("concepto").distinct().limit(params.max_categories + 1).collect()]
+    if len(got) > params.max_categories:
+        raise ValueError(f"more than {params.max_categories} categories in the year")
+    names = {c for c in got if c is not None} | {params.dues_category}
+    return (*sorted(names), *([None] if None in got else []))
+
+
 def _pivot(y: Ledger, params: Params) -> DataFrame:
+    if params.categories is None:
+        params = replace(params, categories=year_categories(y, params))
     if isinstance(y, KeyedLedger):
         # Counters per payer key, names attached at key grain, merged per member.
         counters = pivot_counters(y.payments, [y.key], "concepto", "aporte", params.categories)

@@ -15,6 +15,7 @@ import datetime as _dt
 import os
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from pozo import plans
 from pozo.functions.dates import month_label
@@ -27,7 +28,16 @@ from pozo.sources.sinks import write_report
 
 def treasury_reports(ledger: DataFrame, expenses: DataFrame, fines: DataFrame,
                      members: DataFrame, params: Params = Params()) -> dict[str, DataFrame]:
-    """Every report, lazily: name -> DataFrame. Inputs must be prepared."""
+    """Every report, lazily: name -> DataFrame. Inputs must be prepared.
+
+    With ``params.as_of`` all dated inputs are capped once, here, so that every
+    report shows the same day; rows without a date are then left out of all.
+    """
+    if params.as_of is not None:
+        cap = F.lit(params.as_of)
+        ledger = ledger.where(F.col("fecha") <= cap)
+        expenses = expenses.where(F.col("fecha") <= cap)
+        fines = fines.where(F.col("Fecha") <= cap)
     dues = plans.year_dues(ledger, members, params)
     return {
         "kpis": plans.formatted_kpis(ledger, expenses, params.as_of, keep_values=True),

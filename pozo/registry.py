@@ -74,6 +74,9 @@ class Inputs:
         return adapter.multas(self.spark, self.sf_dir)
 
 
+# The member whose detail the expanded row shows (its title-cased name).
+EXPAND_MEMBER = "Customer#000000001"
+
 _DEFINED: dict[tuple[int, str], Inputs] = {}
 
 
@@ -134,6 +137,7 @@ def _build() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "q_last_month_asof": lambda i: plans.member_summary(i.keyed, "last_month", as_of=AS_OF),
         "q_last_month_detail": lambda i: plans.member_detail(i.keyed, "last_month"),
         "q_current_month_detail": lambda i: plans.member_detail(i.keyed, "current_month"),
+        "q_expand_member": lambda i: plans.expand_member(i.aportes, EXPAND_MEMBER),
         "q_headline_kpis": lambda i: plans.headline_kpis(i.keyed, i.gastos),
         "q_formatted_kpis": lambda i: plans.formatted_kpis(i.keyed, i.gastos),
         "q_kpis_asof": lambda i: plans.formatted_kpis(i.keyed, i.gastos, AS_OF, keep_values=True),

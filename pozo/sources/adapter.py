@@ -1,14 +1,14 @@
 """The driver's TPC-H-style tables seen as the four treasury inputs.
 
 * ``aportes``  — orders joined to their customer: the customer name pays the
-  order total on the order date; urgent orders are fines ("Técnica"), the
-  rest dues ("Aporte"). Also offered keyed (:func:`aportes_keyed`): orders by
+  order total on the order date; the order priority gives the category
+  (urgent "Técnica", high "Multa técnica", low "Donación", the rest "Aporte"). Also offered keyed (:func:`aportes_keyed`): orders by
   customer key plus the customer names, for reports that only aggregate.
 * ``miembros`` — customers: FURNITURE is inactive, MACHINERY has no recorded
   condition, everyone else is active; start month from the key; customers
   with a non-negative balance have a picture.
 * ``gastos``   — line items: ship date, flag+status as item, extended price.
-* ``multas``   — error events: date, user, event type, value.
+* ``multas``   — every event: date, user, event type, value.
 
 The join is left to the planner: the customer side is broadcast only when
 adaptive execution measures it under the broadcast threshold, otherwise both
@@ -26,10 +26,9 @@ from pozo.sources.readers import prepare_expenses, prepare_fines, prepare_ledger
 from pozo.sources.schemas import AMOUNT
 
 # How the driver's columns map onto ledger categories/conditions.
-FINE_PRIORITY = "1-URGENT"
+CATEGORY_OF_PRIORITY = {"1-URGENT": "Técnica", "2-HIGH": "Multa técnica", "5-LOW": "Donación"}
 INACTIVE_SEGMENT = "FURNITURE"
 UNKNOWN_SEGMENT = "MACHINERY"
-FINE_EVENT = "error"
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,8 +46,8 @@ def aportes_keyed(spark: SparkSession, sf_dir: str) -> KeyedLedger:
         F.col("o_custkey").alias("id_pagador"),
         F.to_date("o_orderdate").alias("fecha"),
         F.col("o_totalprice").cast(AMOUNT).alias("aporte"),
-        F.when(F.col("o_orderpriority") == F.lit(FINE_PRIORITY), F.lit("Técnica"))
-         .otherwise(F.lit("Aporte")).alias("concepto"))
+        F.coalesce(*[F.when(F.col("o_orderpriority") == F.lit(p), F.lit(c)) for p, c in CATEGORY_OF_PRIORITY.items()],
+                   F.lit("Aporte")).alias("concepto"))
     c = _read(spark, sf_dir, "customer")
     payers = c.select(F.col("c_custkey").alias("id_pagador"), title_case("c_name").alias("miembro"))
     # Customer keys and names are both unique in the driver's customer table.
@@ -85,8 +84,7 @@ def gastos(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def multas(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = _read(spark, sf_dir, "events")
-    raw = (ev.where(F.col("event_type") == F.lit(FINE_EVENT))
-           .select(F.to_date("ts").alias("Fecha"),
+    raw = (ev.select(F.to_date("ts").alias("Fecha"),
                    F.col("user_id").cast("string").alias("Deudor"),
                    F.col("event_type").alias("Concepto"),
                    F.col("value").cast(AMOUNT).alias("Monto")))

@@ -45,10 +45,11 @@ class KeyedLedger:
         ``payments`` gets ``fecha`` as DATE, ``aporte`` as DECIMAL(18,2) and
         ``concepto`` as STRING next to its key; ``payers`` keeps key and name.
         """
-        from pozo.sources.readers import clean_names
+        from pozo.sources.readers import clean_names, require
         from pozo.sources.schemas import APORTES
 
         pay = clean_names(payments)
+        require(pay.columns, APORTES, skip=("miembro",))
         cols = [F.col(f"`{key}`")]
         for f in APORTES.fields:
             if f.name == "miembro":

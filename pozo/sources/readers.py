@@ -34,7 +34,8 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType | None = Non
     df = r.options(**options).load(path)
     if schema is not None and fmt == "parquet":
         # Parquet carries its own types; align names/types to the declared
-        # schema, a missing column reading as NULL (as CSV and JSON do).
+        # schema. Only optional columns may be missing.
+        require(df.columns, schema)
         have = set(df.columns)
         df = df.select(*[(F.col(f"`{f.name}`") if f.name in have else F.lit(None))
                          .cast(f.dataType).alias(f.name) for f in schema.fields])
@@ -73,18 +74,31 @@ def clean_names(df: DataFrame) -> DataFrame:
     Metadata only: no job runs.
     """
     seen: dict[str, int] = {}
-    out = []
+    out: list[str] = []
     for c in df.columns:
-        base = clean_name(c)
-        n = seen.get(base, 0) + 1
-        seen[base] = n
-        out.append(base if n == 1 else f"{base}_{n}")
+        base = name = clean_name(c)
+        while name in out:     # "a, A, a_2": a suffix may meet a name already there
+            seen[base] = seen.get(base, 1) + 1
+            name = f"{base}_{seen[base]}"
+        out.append(name)
     return df if out == df.columns else df.toDF(*out)
 
 
 # -- per-table preparation ---------------------------------------------------
 
+# Columns that a member table may lack; any other missing column is an error.
+OPTIONAL = ("nombre", "avatar_img")
+
+
+def require(have, schema: T.StructType, skip: tuple = OPTIONAL) -> None:
+    """Raise when a declared column is missing: a misspelt header must not read as NULL."""
+    missing = [f.name for f in schema.fields if f.name not in have and f.name not in skip]
+    if missing:
+        raise ValueError(f"missing column(s) {', '.join(missing)}; the table has {', '.join(have)}")
+
+
 def _conform(df: DataFrame, schema: T.StructType) -> DataFrame:
+    require(df.columns, schema)
     if [(f.name, f.dataType) for f in df.schema.fields] == [(f.name, f.dataType) for f in schema.fields]:
         return df   # already the declared shape
     cols = []
@@ -113,7 +127,12 @@ def prepare_expenses(df: DataFrame) -> DataFrame:
 
 
 def prepare_fines(df: DataFrame) -> DataFrame:
-    """Receivables: the four published columns, names kept as they are."""
+    """Receivables: the four published columns; headers match whatever their case."""
+    wanted = {f.name.lower(): f.name for f in schemas.MULTAS.fields}
+    for c in df.columns:
+        to = wanted.get(c.lower())
+        if to and c != to and to not in df.columns:
+            df = df.withColumnRenamed(c, to)
     return _conform(df, schemas.MULTAS)
 
 

@@ -37,10 +37,3 @@ MIEMBROS = T.StructType([
     T.StructField("nombre", T.StringType()),
     T.StructField("avatar_img", T.StringType()),
 ])
-
-# Shape of one detail row inside a member's nested payment list.
-DETAIL = T.StructType([
-    T.StructField("fecha", T.DateType()),
-    T.StructField("aporte", AMOUNT),
-    T.StructField("concepto", T.StringType()),
-])

@@ -87,6 +87,15 @@ def test_fine_columns_selected_by_pattern(ledger, members):
     assert plans.year_dues(led, mem, no_fines).columns == ["miembro", "Aporte", "objetivo", "balance"]
 
 
+def test_every_category_is_kept(ledger, members):
+    led = ledger([("2023-01-05", "A", 100, "Multa técnica"), ("2023-01-06", "A", 70, "Donación"), ("2023-01-07", "A", 5, None)])
+    mem = members([("A", "Activo", "2023-01-01")])
+    piv = plans.category_pivot(led, P23).first()
+    assert (piv["Multa técnica"], piv["Donación"], piv["NA"]) == (100, 70, 5)
+    row = plans.year_dues(led, mem, P23).first()
+    assert row["Multa técnica"] == 100 and row["Aporte"] == 0 and "Donación" not in row.asDict()
+
+
 def test_sorted_by_balance(ledger, members):
     led = ledger([("2023-01-05", "A", 100, "Aporte"), ("2023-01-05", "B", 900, "Aporte")])
     mem = members([("A", "Activo", "2023-01-01"), ("B", "Activo", "2023-01-01")])

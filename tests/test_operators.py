@@ -5,10 +5,8 @@ from decimal import Decimal
 
 from pyspark.sql import functions as F
 
-from pozo.operators import tables
 from pozo.operators.pivot import pivot_sums, select_matching
 from pozo.operators.ranking import positions
-from pozo.operators.scalar import with_scalar
 from pozo.operators.tables import page_rows, search_rows, sort_rows, table_order
 
 
@@ -51,10 +49,6 @@ def test_positions_identical_rows_distinct_positions(spark):
     assert got == list(range(1, 51))
 
 
-def test_with_scalar(spark):
-    df = spark.createDataFrame([(1,), (5,), (3,)], "v int")
-    got = [r["mx"] for r in with_scalar(df, df, F.max("v").alias("mx")).collect()]
-    assert got == [5, 5, 5]
 
 
 def test_pivot_sums_null_category_and_order(spark):
@@ -101,18 +95,22 @@ def s_schema():
     return "miembro string, cantidad_aportes bigint, total decimal(18,2)"
 
 
-def test_pages_reconstruct_sorted_table_both_paths(spark, monkeypatch):
+def test_pages_of_tied_rows_never_overlap(spark):
+    df = spark.range(0, 40).select("id", (F.col("id") % 3).alias("v"))
+    got = [r["id"] for page in range(1, 9) for r in page_rows(df, [F.col("v").asc()], page, 5).collect()]
+    assert sorted(got) == list(range(40))
+
+
+def test_pages_reconstruct_sorted_table(spark):
     df = _skewed(spark, n=237)
     order = table_order(df, "a", True, ["id"])
     full = [r["id"] for r in sort_rows(df, "a", True, ["id"]).collect()]
-    for limit in (tables.TOPK_DEPTH_LIMIT, 0):
-        monkeypatch.setattr(tables, "TOPK_DEPTH_LIMIT", limit)
-        got = []
-        for page in range(1, 26):
-            p = page_rows(df, order, page, 10).collect()
-            assert [r["pos"] for r in p] == list(range((page - 1) * 10 + 1, (page - 1) * 10 + 1 + len(p)))
-            got += [r["id"] for r in p]
-        assert got == full
+    got = []
+    for page in range(1, 26):
+        p = page_rows(df, order, page, 10).collect()
+        assert [r["pos"] for r in p] == list(range((page - 1) * 10 + 1, (page - 1) * 10 + 1 + len(p)))
+        got += [r["id"] for r in p]
+    assert got == full
 
 
 def test_positions_with_payload_columns_over_sampled_input(spark):
@@ -209,11 +207,6 @@ def test_positions_survive_task_retries(spark):
     assert len(os.listdir(marks)) >= 2      # failures were injected in several stages
 
 
-def test_with_scalar_several_aggregates(spark):
-    df = spark.createDataFrame([(1,), (5,), (3,)], "v int")
-    got = with_scalar(df, df, F.max("v").alias("mx"), F.min("v").alias("mn"), F.count(F.lit(1)).alias("n"))
-    assert got.columns == ["v", "mx", "mn", "n"]
-    assert sorted(tuple(r) for r in got.collect()) == [(1, 5, 1, 3), (3, 5, 1, 3), (5, 5, 1, 3)]
 
 
 def test_positions_null_key_can_be_hot(spark):

@@ -64,3 +64,17 @@ def test_publish_from_json_lines(spark):
     assert (k["ingreso_txt"], k["gasto_txt"], k["balance_txt"]) == ("300", "50", "250")
     dues = spark.read.json(os.path.join(out, "este_ano")).first()
     assert dues["miembro"] == "Ana" and dues["objetivo"] == 900
+
+
+def test_as_of_caps_every_report(spark, ledger, members, expenses):
+    import datetime as dt
+    from pozo.params import Params
+    from pozo.publish import treasury_reports
+    led = ledger([("2023-01-05", "A", 500, "Aporte"), ("2023-03-05", "A", 61, "Aporte"), (None, "A", 7, "Aporte")])
+    exp = expenses([("2023-01-20", "x", 54), ("2023-03-01", "y", 9)])
+    fin = spark.createDataFrame([(dt.date(2023, 3, 1), "A", "c", Decimal("1.00"))],
+                                "Fecha date, Deudor string, Concepto string, Monto decimal(18,2)")
+    r = treasury_reports(led, exp, fin, members([("A", "Activo", "2023-01-01")]), Params(as_of=dt.date(2023, 1, 31)))
+    last = r["saldo_diario"].orderBy("fecha").collect()[-1].asDict()
+    assert r["kpis"].first()["balance"] == last["balance"] == Decimal("446.00")
+    assert r["multas"].count() == 0 and r["gastos"].count() == 1

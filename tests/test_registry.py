@@ -6,7 +6,13 @@ import os
 import duckdb
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
+from pozo.oracle import oracle_sql
+from pozo.registry import QUERIES
+
+
+def queries():
+    return dict(QUERIES)
 
 SF = "/root/testdata/sf0.001"
 TABLES = ("region nation customer supplier part orders lineitem events documents "

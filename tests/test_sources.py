@@ -32,7 +32,8 @@ def test_fines_keep_capitalised_names_and_members_defaults(spark):
                                   "Fecha string, Deudor string, Concepto string, Monto double, Otro string")
     out = prepare_fines(fines)
     assert out.columns == ["Fecha", "Deudor", "Concepto", "Monto"]
-    mem = prepare_members(spark.createDataFrame([("ana", "Activo")], "nombre_pago string, condicion string"))
+    mem = prepare_members(spark.createDataFrame([("ana", "Activo", None)],
+                                                "nombre_pago string, condicion string, fecha_inicio string"))
     r = mem.first()
     assert r["fecha_inicio"] is None and r["avatar_img"] is None
 
@@ -58,6 +59,20 @@ def test_checkpoint_dir_and_lineage_cut(spark):
 def test_parquet_missing_optional_column_reads_as_null(spark):
     from pozo.sources import MIEMBROS
     path = os.path.join(_tmp(), "m")
-    spark.createDataFrame([("Ana", "Activo")], "nombre_pago string, condicion string").write.parquet(path)
+    spark.createDataFrame([("Ana", "Activo", None)],
+                          "nombre_pago string, condicion string, fecha_inicio date").write.parquet(path)
     r = read_table(spark, path, MIEMBROS).first()
     assert r["nombre_pago"] == "Ana" and r["avatar_img"] is None and r["fecha_inicio"] is None
+
+
+def test_misspelt_header_raises_and_fines_match_any_case(spark):
+    import pytest
+    from pozo.sources.readers import clean_names, prepare_fines, prepare_ledger
+    bad = spark.createDataFrame([("2023-01-01", "ana", 5, "Aporte")], "Fecha string, Miembro string, Monto int, Concepto string")
+    with pytest.raises(ValueError, match="aporte"):
+        prepare_ledger(bad)
+    low = spark.createDataFrame([("2023-01-01", "ana", "x", 5)], "fecha string, deudor string, concepto string, monto int")
+    row = prepare_fines(low).first()
+    assert str(row["Fecha"]) == "2023-01-01" and row["Monto"] == 5
+    names = clean_names(spark.createDataFrame([(1, 2, 3)], "a int, `A` int, a_2 int")).columns
+    assert len(set(names)) == 3
