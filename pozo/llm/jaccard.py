@@ -40,7 +40,7 @@ SMALL = 30            # sets up to this size meet on their first elements
 GROWTH = 1.25         # width of a size class
 BLOCK = 3000          # sets of a region compared in one task
 LONG = 200_000        # rows of one meeting place held together
-SEEN = 200_000        # set keys a worker remembers, so that copies meet once per task
+SEEN = 50_000         # set keys a worker remembers, so that copies meet once per task
 _U = np.uint64
 
 

@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-PIECE_BYTES = 2 << 20
+PIECE_BYTES = 1 << 19
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15          # odd, so it has an inverse modulo 2**64
 _INV = pow(_BASE, -1, 1 << 64)
