@@ -11,7 +11,7 @@ import datetime as _dt
 
 from pozo.functions.dates import MONTHS_ABBR_ES, MONTHS_FULL_ES
 from pozo.plans.display import CARD_TEMPLATE
-from pozo.registry import (AS_OF, DUES_SEARCH_QUERY, EXPENSE_PAGE_SPEC, PAGE_SPEC, REPORT_PARAMS,
+from pozo.registry import (AS_OF, DEEP_PAGE_SPEC, DUES_SEARCH_QUERY, EXPENSE_PAGE_SPEC, PAGE_SPEC, REPORT_PARAMS,
                            SEARCH_QUERY, SORT_SPEC)
 
 
@@ -296,8 +296,8 @@ FROM du"""
     q["q_expense_list"] = _with() + """
 SELECT fecha AS "Fecha", item AS "Concepto", CAST(monto AS DOUBLE) AS "Monto" FROM gastos"""
 
-    page, size = EXPENSE_PAGE_SPEC
-    q["q_expense_page"] = _with() + f"""
+    for name, (page, size) in (("q_expense_page", EXPENSE_PAGE_SPEC), ("q_expense_page_deep", DEEP_PAGE_SPEC)):
+        q[name] = _with() + f"""
 SELECT * FROM (
   SELECT row_number() OVER (ORDER BY fecha DESC NULLS LAST, item ASC NULLS FIRST, monto ASC NULLS FIRST) AS pos,
          fecha AS "Fecha", item AS "Concepto", CAST(monto AS DOUBLE) AS "Monto" FROM gastos)

@@ -12,7 +12,7 @@ from pozo.functions.text import title_case
 from pozo.operators.pivot import pivot_counters, pivot_from_counters, pivot_sums, select_matching
 from pozo.params import Params
 from pozo.sources.keyed import KeyedLedger, Ledger
-from pozo.sources.ledger_store import has_partitions
+from pozo.sources.ledger_store import capped, is_stored
 from pozo.sources.schemas import TOTAL
 
 
@@ -21,7 +21,7 @@ def year_slice(ledger: Ledger, year: int) -> Ledger:
     lo, hi = _dt.date(year, 1, 1), _dt.date(year + 1, 1, 1)
     cond = (F.col("fecha") >= F.lit(lo)) & (F.col("fecha") < F.lit(hi))
     rows = ledger.payments if isinstance(ledger, KeyedLedger) else ledger
-    if has_partitions(rows):
+    if is_stored(rows):
         cond = cond & (F.col("anio") == F.lit(year))   # prunes to one year's folders
     return ledger.where(cond)
 
@@ -42,7 +42,8 @@ def year_categories(y: Ledger, params: Params) -> tuple:
     Only the distinct names come to the driver; too many raise instead of
     being left out.
     """
-    rows = y.payments if isinstance(y, KeyedLedger) else y
+    # Of a keyed ledger only payments that have a payer count, as in the flat join.
+    rows = y.name(y.payments.select(y.key, "concepto").distinct()) if isinstance(y, KeyedLedger) else y
     got = [r["concepto"] for r in rows.select("concepto").distinct().limit(params.max_categories + 1).collect()]
     if len(got) > params.max_categories:
         raise ValueError(f"more than {params.max_categories} categories in the year")
@@ -90,8 +91,7 @@ def _dues_frame(ledger: Ledger, members: DataFrame, params: Params) -> DataFrame
     payments up to that date count (a snapshot of the report on that day).
     """
     year = params.report_year()
-    if params.as_of is not None:
-        ledger = ledger.where(F.col("fecha") <= F.lit(params.as_of))
+    ledger = capped(ledger, params.as_of)
     y = year_slice(ledger, year)
     piv = _pivot(y, params).withColumnRenamed("miembro", "_k")
     # One-row partial max over the pruned year slice; planned as a subquery.

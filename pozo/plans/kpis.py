@@ -11,6 +11,7 @@ from pozo.functions.dates import heading_label, tab_label
 from pozo.functions.nulls import lenient_sum
 from pozo.functions.text import format_amount
 from pozo.sources.keyed import KeyedLedger, Ledger
+from pozo.sources.ledger_store import capped
 from pozo.sources.schemas import TOTAL
 
 
@@ -21,9 +22,7 @@ def headline_kpis(ledger: Ledger, expenses: DataFrame,
     One-row aggregates (partial sums per task); the expense total enters as a
     scalar subquery. NULL amounts and NULL dates are ignored.
     """
-    if as_of is not None:
-        ledger = ledger.where(F.col("fecha") <= F.lit(as_of))
-        expenses = expenses.where(F.col("fecha") <= F.lit(as_of))
+    ledger, expenses = capped(ledger, as_of), capped(expenses, as_of)
     if isinstance(ledger, KeyedLedger):
         parts = ledger.payments.groupBy(ledger.key).agg(F.max("fecha").alias("_pz_m"),
                                                         F.sum("aporte").alias("_pz_s"))

@@ -32,12 +32,13 @@ def label_order(df: Ledger, date_col: str = "fecha",
 
     Returns ``label``, ``mediana`` (median day number since 1970-01-01,
     halves kept) and ``orden`` (1-based; ties by label text). The median is
-    exact: per label it keeps a count per distinct day, which a month label
-    bounds by 31. The numbering runs over the label grain only (one row per
-    day or month in the data), never over ledger rows.
+    exact: rows are counted per day first (a partial aggregate), and texts and
+    medians, weighted by those counts, are built on day grain. The numbering
+    runs over the label grain only, never over ledger rows.
     """
-    d = flat(df).where(F.col(date_col).isNotNull())
-    per = (d.groupBy(label(F.col(date_col)).alias("label"))
-           .agg(F.median(F.unix_date(F.col(date_col))).cast("double").alias("mediana")))
+    days = (flat(df).where(F.col(date_col).isNotNull())
+            .groupBy(F.col(date_col).alias("_day")).agg(F.count(F.lit(1)).alias("_n")))
+    per = (days.groupBy(label(F.col("_day")).alias("label"))
+           .agg(F.percentile(F.unix_date("_day"), 0.5, F.col("_n")).cast("double").alias("mediana")))
     w = Window.orderBy(F.col("mediana").asc(), F.col("label").asc())
     return per.withColumn("orden", F.row_number().over(w).cast("long"))

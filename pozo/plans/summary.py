@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pozo.functions.nulls import lenient_sum
 from pozo.operators.ranking import position_parts, positions
 from pozo.sources.keyed import KeyedLedger, Ledger, flat
-from pozo.sources.ledger_store import has_partitions, month_of_partition
+from pozo.sources.ledger_store import capped, is_stored, month_of_partition
 from pozo.sources.schemas import TOTAL
 
 WINDOWS = ("all", "current_month", "last_month")
@@ -35,7 +35,7 @@ def ledger_window(ledger: Ledger, window: str = "all",
     """
     if window not in WINDOWS:
         raise ValueError(f"window must be one of {WINDOWS}")
-    led = ledger if as_of is None else ledger.where(F.col("fecha") <= F.lit(as_of))
+    led = capped(ledger, as_of)
     if window == "all":
         return led
     if isinstance(led, KeyedLedger):
@@ -49,7 +49,7 @@ def ledger_window(ledger: Ledger, window: str = "all",
     cond = F.col("fecha") >= lo
     if window == "last_month":
         cond = cond & (F.col("fecha") < start)
-    if has_partitions(rows):
+    if is_stored(rows):
         # The same bounds on the partition columns: only those month folders are listed.
         part = month_of_partition()
         cond = cond & (part >= lo) & ((part < start) if window == "last_month" else F.lit(True))
@@ -100,7 +100,7 @@ def _numbered_parts(led: Ledger, window: str) -> list[DataFrame]:
     """
     fields = _detail_fields(window)
     order = [F.col(c).desc_nulls_last() for c in fields]
-    if isinstance(led, KeyedLedger) and led.unique_names:
+    if isinstance(led, KeyedLedger) and led.one_to_one():
         rows = led.payments.select(led.key, *fields)
         parts = position_parts(rows, order, keys=[led.key], name="pos")
         return [led.name(p).select("miembro", "pos", *fields) for p in parts]
@@ -154,7 +154,7 @@ def member_pages(ledger: Ledger, window: str = "all", page_size: int = 10,
     # one-to-one keyed ledger, pages are grouped by payer key and the names
     # join the page rows, not the payments.
     led = ledger_window(ledger, window, as_of)
-    if isinstance(led, KeyedLedger) and led.unique_names:
+    if isinstance(led, KeyedLedger) and led.one_to_one():
         order = [F.col(c).desc_nulls_last() for c in fields]
         parts = position_parts(led.payments.select(led.key, *fields), order, keys=[led.key], name="pos")
         pages = [led.name(group(p, led.key)).select("miembro", "pagina", "filas", "data") for p in parts]

@@ -13,16 +13,17 @@ from __future__ import annotations
 import argparse
 import datetime as _dt
 import os
+from decimal import Decimal
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from pozo import plans
 from pozo.functions.dates import month_label
 from pozo.params import Params
+from pozo.plans.display import DUES_HEADINGS, SUMMARY_HEADINGS, display_names
 from pozo.sources.readers import (prepare_expenses, prepare_fines, prepare_ledger,
                                   prepare_members, read_table)
-from pozo.sources.ledger_store import read_ledger, write_ledger
+from pozo.sources.ledger_store import capped, read_ledger, write_ledger
 from pozo.sources.sinks import write_report
 
 
@@ -33,11 +34,7 @@ def treasury_reports(ledger: DataFrame, expenses: DataFrame, fines: DataFrame,
     With ``params.as_of`` all dated inputs are capped once, here, so that every
     report shows the same day; rows without a date are then left out of all.
     """
-    if params.as_of is not None:
-        cap = F.lit(params.as_of)
-        ledger = ledger.where(F.col("fecha") <= cap)
-        expenses = expenses.where(F.col("fecha") <= cap)
-        fines = fines.where(F.col("Fecha") <= cap)
+    ledger, expenses, fines = (capped(t, params.as_of) for t in (ledger, expenses, fines))
     dues = plans.year_dues(ledger, members, params)
     return {
         "kpis": plans.formatted_kpis(ledger, expenses, params.as_of, keep_values=True),
@@ -60,10 +57,20 @@ def treasury_reports(ledger: DataFrame, expenses: DataFrame, fines: DataFrame,
     }
 
 
-def publish(reports: dict[str, DataFrame], out_dir: str, fmt: str = "parquet") -> list[str]:
-    """Write each report under ``out_dir/<name>``; returns the written paths."""
+HEADINGS = {"historico": SUMMARY_HEADINGS, "mes_actual": SUMMARY_HEADINGS, "mes_anterior": SUMMARY_HEADINGS,
+            "este_ano": DUES_HEADINGS}
+
+
+def publish(reports: dict[str, DataFrame], out_dir: str, fmt: str = "parquet", headings: bool = False) -> list[str]:
+    """Write each report under ``out_dir/<name>``; returns the written paths.
+
+    With ``headings`` the summary and dues tables carry their display names.
+    CSV cannot hold the nested pages: those are written as JSON lines.
+    """
     paths = []
     for name, df in reports.items():
+        if headings:
+            df = display_names(df, HEADINGS.get(name, {}))
         path = os.path.join(out_dir, name)
         if fmt == "csv" and any(f.dataType.typeName() in ("array", "struct", "map")
                                 for f in df.schema.fields):
@@ -94,6 +101,9 @@ def main(argv: list[str] | None = None) -> None:
     ap.add_argument("--year", type=int, default=None)
     ap.add_argument("--as-of", type=_dt.date.fromisoformat, default=None)
     ap.add_argument("--target-mode", default="month_only", choices=["month_only", "calendar"])
+    ap.add_argument("--dues", type=Decimal, default=Params.dues, help="monthly dues")
+    ap.add_argument("--page-size", type=int, default=Params.page_size)
+    ap.add_argument("--headings", action="store_true", help="display names on the summary and dues tables")
     ap.add_argument("--no-stage", action="store_true",
                     help="build every report from the raw inputs instead of the stored ledger")
     a = ap.parse_args(argv)
@@ -106,8 +116,8 @@ def main(argv: list[str] | None = None) -> None:
         staged = os.path.join(a.out, "ledger_por_mes")
         write_ledger(led, staged)
         led = read_ledger(spark, staged)
-    params = Params(year=a.year, as_of=a.as_of, target_mode=a.target_mode)
-    publish(treasury_reports(led, exp, fin, mem, params), a.out, a.format)
+    params = Params(year=a.year, as_of=a.as_of, target_mode=a.target_mode, dues=a.dues, page_size=a.page_size)
+    publish(treasury_reports(led, exp, fin, mem, params), a.out, a.format, a.headings)
 
 
 if __name__ == "__main__":

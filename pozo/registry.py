@@ -30,6 +30,7 @@ DUES_SEARCH_QUERY = "-9"                  # balances (or other numbers) starting
 SORT_SPEC = ("cantidad_aportes", True)   # column, descending
 PAGE_SPEC = (3, 10)                       # page, page size (by total, largest first)
 EXPENSE_PAGE_SPEC = (2, 10)               # page, page size of the expense list
+DEEP_PAGE_SPEC = (5500, 10)               # a page far down the same list
 
 
 def as_doubles(df: DataFrame) -> DataFrame:
@@ -42,11 +43,10 @@ def as_doubles(df: DataFrame) -> DataFrame:
 
 
 class Inputs:
-    """The four inputs for one data folder, defined once per session.
+    """The four inputs for one data folder: lazy DataFrames, defined on first use.
 
-    Like tables registered in a catalog: each is a lazy DataFrame (no job
-    runs here, no data is cached), defined on first use and shared by every
-    query of the session, so file listing and schema reading happen once.
+    Every query defines its own, so files that arrive between two queries of a
+    session are read.
     """
 
     def __init__(self, spark: SparkSession, sf_dir: str):
@@ -77,21 +77,10 @@ class Inputs:
 # The member whose detail the expanded row shows (its title-cased name).
 EXPAND_MEMBER = "Customer#000000001"
 
-_DEFINED: dict[tuple[int, str], Inputs] = {}
-
-
-def inputs_for(spark: SparkSession, sf_dir: str) -> Inputs:
-    """The shared input definitions of ``spark`` for ``sf_dir``."""
-    key = (id(spark), sf_dir)
-    got = _DEFINED.get(key)
-    if got is None or got.spark is not spark:
-        got = _DEFINED[key] = Inputs(spark, sf_dir)
-    return got
-
 
 def _q(fn: Callable[[Inputs], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return as_doubles(fn(inputs_for(spark, sf_dir)))
+        return as_doubles(fn(Inputs(spark, sf_dir)))
     run.__name__ = fn.__name__
     run.__doc__ = fn.__doc__
     return run
@@ -155,6 +144,7 @@ def _build() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "q_member_status": lambda i: plans.member_status(i.keyed, i.miembros, P),
         "q_expense_list": lambda i: plans.expense_list(i.gastos),
         "q_expense_page": lambda i: plans.expense_page(i.gastos, *EXPENSE_PAGE_SPEC),
+        "q_expense_page_deep": lambda i: plans.expense_page(i.gastos, *DEEP_PAGE_SPEC),
         "q_fines_list": lambda i: plans.fines_list(i.multas),
         "q_member_directory": lambda i: plans.member_directory(i.miembros),
         "q_member_cards": lambda i: plans.member_cards(i.miembros),

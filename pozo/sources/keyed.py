@@ -28,9 +28,9 @@ class KeyedLedger:
     payments: DataFrame   # key column + fecha, aporte, concepto
     payers: DataFrame     # key column + miembro
     key: str = "id_pagador"
-    # True when payers is one-to-one: each key listed once, each name used by
+    # Expect payers to be one-to-one: each key listed once, each name used by
     # one key. Per-member numbering can then run per key, before the names
-    # are attached (see plans.summary.member_detail).
+    # are attached (see plans.summary.member_detail). Checked by one_to_one().
     unique_names: bool = False
     # Title-case payer names when attaching them, as prepare_ledger does for a
     # flat ledger, so they match the member directory's key. Applied at key
@@ -71,6 +71,20 @@ class KeyedLedger:
         return (self.payments.join(names, self.payments[self.key] == names["_pz_key"], "inner")
                 .select("fecha", "miembro", "aporte", "concepto"))
 
+    def one_to_one(self) -> bool:
+        """Whether numbering per key numbers every member: ``unique_names``, and it holds.
+
+        One aggregate over the payer table; title-casing may merge names, so
+        the names as reported are counted.
+        """
+        if not self.unique_names:
+            return False
+        # A NULL name is a member like any other: counted as a value of its own.
+        n, keys, names = self._names().agg(
+            F.count(F.lit(1)), F.count_distinct("_pz_key"),
+            F.count_distinct("miembro") + F.max(F.col("miembro").isNull().cast("int"))).first()
+        return n == 0 or n == keys == names
+
     def where(self, cond: Column) -> "KeyedLedger":
         """Filter the payments (conditions on their own columns)."""
         return replace(self, payments=self.payments.where(cond))

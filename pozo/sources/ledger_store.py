@@ -11,18 +11,23 @@ skipping.
 
 from __future__ import annotations
 
+import datetime as _dt
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pozo.sources.keyed import KeyedLedger, Ledger
 
 PARTITION_COLUMNS = ("anio", "mes")
+_MARK = "pozo.stored_ledger"
 
 
 def write_ledger(ledger: DataFrame, path: str, num_files: int | None = None,
                  mode: str = "overwrite") -> None:
     """Write a prepared ledger (or keyed payments) partitioned by year and month.
 
-    Any columns are kept; ``fecha`` decides the folder. Rows are
+    Columns are kept, but for an own ``anio`` or ``mes``: those names hold the
+    folder, which ``fecha`` decides. Rows are
     range-partitioned on the date, then a hash of the whole row (sampled
     bounds, so a busy month, day or payer is split over several tasks rather
     than landing in one), and sorted within each task, so each task writes a
@@ -41,12 +46,25 @@ def write_ledger(ledger: DataFrame, path: str, num_files: int | None = None,
 
 
 def read_ledger(spark: SparkSession, path: str) -> DataFrame:
-    """Read a stored ledger; the partition columns stay for pruning."""
-    return spark.read.parquet(path)
+    """Read a stored ledger; the partition columns stay for pruning and carry a mark."""
+    df = spark.read.parquet(path)
+    return df.withColumns({c: F.col(c).alias(c, metadata={_MARK: True}) for c in PARTITION_COLUMNS})
+
+
+def is_stored(df: DataFrame) -> bool:
+    """Whether ``df`` comes from :func:`read_ledger` (by its mark, not by column names)."""
+    marked = {f.name for f in df.schema.fields if f.metadata.get(_MARK)}
+    return marked.issuperset(PARTITION_COLUMNS)
 
 
-def has_partitions(df: DataFrame) -> bool:
-    return all(c in df.columns for c in PARTITION_COLUMNS)
+def capped(ledger: Ledger, as_of: _dt.date | None) -> Ledger:
+    """Rows dated up to ``as_of`` (None: all); on a stored ledger later folders are not read."""
+    if as_of is None:
+        return ledger
+    cond = F.col("fecha") <= F.lit(as_of)
+    if is_stored(ledger.payments if isinstance(ledger, KeyedLedger) else ledger):
+        cond = cond & (month_of_partition() <= F.lit(as_of))
+    return ledger.where(cond)
 
 
 def month_of_partition() -> F.Column:

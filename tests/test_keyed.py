@@ -110,3 +110,27 @@ def test_prepare_conforms_types_and_names(spark):
         ("id_pagador", "int"), ("fecha", "date"), ("aporte", "decimal(18,2)"), ("concepto", "string")]
     r = plans.member_summary(keyed).first()
     assert r["miembro"] == "Ana" and r["total"] == Decimal("300.00")
+
+
+def test_names_that_title_casing_merges_are_numbered_together(spark):
+    from pozo import plans
+    from pozo.sources.keyed import KeyedLedger
+    pay = spark.sql("""select * from values (1, date'2023-01-02', 5.00BD, 'Aporte'), (2, date'2023-01-03', 6.00BD, 'Aporte')
+                       as t(id_pagador, fecha, aporte, concepto)""")
+    payers = spark.sql("select * from values (1, 'ana'), (2, 'Ana') as t(id_pagador, miembro)")
+    keyed = KeyedLedger(pay, payers, unique_names=True)
+    assert not keyed.one_to_one()
+    got = sorted((r["miembro"], r["pos"]) for r in plans.member_detail(keyed).collect())
+    assert got == [("Ana", 1), ("Ana", 2)]
+    assert KeyedLedger(pay, payers, unique_names=True, title_case_names=False).one_to_one()
+
+
+def test_category_of_an_orphan_payment_is_no_column(spark):
+    from pozo import plans
+    from pozo.params import Params
+    from pozo.sources.keyed import KeyedLedger
+    pay = spark.sql("""select * from values (1, date'2023-01-02', 5.00BD, 'Aporte'), (9, date'2023-01-03', 6.00BD, 'Técnica')
+                       as t(id_pagador, fecha, aporte, concepto)""")
+    payers = spark.sql("select * from values (1, 'Ana') as t(id_pagador, miembro)")
+    got = plans.category_pivot(KeyedLedger(pay, payers), Params(year=2023))
+    assert got.columns == ["miembro", "Aporte"]

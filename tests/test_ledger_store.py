@@ -69,3 +69,25 @@ def test_stored_keyed_payments_prune_too(spark):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, plans.member_summary(keyed, "last_month").collect()))
     parts = [m.get("numPartitions") for m in _scan_metrics(got) if "numPartitions" in m]
     assert parts and max(parts) == 1
+
+
+def test_as_of_reads_no_later_folder(spark):
+    import datetime as dt
+    src = adapter.aportes(spark, SF)
+    path = os.path.join(tempfile.mkdtemp(prefix="pozo-ledger-", dir="/tmp"), "ledger")
+    write_ledger(src, path, num_files=4)
+    led = read_ledger(spark, path)
+    day = dt.date(1996, 3, 15)
+    got = plans.member_summary(led, "all", day)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, plans.member_summary(src, "all", day).collect()))
+    folders = {r[0] for r in led.where("fecha is not null").selectExpr("anio * 100 + mes").distinct().collect()}
+    parts = [m.get("numPartitions") for m in _scan_metrics(got) if "numPartitions" in m]
+    assert parts and max(parts) == len([f for f in folders if f <= 199603]) < len(folders)
+
+
+def test_own_year_and_month_columns_are_no_stored_ledger(spark, ledger):
+    from pyspark.sql import functions as F
+    led = ledger([("2023-05-02", "A", 300, "Aporte"), ("2023-04-02", "B", 100, "Aporte")])
+    odd = led.withColumns({"anio": F.lit(1900), "mes": F.lit(1)})
+    assert [r["miembro"] for r in plans.member_summary(odd, "current_month").collect()] == ["A"]
+    assert plans.category_pivot(odd, Params(year=2023)).count() == 2
