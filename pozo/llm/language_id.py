@@ -4,7 +4,9 @@ A text is its vector of UTF-8 byte 1- to 3-grams (ASCII lower-cased, runs of
 other ASCII characters as one blank), hashed into a fixed number of dimensions,
 dampened, weighted by inverse document frequency and normalised. Every language
 has several centroids, clustered from its sample; a text takes the language of
-the nearest one by cosine, and is rejected when even that one is far.
+the nearest one by cosine, and is rejected when even that one is far. How far
+hangs on the language and on the length, since a short text shares few grams
+with any centroid: the bound is fitted on labelled rows and on pieces of them.
 """
 
 from __future__ import annotations
@@ -14,6 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,6 +26,11 @@ from pozo.llm.textgrams import pieces, text_bytes
 DIMS = 4096
 ROWS = 512                     # texts vectorised at a time
 UNDETERMINED = "und"
+HEAD = 2048                    # characters of a sampled text that pieces are cut from
+PIECE_CHARS = [1 << i for i in range(2, 11)]
+LOW, MARGIN = 0.005, 0.8       # the least cosine: this quantile of clean pieces, times the margin
+OWN, FEW = 200, 20             # pieces for a bound of a language's own; for any bound
+CLASSES = DIMS.bit_length()    # length classes: powers of two of distinct grams
 _FOLD = np.full(256, 32, np.uint8)
 _FOLD[128:] = np.arange(128, 256)
 _FOLD[97:123] = np.arange(97, 123)
@@ -82,8 +90,9 @@ def _vectors(idf: np.ndarray):
         for part in _blocks(batches):
             v = _weigh(gram_counts(part.column("text")), idf)
             yield pa.RecordBatch.from_arrays(
-                [part.column("lang"), part.column("_h"), pa.array([row.tobytes() for row in v], pa.binary())],
-                names=["lang", "_h", "v"])
+                [part.column("lang"), part.column("_h"), pa.array([row.tobytes() for row in v], pa.binary()),
+                 pc.utf8_slice_codeunits(part.column("text"), 0, HEAD)],
+                names=["lang", "_h", "v", "head"])
     return emit
 
 
@@ -106,12 +115,67 @@ def cluster(vectors: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return centres
 
 
+def length_class(vectors: np.ndarray) -> np.ndarray:
+    """Logarithm of the number of distinct grams: repeating a text makes it no longer."""
+    return np.log2(np.maximum((vectors > 0).sum(axis=1), 1)).astype(np.int64)
+
+
+def _pieces_of(heads: list[str]) -> list[str]:
+    """Beginnings and ends of texts, of every length of ``PIECE_CHARS``, that have a letter."""
+    out = []
+    for head in heads:
+        for n in PIECE_CHARS:
+            if len(head) >= n:
+                out += {head[:n], head[-n:]} if len(head) >= 2 * n else [head[:n]]
+    return sorted(x for x in out if _LETTER.search(x))
+
+
+def _clean_cosines(vectors: np.ndarray, heads: list[str], idf: np.ndarray, k: int) -> list[np.ndarray]:
+    """Per length class, cosines of texts and their pieces to the nearest centroid of a fit without them.
+
+    The sample is halved; each half is scored by the centroids of the other.
+    """
+    found: list[list[np.ndarray]] = [[] for _ in range(CLASSES)]
+    for half in (0, 1) if len(vectors) > 1 else ():
+        centres = cluster(vectors[1 - half::2], k)
+        texts = _pieces_of(heads[half::2])
+        parts = (_weigh(gram_counts(pa.array(texts[at:at + ROWS], pa.string())), idf) for at in range(0, len(texts), ROWS))
+        for v in [vectors[half::2], *parts]:
+            best, size = (v @ centres.T).max(axis=1), length_class(v)
+            for c in np.unique(size).tolist():
+                found[c].append(best[size == c])
+    return [np.concatenate(x) if x else np.empty(0, np.float32) for x in found]
+
+
+def _least_cosines(clean: list[list[np.ndarray]]) -> np.ndarray:
+    """The least cosine per language and length class.
+
+    A low quantile of the language's own pieces less a margin; of few pieces,
+    that of all languages' where it is lower. A class that has hardly any piece
+    takes the next shorter one's bound; without one nothing is far.
+    """
+    least = np.zeros((len(clean), CLASSES))
+    for c in range(CLASSES):
+        every = np.concatenate([x[c] for x in clean])
+        for i, x in enumerate(clean):
+            if len(every) < FEW:
+                least[i, c] = least[i, c - 1] if c else 0
+                continue
+            bounds = [np.quantile(x[c], LOW)] if len(x[c]) else []
+            if len(x[c]) < OWN:
+                bounds.append(np.quantile(every, LOW))
+            least[i, c] = MARGIN * min(bounds)
+    return least
+
+
 @dataclass(frozen=True)
 class LanguageModel:
-    """Inverse document frequencies, unit centroids and each one's language."""
+    """Inverse document frequencies, unit centroids, and each one's language and
+    least cosine of a text that is not far, by length class."""
     idf: np.ndarray
     centroids: np.ndarray
     languages: list[str]
+    least: np.ndarray
 
 
 def learn(train: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
@@ -121,7 +185,8 @@ def learn(train: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
     Document frequencies count every labelled row. The clusters are fitted on
     a bounded sample: about ``sample`` rows, split evenly among the languages,
     those with the smallest hash of id and text. Vectors of the sample come to
-    the driver (16 KB each). Rows with a null text or language teach nothing.
+    the driver (16 KB each) with the texts' first ``HEAD`` characters, on which
+    the least cosines are fitted. Rows with a null text or language teach nothing.
     """
     rows = (train.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"),
                          F.xxhash64(F.col(id_col), F.col(text_col)).alias("_h"))
@@ -140,18 +205,20 @@ def learn(train: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
     below = [(lang, int((1 << 63) * min(1.0, 1.3 * each / c + 20 / c))) for lang, c in n.items()]
     part = rows.sparkSession.createDataFrame([(a, min(b, (1 << 63) - 1)) for a, b in below], "lang string, _most long")
     few = (rows.join(F.broadcast(part), "lang").where(F.col("_h").bitwiseAND(F.lit((1 << 63) - 1)) <= F.col("_most"))
-           .select("lang", "text", "_h").mapInArrow(_vectors(idf), "lang string, _h long, v binary")
+           .select("lang", "text", "_h").mapInArrow(_vectors(idf), "lang string, _h long, v binary, head string")
            .limit(4 * sample + 100 * len(n)))
     got: dict[str, list] = {}
     for r in sorted(few.collect(), key=lambda r: (r["lang"], r["_h"] & ((1 << 63) - 1), r["v"])):
-        got.setdefault(r["lang"], []).append(r["v"])
-    centres, names = [], []
+        got.setdefault(r["lang"], []).append((r["v"], r["head"]))
+    centres, names, clean = [], [], []
     for lang in sorted(got):
-        v = np.stack([np.frombuffer(x, np.float32) for x in got[lang][:each]])
+        v = np.stack([np.frombuffer(x, np.float32) for x, _ in got[lang][:each]])
         c = cluster(v, centroids)
         centres.append(c)
         names += [lang] * len(c)
-    return LanguageModel(idf, np.concatenate(centres).astype(np.float32), names)
+        clean.append(_clean_cosines(v, [head for _, head in got[lang][:each]], idf, centroids))
+    least = np.repeat(_least_cosines(clean), [len(c) for c in centres], axis=0)
+    return LanguageModel(idf, np.concatenate(centres).astype(np.float32), names, least)
 
 
 def _predictor(model: LanguageModel | None):
@@ -159,37 +226,43 @@ def _predictor(model: LanguageModel | None):
         for part in _blocks(batches):
             texts = part.column("text")
             letters = np.array([t is not None and _LETTER.search(t) is not None for t in texts.to_pylist()], bool)
-            lang, score = [UNDETERMINED] * part.num_rows, np.zeros(part.num_rows)
+            lang, score, least = [UNDETERMINED] * part.num_rows, np.zeros(part.num_rows), np.zeros(part.num_rows)
             if model is not None and letters.any():
-                cos = _weigh(gram_counts(texts), model.idf) @ model.centroids.T
+                v = _weigh(gram_counts(texts), model.idf)
+                cos = v @ model.centroids.T
                 best = np.argmax(cos, axis=1)
+                least = model.least[best, length_class(v)]
                 score = np.where(letters, np.clip(cos[np.arange(len(best)), best], 0, 1), 0).astype(float)
                 lang = [model.languages[b] if ok else UNDETERMINED for b, ok in zip(best, letters)]
             yield pa.RecordBatch.from_arrays(
                 [*[c for c, name in zip(part.columns, part.schema.names) if name != "text"], pa.array(lang),
-                 pa.array(score)], names=[*[x for x in part.schema.names if x != "text"], "lang_pred", "score"])
+                 pa.array(score), pa.array(least)],
+                names=[*[x for x in part.schema.names if x != "text"], "lang_pred", "score", "_least"])
     return predict
 
 
 def identify(docs: DataFrame, model: LanguageModel | None, keep: list[Column] | None = None,
-             text_col: str = "text", max_distance: float = 0.97) -> DataFrame:
+             text_col: str = "text", max_distance: float | None = None) -> DataFrame:
     """(kept columns, lang_pred, score, rejected) for every row, whole texts.
 
     ``keep`` are the columns carried along (default: none). ``lang_pred`` is a
     learned language, or ``und`` for a null text or one without a letter (or
     without a model), with score 0. ``score`` is the cosine to the nearest
-    centroid, 0 to 1. ``rejected``: undetermined, or farther than
-    ``max_distance`` (1 - cosine) from every centroid. Ties go to the first
-    language by name. Repeated rows and ids give repeated results.
+    centroid, 0 to 1. ``rejected``: undetermined, or farther from the nearest
+    centroid than the model's bound for its language and a text of that length
+    (with ``max_distance``, than that, as 1 - cosine). A few letters may pass
+    as any language. Ties go to the first language by name. Repeated rows and
+    ids give repeated results.
     """
     cols = [c.alias(f"_c{i}") for i, c in enumerate(keep or [])]
     slim = docs.select(*cols, F.col(text_col).alias("text"))
     fields = [f for f in slim.schema.fields if f.name != "text"]
-    schema = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in fields] + ["lang_pred string", "score double"])
+    schema = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in fields] + ["lang_pred string", "score double", "_least double"])
     out = slim.mapInArrow(_predictor(model), schema)
     names = [docs.select(c).columns[0] for c in keep or []]
+    far = F.col("score") < F.col("_least") if max_distance is None else 1 - F.col("score") > max_distance
     return out.select(*[F.col(f.name).alias(n) for f, n in zip(fields, names)], "lang_pred", "score",
-                      ((F.col("lang_pred") == UNDETERMINED) | (1 - F.col("score") > max_distance)).alias("rejected"))
+                      ((F.col("lang_pred") == UNDETERMINED) | far).alias("rejected"))
 
 
 def held_out(id_col: str = "doc_id") -> Column:

@@ -279,6 +279,33 @@ def test_languages(spark):
     assert identify(odd, None).where("lang_pred != 'und'").count() == 0
 
 
+def test_far_texts_are_rejected_and_short_clean_ones_stay(spark):
+    import random
+    import string
+
+    import corpus_pipeline
+    from pozo.llm.language_id import held_out, identify, learn
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = learn(docs.where(~held_out()))
+    rnd = random.Random(3)
+    junk = ["Все счастливые семьи похожи друг на друга, каждая несчастливая семья несчастлива по-своему.",
+            "모든 인간은 태어날 때부터 자유로우며 그 존엄과 권리에 있어 동등하다.",
+            "كل إنسان يولد حرا ومتساويا في الكرامة والحقوق وقد وهبوا عقلا وضميرا.",
+            "人人生而自由，在尊严和权利上一律平等。他们赋有理性和良心。", "すべての人間は、生まれながらにして自由である。"]
+    junk += ["".join(rnd.choices(string.ascii_lowercase, k=n)) for n in (60, 120, 500, 5000)]
+    junk += [" ".join("".join(rnd.choices(string.ascii_lowercase, k=rnd.randint(2, 9))) for _ in range(n)) for n in (15, 80, 800)]
+    junk += [base64.b64encode(rnd.randbytes(n)).decode() for n in (60, 600)]
+    clean = [r["text"][:n] for r in docs.where(held_out() & F.col("text").rlike("^[^0-9]{60}")).collect() for n in (8, 16, 32, 60)]
+    rows = spark.createDataFrame([(i, x, len(junk) > i) for i, x in enumerate(junk + clean)], "doc_id long, text string, junk boolean")
+    by = {r["doc_id"]: r for r in identify(rows, model, [F.col("doc_id")]).collect()}
+    assert [junk[i] for i in range(len(junk)) if not by[i]["rejected"]] == []
+    assert len(clean) > 100 and sum(by[i]["rejected"] for i in range(len(junk), len(by))) <= 0.01 * len(clean)
+    # in the stage: the junk goes, labelled documents stay
+    mixed = docs.select("doc_id", "text", "lang").unionByName(rows.where("junk").selectExpr("-1 - doc_id as doc_id", "text", "null as lang"))
+    kept = corpus_pipeline.language(spark, mixed, "").collect()
+    assert not [r["text"] for r in kept if r["doc_id"] < 0] and len(kept) >= 0.99 * docs.where("text rlike '\\\\p{L}'").count()
+
+
 def test_pipeline_on_awkward_rows(spark, documents, empty, tmp_path):
     import corpus_pipeline
     bench = spark.createDataFrame([(1, "no such words in any text of this small test corpus here")], "item_id long, text string")
