@@ -8,7 +8,7 @@ other, where pivots alone cannot part them. So regions are formed in two steps.
    symmetric difference that fall into it); these add up to the whole
    difference, so linked sets are at distance 0 in some part: they have the
    same content there. Sets meet where a part's content is equal. (Small sets
-   meet on their first elements instead: linked sets share one of those.) Of the sets that
+   meet on their rarest elements instead: linked sets share one of those.) Of the sets that
    meet, sizes and parity sketches part most that are not linked; neither ever
    exceeds the true difference. What is left, directly or through others,
    forms a region; no link leaves it.
@@ -36,9 +36,9 @@ from pyspark.sql import functions as F
 from pozo.llm.frames import connected, cut_lineage, row_key, shuffle_tasks
 from pozo.llm.textgrams import BLANKS, Words, gram_hashes, mix, pieces
 
-SMALL = 30            # sets up to this size meet on their first elements
+SMALL = 30            # sets up to this size meet on their rarest elements
 GROWTH = 1.25         # width of a size class
-BLOCK = 3000          # sets of a region compared in one task
+BLOCK = 3000          # sets of a region or cell in one block; a task compares two
 LONG = 200_000        # rows of one meeting place held together
 SEEN = 50_000         # set keys a worker remembers, so that copies meet once per task
 _U = np.uint64
@@ -119,16 +119,10 @@ def size_classes(rule: Rule, top: int) -> list[tuple[int, int, int]]:
 
 
 def meeting_places(g: np.ndarray, offs: np.ndarray, rule: Rule) -> tuple[np.ndarray, np.ndarray]:
-    """(place, set) for every place each set goes to."""
+    """(place, set) for every place each set above ``SMALL`` goes to."""
     size = np.diff(offs)
     places, owner = [], []
     with np.errstate(over="ignore"):
-        small = np.flatnonzero((size > 0) & (size <= rule.most(SMALL)))
-        for s in small.tolist():
-            n = int(size[s])
-            first = g[offs[s]:offs[s] + n - rule.least(n) + 1]     # in hash order
-            places.append(mix(first ^ _U(0x2545F4914F6CDD1D)))
-            owner.append(np.full(len(first), s))
         top = int(size.max(initial=0))
         for low, parts, spare in size_classes(rule, rule.most(top)):
             high = max(low, int(low * GROWTH))
@@ -158,7 +152,7 @@ def meeting_places(g: np.ndarray, offs: np.ndarray, rule: Rule) -> tuple[np.ndar
     return np.concatenate(places).view(np.int64), np.concatenate(owner)
 
 
-def _describe(k: int):
+def _describe(k: int, rule: Rule):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch, "text"):
@@ -168,8 +162,10 @@ def _describe(k: int):
                     [part.column("_id"), part.column("_k1"), part.column("_k2"), pa.array(np.diff(offs), pa.int64()),
                      pa.array(s1), pa.array(s2),
                      pa.array([sketch(g[a:b], sketch_bits(b - a)).tobytes() if b > a else None
+                               for a, b in zip(offs[:-1].tolist(), offs[1:].tolist())], pa.binary()),
+                     pa.array([g[a:b].tobytes() if a < b <= a + rule.most(SMALL) else None
                                for a, b in zip(offs[:-1].tolist(), offs[1:].tolist())], pa.binary())],
-                    names=["_id", "_k1", "_k2", "n", "s1", "s2", "sketch"])
+                    names=["_id", "_k1", "_k2", "n", "s1", "s2", "sketch", "few"])
     return run
 
 
@@ -196,6 +192,49 @@ def _meet(k: int, rule: Rule):
     return run
 
 
+def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, 4096):
+            part = batch.slice(at, 4096)
+            g = [np.frombuffer(x, np.int64) for x in part.column("few").to_pylist()]
+            of = np.repeat(np.arange(len(g)), [len(x) for x in g])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate(g)), part.column("s1").take(pa.array(of)), part.column("n").take(pa.array(of))],
+                names=["element", "s1", "n"])
+
+
+def small_places(slim: DataFrame, rule: Rule) -> DataFrame:
+    """(place, s1) for sets up to ``rule.most(SMALL)`` elements: their rarest ones.
+
+    Of two linked sets, of n elements and more, the first n - least(n) + 1 in
+    any one order have an element in common. Ordered by the number of sets that
+    have it, a line many texts quote is hardly ever among those.
+    """
+    few = cut_lineage(slim.where("few is not null").groupBy("s1").agg(F.max(F.struct("n", "few")).alias("x"))
+                      .select("s1", "x.n", "x.few"))
+    held = few.mapInArrow(_elements, "element bigint, s1 bigint, n bigint")
+    often = held.groupBy("element").agg(F.count("*").alias("f"))
+    ranked = (held.join(often, "element").groupBy("s1", "n")
+              .agg(F.array_sort(F.collect_list(F.struct("f", "element"))).alias("e")))
+    first = F.col("n") - F.ceil(rule.percent * F.col("n") / 100) + 1
+    return (ranked.select("s1", F.explode(F.slice("e", F.lit(1), first.cast("int"))).alias("e")).where("e.f > 1")
+            .select(F.xxhash64(F.lit(0x2545F491), "e.element").alias("place"), "s1"))
+
+
+def deal(rows: DataFrame, by: str, members: list[str], block: int) -> DataFrame:
+    """``rows`` with the pairs of blocks (``_i``, ``_j``) of their group that they go to.
+
+    A group of more than ``block`` rows has several blocks, and every two rows
+    of a group meet under some pair.
+    """
+    large = (rows.groupBy(by).agg(F.count("*").alias("c")).where(F.col("c") > block)
+             .select(by, F.ceil(F.col("c") / block).cast("int").alias("_n")))
+    rows_ = rows.join(large, by, "left").withColumn("_n", F.coalesce("_n", F.lit(1)))
+    rows_ = rows_.withColumn("_b", F.pmod(F.xxhash64(*members), F.col("_n")).cast("int"))
+    dealt = rows_.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+    return dealt.select(*rows.columns, F.least("_b", "_o").alias("_i"), F.greatest("_b", "_o").alias("_j"))
+
+
 def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by (place, s1): the sets of every place where at least two meet.
 
@@ -297,7 +336,7 @@ def _near(sizes: np.ndarray, sketches: list[np.ndarray], rule: Rule) -> list[tup
 
 def _candidates(rule: Rule):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows sorted by cell, with sketches: pairs that may be linked."""
+        """Rows sorted by cell and blocks, with sketches: pairs that may be linked."""
         held: list[tuple] = []
         cell = None
 
@@ -309,7 +348,7 @@ def _candidates(rule: Rule):
 
         for batch in batches:
             out_a, out_b = [], []
-            for c, s, n, bits in zip(*(batch.column(x).to_pylist() for x in ("cell", "s1", "n", "sketch"))):
+            for *c, s, n, bits in zip(*(batch.column(x).to_pylist() for x in ("cell", "_i", "_j", "s1", "n", "sketch"))):
                 if c != cell:
                     a, b = close()
                     out_a += a
@@ -460,23 +499,26 @@ def classes(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_i
     other columns are ignored; an empty table gives an empty result.
 
     Equal sets are one node from the start, and a worker sends a set's copies to
-    the meeting places once. A region of more than ``block`` sets is dealt to
-    several tasks, each with two blocks of it, so that all pairs still meet.
+    the meeting places once. A cell or region of more than ``block`` sets is dealt
+    to several tasks, each with two blocks of it, so that all pairs still meet.
     """
     rule = Rule(percent)
     spark = docs.sparkSession
     base = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text"))
     base = base.select("_id", *row_key("_id", "text"), "text")
     kind = docs.schema[id_col].dataType.simpleString()
-    slim = cut_lineage(base.mapInArrow(_describe(k), f"_id {kind}, _k1 bigint, _k2 bigint, n bigint, s1 bigint, s2 bigint, sketch binary"))
+    slim = cut_lineage(base.mapInArrow(
+        _describe(k, rule), f"_id {kind}, _k1 bigint, _k2 bigint, n bigint, s1 bigint, s2 bigint, sketch binary, few binary"))
     met = base.where("text is not null").select("text").mapInArrow(_meet(k, rule), "place bigint, s1 bigint")
+    met = met.unionByName(small_places(slim, rule))
     cells = cut_lineage(met.repartition(shuffle_tasks(spark), "place").sortWithinPartitions("place", "s1")
                         .mapInArrow(_cells, "cell bigint, s1 bigint").distinct())
     # Sets that meet by chance (a passage many texts quote) are parted by their sketches.
     bits = cut_lineage(slim.where("n > 0").groupBy("s1").agg(F.max(F.struct("n", "sketch")).alias("x"))
                        .select("s1", "x.n", "x.sketch"))
-    near = (cells.join(bits, "s1").select("cell", "s1", "n", "sketch").repartition(shuffle_tasks(spark), "cell")
-            .sortWithinPartitions("cell").mapInArrow(_candidates(rule), "a bigint, b bigint"))
+    near = (deal(cells, "cell", ["s1"], block).join(bits, "s1").select("cell", "_i", "_j", "s1", "n", "sketch")
+            .repartition(shuffle_tasks(spark), "cell", "_i", "_j").sortWithinPartitions("cell", "_i", "_j")
+            .mapInArrow(_candidates(rule), "a bigint, b bigint"))
     regions = connected(near.distinct()).select(F.col("node").alias("s1"), F.col("root").alias("region"))
     # One text per set of a region.
     one = slim.where("n > 0").groupBy("s1", "s2").agg(F.min(F.struct("_k1", "_k2")).alias("_k")).join(regions, "s1")
@@ -484,11 +526,7 @@ def classes(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_i
     texts = base.select("_k1", "_k2", "text").where("text is not null")
     sets = cut_lineage(texts.join(one, ["_k1", "_k2"]).select("s1", "s2", "region", "text")
                        .mapInArrow(_store(k), "s1 bigint, s2 bigint, region bigint, elements binary"))
-    large = (sets.groupBy("region").agg(F.count("*").alias("c"))
-             .select("region", F.ceil(F.col("c") / block).cast("int").alias("blocks")))
-    sets = sets.join(large, "region").withColumn("_b", F.pmod(F.xxhash64("s1", "s2"), F.col("blocks")).cast("int"))
-    dealt = sets.select("region", "s1", "s2", "elements", "_b", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("_o"))
-    dealt = dealt.select("region", F.least("_b", "_o").alias("_i"), F.greatest("_b", "_o").alias("_j"), "s1", "s2", "elements")
+    dealt = deal(sets, "region", ["s1", "s2"], block)
     edges = dealt.groupBy("region", "_i", "_j").applyInArrow(_join_region(rule), "a string, b string")
     roots = connected(edges)
     nodes = slim.where("n > 0").groupBy("s1", "s2").agg(F.min("_id").alias("low")).select(_node().alias("node"), "s1", "s2", "low")

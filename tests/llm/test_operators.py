@@ -189,6 +189,30 @@ def test_shingle_classes(documents, empty, k, percent, block):
         assert classes(empty).count() == 0
 
 
+def test_common_lines_and_large_cells_do_not_meet_in_one_task(spark, words):
+    import random
+
+    from pozo.llm.jaccard import Rule, _describe, classes, deal, small_places
+    from pozo.llm.frames import row_key
+    rnd = random.Random(8)
+    line = " ".join(rnd.choices(words, k=14))
+    texts = [f"{line} {' '.join(rnd.choices(words, k=18))}" for _ in range(200)]
+    texts += [" ".join([*t.split()[:-1], "other"]) for t in texts[:20]]          # one shingle of 28 differs
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    base = docs.select(F.col("doc_id").alias("_id"), *row_key("doc_id", "text"), "text")
+    slim = base.mapInArrow(_describe(5, Rule(80)), "_id long, _k1 long, _k2 long, n long, s1 long, s2 long, sketch binary, few binary")
+    places = small_places(slim, Rule(80)).groupBy("place").count().agg(F.max("count")).first()[0]
+    assert places == 2                                                             # the line's shingles are in 220 sets
+    got = {r["doc_id"]: r["component_id"] for r in classes(docs, block=7).collect()}
+    assert got == {i: i - 200 if i >= 200 else i for i in range(220)}
+    rows = spark.range(100).select(F.lit(1).alias("cell"), F.col("id").alias("s1")).union(spark.range(100, 103).select(F.lit(2), "id"))
+    met = defaultdict(set)
+    for r in deal(rows, "cell", ["s1"], 20).collect():
+        met[r["cell"], r["_i"], r["_j"]].add(r["s1"])
+    assert met.pop((2, 0, 0)) == {100, 101, 102} and max(map(len, met.values())) < 80
+    assert {(a, b) for s in met.values() for a in s for b in s} == {(a, b) for a in range(100) for b in range(100)}
+
+
 def test_region_join_is_exact():
     from pozo.llm.jaccard import Region, Rule
     rng = np.random.default_rng(3)
