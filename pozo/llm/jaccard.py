@@ -39,6 +39,8 @@ from pozo.llm.textgrams import BLANKS, Words, gram_hashes, mix, pieces
 SMALL = 30            # sets up to this size meet on their rarest elements
 GROWTH = 1.25         # width of a size class
 BLOCK = 3000          # sets of a region or cell in one block; a task compares two
+BLOCK_BYTES = 64 << 20    # elements of a region in one block, on average
+GATHER = 1 << 20      # elements compared with a pivot at a time, besides one set
 LONG = 200_000        # rows of one meeting place held together
 SEEN = 50_000         # set keys a worker remembers, so that copies meet once per task
 _U = np.uint64
@@ -221,14 +223,16 @@ def small_places(slim: DataFrame, rule: Rule) -> DataFrame:
             .select(F.xxhash64(F.lit(0x2545F491), "e.element").alias("place"), "s1"))
 
 
-def deal(rows: DataFrame, by: str, members: list[str], block: int) -> DataFrame:
+def deal(rows: DataFrame, by: str, members: list[str], block: int, weight: str | None = None,
+         block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``rows`` with the pairs of blocks (``_i``, ``_j``) of their group that they go to.
 
-    A group of more than ``block`` rows has several blocks, and every two rows
-    of a group meet under some pair.
+    A group of more than ``block`` rows, or ``block_bytes`` bytes in the column
+    ``weight``, has several blocks, and every two rows of a group meet under some pair.
     """
-    large = (rows.groupBy(by).agg(F.count("*").alias("c")).where(F.col("c") > block)
-             .select(by, F.ceil(F.col("c") / block).cast("int").alias("_n")))
+    heavy = F.sum(F.octet_length(weight)) / block_bytes if weight else F.lit(1)
+    large = (rows.groupBy(by).agg(F.ceil(F.greatest(F.count("*") / block, heavy)).cast("int").alias("_n"))
+             .where("_n > 1"))
     rows_ = rows.join(large, by, "left").withColumn("_n", F.coalesce("_n", F.lit(1)))
     rows_ = rows_.withColumn("_b", F.pmod(F.xxhash64(*members), F.col("_n")).cast("int"))
     dealt = rows_.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
@@ -394,12 +398,16 @@ class Region:
     def shared(self, p: int, others: np.ndarray) -> np.ndarray:
         """Intersection size of set p with each of ``others``."""
         pivot = self.sets[p]
-        flat = np.concatenate([self.sets[i] for i in others])
-        at = np.searchsorted(pivot, flat)
-        at[at == len(pivot)] = 0
-        ends = np.cumsum(self.size[others])
-        run = np.r_[0, np.cumsum(pivot[at] == flat)]
-        return run[ends] - run[ends - self.size[others]]
+        piece = np.cumsum(self.size[others]) // GATHER
+        found = []
+        for some in np.split(others, np.flatnonzero(piece[1:] != piece[:-1]) + 1):
+            flat = np.concatenate([self.sets[i] for i in some])
+            at = np.searchsorted(pivot, flat)
+            at[at == len(pivot)] = 0
+            ends = np.cumsum(self.size[some])
+            run = np.r_[0, np.cumsum(pivot[at] == flat)]
+            found.append(run[ends] - run[ends - self.size[some]])
+        return np.concatenate(found)
 
     def _compare(self, p: int, others: np.ndarray) -> np.ndarray:
         """Link p with those of ``others`` that it must link with; their distances."""
@@ -470,8 +478,8 @@ def _join_region(rule: Rule):
     def run(table: pa.Table) -> pa.Table:
         s1, s2 = table.column("s1").to_pylist(), table.column("s2").to_pylist()
         order = sorted(range(len(s1)), key=lambda i: (s1[i], s2[i]))
-        elements = table.column("elements").to_pylist()
-        edges = Region([np.frombuffer(elements[i], _U) for i in order], rule).join()
+        elements = table.column("elements")
+        edges = Region([np.frombuffer(elements[i].as_buffer(), _U) for i in order], rule).join()
         ends = [[order[e[side]] for e in edges] for side in (0, 1)]
         name = lambda i: f"{s1[i] & (2 ** 64 - 1):016x}{s2[i] & (2 ** 64 - 1):016x}"
         return pa.table({"a": pa.array([name(i) for i in ends[0]], pa.string()),
@@ -499,8 +507,9 @@ def classes(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_i
     other columns are ignored; an empty table gives an empty result.
 
     Equal sets are one node from the start, and a worker sends a set's copies to
-    the meeting places once. A cell or region of more than ``block`` sets is dealt
-    to several tasks, each with two blocks of it, so that all pairs still meet.
+    the meeting places once. A cell or region of more than ``block`` sets, or a
+    region of more than ``BLOCK_BYTES`` of them, is dealt to several tasks, each
+    with two blocks of it, so that all pairs still meet.
     """
     rule = Rule(percent)
     spark = docs.sparkSession
@@ -526,7 +535,7 @@ def classes(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_i
     texts = base.select("_k1", "_k2", "text").where("text is not null")
     sets = cut_lineage(texts.join(one, ["_k1", "_k2"]).select("s1", "s2", "region", "text")
                        .mapInArrow(_store(k), "s1 bigint, s2 bigint, region bigint, elements binary"))
-    dealt = deal(sets, "region", ["s1", "s2"], block)
+    dealt = deal(sets, "region", ["s1", "s2"], block, "elements")
     edges = dealt.groupBy("region", "_i", "_j").applyInArrow(_join_region(rule), "a string, b string")
     roots = connected(edges)
     nodes = slim.where("n > 0").groupBy("s1", "s2").agg(F.min("_id").alias("low")).select(_node().alias("node"), "s1", "s2", "low")
