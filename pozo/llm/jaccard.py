@@ -553,9 +553,9 @@ def one_per_class(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str =
     found = classes(docs, k, percent, id_col, text_col)
     keep = (found.where((F.col("n_shingles") > 0) & F.col(id_col).eqNullSafe(F.col("component_id")))
             .groupBy("component_id").agg(F.min(F.struct("_k1", "_k2")).alias("_k"))
-            .select(F.col("_k._k1").alias("_k1"), F.col("_k._k2").alias("_k2")))
-    bare = found.where("n_shingles = 0").select("_k1", "_k2").distinct()
-    keyed = docs.withColumn("_pz_key", F.struct(*row_key(id_col, text_col)))
-    kept = keyed.join(keep.unionByName(bare).select(F.struct("_k1", "_k2").alias("_pz_key")), "_pz_key", "left_semi")
+            .select(F.struct(F.col("_k._k1").alias("_k1"), F.col("_k._k2").alias("_k2")).alias("_pz_key")))
+    worded = F.coalesce(F.col(text_col).rlike("[^\\x20\\x09-\\x0D]"), F.lit(False))
+    keyed = docs.where(worded).withColumn("_pz_key", F.struct(*row_key(id_col, text_col)))
     # Equal rows share a key: they are the same document, of which one stays.
-    return kept.dropDuplicates(["_pz_key"]).select(docs.columns)
+    kept = keyed.join(keep, "_pz_key", "left_semi").dropDuplicates(["_pz_key"]).select(docs.columns)
+    return kept.unionByName(docs.where(~worded))

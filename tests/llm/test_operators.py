@@ -213,6 +213,16 @@ def test_common_lines_and_large_cells_do_not_meet_in_one_task(spark, words):
     assert {(a, b) for s in met.values() for a in s for b in s} == {(a, b) for a in range(100) for b in range(100)}
 
 
+def test_rows_without_words_are_all_kept(spark):
+    from pozo.llm.jaccard import one_per_class
+    rows = [(1, None, "a"), (1, None, "b"), (1, None, "b"), (2, " \t\x0b\n", "a"), (2, " \t\x0b\n", "b"), (None, "", "a"), (None, "", "c"),
+            (3, "some words", "a"), (3, "some words", "b"), (4, "Some  words", "a"), (5, "\x85", "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = Counter((r["doc_id"], r["text"], r["source"]) for r in one_per_class(docs).collect())
+    assert sum(n for r, n in got.items() if r[0] == 3) == 1 and (4, "Some  words", "a") not in got
+    assert +Counter({r: n for r, n in got.items() if r[0] != 3}) == Counter([*rows[:7], rows[10]])
+
+
 def test_region_join_is_exact():
     from pozo.llm.jaccard import Region, Rule
     rng = np.random.default_rng(3)
