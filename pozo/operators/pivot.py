@@ -1,4 +1,8 @@
-"""Long-to-wide category sums, and regex column selection."""
+"""Long-to-wide category sums, and regex column selection.
+
+Category columns are numbered while they are worked on and named last, so any
+spelling of a category can be a column (see :mod:`pozo.operators.names`).
+"""
 
 from __future__ import annotations
 
@@ -9,13 +13,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pozo.functions.nulls import strict_sum
+from pozo.operators.names import unique_names
 
 # Column name a NULL category gets (as R names it).
 NULL_CATEGORY_NAME = "NA"
 
 
+def category_names(categories: Sequence[str | None], null_name: str = NULL_CATEGORY_NAME) -> list[str]:
+    return [null_name if c is None else c for c in categories]
+
+
+def is_category(category: str, cat: str | None) -> Column:
+    """Whether a row is of one category, letter for letter (None: no category)."""
+    return F.col(category).isNull() if cat is None else F.col(category) == F.lit(cat)
+
+
 def pivot_sums(df: DataFrame, key: str, category: str, value: str,
-               categories: Sequence[str | None], extra_aggs: Sequence[Column] = ()) -> DataFrame:
+               categories: Sequence[str | None], extra_aggs: Sequence[Column] = (),
+               null_name: str = NULL_CATEGORY_NAME) -> DataFrame:
     """One row per ``key`` and one strict-sum column per category.
 
     Equivalent to summing per (key, category) and pivoting wider: a cell is
@@ -23,45 +38,26 @@ def pivot_sums(df: DataFrame, key: str, category: str, value: str,
     value is NULL. Written as conditional aggregates, it is one partial +
     final aggregation with one shuffle on ``key`` (the generic pivot needs
     two), and the category list fixes the schema even for an empty input.
+    Categories that differ in case are columns of their own; two columns of
+    the very same name raise an error.
     """
-    cols = []
-    for cat in categories:
-        cond, name = _cat(category, cat)
-        cols.append(strict_sum(value, where=cond).alias(name))
-    return df.groupBy(key).agg(*cols, *extra_aggs)
-
+    names = unique_names([key, *category_names(categories, null_name)])
+    cols = [strict_sum(value, where=is_category(category, c)).alias(f"_c{i}") for i, c in enumerate(categories)]
+    out = df.groupBy(key).agg(*cols, *extra_aggs)
+    return out.toDF(*names, *out.columns[len(names):])
 
-def _cat(category: str, cat: str | None) -> tuple[Column, str]:
-    if cat is None:
-        return F.col(category).isNull(), NULL_CATEGORY_NAME
-    return F.col(category) == F.lit(cat), cat
 
+def pivot_grain(grain: DataFrame, key: str, category: str, cell: Column,
+                categories: Sequence[str | None]) -> DataFrame:
+    """``grain`` (one row per key and category) made wide: ``key`` and ``_c0``, ``_c1``, ... with each category's ``cell``."""
+    return grain.groupBy(key).agg(*[F.max(F.when(is_category(category, c), cell)).alias(f"_c{i}")
+                                    for i, c in enumerate(categories)])
 
-def pivot_counters(df: DataFrame, keys: Sequence[str], category: str, value: str,
-                   categories: Sequence[str | None]) -> DataFrame:
-    """Mergeable parts of :func:`pivot_sums`: per category, rows, non-NULL values, sum.
 
-    Counters from any split of the rows add up to the counters of the whole,
-    so they can be built per payer key and merged per member after a join.
-    """
-    cols = []
-    for cat in categories:
-        cond, name = _cat(category, cat)
-        v = F.when(cond, F.col(value))
-        cols += [F.count(F.when(cond, F.lit(1))).alias(f"{name}__n"),
-                 F.count(v).alias(f"{name}__nn"),
-                 F.sum(v).alias(f"{name}__s")]
-    return df.groupBy(*keys).agg(*cols)
-
-
-def pivot_from_counters(df: DataFrame, key: str, categories: Sequence[str | None]) -> DataFrame:
-    """Merge counters per ``key`` and apply the strict rule (same cells as pivot_sums)."""
-    cols = []
-    for cat in categories:
-        _, name = _cat("_", cat)
-        n, nn = F.sum(f"`{name}__n`"), F.sum(f"`{name}__nn`")
-        cols.append(F.when((n > 0) & (nn == n), F.sum(f"`{name}__s`")).alias(name))
-    return df.groupBy(key).agg(*cols)
+def matching(names: Sequence[str], pattern: str, ignore_case: bool = True) -> list[str]:
+    """Those of ``names`` that contain a match of ``pattern``; may be none."""
+    rx = re.compile(pattern, re.IGNORECASE if ignore_case else 0)
+    return [n for n in names if rx.search(n)]
 
 
 def select_matching(df: DataFrame, pattern: str, ignore_case: bool = True) -> list[str]:
@@ -69,6 +65,4 @@ def select_matching(df: DataFrame, pattern: str, ignore_case: bool = True) -> li
 
     Unanchored and case-insensitive by default; may return no column.
     """
-    flags = re.IGNORECASE if ignore_case else 0
-    rx = re.compile(pattern, flags)
-    return [c for c in df.columns if rx.search(c)]
+    return matching(df.columns, pattern, ignore_case)

@@ -26,6 +26,7 @@ class Params:
     dues_category: str = "Aporte"                # ledger category holding dues
     fine_pattern: str = "Técnica"                # category columns kept in dues view
     categories: tuple | None = None              # pivot columns, in output order; None: all of the year's
+    null_category: str = "NA"                    # column of payments without a category
     max_categories: int = 500                    # more distinct categories than this raise an error
 
     year: int | None = None

@@ -19,7 +19,7 @@ def display_names(df: DataFrame, headings: dict[str, str]) -> DataFrame:
 
     Metadata only: the plan gains one projection and no job runs.
     """
-    return df.select(*[F.col(f"`{c}`").alias(headings.get(c, c)) for c in df.columns])
+    return df.toDF(*[headings.get(c, c) for c in df.columns])
 
 
 def member_cards(members: DataFrame, template: str = CARD_TEMPLATE) -> DataFrame:

@@ -3,18 +3,23 @@
 from __future__ import annotations
 
 import datetime as _dt
-from dataclasses import replace
+from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pozo.functions.text import title_case
-from pozo.operators.pivot import pivot_counters, pivot_from_counters, pivot_sums, select_matching
+from pozo.operators.names import Exact, unique_names
+from pozo.operators.pivot import category_names, matching, pivot_grain
 from pozo.params import Params
+from pozo.session import cut_lineage
 from pozo.sources.keyed import KeyedLedger, Ledger
 from pozo.sources.ledger_store import capped, is_stored
 from pozo.sources.schemas import TOTAL
 
+NAME_HINT = "; rename the category, or set Params(null_category=...) for payments without one"
+
 
 def year_slice(ledger: Ledger, year: int) -> Ledger:
     """Ledger rows dated in ``year``, as a date range the scan can push down."""
@@ -26,47 +31,84 @@ def year_slice(ledger: Ledger, year: int) -> Ledger:
     return ledger.where(cond)
 
 
-def category_pivot(ledger: Ledger, params: Params = Params()) -> DataFrame:
-    """One row per member paying this year; one strict-sum column per category.
+@dataclass(frozen=True)
+class DuesGrain:
+    """The year's payments summed once: ``rows`` has one row per (member, category).
 
-    A member/category cell is NULL when the member paid nothing in that
-    category, or when any of those amounts is NULL.
+    Columns ``miembro``, ``concepto``, payments ``n``, those with an amount ``nn``,
+    their sum ``s`` and the latest month ``m``. Every dues report can be given a
+    grain in place of the ledger, so that several share one pass over it.
+    """
+
+    rows: DataFrame
+    year: int
+    as_of: _dt.date | None = None
+
+
+def year_sums(ledger: Ledger, params: Params = Params()) -> DataFrame:
+    """The year's payments summed per (member, category): the rows of a :class:`DuesGrain`.
+
+    A keyed ledger is summed per payer key before names are attached. The sums
+    merge: rows, non-NULL values and their total tell the strict sum.
     """
-    y = year_slice(ledger, params.report_year())
-    return _pivot(y, params)
+    y = year_slice(capped(ledger, params.as_of), params.report_year())
+    sums = [F.count(F.lit(1)).alias("n"), F.count("aporte").alias("nn"), F.sum("aporte").alias("s"),
+            F.max(F.month("fecha")).alias("m")]
+    if isinstance(y, KeyedLedger):
+        per_key = y.payments.groupBy(y.key, "concepto").agg(*sums)
+        return y.name(per_key).groupBy("miembro", "concepto").agg(
+            F.sum("n").alias("n"), F.sum("nn").alias("nn"), F.sum("s").cast(TOTAL).alias("s"), F.max("m").alias("m"))
+    return y.groupBy("miembro", "concepto").agg(*sums)
+
 
+def dues_grain(ledger: Ledger, params: Params = Params()) -> DuesGrain:
+    """Read the year's payments once and keep their sums in the checkpoint folder."""
+    return DuesGrain(cut_lineage(year_sums(ledger, params)), params.report_year(), params.as_of)
 
-def year_categories(y: Ledger, params: Params) -> tuple:
-    """Categories of the year slice, sorted, the dues category always among them.
 
-    Only the distinct names come to the driver; too many raise instead of
-    being left out.
+def _grain(ledger: Ledger | DuesGrain, params: Params) -> DuesGrain:
+    if not isinstance(ledger, DuesGrain):
+        return dues_grain(ledger, params)
+    if (ledger.year, ledger.as_of) != (params.report_year(), params.as_of):
+        raise ValueError("the sums given are of another year or day than the parameters ask for")
+    return ledger
+
+
+def _categories(g: DuesGrain, params: Params) -> tuple[tuple[str | None, ...], int | None]:
+    """The year's categories (or those asked for) and its latest month with a payment.
+
+    At most ``max_categories`` + 1 rows come to the driver; more categories raise
+    an error instead of being left out.
     """
-    # Of a keyed ledger only payments that have a payer count, as in the flat join.
-    rows = y.name(y.payments.select(y.key, "concepto").distinct()) if isinstance(y, KeyedLedger) else y
-    got = [r["concepto"] for r in rows.select("concepto").distinct().limit(params.max_categories + 1).collect()]
+    if params.categories is not None:
+        return tuple(params.categories), g.rows.agg(F.max("m")).first()[0]
+    got = g.rows.groupBy("concepto").agg(F.max("m").alias("m")).limit(params.max_categories + 1).collect()
     if len(got) > params.max_categories:
-        raise ValueError(f"more than {params.max_categories} categories in the year")
-    names = {c for c in got if c is not None} | {params.dues_category}
-    return (*sorted(names), *([None] if None in got else []))
+        raise ValueError(f"more than {params.max_categories} categories in the year: name the ones to show "
+                         "with Params(categories=...), or raise max_categories")
+    names = {r["concepto"] for r in got if r["concepto"] is not None} | {params.dues_category}
+    cats = (*sorted(names), *([None] if any(r["concepto"] is None for r in got) else []))
+    return cats, max((r["m"] for r in got), default=None)
 
 
-def _pivot(y: Ledger, params: Params) -> DataFrame:
-    if params.categories is None:
-        params = replace(params, categories=year_categories(y, params))
-    if isinstance(y, KeyedLedger):
-        # Counters per payer key, names attached at key grain, merged per member.
-        counters = pivot_counters(y.payments, [y.key], "concepto", "aporte", params.categories)
-        piv = pivot_from_counters(y.name(counters), "miembro", params.categories)
-        return piv.select("miembro", *[F.col(f"`{c}`").cast(TOTAL).alias(c) for c in piv.columns[1:]])
-    return pivot_sums(y, "miembro", "concepto", "aporte", params.categories)
+def _wide(g: DuesGrain, cats: Sequence[str | None]) -> DataFrame:
+    # A member/category has one row: its strict sum, or NULL when an amount is missing.
+    return pivot_grain(g.rows, "miembro", "concepto", F.when(F.col("nn") == F.col("n"), F.col("s")), cats)
 
 
-def _latest_month(y: Ledger) -> Column:
-    if isinstance(y, KeyedLedger):
-        per_key = y.payments.groupBy(y.key).agg(F.max(F.month("fecha")).alias("_pz_m"))
-        return y.name(per_key).select(F.max("_pz_m")).scalar()
-    return y.select(F.max(F.month("fecha"))).scalar()
+def category_pivot(ledger: Ledger | DuesGrain, params: Params = Params()) -> DataFrame:
+    """One row per member paying this year; one strict-sum column per category.
+
+    A member/category cell is NULL when the member paid nothing in that
+    category, or when any of those amounts is NULL. Categories are told apart
+    letter for letter ("Aporte" beside "aporte"); a missing category is the
+    column ``params.null_category``. A category that is named like that column
+    or like the member column raises an error.
+    """
+    g = _grain(ledger, params)
+    cats, _ = _categories(g, params)
+    names = unique_names(["miembro", *category_names(cats, params.null_category)], NAME_HINT)
+    return _wide(g, cats).toDF(*names)
 
 
 def _active_months(nmonth: Column, start: Column, year: int, mode: str) -> Column:
@@ -83,51 +125,53 @@ def _active_months(nmonth: Column, start: Column, year: int, mode: str) -> Colum
     raise ValueError("target_mode must be 'month_only' or 'calendar'")
 
 
-def _dues_frame(ledger: Ledger, members: DataFrame, params: Params) -> DataFrame:
-    """Members left-joined with this year's category sums, plus target and balance.
+def _dues_frame(g: DuesGrain, members: DataFrame, params: Params, cats: Sequence[str | None],
+                nmonth: int | None) -> DataFrame:
+    """Members left-joined with this year's category sums (``_c0``, ... as in ``cats``),
+    plus ``condicion``, ``pagado`` (the dues), ``objetivo`` and ``balance``.
 
-    Keeps ``condicion`` for the status report. The latest month with a payment
-    this year is one scalar shared by every row. With ``params.as_of`` only
-    payments up to that date count (a snapshot of the report on that day).
+    The latest month with a payment this year is one value shared by every row.
     """
-    year = params.report_year()
-    ledger = capped(ledger, params.as_of)
-    y = year_slice(ledger, year)
-    piv = _pivot(y, params).withColumnRenamed("miembro", "_k")
-    # One-row partial max over the pruned year slice; planned as a subquery.
-    nmonth = _latest_month(y)
-
+    piv = _wide(g, cats).withColumnRenamed("miembro", "_k")
     key = F.col("nombre_pago") if params.raw_member_keys else title_case("nombre_pago")
     m = members.select(key.alias("miembro"), "condicion", "fecha_inicio")
     j = m.join(piv, m["miembro"].eqNullSafe(piv["_k"]), "left").drop("_k")
 
-    dues_col = params.dues_category
-    if dues_col not in j.columns:
-        j = j.withColumn(dues_col, F.lit(None).cast(TOTAL))
+    paid = F.col(f"_c{cats.index(params.dues_category)}") if params.dues_category in cats else F.lit(None).cast(TOTAL)
     cond = F.col("condicion")
     inactive = cond == F.lit(params.inactive_label)
-    active_months = _active_months(nmonth, F.col("fecha_inicio"), year, params.target_mode)
+    active_months = _active_months(F.lit(nmonth).cast("int"), F.col("fecha_inicio"), g.year, params.target_mode)
     target = F.when(cond.isNull() | inactive, F.lit(0)).otherwise(active_months * F.lit(params.dues))
-    return (j.withColumn(dues_col, F.coalesce(F.col(dues_col), F.lit(0)))
+    return (j.withColumn("pagado", F.coalesce(paid, F.lit(0)))
             .withColumn("objetivo", target)
             .withColumn("balance", F.when(inactive, F.lit(params.inactive_balance))
-                        .otherwise(F.col(dues_col) - F.col("objetivo"))))
+                        .otherwise(F.col("pagado") - F.col("objetivo"))))
 
 
-def year_dues(ledger: Ledger, members: DataFrame, params: Params = Params()) -> DataFrame:
+def year_dues(ledger: Ledger | DuesGrain, members: DataFrame, params: Params = Params()) -> DataFrame:
     """Every registered member with this year's payments, target and balance.
 
     Columns: ``miembro``, the categories matching ``params.fine_pattern``,
     ``params.dues_category`` (NULL -> 0), ``objetivo``, ``balance``; sorted by
     balance, largest first. Payers missing from ``members`` are left out
-    (the report starts from the member table).
+    (the report starts from the member table). With ``params.as_of`` only
+    payments up to that date count.
+
+    A fine column exists when the year has a payment of that category (or
+    ``params.categories`` names it): a year without any has no such column.
+    Categories are told apart letter for letter. Categories called "objetivo" or
+    "balance" are not shown, the computed columns are; one called "miembro" that
+    matches the pattern raises an error.
     """
-    out = _dues_frame(ledger, members, params)
-    dues_col = params.dues_category
-    fines = [c for c in select_matching(out, params.fine_pattern)
-             if c not in ("miembro", dues_col, "objetivo", "balance")]
-    return (out.select("miembro", *fines, dues_col, "objetivo", "balance")
-            .orderBy(F.col("balance").desc_nulls_last(), F.col("miembro").asc_nulls_first()))
+    g = _grain(ledger, params)
+    cats, nmonth = _categories(g, params)
+    names = category_names(cats, params.null_category)
+    shown = set(matching(names, params.fine_pattern)) - {params.dues_category, "objetivo", "balance"}
+    fines = [i for i, n in enumerate(names) if n in shown]
+    out = unique_names(["miembro", *[names[i] for i in fines], params.dues_category, "objetivo", "balance"], NAME_HINT)
+    return (_dues_frame(g, members, params, cats, nmonth)
+            .select("miembro", *[f"_c{i}" for i in fines], "pagado", "objetivo", "balance")
+            .orderBy(F.col("balance").desc_nulls_last(), F.col("miembro").asc_nulls_first()).toDF(*out))
 
 
 def debt_band(dues: DataFrame, params: Params = Params()) -> DataFrame:
@@ -135,10 +179,11 @@ def debt_band(dues: DataFrame, params: Params = Params()) -> DataFrame:
 
     Strict comparisons: a balance of exactly -300 has no band. NULL -> NULL.
     """
-    b = F.col("balance")
+    x = Exact(dues)
+    b = x["balance"]
     band = (F.when(b < F.lit(params.red_below), F.lit("red"))
              .when(b < F.lit(params.yellow_below), F.lit("yellow")))
-    return dues.withColumn("banda", band)
+    return x.named(x.df.withColumn("_banda", band), "banda")
 
 
 # Member status names from the league rules.
@@ -146,14 +191,16 @@ STATUS_ACTIVE, STATUS_INACTIVE, STATUS_ARREARS, STATUS_SUSPENDED = (
     "Activo", "Inactivo", "En atraso", "Suspendido")
 
 
-def member_status(ledger: Ledger, members: DataFrame, params: Params = Params()) -> DataFrame:
+def member_status(ledger: Ledger | DuesGrain, members: DataFrame, params: Params = Params()) -> DataFrame:
     """Status by the written rules, next to the dues balance.
 
     Owing one month's dues or more is "En atraso", three months or more is
     "Suspendido" (inclusive, unlike the colour bands); inactive members are
     "Inactivo". ``balance_tope`` caps the debt at three months' dues.
     """
-    d = _dues_frame(ledger, members, params)
+    g = _grain(ledger, params)
+    latest = g.rows.agg(F.max("m")).first()[0]
+    d = _dues_frame(g, members, params, (params.dues_category,), latest)
     owed = -F.col("balance")
     three = params.dues * 3
     status = (F.when(F.col("condicion") == F.lit(params.inactive_label), F.lit(STATUS_INACTIVE))

@@ -5,12 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pozo.operators.tables import page_rows
+from pozo.operators.tables import By, page_rows
 
 
-def _expense_order():
-    return [F.col("Fecha").desc_nulls_last(), F.col("Concepto").asc_nulls_first(),
-            F.col("Monto").asc_nulls_first()]
+def _expense_order() -> list[By]:
+    return [By(F.col("Fecha"), descending=True, nulls_first=False), By(F.col("Concepto")), By(F.col("Monto"))]
 
 
 def _expense_rows(expenses: DataFrame) -> DataFrame:
@@ -20,7 +19,7 @@ def _expense_rows(expenses: DataFrame) -> DataFrame:
 
 def expense_list(expenses: DataFrame) -> DataFrame:
     """``Fecha, Concepto, Monto``, newest first (ties: item, then amount)."""
-    return _expense_rows(expenses).orderBy(*_expense_order())
+    return _expense_rows(expenses).orderBy(*[b.sort for b in _expense_order()])
 
 
 def expense_page(expenses: DataFrame, page: int, page_size: int = 10) -> DataFrame:

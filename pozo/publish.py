@@ -35,7 +35,9 @@ def treasury_reports(ledger: DataFrame, expenses: DataFrame, fines: DataFrame,
     report shows the same day; rows without a date are then left out of all.
     """
     ledger, expenses, fines = (capped(t, params.as_of) for t in (ledger, expenses, fines))
-    dues = plans.year_dues(ledger, members, params)
+    # One pass over the year's payments for both dues reports.
+    grain = plans.dues_grain(ledger, params)
+    dues = plans.year_dues(grain, members, params)
     return {
         "kpis": plans.formatted_kpis(ledger, expenses, params.as_of, keep_values=True),
         "historico": plans.member_summary(ledger, "all", params.as_of),
@@ -45,7 +47,7 @@ def treasury_reports(ledger: DataFrame, expenses: DataFrame, fines: DataFrame,
         "mes_anterior": plans.member_summary(ledger, "last_month", params.as_of),
         "mes_anterior_detalle": plans.member_pages(ledger, "last_month", params.page_size, params.as_of),
         "este_ano": plans.debt_band(dues, params),
-        "estatus": plans.member_status(ledger, members, params),
+        "estatus": plans.member_status(grain, members, params),
         "gastos": plans.expense_list(expenses),
         "multas": plans.fines_list(fines),
         "orden_fechas": plans.label_order(ledger),

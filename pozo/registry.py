@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pozo import plans
+from pozo.operators.names import Exact
 from pozo.operators.tables import page_rows, search_rows, sort_rows, table_order
 from pozo.params import Params
 from pozo.sources import adapter
@@ -35,11 +36,9 @@ DEEP_PAGE_SPEC = (5500, 10)               # a page far down the same list
 
 def as_doubles(df: DataFrame) -> DataFrame:
     """Cast decimal columns to DOUBLE, keep every other column."""
-    cols = []
-    for f in df.schema.fields:
-        c = F.col(f"`{f.name}`")
-        cols.append(c.cast("double").alias(f.name) if isinstance(f.dataType, T.DecimalType) else c)
-    return df.select(*cols)
+    x = Exact(df)
+    return x.named(x.df.select(*[x.at(i).cast("double") if isinstance(t, T.DecimalType) else x.at(i)
+                                 for i, t in enumerate(x.types)]))
 
 
 class Inputs:
