@@ -14,17 +14,19 @@ import argparse
 import datetime as _dt
 import os
 from decimal import Decimal
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from pozo import plans
 from pozo.functions.dates import month_label
 from pozo.params import Params
 from pozo.plans.display import DUES_HEADINGS, SUMMARY_HEADINGS, display_names
-from pozo.sources.readers import (prepare_expenses, prepare_fines, prepare_ledger,
-                                  prepare_members, read_table)
+from pozo.sources.readers import INPUTS, prepare_checked, read_table
 from pozo.sources.ledger_store import capped, read_ledger, write_ledger
 from pozo.sources.sinks import write_report
+from pozo.sources.strict import FAULTS, Formats, count_rejects
 
 
 def treasury_reports(ledger: DataFrame, expenses: DataFrame, fines: DataFrame,
@@ -85,13 +87,29 @@ def publish(reports: dict[str, DataFrame], out_dir: str, fmt: str = "parquet", h
 
 
 def load_inputs(spark: SparkSession, ledger: str, expenses: str, fines: str, members: str,
-                fmt: str = "parquet") -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """Read and prepare the four inputs with their declared schemas."""
-    led = prepare_ledger(read_table(spark, ledger, fmt=fmt))
-    exp = prepare_expenses(read_table(spark, expenses, fmt=fmt))
-    fin = prepare_fines(read_table(spark, fines, fmt=fmt))
-    mem = prepare_members(read_table(spark, members, fmt=fmt))
-    return led, exp, fin, mem
+                fmt: str = "parquet", formats: Formats = Formats()) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Read and prepare the four inputs; a cell that does not fit fails the report that reads it."""
+    paths = {"ledger": ledger, "expenses": expenses, "fines": fines, "members": members}
+    return tuple(INPUTS[k][1](read_table(spark, p, fmt=fmt), formats=formats) for k, p in paths.items())
+
+
+def load_checked(spark: SparkSession, paths: dict[str, str], rejects_dir: str, fmt: str = "parquet",
+                 formats: Formats = Formats()) -> tuple[list[DataFrame], DataFrame]:
+    """Read the four inputs and put rows that do not fit aside.
+
+    Rejected rows are written as JSON lines to ``rejects_dir/<input>``, as read and
+    with their reason. Returns the prepared inputs and the report
+    (entrada, columnas_rechazo, filas), counted from what was written.
+    """
+    prepared, counts = [], []
+    for kind, path in paths.items():
+        accepted, rejected = prepare_checked(kind, read_table(spark, path, fmt=fmt), formats)
+        target = os.path.join(rejects_dir, kind)
+        write_report(rejected, target, fmt="json")
+        back = spark.read.schema(f"{FAULTS} string").json(target)
+        counts.append(count_rejects(back).select(F.lit(kind).alias("entrada"), FAULTS, "filas"))
+        prepared.append(accepted)
+    return prepared, reduce(lambda a, b: a.unionByName(b), counts)
 
 
 def main(argv: list[str] | None = None) -> None:
@@ -104,22 +122,49 @@ def main(argv: list[str] | None = None) -> None:
     ap.add_argument("--as-of", type=_dt.date.fromisoformat, default=None)
     ap.add_argument("--target-mode", default="month_only", choices=["month_only", "calendar"])
     ap.add_argument("--dues", type=Decimal, default=Params.dues, help="monthly dues")
+    ap.add_argument("--yellow-below", type=Decimal, default=Params.yellow_below, help="balance below which the band is yellow")
+    ap.add_argument("--red-below", type=Decimal, default=Params.red_below, help="balance below which the band is red")
+    ap.add_argument("--inactive-balance", type=Decimal, default=Params.inactive_balance, help="balance shown for inactive members")
+    ap.add_argument("--inactive-label", default=Params.inactive_label, help="member condition that means paused")
+    ap.add_argument("--dues-category", default=Params.dues_category, help="category that holds the dues")
+    ap.add_argument("--fine-pattern", default=Params.fine_pattern, help="pattern of the categories shown beside the dues")
+    ap.add_argument("--category", action="append", default=None,
+                    help="a category to show, in this order (repeat; default: all of the year's)")
+    ap.add_argument("--null-category", default=Params.null_category, help="column of payments without a category")
     ap.add_argument("--page-size", type=int, default=Params.page_size)
     ap.add_argument("--headings", action="store_true", help="display names on the summary and dues tables")
     ap.add_argument("--no-stage", action="store_true",
                     help="build every report from the raw inputs instead of the stored ledger")
+    ap.add_argument("--rejects", default=None, metavar="DIR",
+                    help="write rows that do not fit there, and their number as report rechazos, instead of failing")
+    ap.add_argument("--decimal", default=".", help="decimal mark of amounts in text")
+    ap.add_argument("--thousands", default="", help="thousands mark of amounts in text")
+    ap.add_argument("--date-pattern", action="append", default=None,
+                    help="Spark pattern of dates in text (repeat; default yyyy-MM-dd)")
     a = ap.parse_args(argv)
     from pozo.session import build_session
     spark = build_session()
-    led, exp, fin, mem = load_inputs(spark, a.ledger, a.expenses, a.fines, a.members, a.input_format)
+    formats = Formats(a.decimal, a.thousands, tuple(a.date_pattern or Formats.dates))
+    paths = {"ledger": a.ledger, "expenses": a.expenses, "fines": a.fines, "members": a.members}
+    rejected = None
+    if a.rejects:
+        (led, exp, fin, mem), rejected = load_checked(spark, paths, a.rejects, a.input_format, formats)
+    else:
+        led, exp, fin, mem = load_inputs(spark, **paths, fmt=a.input_format, formats=formats)
     if not a.no_stage:
         # Prepare the ledger once into a year/month-partitioned table; every
         # report then reads it (and prunes it) instead of re-reading the input.
         staged = os.path.join(a.out, "ledger_por_mes")
         write_ledger(led, staged)
         led = read_ledger(spark, staged)
-    params = Params(year=a.year, as_of=a.as_of, target_mode=a.target_mode, dues=a.dues, page_size=a.page_size)
-    publish(treasury_reports(led, exp, fin, mem, params), a.out, a.format, a.headings)
+    params = Params(year=a.year, as_of=a.as_of, target_mode=a.target_mode, dues=a.dues, page_size=a.page_size,
+                    yellow_below=a.yellow_below, red_below=a.red_below, inactive_balance=a.inactive_balance,
+                    inactive_label=a.inactive_label, dues_category=a.dues_category, fine_pattern=a.fine_pattern,
+                    categories=tuple(a.category) if a.category else None, null_category=a.null_category)
+    reports = treasury_reports(led, exp, fin, mem, params)
+    if rejected is not None:
+        reports["rechazos"] = rejected
+    publish(reports, a.out, a.format, a.headings)
 
 
 if __name__ == "__main__":

@@ -19,8 +19,10 @@ from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pozo.functions.text import title_case
+from pozo.sources.strict import Formats, conform
 
 
 @dataclass(frozen=True)
@@ -39,7 +41,7 @@ class KeyedLedger:
 
     @classmethod
     def prepare(cls, payments: DataFrame, payers: DataFrame, key: str = "id_pagador",
-                **options) -> "KeyedLedger":
+                formats: Formats = Formats(), **options) -> "KeyedLedger":
         """Clean column names and declared types as ``prepare_ledger`` does.
 
         ``payments`` gets ``fecha`` as DATE, ``aporte`` as DECIMAL(18,2) and
@@ -50,16 +52,9 @@ class KeyedLedger:
 
         pay = clean_names(payments)
         require(pay.columns, APORTES, skip=("miembro",))
-        cols = [F.col(f"`{key}`")]
-        for f in APORTES.fields:
-            if f.name == "miembro":
-                continue
-            c = F.col(f.name) if f.name in pay.columns else F.lit(None)
-            if f.name == "fecha":
-                c = F.to_date(c)
-            cols.append(c.cast(f.dataType).alias(f.name))
+        fields = [T.StructField(key, pay.schema[key].dataType), *[f for f in APORTES.fields if f.name != "miembro"]]
         named = clean_names(payers).select(F.col(f"`{key}`"), F.col("miembro").cast("string"))
-        return cls(pay.select(*cols), named, key, **options)
+        return cls(conform(pay, T.StructType(fields), formats), named, key, **options)
 
     def _names(self) -> DataFrame:
         name = title_case("miembro") if self.title_case_names else F.col("miembro")
