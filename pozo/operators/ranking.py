@@ -27,6 +27,7 @@ are numbered with a plain window, one shuffle, see :func:`positions`.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -48,48 +49,78 @@ def positions(df: DataFrame, order: Sequence[Column], keys: Sequence[str] = (),
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
+@dataclass(frozen=True)
+class Part:
+    """Numbered rows of some keys. ``hot`` lists the keys of the range-split part (at most as
+    many as partitions, so tables cut down to them may be broadcast); None elsewhere."""
+
+    rows: DataFrame
+    hot: DataFrame | None = None
+
+
 def position_parts(df: DataFrame, order: Sequence[Column], keys: Sequence[str] = (),
                    name: str = "pos", num_partitions: int | None = None,
                    split_hot: bool = True) -> list[DataFrame]:
+    """The rows of :func:`numbered_parts`."""
+    return [p.rows for p in numbered_parts(df, order, keys, name, num_partitions, split_hot)]
+
+
+def hot_keys(df: DataFrame, keys: Sequence[str], n: int) -> DataFrame | None:
+    """Keys that hold more than ``rows / n`` rows, None if there are none.
+
+    At most ``n`` keys can, so they are a small table of their own (columns
+    ``_pz_h0``, ...), found once by a count per key (partial aggregates).
+    """
+    hk = [f"_pz_h{i}" for i in range(len(keys))]
+    counts = df.groupBy(*[F.col(f"`{k}`").alias(a) for k, a in zip(keys, hk)]).agg(F.count(F.lit(1)).alias(_N))
+    total = counts.select(F.sum(_N)).scalar()
+    found = counts.where(F.col(_N) * F.lit(n) > total).select(*hk)
+    rows = found.collect()
+    return df.sparkSession.createDataFrame(rows, found.schema) if rows else None
+
+
+def numbered_parts(df: DataFrame, order: Sequence[Column], keys: Sequence[str] = (),
+                   name: str = "pos", num_partitions: int | None = None,
+                   split_hot: bool = True) -> list[Part]:
     """Add ``name`` = 1-based row number within ``keys`` in ``order``.
 
     ``order`` should be a total order for deterministic numbering; rows that
     tie on every order column get distinct, arbitrary positions.
 
-    Returns the numbered rows as parts (cold keys, hot keys), so that per-key
-    work can run on each part before they are combined.
+    Returns the numbered rows as parts (cold keys, then hot keys if there are
+    any), so that per-key work can run on each part before they are combined.
 
     With keys and ``split_hot``, only hot keys take the range-split path: a
     key is hot when it holds more than ``rows / num_partitions`` rows, which
-    at most ``num_partitions`` keys can do, so the hot-key list has a proven
-    bound and is broadcast. Every other key is numbered by ``row_number``
-    over its own window, one hash shuffle, with no group larger than an
-    average partition.
+    at most ``num_partitions`` keys can do. They are looked up when the parts
+    are asked for (one count per key); the list has a proven bound and is
+    broadcast. Every other key is numbered by ``row_number`` over its own
+    window, one hash shuffle, with no group larger than an average partition.
     """
     keys = list(keys)
     spark = df.sparkSession
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     if not keys or not split_hot:
-        return [_range_positions(df, order, keys, name, n)]
+        return [Part(_range_positions(df, order, keys, name, n))]
 
-    hk = [f"_pz_h{i}" for i in range(len(keys))]
-    counts = df.groupBy(*[F.col(f"`{k}`").alias(a) for k, a in zip(keys, hk)]).agg(
-        F.count(F.lit(1)).alias(_N))
-    total = counts.select(F.sum(_N)).scalar()
-    hot = F.broadcast(counts.where(F.col(_N) * F.lit(n) > total).select(*hk))
-    match = [F.col(f"`{k}`").eqNullSafe(F.col(a)) for k, a in zip(keys, hk)]
+    hot = hot_keys(df, keys, n)
     tie = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
-    cold = df.join(hot, match, "left_anti")
     w = Window.partitionBy(*[F.col(f"`{k}`") for k in keys]).orderBy(*order, tie)
-    cold = cold.withColumn(name, F.row_number().over(w).cast("long"))
+
+    def cold(rows: DataFrame) -> Part:
+        return Part(rows.withColumn(name, F.row_number().over(w).cast("long")))
+
+    if hot is None:
+        return [cold(df)]
+    few = F.broadcast(hot)
+    match = [F.col(f"`{k}`").eqNullSafe(F.col(h)) for k, h in zip(keys, hot.columns)]
     # Hot rows hold at most n keys; range-split into n partitions sorted by key,
     # each boundary splits at most one key, so they form at most 2n segments:
     # that segment table is broadcast, and the hot rows are not shuffled again.
-    hot_rows = _range_positions(df.join(hot, match, "left_semi"), order, keys, name, n,
-                                few_segments=True)
+    split = _range_positions(df.join(few, match, "left_semi"), order, keys, name, n, few_segments=True)
     # Each key lies wholly in one part; the cold part stays hash-partitioned
     # by the keys, so per-key work after it needs no further shuffle.
-    return [cold, hot_rows]
+    return [cold(df.join(few, match, "left_anti")), Part(split, hot)]
 
 
 def _range_positions(df: DataFrame, order: Sequence[Column], keys: list[str], name: str,

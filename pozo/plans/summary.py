@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pozo.functions.nulls import lenient_sum
-from pozo.operators.ranking import position_parts, positions
+from pozo.operators.ranking import numbered_parts, positions
 from pozo.sources.keyed import KeyedLedger, Ledger, flat
 from pozo.sources.ledger_store import capped, is_stored, month_of_partition
 from pozo.sources.schemas import TOTAL
@@ -91,22 +91,23 @@ def _numbered(rows: DataFrame, window: str) -> DataFrame:
 
 
 def _numbered_parts(led: Ledger, window: str) -> list[DataFrame]:
-    """Detail rows numbered per member, as parts (see ``position_parts``).
+    """Detail rows numbered per member, as parts (see ``numbered_parts``).
 
     A keyed ledger whose payers are one-to-one is numbered per payer key:
     the rows are shuffled once, by key, and the names join the numbered rows
-    on that same key, so no second shuffle of the payments follows.
+    on that same key, so no second shuffle of the payments follows. Payers that
+    are split over tasks get their names from a broadcast of those few names.
     Otherwise names are attached first and rows are numbered per name.
     """
     fields = _detail_fields(window)
     order = [F.col(c).desc_nulls_last() for c in fields]
     if isinstance(led, KeyedLedger) and led.one_to_one():
         rows = led.payments.select(led.key, *fields)
-        parts = position_parts(rows, order, keys=[led.key], name="pos")
-        return [led.name(p).select("miembro", "pos", *fields) for p in parts]
+        parts = numbered_parts(rows, order, keys=[led.key], name="pos")
+        return [led.name(p.rows, p.hot).select("miembro", "pos", *fields) for p in parts]
     rows = flat(led).select("miembro", *fields)
-    return [p.select("miembro", "pos", *fields)
-            for p in position_parts(rows, order, keys=["miembro"], name="pos")]
+    return [p.rows.select("miembro", "pos", *fields)
+            for p in numbered_parts(rows, order, keys=["miembro"], name="pos")]
 
 
 def member_detail(ledger: Ledger, window: str = "all",
@@ -156,8 +157,8 @@ def member_pages(ledger: Ledger, window: str = "all", page_size: int = 10,
     led = ledger_window(ledger, window, as_of)
     if isinstance(led, KeyedLedger) and led.one_to_one():
         order = [F.col(c).desc_nulls_last() for c in fields]
-        parts = position_parts(led.payments.select(led.key, *fields), order, keys=[led.key], name="pos")
-        pages = [led.name(group(p, led.key)).select("miembro", "pagina", "filas", "data") for p in parts]
+        parts = numbered_parts(led.payments.select(led.key, *fields), order, keys=[led.key], name="pos")
+        pages = [led.name(group(p.rows, led.key), p.hot).select("miembro", "pagina", "filas", "data") for p in parts]
     else:
         pages = [group(p, "miembro") for p in _numbered_parts(led, window)]
     return reduce(lambda a, b: a.unionByName(b), pages)

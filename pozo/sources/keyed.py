@@ -84,9 +84,17 @@ class KeyedLedger:
         """Filter the payments (conditions on their own columns)."""
         return replace(self, payments=self.payments.where(cond))
 
-    def name(self, per_key: DataFrame) -> DataFrame:
-        """Attach ``miembro`` to per-key rows (inner join at key grain)."""
+    def name(self, per_key: DataFrame, few: DataFrame | None = None) -> DataFrame:
+        """Attach ``miembro`` to per-key rows (inner join at key grain).
+
+        ``few`` (one column) lists the only keys in ``per_key`` when their number has a
+        bound and payers are one-to-one: then their names, as many at most, are
+        broadcast, and rows that were split over tasks are not brought together by key.
+        """
         names = self._names()
+        if few is not None:
+            only = F.broadcast(few)
+            names = F.broadcast(names.join(only, names["_pz_key"] == only[few.columns[0]], "left_semi"))
         return (per_key.join(names, per_key[self.key] == names["_pz_key"], "inner")
                 .drop("_pz_key"))
 

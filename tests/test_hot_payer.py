@@ -1,0 +1,79 @@
+"""A payer with a third of all payments: numbered and named without meeting in one task."""
+
+import re
+from collections import defaultdict
+
+import pytest
+from pyspark.sql import functions as F
+
+from pozo import plans
+from pozo.operators.ranking import hot_keys, numbered_parts
+from pozo.sources.keyed import KeyedLedger
+
+
+@pytest.fixture
+def hot(spark):
+    pay = spark.range(6000).select(
+        F.when(F.col("id") % 3 == 0, 7).when(F.col("id") % 101 == 0, None).otherwise(F.col("id") % 500).cast("int").alias("id_pagador"),
+        F.date_add(F.lit("2023-01-01").cast("date"), (F.col("id") % 90).cast("int")).alias("fecha"),
+        (F.col("id") % 13).cast("decimal(18,2)").alias("aporte"), F.lit("Aporte").alias("concepto"))
+    payers = spark.range(480).select(F.col("id").cast("int").alias("id_pagador"), F.format_string("P%03d", "id").alias("miembro"))
+    return KeyedLedger(pay, payers, unique_names=True)
+
+
+def _plan(df):
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+
+
+def _above_the_range_exchange(plan):
+    """Exchange lines between the root and each range exchange (the lines that feed on it)."""
+    lines, out = plan.split("\n"), []
+    depth = lambda x: len(re.match(r"[\s:+\-|*()\d]*", x)[0])
+    for i, line in enumerate(lines):
+        if "rangepartitioning" in line and "Exchange" in line:
+            d = depth(line)
+            for up in reversed(lines[:i]):
+                if depth(up) < d:
+                    d = depth(up)
+                    if "Exchange" in up:
+                        out.append(up.strip())
+    return out
+
+
+@pytest.mark.parametrize("report", [plans.member_detail, plans.member_pages])
+def test_split_rows_are_not_shuffled_by_key_again(spark, hot, report):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text = _plan(report(hot))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "rangepartitioning" in text
+    after = _above_the_range_exchange(text)
+    # What follows carries the segment table (at most two rows a partition), or deals a payer out by page.
+    assert after and not any(re.search(r"hashpartitioning\(id_pagador#\d+, \d+\)", x) for x in after), after
+
+
+def test_hot_payer_numbering_equals_the_flat_way(hot):
+    got = sorted(map(tuple, plans.member_detail(hot).collect()))
+    flat = sorted(map(tuple, plans.member_detail(hot.flat()).collect()))
+    assert got == flat
+    per = defaultdict(list)
+    for m, pos, *_ in got:
+        per[m].append(pos)
+    assert len(per["P007"]) >= 2000 and all(sorted(p) == list(range(1, len(p) + 1)) for p in per.values())
+    pages = plans.member_pages(hot, page_size=7).collect()
+    assert sum(r["filas"] for r in pages) == len(got) and max(r["filas"] for r in pages) == 7
+
+
+def test_hot_keys_are_found_once_and_bounded(spark, hot):
+    found = hot_keys(hot.payments, ["id_pagador"], 8)
+    assert [tuple(r) for r in found.collect()] == [(7,)]
+    assert hot_keys(hot.payments.where("id_pagador <> 7"), ["id_pagador"], 8) is None
+    parts = numbered_parts(hot.payments, [F.col("fecha")], ["id_pagador"])
+    assert [p.hot is None for p in parts] == [True, False]
+    assert len(numbered_parts(hot.payments.where("id_pagador <> 7"), [F.col("fecha")], ["id_pagador"])) == 1
+    null = spark.range(100).select(F.lit(None).cast("int").alias("k"), "id")
+    assert [tuple(r) for r in hot_keys(null, ["k"], 4).collect()] == [(None,)]
+    got = sorted(r["pos"] for p in numbered_parts(null, [F.col("id")], ["k"]) for r in p.rows.collect())
+    assert got == list(range(1, 101))
