@@ -344,14 +344,23 @@ SELECT * FROM (
          miembro, cantidad_aportes, CAST(total AS DOUBLE) AS total FROM s)
 WHERE pos BETWEEN {(page - 1) * size + 1} AND {page * size}"""
 
-    q["q_balance_timeline"] = _with(
+    days = [
         """f AS (SELECT fecha, aporte AS ingreso, CAST(NULL AS DECIMAL(18,2)) AS gasto FROM aportes
                UNION ALL SELECT fecha, CAST(NULL AS DECIMAL(18,2)), monto FROM gastos)""",
         """d AS (SELECT fecha, coalesce(sum(ingreso), 0) AS ingreso_dia, coalesce(sum(gasto), 0) AS gasto_dia
-               FROM f WHERE fecha IS NOT NULL GROUP BY fecha)""") + """
+               FROM f GROUP BY fecha)"""]
+    q["q_balance_timeline"] = _with(*days) + """
 SELECT fecha, CAST(ingreso_dia AS DOUBLE) AS ingreso_dia, CAST(gasto_dia AS DOUBLE) AS gasto_dia,
        CAST(sum(ingreso_dia) OVER w AS DOUBLE) AS ingreso,
        CAST(sum(gasto_dia) OVER w AS DOUBLE) AS gasto,
        CAST(sum(ingreso_dia) OVER w - sum(gasto_dia) OVER w AS DOUBLE) AS balance
-FROM d WINDOW w AS (ORDER BY fecha ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"""
+FROM d WINDOW w AS (ORDER BY fecha NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"""
+    q["q_balance_snapshots"] = _with(
+        *days, "c AS (SELECT DISTINCT last_day(fecha) AS corte FROM gastos WHERE fecha IS NOT NULL)",
+        """k AS (SELECT corte, max(fecha) AS fecha, coalesce(sum(ingreso_dia), 0) AS ingreso, coalesce(sum(gasto_dia), 0) AS gasto
+               FROM c LEFT JOIN d ON d.fecha <= c.corte OR d.fecha IS NULL GROUP BY corte)""") + f"""
+SELECT corte, fecha, CAST(ingreso AS DOUBLE) AS ingreso, CAST(gasto AS DOUBLE) AS gasto, CAST(ingreso - gasto AS DOUBLE) AS balance,
+       {heading_label('fecha')} AS titulo, {tab_label('fecha')} AS pestana,
+       {fmt_amount('ingreso')} AS ingreso_txt, {fmt_amount('gasto')} AS gasto_txt, {fmt_amount('(ingreso - gasto)')} AS balance_txt
+FROM k"""
     return q

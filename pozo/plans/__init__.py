@@ -11,7 +11,7 @@ from pozo.plans.kpis import formatted_kpis, headline_kpis
 from pozo.plans.dues import DuesGrain, category_pivot, debt_band, dues_grain, member_status, year_dues
 from pozo.plans.listings import expense_list, expense_page, fines_list, member_directory
 from pozo.plans.labels import date_labels, label_order
-from pozo.plans.timeline import balance_timeline
+from pozo.plans.timeline import balance_snapshots, balance_timeline
 from pozo.plans.display import display_names, member_cards
 
 __all__ = [
@@ -19,6 +19,6 @@ __all__ = [
     "headline_kpis", "formatted_kpis",
     "DuesGrain", "dues_grain", "category_pivot", "year_dues", "debt_band", "member_status",
     "expense_list", "expense_page", "fines_list", "member_directory",
-    "date_labels", "label_order", "balance_timeline",
+    "date_labels", "label_order", "balance_timeline", "balance_snapshots",
     "display_names", "member_cards",
 ]

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pozo.functions.dates import day_label, heading_label, month_label, tab_label
-from pozo.sources.keyed import Ledger, flat
+from pozo.sources.keyed import Ledger, counted
 
 
 def date_labels(df: Ledger, date_col: str = "fecha") -> DataFrame:
@@ -16,9 +16,10 @@ def date_labels(df: Ledger, date_col: str = "fecha") -> DataFrame:
 
     ``label_dia`` "05 sep 2023", ``label_mes`` "sep 2023", ``titulo``
     "05 de septiembre del 2023", ``pestana`` "Septiembre". One partial
-    aggregate per task, so only distinct dates are shuffled.
+    aggregate per task, so only distinct dates are shuffled. Of a keyed ledger
+    payments without a payer are left out, as in the row-level join.
     """
-    d = flat(df).select(F.col(date_col).alias("fecha")).where(F.col("fecha").isNotNull()).distinct()
+    d = counted(df).where(F.col(date_col).isNotNull() & (F.col("_pz_w") > 0)).select(F.col(date_col).alias("fecha")).distinct()
     return d.select("fecha",
                     day_label("fecha").alias("label_dia"),
                     month_label("fecha").alias("label_mes"),
@@ -36,8 +37,8 @@ def label_order(df: Ledger, date_col: str = "fecha",
     medians, weighted by those counts, are built on day grain. The numbering
     runs over the label grain only, never over ledger rows.
     """
-    days = (flat(df).where(F.col(date_col).isNotNull())
-            .groupBy(F.col(date_col).alias("_day")).agg(F.count(F.lit(1)).alias("_n")))
+    days = (counted(df).where(F.col(date_col).isNotNull() & (F.col("_pz_w") > 0))
+            .groupBy(F.col(date_col).alias("_day")).agg(F.sum("_pz_w").alias("_n")))
     per = (days.groupBy(label(F.col("_day")).alias("label"))
            .agg(F.percentile(F.unix_date("_day"), 0.5, F.col("_n")).cast("double").alias("mediana")))
     w = Window.orderBy(F.col("mediana").asc(), F.col("label").asc())

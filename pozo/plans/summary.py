@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pozo.functions.nulls import lenient_sum
 from pozo.operators.ranking import numbered_parts, positions
 from pozo.sources.keyed import KeyedLedger, Ledger, flat
-from pozo.sources.ledger_store import capped, is_stored, month_of_partition
+from pozo.sources.ledger_store import capped, is_stored, latest_month, month_of_partition
 from pozo.sources.schemas import TOTAL
 
 WINDOWS = ("all", "current_month", "last_month")
@@ -29,22 +29,23 @@ def ledger_window(ledger: Ledger, window: str = "all",
     The month start of the latest date is a scalar subquery planned once and
     reused; the filter stays a plain predicate on every row (no join, no
     single-task window). On a stored ledger (:mod:`pozo.sources.ledger_store`)
-    the bound also prunes the year/month folders at run time. For a keyed
-    ledger the latest date is taken per payer key first, then over the keys
-    that have a payer.
+    the bound comes from the folder names, checked in the latest folder alone,
+    and prunes the year/month folders. For a keyed ledger the latest date is
+    taken per payer key first, then over the keys that have a payer.
     """
     if window not in WINDOWS:
         raise ValueError(f"window must be one of {WINDOWS}")
     led = capped(ledger, as_of)
     if window == "all":
         return led
-    if isinstance(led, KeyedLedger):
+    rows = led.payments if isinstance(led, KeyedLedger) else led
+    if is_stored(rows):
+        start = F.lit(latest_month(ledger, as_of)).cast("date")
+    elif isinstance(led, KeyedLedger):
         latest = led.name(led.payments.groupBy(led.key).agg(F.max("fecha").alias("_pz_max")))
         start = latest.select(F.trunc(F.max("_pz_max"), "month")).scalar()
-        rows = led.payments
     else:
         start = led.select(F.trunc(F.max("fecha"), "month")).scalar()
-        rows = led
     lo = start if window == "current_month" else F.add_months(start, -1)
     cond = F.col("fecha") >= lo
     if window == "last_month":

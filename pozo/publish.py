@@ -13,6 +13,7 @@ from __future__ import annotations
 import argparse
 import datetime as _dt
 import os
+from collections.abc import Sequence
 from decimal import Decimal
 from functools import reduce
 
@@ -30,9 +31,13 @@ from pozo.sources.strict import FAULTS, Formats, count_rejects
 
 
 def treasury_reports(ledger: DataFrame, expenses: DataFrame, fines: DataFrame,
-                     members: DataFrame, params: Params = Params()) -> dict[str, DataFrame]:
+                     members: DataFrame, params: Params = Params(),
+                     cut_dates: DataFrame | Sequence[_dt.date] | None = None) -> dict[str, DataFrame]:
     """Every report, lazily: name -> DataFrame. Inputs must be prepared.
 
+    ``cut_dates`` are the days of the balance snapshots; by default the last day
+    of every month with a payment.
+
     With ``params.as_of`` all dated inputs are capped once, here, so that every
     report shows the same day; rows without a date are then left out of all.
     """
@@ -56,11 +61,18 @@ def treasury_reports(ledger: DataFrame, expenses: DataFrame, fines: DataFrame,
         "orden_meses_gastos": plans.label_order(expenses, label=month_label),
         "etiquetas_fechas": plans.date_labels(ledger),
         "saldo_diario": plans.balance_timeline(ledger, expenses),
+        "cortes": plans.balance_snapshots(ledger, expenses, snapshot_days(ledger, params) if cut_dates is None else cut_dates),
         "directorio": plans.member_directory(members),
         "tarjetas": plans.member_cards(members),
     }
 
 
+def snapshot_days(ledger: DataFrame, params: Params) -> DataFrame:
+    """The last day of every month with a payment, no later than ``as_of``."""
+    day = F.last_day("fecha")
+    return ledger.select((F.least(day, F.lit(params.as_of)) if params.as_of else day).alias("corte")).distinct()
+
+
 HEADINGS = {"historico": SUMMARY_HEADINGS, "mes_actual": SUMMARY_HEADINGS, "mes_anterior": SUMMARY_HEADINGS,
             "este_ano": DUES_HEADINGS}
 
@@ -135,6 +147,8 @@ def main(argv: list[str] | None = None) -> None:
     ap.add_argument("--headings", action="store_true", help="display names on the summary and dues tables")
     ap.add_argument("--no-stage", action="store_true",
                     help="build every report from the raw inputs instead of the stored ledger")
+    ap.add_argument("--cut", type=_dt.date.fromisoformat, action="append", default=None,
+                    help="a day of the balance snapshots (repeat; default: the month ends)")
     ap.add_argument("--rejects", default=None, metavar="DIR",
                     help="write rows that do not fit there, and their number as report rechazos, instead of failing")
     ap.add_argument("--decimal", default=".", help="decimal mark of amounts in text")
@@ -161,7 +175,7 @@ def main(argv: list[str] | None = None) -> None:
                     yellow_below=a.yellow_below, red_below=a.red_below, inactive_balance=a.inactive_balance,
                     inactive_label=a.inactive_label, dues_category=a.dues_category, fine_pattern=a.fine_pattern,
                     categories=tuple(a.category) if a.category else None, null_category=a.null_category)
-    reports = treasury_reports(led, exp, fin, mem, params)
+    reports = treasury_reports(led, exp, fin, mem, params, a.cut)
     if rejected is not None:
         reports["rechazos"] = rejected
     publish(reports, a.out, a.format, a.headings)

@@ -129,8 +129,8 @@ def _build() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "q_headline_kpis": lambda i: plans.headline_kpis(i.keyed, i.gastos),
         "q_formatted_kpis": lambda i: plans.formatted_kpis(i.keyed, i.gastos),
         "q_kpis_asof": lambda i: plans.formatted_kpis(i.keyed, i.gastos, AS_OF, keep_values=True),
-        "q_date_labels": lambda i: plans.date_labels(i.aportes),
-        "q_label_order": lambda i: _label_order(i.aportes, day_label),
+        "q_date_labels": lambda i: plans.date_labels(i.keyed),
+        "q_label_order": lambda i: _label_order(i.keyed, day_label),
         "q_expense_label_order": lambda i: _label_order(i.gastos, month_label),
         "q_title_case": lambda i: i.miembros.select(
             "nombre_pago", title_case("nombre_pago").alias("miembro")),
@@ -152,6 +152,8 @@ def _build() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "q_table_sort": _table_sort,
         "q_table_page": _table_page,
         "q_balance_timeline": lambda i: plans.balance_timeline(i.keyed, i.gastos),
+        "q_balance_snapshots": lambda i: plans.balance_snapshots(
+            i.keyed, i.gastos, i.gastos.select(F.last_day("fecha"))),
     }
     out = {}
     for k, fn in defs.items():

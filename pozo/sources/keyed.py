@@ -22,9 +22,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pozo.functions.text import title_case
+from pozo.session import cut_lineage
 from pozo.sources.strict import Formats, conform
 
 
+MAX_EXCEPTIONS = 100_000    # payer keys, some 3 MB, that may be broadcast
+
+
 @dataclass(frozen=True)
 class KeyedLedger:
     payments: DataFrame   # key column + fecha, aporte, concepto
@@ -80,6 +84,25 @@ class KeyedLedger:
             F.count_distinct("miembro") + F.max(F.col("miembro").isNull().cast("int"))).first()
         return n == 0 or n == keys == names
 
+    def counted(self) -> DataFrame:
+        """The payments with ``_pz_w``, the number of payers their key has: how often each
+        counts in the row-level join. For reports that need no names.
+
+        Nearly every key has one payer. The others (no payer, listed twice, NULL) are
+        found at key grain, so no payment is shuffled by key; up to MAX_EXCEPTIONS of
+        them are broadcast. With more, the numbers are joined by key.
+        """
+        keys = self.payments.select(F.col(self.key).alias("_pz_odd")).distinct()
+        per = self.payers.groupBy(F.col(self.key).alias("_pz_key")).agg(F.count(F.lit(1)).alias("_pz_n"))
+        odd = cut_lineage(keys.join(per, keys["_pz_odd"] == per["_pz_key"], "left")
+                          .select("_pz_odd", F.coalesce("_pz_n", F.lit(0)).alias("_pz_n")).where("_pz_n <> 1"))
+        found = odd.count()
+        if not found:
+            return self.payments.withColumn("_pz_w", F.lit(1).cast("long"))
+        few = F.broadcast(odd) if found <= MAX_EXCEPTIONS else odd
+        return (self.payments.join(few, self.payments[self.key].eqNullSafe(few["_pz_odd"]), "left")
+                .withColumn("_pz_w", F.coalesce("_pz_n", F.lit(1))).drop("_pz_odd", "_pz_n"))
+
     def where(self, cond: Column) -> "KeyedLedger":
         """Filter the payments (conditions on their own columns)."""
         return replace(self, payments=self.payments.where(cond))
@@ -105,3 +128,8 @@ Ledger = DataFrame | KeyedLedger
 def flat(ledger: Ledger) -> DataFrame:
     """The row-level ledger of either input form."""
     return ledger.flat() if isinstance(ledger, KeyedLedger) else ledger
+
+
+def counted(ledger: Ledger) -> DataFrame:
+    """The payments of either form with ``_pz_w``, how often each counts."""
+    return ledger.counted() if isinstance(ledger, KeyedLedger) else ledger.withColumn("_pz_w", F.lit(1).cast("long"))

@@ -29,6 +29,8 @@ def test_publish_all_reports_from_csv(spark):
     written = sorted(os.listdir(out))
     assert "kpis" in written and "este_ano" in written and "historico_detalle" in written
     assert "ledger_por_mes" in written
+    cuts = {str(r["corte"]): r["balance"] for r in spark.read.parquet(os.path.join(out, "cortes")).collect()}
+    assert cuts == {"2023-02-28": Decimal("209.50"), "2023-03-31": Decimal("559.50")}
     assert {"etiquetas_fechas", "orden_meses_gastos", "directorio", "tarjetas"} <= set(written)
     k = spark.read.parquet(os.path.join(out, "kpis")).first()
     assert (k["ingreso_txt"], k["gasto_txt"], k["balance_txt"]) == ("800", "240.5", "559.5")
