@@ -1,16 +1,15 @@
 """Sharding by a hierarchical weighted hash tree (DataFrame functions only).
 
-Shards hang in racks and racks in regions. Every shard draws an exponential
-arrival time from the row's key, divided by its weight; a rack's draw is the
-earliest among its shards, a region's the earliest among its racks (the minimum
-of exponentials is again exponential, with the summed weight, so each level is
-a weighted draw among its children). A row descends to the region, rack and
-shard with the earliest draw.
-
-A node's draw depends on nothing outside its subtree. Raising the weight of a
-shard (or adding one) can only make the draws on its own path earlier, so rows
-move only into that shard; lowering it (or removing one) moves rows only out of
-it. All other subtrees keep their rows.
+Shards hang in racks and racks in regions; a node weighs what its shards weigh
+together. A row descends: the regions draw, the winner's racks draw, the
+winning rack's shards draw, and no other node is looked at. A node's draw is an
+exponential arrival time from the row's key and the node's own number, divided
+by its weight, and the earliest wins: a weighted choice among siblings.
+
+A draw depends on the node and its weight alone. Raising a weight makes the
+draws on the path to that shard earlier, lowering it later, and no others: rows
+move only into, out of or within the subtrees whose weight changed. A shard
+added as a subtree of its own takes rows only into itself.
 """
 
 from __future__ import annotations
@@ -33,60 +32,79 @@ class Shard:
 
 
 def uniform_tree(shards: int, per_rack: int = 4, racks_per_region: int = 2) -> list[Shard]:
-    """``shards`` equal shards, filling racks and regions in order; the tree of
-    n shards is part of the tree of n + 1."""
+    """``shards`` equal shards. They fill racks and regions in order; those that do not
+    make up a whole region stand alone, each a region and rack of its own, so that the
+    tree of n + 1 shards is the tree of n and one more subtree, until a region is whole."""
     if shards < 1:
         raise ValueError("at least one shard is needed")
-    return [Shard(s // (per_rack * racks_per_region), s // per_rack, s) for s in range(shards)]
+    size = per_rack * racks_per_region
+    whole = shards - shards % size
+    out = [Shard(s // size, s // per_rack, s) for s in range(whole)]
+    return out + [Shard(whole // size + i, whole // per_rack + i, whole + i) for i in range(shards - whole)]
 
 
-def _time(key: Sequence[Column], node: Shard, seed: int) -> Column:
-    # 53 hash bits as a number strictly between 0 and 1
-    bits = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.lit(node.shard), *key), 11)
-    u = (bits.cast("double") + F.lit(0.5)) / F.lit(float(1 << 53))
-    return -F.log(u) / F.lit(float(node.weight))
+def grown_tree(tree: Sequence[Shard], weight: float = 1.0) -> list[Shard]:
+    """``tree`` and one more shard in a region and rack of its own."""
+    new = (1 + max(getattr(n, x) for n in tree) for x in LEVELS)
+    return [*tree, Shard(*new, weight)]
 
 
-def descend(key: Sequence[Column], tree: Sequence[Shard], seed: int = 0,
-            times: dict[int, Column] | None = None) -> Column:
+LEVELS = ("region", "rack", "shard")
+
+
+def _earliest(key: Sequence[Column], level: int, seed: int, children: Column) -> Column:
+    """The child struct (t, id, at) with the earliest draw; equal draws go to the smaller number."""
+    def draw(c: Column) -> Column:
+        # 53 hash bits as a number strictly between 0 and 1
+        bits = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.lit(level), c["id"], *key), 11)
+        u = (bits.cast("double") + F.lit(0.5)) / F.lit(float(1 << 53))
+        return F.struct((-F.log(u) / c["weight"]).alias("t"), c["id"].alias("id"), c["at"].alias("at"))
+    return F.array_min(F.transform(children, draw))
+
+
+def descend(key: Sequence[Column], tree: Sequence[Shard], seed: int = 0) -> Column:
     """struct(region, rack, shard) a row's key descends to (weight 0: never).
 
-    Level by level: the earliest region, in it the earliest rack, in it the
-    earliest shard. Equal draws go to the smaller number.
+    The children of every node are one literal array; each level draws among the
+    children of the node that won the level above.
     """
     live = [n for n in tree if n.weight > 0]
     if not live or len({n.shard for n in live}) < len(live):
         raise ValueError("a tree needs a shard of positive weight and distinct shard numbers")
-    t = times or {n.shard: _time(key, n, seed) for n in live}
-
-    def earliest(nodes: list[Shard], level: int) -> Column:
-        """struct(draw, number, path) of the child that wins below a node."""
-        if level == 2:
-            options = [F.struct(t[n.shard].alias("t"), F.lit(n.shard).alias("n"),
-                                F.struct(F.lit(n.region).alias("region"), F.lit(n.rack).alias("rack"),
-                                         F.lit(n.shard).alias("shard")).alias("path")) for n in nodes]
-        else:
-            of = ("region", "rack")[level]
-            children = sorted({getattr(n, of) for n in nodes})
-            if len(children) == 1:
-                return earliest(nodes, level + 1)
-            options = []
-            for c in children:
-                best = earliest([n for n in nodes if getattr(n, of) == c], level + 1)
-                options.append(F.struct(best["t"].alias("t"), F.lit(c).alias("n"), best["path"].alias("path")))
-        return F.array_min(F.array(*options)) if len(options) > 1 else options[0]
-
-    return earliest(live, 0)["path"]
+    lists: list[Column] = []
+
+    def add(nodes: Sequence[Shard], level: int) -> int:
+        """Lists the children of a node; returns where its list stands."""
+        place = len(lists)
+        lists.append(F.lit(0))
+        children = []
+        for i in sorted({getattr(n, LEVELS[level]) for n in nodes}):
+            below = [n for n in nodes if getattr(n, LEVELS[level]) == i]
+            at = add(below, level + 1) if level < 2 else -1
+            children.append(F.struct(F.lit(at).alias("at"), F.lit(i).alias("id"),
+                                     F.lit(float(sum(n.weight for n in below))).alias("weight")))
+        lists[place] = F.array(*children)
+        return place
+
+    add(live, 0)
+    table = F.array(*lists)
+    # Nested one-element transforms name each winner once for the level below.
+    path = F.transform(F.array(_earliest(key, 0, seed, lists[0])), lambda region: F.element_at(F.transform(
+        F.array(_earliest(key, 1, seed, F.get(table, region["at"]))), lambda rack: F.struct(
+            region["id"].alias("region"), rack["id"].alias("rack"),
+            _earliest(key, 2, seed, F.get(table, rack["at"]))["id"].alias("shard"))), 1))
+    return F.element_at(path, 1)
 
 
 def shard_rows(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col: str = "text",
                seed: int = 0, tree: Sequence[Shard] | None = None,
                grown: Sequence[Shard] | None = None) -> DataFrame:
-    """Shard every row by its id: (id, size, text_crc32, law, region, rack, shard, slot, grown_shard).
+    """Shard every row by its id: (id, size, text_crc32, law, shard, slot, grown_shard, region, rack).
 
     ``size`` is the text's UTF-8 bytes plus 16, ``slot`` numbers a shard's rows
-    from 0 without gaps (by id), ``grown_shard`` is the shard under one more
-    shard (or the tree ``grown``). Law ``key``: id, seed and tree decide alone.
+    from 0 without gaps (by id), ``grown_shard`` is the shard in the tree with one
+    more shard (:func:`grown_tree`, or ``grown``). Law ``key``: id, seed and tree
+    decide alone, and the added shard takes rows only into itself.
 
     A null id is a key like any other; repeated ids share a shard and get
     slots of their own; a null text has size 16 and the checksum of no bytes;
@@ -98,18 +116,13 @@ def shard_rows(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col: s
     numbered within (partition, shard) plus the row count of earlier partitions.
     """
     tree = list(tree or uniform_tree(shards))
-    grown = list(grown or uniform_tree(shards + 1))
+    grown = list(grown or grown_tree(tree))
     key = [F.col("_id")]
     slim = docs.select(
         F.col(id_col).alias("_id"),
         (F.coalesce(F.octet_length(text_col), F.lit(0)) + 16).cast("long").alias("size"),
         F.crc32(F.coalesce(F.col(text_col).cast("binary"), F.lit("").cast("binary"))).alias("text_crc32"))
-    nodes = {n.shard: n for n in [*tree, *grown]}
-    slim = slim.withColumn("_t", F.array(*[_time(key, nodes[s], seed) for s in sorted(nodes)]))
-    times = {s: F.col("_t")[i] for i, s in enumerate(sorted(nodes))}
-    same = all(n == nodes[n.shard] for n in tree)
-    slim = (slim.withColumn("_p", descend(key, tree, seed, times if same else None))
-            .withColumn("_g", descend(key, grown, seed, times)["shard"])
+    slim = (slim.withColumn("_p", descend(key, tree, seed)).withColumn("_g", descend(key, grown, seed)["shard"])
             .select("_id", "size", "text_crc32", "_p.region", "_p.rack", "_p.shard",
                     F.col("_g").alias("grown_shard"), F.monotonically_increasing_id().alias("_row")))
     tasks = shuffle_tasks(docs.sparkSession)
@@ -125,5 +138,5 @@ def shard_rows(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col: s
         Window.partitionBy("_part", "shard").orderBy("_id", "size", "text_crc32", "_row")))
     return (numbered.join(start, ["_part", "shard"])
             .select(F.col("_id").alias(id_col), "size", "text_crc32", F.lit("key").alias("law"),
-                    "region", "rack", "shard", (F.col("_start") + F.col("_n") - 1).cast("long").alias("slot"),
-                    "grown_shard"))
+                    "shard", (F.col("_start") + F.col("_n") - 1).cast("long").alias("slot"),
+                    "grown_shard", "region", "rack"))

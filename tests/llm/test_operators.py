@@ -41,7 +41,7 @@ def test_tokens_equal_the_library(documents, empty, vocabulary):
 
 
 def test_shards_follow_the_key(documents, empty):
-    from pozo.llm.hash_tree import Shard, descend, shard_rows, uniform_tree
+    from pozo.llm.hash_tree import Shard, descend, grown_tree, shard_rows, uniform_tree
     got = shard_rows(documents, 40).collect()
     assert len(got) == documents.count() and shard_rows(empty, 40).count() == 0
     by_id, slots = defaultdict(set), defaultdict(list)
@@ -53,17 +53,55 @@ def test_shards_follow_the_key(documents, empty):
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
     assert sorted((r["size"], r["text_crc32"]) for r in got) == sorted(
         (16 + len((r["text"] or "").encode()), zlib.crc32((r["text"] or "").encode())) for r in documents.collect())
-    # every growth step and weight change moves rows only where the weight changed
+    assert all(r["region"] == r["shard"] // 8 for r in got)
+    # every shard that is added alone takes rows only into itself
     ids = documents.sparkSession.range(20000)
     key = [F.col("id")]
     at = [descend(key, uniform_tree(n))["shard"].alias(f"s{n}") for n in range(8, 12)]
-    heavy = [Shard(n.region, n.rack, n.shard, 3.0 if n.shard == 2 else 1.0) for n in uniform_tree(8)]
-    moved = ids.select(*at, descend(key, heavy)["shard"].alias("h")).collect()
+    moved = ids.select(*at).collect()
     assert all(b in (a, n) for r in moved for n, (a, b) in zip((8, 9, 10), zip(r[:3], r[1:4])))
-    assert all(r["h"] in (r["s8"], 2) for r in moved)
     share = Counter(r["s8"] for r in moved)
     assert max(abs(c - 2500) for c in share.values()) < 250
-    assert abs(sum(r["h"] == 2 for r in moved) - 6000) < 400
+    # a heavier shard draws rows only into the subtrees on its path
+    tree = uniform_tree(24)
+    heavy = [Shard(n.region, n.rack, n.shard, 3.0 if n.shard == 2 else 1.0) for n in tree]
+    moved = ids.select(descend(key, tree).alias("a"), descend(key, heavy).alias("b")).collect()
+    assert all(r["b"] == r["a"] or (r["b"]["region"] == 0 and (r["a"]["region"] != 0 or r["b"]["rack"] == 0)) for r in moved)
+    assert abs(sum(r["b"]["shard"] == 2 for r in moved) - 20000 * 3 / 26) < 400
+    assert grown_tree(uniform_tree(40)) == uniform_tree(41)
+
+
+def test_shards_equal_a_plain_tree(documents):
+    import struct
+
+    import xxhash
+
+    from pozo.llm.hash_tree import LEVELS, Shard, descend, grown_tree, shard_rows, uniform_tree
+
+    def draw(level, node, weight, key):
+        h = 42
+        for value, kind in ((0, "<i"), (level, "<i"), (node, "<i"), (key, "<q")):
+            if value is not None:
+                h = xxhash.xxh64(struct.pack(kind, value), seed=h).intdigest()
+        return -math.log(((h >> 11) + 0.5) / (1 << 53)) / weight
+
+    def walk(tree, key):
+        nodes, path = [n for n in tree if n.weight > 0], []
+        for level, name in enumerate(LEVELS):
+            weights = Counter()
+            for n in nodes:
+                weights[getattr(n, name)] += n.weight
+            path.append(min(weights, key=lambda i: (draw(level, i, weights[i], key), i)))
+            nodes = [n for n in nodes if getattr(n, name) == path[-1]]
+        return tuple(path)
+
+    odd = [Shard(0, 0, 5, 2.5), Shard(0, 0, 1, 0.0), Shard(0, 3, 9, 1.0), Shard(4, 7, 2, 0.25), Shard(4, 8, 3, 4.0)]
+    for tree in (uniform_tree(40), uniform_tree(11), uniform_tree(1), odd):
+        got = documents.sparkSession.range(500).select("id", descend([F.col("id")], tree).alias("p")).collect()
+        assert all(tuple(r["p"]) == walk(tree, r["id"]) for r in got)
+    for r in shard_rows(documents, 40).collect():
+        assert (r["region"], r["rack"], r["shard"]) == walk(uniform_tree(40), r["doc_id"])
+        assert r["grown_shard"] == walk(grown_tree(uniform_tree(40)), r["doc_id"])[2]
 
 
 def test_warc_round_trip(spark, corpus):
