@@ -20,6 +20,7 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pozo.llm.textgrams import pieces, text_bytes
 
@@ -205,7 +206,8 @@ def learn(train: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
     below = [(lang, int((1 << 63) * min(1.0, 1.3 * each / c + 20 / c))) for lang, c in n.items()]
     part = rows.sparkSession.createDataFrame([(a, min(b, (1 << 63) - 1)) for a, b in below], "lang string, _most long")
     few = (rows.join(F.broadcast(part), "lang").where(F.col("_h").bitwiseAND(F.lit((1 << 63) - 1)) <= F.col("_most"))
-           .select("lang", "text", "_h").mapInArrow(_vectors(idf), "lang string, _h long, v binary, head string")
+           # Equal rows teach once, so which rows the bound lets through hangs on hashes alone.
+           .select("lang", "text", "_h").dropDuplicates(["lang", "_h"]).mapInArrow(_vectors(idf), "lang string, _h long, v binary, head string")
            .limit(4 * sample + 100 * len(n)))
     got: dict[str, list] = {}
     for r in sorted(few.collect(), key=lambda r: (r["lang"], r["_h"] & ((1 << 63) - 1), r["v"])):
@@ -257,7 +259,8 @@ def identify(docs: DataFrame, model: LanguageModel | None, keep: list[Column] |
     cols = [c.alias(f"_c{i}") for i, c in enumerate(keep or [])]
     slim = docs.select(*cols, F.col(text_col).alias("text"))
     fields = [f for f in slim.schema.fields if f.name != "text"]
-    schema = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in fields] + ["lang_pred string", "score double", "_least double"])
+    schema = T.StructType([*fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()),
+                           T.StructField("_least", T.DoubleType())])
     out = slim.mapInArrow(_predictor(model), schema)
     names = [docs.select(c).columns[0] for c in keep or []]
     far = F.col("score") < F.col("_least") if max_distance is None else 1 - F.col("score") > max_distance
