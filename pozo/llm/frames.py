@@ -54,27 +54,36 @@ def row_key(*columns: str) -> list[Column]:
             F.xxhash64(F.lit(0x5bd1e995), *nulls, *reversed(cols)).alias("_k2")]
 
 
+def with_minimum(edges: DataFrame) -> DataFrame:
+    """Edges (u, v) with ``m``, the smaller of u and u's smallest v.
+
+    The minima are partial aggregates, kept in the checkpoint folder: read from
+    there, both sides of the join come from a shuffle of their own, and Spark can
+    split the edges of a node that has very many. (Against an aggregate on the same
+    key, planned without a shuffle of its own, it could not.)
+    """
+    low = cut_lineage(edges.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
+    return edges.join(low, "u")
+
+
 def connected(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
     """Connected components of an edge list: (node, root), root the smallest node.
 
     Alternates two star rewrites of the edge list: every node hands its
     neighbours to its smallest neighbour (first the larger ones, then the
     smaller ones), until no edge changes. Rounds grow with the logarithm of the
-    longest chain. Minima are partial aggregates and the join of edges to
-    minima is a shuffle join that Spark may split, so a node with very many
-    edges does not meet in one task. Each round is cut with a reliable
-    checkpoint. Nodes without edges are not listed.
+    longest chain. Each round is cut with a reliable checkpoint. Nodes without
+    edges are not listed.
     """
     e = cut_lineage(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
                     .where("u != v").distinct())
     stamp = None
     for _ in range(max_rounds):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = (both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = (with_minimum(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
                  .where("u != v").distinct())
-        low2 = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = (large.join(low2, "u")
+        # Every v is smaller than its u here, so the minimum is the smallest v.
+        small = (with_minimum(cut_lineage(large))
                  .select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")),
                                            F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("s"))
                  .select("s.u", "s.v").where("u != v").distinct())
