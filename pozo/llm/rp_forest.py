@@ -87,27 +87,33 @@ def route(place: np.ndarray, cuts: np.ndarray, margin: float) -> tuple[np.ndarra
     return tuple(np.concatenate(x) for x in zip(*found))
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    """Vectors of equal length, packed as bytes of doubles."""
-    return np.stack([np.frombuffer(v, np.float64) for v in column.to_pylist()]) if len(column) else np.empty((0, 0))
-
-
-def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Vectors as packed doubles; rows whose vector is null, zero or not finite have null."""
-    for batch in batches:
-        col = batch.column("vector")
-        n = np.asarray(col.value_lengths().fill_null(0))
-        flat = col.flatten()
-        holes = np.asarray(flat.is_null())
-        values = flat.fill_null(0).to_numpy(zero_copy_only=False).astype(np.float64)
-        bad = holes | ~np.isfinite(values)
-        out, at = [], 0
-        for size in n.tolist():
-            v = values[at:at + size]
-            out.append(v.tobytes() if size and not bad[at:at + size].any() and v.any() else None)
-            at += size
-        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("label"), pa.array(out, pa.binary())],
-                                         names=["id", "label", "packed"])
+def _matrix(column: pa.Array, dim: int) -> np.ndarray:
+    """Vectors of ``dim`` numbers, packed as bytes of floats or doubles, as doubles."""
+    rows = column.to_pylist()
+    if not rows:
+        return np.empty((0, dim))
+    kind = np.float32 if len(rows[0]) == 4 * dim else np.float64
+    return np.stack([np.frombuffer(v, kind) for v in rows]).astype(np.float64)
+
+
+def _pack(kind: type = np.float64):
+    """Vectors as bytes of ``kind``; rows whose vector is null, zero or not finite have null."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            col = batch.column("vector")
+            n = np.asarray(col.value_lengths().fill_null(0))
+            flat = col.flatten()
+            holes = np.asarray(flat.is_null())
+            values = flat.fill_null(0).to_numpy(zero_copy_only=False).astype(kind)
+            bad = holes | ~np.isfinite(values)
+            out, at = [], 0
+            for size in n.tolist():
+                v = values[at:at + size]
+                out.append(v.tobytes() if size and not bad[at:at + size].any() and v.any() else None)
+                at += size
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("label"), pa.array(n, pa.int32()), pa.array(out, pa.binary())],
+                                             names=["id", "label", "dim", "packed"])
+    return run
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -138,7 +144,7 @@ def _fit(leaf: int, least: float, seed: int):
         levels = min(_levels(table.column("c")[0].as_py(), leaf), DEPTH - level)
         cuts = np.empty(0, np.float32)
         if levels > 0:
-            x = unit(_matrix(table.column("packed").combine_chunks()))
+            x = unit(_matrix(table.column("packed").combine_chunks(), dim))
             cuts = grow(x @ directions(dim, tree, level, levels, seed), _spread(least, dim))
         if not len(cuts) or np.isnan(cuts[0]):
             cuts = np.empty(0, np.float32)
@@ -166,7 +172,7 @@ def _router(least: float, seed: int):
                     key = (dim, tree, level, (size + 1).bit_length() - 1)
                     if key not in known:
                         known[key] = directions(*key, seed)
-                    x = unit(_matrix(batch.column("packed").take(pa.array(rows))))
+                    x = unit(_matrix(batch.column("packed").take(pa.array(rows)), dim))
                     own = np.stack([np.frombuffer(cuts[i], np.float32) for i in rows])
                     for r, down, side in zip(*(a.tolist() for a in route(x @ known[key], own, _spread(least, dim)))):
                         below[rows[r]].append(((codes[rows[r]] & ((1 << 48) - 1)) << down) + side | tree << 48)
@@ -229,18 +235,15 @@ def forest(nodes: DataFrame, least: float, trees: int = TREES, leaf: int = LEAF,
 def _compare(least: float):
     def run(table: pa.Table) -> pa.Table:
         own, i, j = (np.asarray(table.column(c)) for c in ("_b", "_i", "_j"))
-        code = table.column("code")[0].as_py()
-        x = unit(_matrix(table.column("packed").combine_chunks()))
+        x = unit(_matrix(table.column("packed").combine_chunks(), table.column("dim")[0].as_py()))
         times = np.asarray(table.column("times"))
         n = len(x)
         across = i[0] != j[0]
         # 1 where a row is in a leaf that comes before this one
-        lists = table.column("codes").to_pylist()
-        earlier = sorted({c for codes in lists for c in codes if c < code})
-        at = {c: k for k, c in enumerate(earlier)}
+        lists = table.column("codes").combine_chunks()
+        earlier, at = np.unique(np.asarray(lists.flatten()), return_inverse=True)
         before = np.zeros((n, max(1, len(earlier))), np.float32)
-        for r, codes in enumerate(lists):
-            before[r, [at[c] for c in codes if c < code]] = 1
+        before[np.repeat(np.arange(n), np.asarray(lists.value_lengths())), at] = 1
         near = np.zeros((n, n), bool)
         links = np.zeros(n, np.int64)
         for a in range(0, n, 512):
@@ -296,11 +299,12 @@ def near_duplicates(vectors: DataFrame, least: float = 0.93, trees: int = TREES,
         raise TypeError(f"{vector_col} must be an array")
     rows = cut_lineage(
         vectors.select(F.col(id_col).alias("id"), F.col(label_col).alias("label"), F.col(vector_col).alias("vector"))
-        .mapInArrow(_pack, f"id {kind}, label {lab}, packed binary")
-        .withColumn("k1", F.xxhash64("label", "packed")).withColumn("k2", F.xxhash64(F.lit(7), "packed", "label")))
+        .mapInArrow(_pack(np.float32 if isinstance(element.elementType, T.FloatType) else np.float64),
+                    f"id {kind}, label {lab}, dim int, packed binary")
+        .withColumn("k1", F.xxhash64("label", "dim", "packed")).withColumn("k2", F.xxhash64(F.lit(7), "packed", "dim", "label")))
     usable = rows.where("label is not null and packed is not null")
-    nodes = usable.groupBy("label", "k1", "k2", "packed").agg(F.count("*").alias("times"), F.min("id").alias("low"))
-    routed = forest(nodes.withColumn("dim", (F.length("packed") / 8).cast("int")), least, trees, leaf, sample, seed)
+    nodes = usable.groupBy("label", "dim", "k1", "k2", "packed").agg(F.count("*").alias("times"), F.min("id").alias("low"))
+    routed = forest(nodes, least, trees, leaf, sample, seed)
     nodes = routed.select("k1", "k2", "times", "low")
     routed = routed.drop("low")
     at = routed.withColumn("code", F.explode("codes"))
@@ -309,7 +313,7 @@ def near_duplicates(vectors: DataFrame, least: float = 0.93, trees: int = TREES,
     dealt = at.join(sizes, GROUP).withColumn("_b", F.pmod(F.xxhash64("k1", "k2"), F.col("blocks")).cast("int"))
     dealt = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("_o")).select(
         "label", "dim", "code", F.least("_b", "_o").alias("_i"), F.greatest("_b", "_o").alias("_j"), "_b",
-        "k1", "k2", "times", "packed", "codes")
+        "k1", "k2", "times", "packed", F.filter("codes", lambda c: c < F.col("code")).alias("codes"))
     found = cut_lineage(dealt.groupBy("label", "dim", "code", "_i", "_j").applyInArrow(
         _compare(least), "a string, b string, links bigint"))
     node = F.lower(F.concat(F.lpad(F.hex("k1"), 16, "0"), F.lpad(F.hex("k2"), 16, "0")))
@@ -317,7 +321,8 @@ def near_duplicates(vectors: DataFrame, least: float = 0.93, trees: int = TREES,
     roots = connected(found.where("b is not null").select("a", "b"))
     named = nodes.select(node.alias("node"), "k1", "k2", "times", "low")
     named = named.join(links, "node", "left").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    lows = named.groupBy("root").agg(F.min("low").alias("component"))
+    named = cut_lineage(named)
+    lows = cut_lineage(named.groupBy("root").agg(F.min("low").alias("component")))
     facts = cut_lineage(named.join(lows, "root").select(
         "k1", "k2", "component", (F.coalesce("links", F.lit(0)) + F.col("times") - 1).alias("n_links")))
     alone = F.col("label").isNull() | F.col("packed").isNull()

@@ -40,8 +40,8 @@ def test_leaves_stay_small_over_several_rounds(spark, monkeypatch):
     labels = np.zeros(len(x), int)
     df = _frame(spark, x, labels)
     packed = df.select(F.col("vec_id").alias("id"), "label", F.col("embedding").alias("vector")).mapInArrow(
-        rp_forest._pack, "id long, label int, packed binary").withColumn("k1", F.xxhash64("packed")).withColumn("k2", F.xxhash64(F.lit(7), "packed"))
-    nodes = packed.withColumn("dim", F.lit(24)).select("label", "dim", "k1", "k2", "packed")
+        rp_forest._pack(), "id long, label int, dim int, packed binary").withColumn("k1", F.xxhash64("packed")).withColumn("k2", F.xxhash64(F.lit(7), "packed"))
+    nodes = packed.select("label", "dim", "k1", "k2", "packed")
     made = rp_forest.forest(nodes, 0.93, trees=3, leaf=30, sample=200)       # samples of 200 carry a few levels a round
     leaves = made.select(F.explode("codes").alias("code")).groupBy("code").count().collect()
     assert made.count() == len(x) and len(leaves) > 150
@@ -59,9 +59,13 @@ def test_small_tables_have_one_leaf_and_long_vectors_pass(spark):
     rng = np.random.default_rng(7)
     x = rng.standard_normal((50, 3))
     nodes = _frame(spark, x, np.zeros(50, int)).select(F.col("vec_id").alias("id"), "label", F.col("embedding").alias("vector")).mapInArrow(
-        rp_forest._pack, "id long, label int, packed binary").select("label", F.lit(3).alias("dim"), F.xxhash64("packed").alias("k1"),
+        rp_forest._pack(), "id long, label int, dim int, packed binary").select("label", "dim", F.xxhash64("packed").alias("k1"),
                                                                      F.lit(0).cast("long").alias("k2"), "packed")
     assert {tuple(r["codes"]) for r in rp_forest.forest(nodes, 0.93, leaf=64).collect()} == {(1,)}
+    single = _frame(spark, x, np.zeros(50, int)).select("vec_id", F.col("embedding").cast("array<float>").alias("embedding"), "label")
+    y = x.astype(np.float32).astype(float)
+    near = (y @ y.T) / np.linalg.norm(y, axis=1)[:, None] / np.linalg.norm(y, axis=1)[None, :] >= 0.93
+    assert {r["vec_id"]: r["n_links"] for r in rp_forest.near_duplicates(single).collect()} == {i: int(near[i].sum()) - 1 for i in range(50)}
     long = rng.standard_normal((90, 20000))
     long[1] = long[0] + 0.01 * rng.standard_normal(20000)
     got = {r["vec_id"]: r["component_id"] for r in rp_forest.near_duplicates(_frame(spark, long, np.zeros(90, int))).collect()}
