@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import os
-
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from pozo.llm.frames import read_table, scratch_path
@@ -11,13 +10,6 @@ from pozo.llm.hash_tree import shard_rows
 from pozo.llm.token_counts import token_counts
 from pozo.llm.warc import read_archives, write_archives
 
-TOKENIZERS = "/opt/tokenizers"
-
-
-def vocabulary(name: str) -> str:
-    """Path of a public vocabulary file (``POZO_TOKENIZERS`` names another folder)."""
-    return os.path.join(os.environ.get("POZO_TOKENIZERS", TOKENIZERS), name)
-
 
 def op2_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 40 shards by doc_id, and their shard among 41."""
@@ -26,7 +18,7 @@ def op2_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every whole document under byte_bpe_50k."""
-    return token_counts(read_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+    return token_counts(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def op9_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:

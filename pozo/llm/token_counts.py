@@ -5,10 +5,15 @@ an owner per symbol (a ragged array). In every step each unfinished sequence
 finds its lowest-rank adjacent pair, and all sequences apply theirs at the same
 time; a sequence without a mergeable pair is finished, and the symbols left in
 it are its token count. Equal pre-tokens of a batch are merged once.
+
+A long pre-token (an unbroken blob or minified line) has too many steps to pass
+over all its symbols in each. Its places are kept by rank, and a step touches
+only those of the lowest rank and their neighbours.
 """
 
 from __future__ import annotations
 
+import heapq
 import json
 from collections.abc import Iterator
 
@@ -24,6 +29,7 @@ from pozo.llm.textgrams import pieces
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 MEMORY = 1_000_000       # pre-tokens whose counts a worker keeps between batches
 MEMORY_LENGTH = 64      # longer pre-tokens are not kept
+LONG = 512              # bytes from which a pre-token's places are kept by rank
 
 
 def byte_symbols() -> dict[str, int]:
@@ -134,6 +140,57 @@ class RankMerger:
             fresh = fresh[~last]
         return out
 
+    def merge_long(self, token: bytes) -> int:
+        """Symbols left in one byte string: lowest rank first, all its places at once."""
+        n = len(token)
+        sym = self.byte_id[np.frombuffer(token, np.uint8)]
+        # The neighbours of every symbol; n is the end.
+        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        rank = np.full(n + 1, self.none)
+        places: dict[int, list[np.ndarray]] = {}
+        queue: list[int] = []
+        left = n
+
+        def hold(at: np.ndarray) -> None:
+            """Work out the ranks of the pairs that begin at these places and keep them."""
+            rank[at] = self.none
+            at = at[after[at] < n]
+            if not len(at):
+                return
+            rank[at] = self._ranks(sym[at], sym[after[at]])
+            at = at[rank[at] < self.none]
+            order = np.argsort(rank[at], kind="stable")
+            at = at[order]
+            found, first = np.unique(rank[at], return_index=True)
+            for r, some in zip(found.tolist(), np.split(at, first[1:])):
+                if r not in places:
+                    places[r] = []
+                    heapq.heappush(queue, r)
+                places[r].append(some)
+
+        hold(np.arange(n))
+        while queue:
+            r = heapq.heappop(queue)
+            at = np.unique(np.concatenate(places.pop(r)))
+            at = at[rank[at] == r]          # merged or changed since
+            if not len(at):
+                continue
+            # In a run of one repeated pair (aaa) every second place counts, from the left.
+            run = np.flatnonzero(np.r_[True, after[at[:-1]] != at[1:]])
+            odd = (np.arange(len(at)) - np.repeat(run, np.diff(np.r_[run, len(at)]))) & 1
+            at = at[odd == 0]
+            gone = after[at]
+            sym[at] = self.made[r]
+            rank[gone] = self.none
+            after[at] = after[gone]
+            inner = at[after[at] < n]
+            before[after[inner]] = inner
+            left -= len(at)
+            # Only pairs that touch a new symbol have a new rank.
+            back = before[at]
+            hold(np.unique(np.r_[at, back[back >= 0]]))
+        return left
+
     def learn(self, tokens: set[str]) -> dict[str, int]:
         """Counts of all given pre-tokens; those already kept are not merged again."""
         if len(self.known) > MEMORY:
@@ -142,8 +199,10 @@ class RankMerger:
         found = {}
         step = 1 << 16
         for at in range(0, len(fresh), step):
-            part = fresh[at:at + step]
-            found.update(zip(part, self.merge([t.encode() for t in part]).tolist()))
+            part = [(t, t.encode()) for t in fresh[at:at + step]]
+            short = [(t, b) for t, b in part if len(b) < LONG]
+            found.update(zip([t for t, _ in short], self.merge([b for _, b in short]).tolist()))
+            found.update((t, self.merge_long(b)) for t, b in part if len(b) >= LONG)
         if len(found) < MEMORY:
             self.known.update((t, n) for t, n in found.items() if len(t) <= MEMORY_LENGTH)
         return found

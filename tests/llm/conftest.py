@@ -1,6 +1,6 @@
-import os
 import random
 
+import public_tokenizers
 import pytest
 
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
@@ -47,4 +47,4 @@ def empty(documents):
 
 @pytest.fixture(scope="session")
 def vocabulary():
-    return os.path.join(os.environ.get("POZO_TOKENIZERS", "/opt/tokenizers"), "byte_bpe_50k.json")
+    return public_tokenizers.path("byte_bpe_50k.json")

@@ -40,6 +40,28 @@ def test_tokens_equal_the_library(documents, empty, vocabulary):
     assert RankMerger(vocabulary).count(odd) == [len(e.ids) for e in lib.encode_batch(odd, add_special_tokens=False)]
 
 
+def test_long_pretokens_equal_the_library(vocabulary):
+    import random
+    import time
+
+    from tokenizers import Tokenizer
+
+    from pozo.llm.token_counts import LONG, RankMerger
+    lib, own, rnd = Tokenizer.from_file(vocabulary), RankMerger(vocabulary), random.Random(4)
+    for letters in ("a", "ab", "abc", "theandof", "abcdefghijklmnopqrstuvwxyz", "é日a", "=-_", "01"):
+        for n in (LONG - 1, LONG, 700, 5001):
+            text = "".join(rnd.choices(letters, k=n))
+            assert own.count([text]) == [len(lib.encode(text, add_special_tokens=False).ids)], (letters, n)
+    for n in range(2, 40):      # the same way on short strings
+        b = "".join(rnd.choices("aab", k=n)).encode()
+        assert own.merge_long(b) == own.merge([b])[0]
+    blob = base64.b64encode(rnd.randbytes(200_000)).decode().replace("+", "p").replace("/", "s")
+    words = "".join(x for x in blob if x.isalpha())
+    start = time.monotonic()
+    assert own.count([words]) == [len(lib.encode(words, add_special_tokens=False).ids)]
+    assert time.monotonic() - start < 10
+
+
 def test_shards_follow_the_key(documents, empty):
     from pozo.llm.hash_tree import Shard, descend, grown_tree, shard_rows, uniform_tree
     got = shard_rows(documents, 40).collect()
