@@ -148,6 +148,51 @@ def test_warc_round_trip(spark, corpus):
     assert read_archives(spark, none).count() == 0
 
 
+def plain_targets(sizes):
+    """The sharing rule, word by word: share out, stop at the caps, share the excess again."""
+    order = sorted((s for s in sizes if s is not None), key=lambda s: [ord(c) for c in s]) + [s for s in sizes if s is None]
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(order)}
+    target = {s: 0.0 for s in order}
+    pot, open_ = 1.5 * sum(sizes.values()), set(order)
+    while pot > 1e-9 and open_:
+        whole = sum(weight[s] for s in open_)
+        for s in open_:
+            target[s] += pot * weight[s] / whole
+        pot = 0.0
+        for s in list(open_):
+            if target[s] >= 2 * sizes[s] - 1e-12:
+                pot += target[s] - 2 * sizes[s]
+                target[s] = 2.0 * sizes[s]
+                open_.discard(s)
+    return target
+
+
+def test_any_number_of_disjoint_sources(spark):
+    from pozo.llm.mixing import mix_disjoint, spark_targets
+    import random
+    rnd = random.Random(12)
+    names = [None, "", "é", "Z"] + [f"host{i}" for i in range(400)]
+    sizes = {s: rnd.choice([0, 1, 5, 50, 3000, 10 ** 6]) for s in names}
+    df = spark.createDataFrame([(s, n) for s, n in sizes.items()], "source string, size long").repartition(7)
+    got = {r["source"]: (r["size"], r["target"]) for r in spark_targets(df).collect()}
+    want = plain_targets(sizes)
+    assert {s: n for s, (n, _) in got.items()} == sizes
+    assert {s: t for s, (_, t) in got.items()} == pytest.approx(want, rel=1e-6, abs=1e-3)
+    assert spark_targets(df.where("false")).count() == 0 and spark_targets(df.where("size = 0")).where("target > 0").count() == 0
+    # every document of every source, chosen in hash order to the nearest document
+    docs = spark.range(6000).select(F.col("id").alias("doc_id"), F.concat(F.lit("h"), F.col("id") % 700).alias("source"),
+                                    F.repeat(F.lit("w "), (F.col("id") * 7919 % 13).cast("int")).alias("text"))
+    rows = mix_disjoint(docs, F.col("source")).collect()
+    per = defaultdict(list)
+    for r in rows:
+        per[r["members"][0]].append(r)
+    want = plain_targets({s: sum(r["size"] for r in x) for s, x in per.items()})
+    assert len(rows) == 6000
+    for s, x in per.items():
+        assert abs(sum(r["taken"] for r in x) - want[s]) <= max(r["size"] for r in x) / 2 + 1 and all(r["copies"] <= 2 for r in x)
+        assert all(r["target"] == pytest.approx(want[s]) for r in x)
+
+
 def test_mix_reaches_targets(documents, empty):
     from pozo.llm.mixing import route, source_report, weighted_targets
     got = source_report(documents).collect()
@@ -161,10 +206,12 @@ def test_mix_reaches_targets(documents, empty):
         taken[r["source"]] += r["taken"]
         largest[r["source"]] = max(largest[r["source"]], r["size"])
         assert r["taken"] <= 2 * r["size"]
-    want = weighted_targets(dict(sizes))
+    want = plain_targets(dict(sizes))
+    assert want == pytest.approx(weighted_targets(dict(sizes)))
     assert abs(sum(want.values()) - 1.5 * sum(sizes.values())) < 1e-6
     for s in sizes:
         assert abs(taken[s] - want[s]) <= largest[s] / 2 + 1
+    assert all(r["target"] == pytest.approx(want[r["source"]]) and r["source_size"] == sizes[r["source"]] for r in got)
     # overlapping sources: convex costs spread before they repeat
     flow = route({("a",): 10, ("a", "b"): 10, ("b",): 10}, {"a": 15, "b": 15})
     assert all(sum(f.values()) == 10 for f in flow.values())
