@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,20 +18,22 @@ __all__ = ["cut_lineage", "row_key", "scratch_path", "read_table", "connected",
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared checkpoint folder.
-
-    The shuffle files of this one execution are given back as soon as the
-    checkpoint is complete: nothing reads them again. The session's setting
-    for other executions is put back.
-    """
-    conf = df.sparkSession.conf
-    before = conf.get(_CLEANUP, None)
-    conf.set(_CLEANUP, "true")
+@contextmanager
+def _shuffles_given_back(spark: SparkSession) -> Iterator[None]:
+    """Executions inside give their shuffle files back as soon as they are complete. The
+    session's setting is put back after; it holds for all executions of the session meanwhile."""
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
     try:
-        return checkpointed(df.select("*"))
+        yield
     finally:
-        conf.unset(_CLEANUP) if before is None else conf.set(_CLEANUP, before)
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared checkpoint folder; nothing reads its shuffle files again."""
+    with _shuffles_given_back(df.sparkSession):
+        return checkpointed(df.select("*"))
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,15 +58,40 @@ def row_key(*columns: str) -> list[Column]:
             F.xxhash64(F.lit(0x5bd1e995), *nulls, *reversed(cols)).alias("_k2")]
 
 
-def with_minimum(edges: DataFrame) -> DataFrame:
+class Kept:
+    """Tables written to the shared folder for the steps of a loop.
+
+    Read back, a table has its true size, which the planner goes by. (A checkpoint
+    carries the estimate of its plan; over the joins of a loop that is squared
+    again and again.) ``drop`` deletes what is not needed any more.
+    """
+
+    def __init__(self, spark: SparkSession, what: str):
+        self.spark, self.what, self.paths = spark, what, []
+
+    def write(self, df: DataFrame) -> DataFrame:
+        path = scratch_path(self.spark, self.what)
+        with _shuffles_given_back(self.spark):
+            df.write.parquet(path)
+        self.paths.append(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, keep_last: int = 0) -> None:
+        gone, self.paths = self.paths[:len(self.paths) - keep_last], self.paths[len(self.paths) - keep_last:]
+        for p in gone:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(p)
+            path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+def with_minimum(edges: DataFrame, kept: Kept) -> DataFrame:
     """Edges (u, v) with ``m``, the smaller of u and u's smallest v.
 
-    The minima are partial aggregates, kept in the checkpoint folder: read from
+    The minima are partial aggregates, written to the shared folder: read from
     there, both sides of the join come from a shuffle of their own, and Spark can
     split the edges of a node that has very many. (Against an aggregate on the same
     key, planned without a shuffle of its own, it could not.)
     """
-    low = cut_lineage(edges.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
+    low = kept.write(edges.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
     return edges.join(low, "u")
 
 
@@ -72,25 +101,27 @@ def connected(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60
     Alternates two star rewrites of the edge list: every node hands its
     neighbours to its smallest neighbour (first the larger ones, then the
     smaller ones), until no edge changes. Rounds grow with the logarithm of the
-    longest chain. Each round is cut with a reliable checkpoint. Nodes without
-    edges are not listed.
+    longest chain. Each round's tables are written to the shared folder and
+    deleted after the next. Nodes without edges are not listed.
     """
-    e = cut_lineage(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
-                    .where("u != v").distinct())
+    kept = Kept(edges.sparkSession, "components")
+    e = kept.write(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u != v").distinct())
     stamp = None
     for _ in range(max_rounds):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = (with_minimum(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-                 .where("u != v").distinct())
+        large = kept.write(with_minimum(both, kept).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+                           .where("u != v").distinct())
         # Every v is smaller than its u here, so the minimum is the smallest v.
-        small = (with_minimum(cut_lineage(large))
-                 .select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")),
-                                           F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("s"))
-                 .select("s.u", "s.v").where("u != v").distinct())
-        e = cut_lineage(small)
+        e = kept.write(with_minimum(large, kept)
+                       .select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")),
+                                                 F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("s"))
+                       .select("s.u", "s.v").where("u != v").distinct())
+        kept.drop(keep_last=1)
         now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == stamp:
-            return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
-                e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+            out = cut_lineage(e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
+                e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()))
+            kept.drop()
+            return out
         stamp = now
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")

@@ -14,10 +14,11 @@ other, where pivots alone cannot part them. So regions are formed in two steps.
    forms a region; no link leaves it.
 2. In a region, pivots create Voronoi cells. A set goes to its nearest pivot's
    cell, and by the triangle inequality also to every cell whose pivot is no
-   farther than that distance plus twice the link distance. Cells are joined
-   the same way again, until they are small or stop shrinking; then pairs are
-   bounded by size and by parity sketches (both never exceed the true
-   difference) and the rest compared exactly.
+   farther than that distance plus twice the link distance. Regions too large
+   for one task are divided so in Spark rounds (:mod:`pozo.llm.regions`), the
+   others in their task. Cells are joined the same way again, until they are
+   small or stop shrinking; then pairs are bounded by size and by parity sketches
+   (both never exceed the true difference) and the rest compared exactly.
 
 Sets already connected need no comparison, so a group of near copies costs
 about one pivot, not all its pairs. Sets are stored once for all equal texts.
@@ -34,6 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pozo.llm.frames import connected, cut_lineage, row_key, shuffle_tasks
+from pozo.llm.regions import divide, names, node_name
 from pozo.llm.textgrams import BLANKS, Words, gram_hashes, mix, pieces
 
 SMALL = 30            # sets up to this size meet on their rarest elements
@@ -201,8 +203,8 @@ def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             g = [np.frombuffer(x, np.int64) for x in part.column("few").to_pylist()]
             of = np.repeat(np.arange(len(g)), [len(x) for x in g])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(g)), part.column("s1").take(pa.array(of)), part.column("n").take(pa.array(of))],
-                names=["element", "s1", "n"])
+                [pa.array(np.concatenate(g)), *[part.column(c).take(pa.array(of)) for c in ("s1", "s2", "n")]],
+                names=["element", "s1", "s2", "n"])
 
 
 def small_places(slim: DataFrame, rule: Rule) -> DataFrame:
@@ -212,27 +214,25 @@ def small_places(slim: DataFrame, rule: Rule) -> DataFrame:
     any one order have an element in common. Ordered by the number of sets that
     have it, a line many texts quote is hardly ever among those.
     """
-    few = cut_lineage(slim.where("few is not null").groupBy("s1").agg(F.max(F.struct("n", "few")).alias("x"))
-                      .select("s1", "x.n", "x.few"))
-    held = few.mapInArrow(_elements, "element bigint, s1 bigint, n bigint")
-    often = held.groupBy("element").agg(F.count("*").alias("f"))
-    ranked = (held.join(often, "element").groupBy("s1", "n")
+    few = slim.where("few is not null").groupBy("s1", "s2").agg(F.max(F.struct("n", "few")).alias("x")).select("s1", "s2", "x.n", "x.few")
+    held = cut_lineage(few.mapInArrow(_elements, "element bigint, s1 bigint, s2 bigint, n bigint"))
+    # Both sides are read from checkpoints, so Spark splits an element that very many sets have.
+    often = cut_lineage(held.groupBy("element").agg(F.count("*").alias("f")).where("f > 1"))
+    held = held.join(often, "element", "left").withColumn("f", F.coalesce("f", F.lit(1)))
+    ranked = (held.groupBy("s1", "s2", "n")
               .agg(F.array_sort(F.collect_list(F.struct("f", "element"))).alias("e")))
     first = F.col("n") - F.ceil(rule.percent * F.col("n") / 100) + 1
     return (ranked.select("s1", F.explode(F.slice("e", F.lit(1), first.cast("int"))).alias("e")).where("e.f > 1")
             .select(F.xxhash64(F.lit(0x2545F491), "e.element").alias("place"), "s1"))
 
 
-def deal(rows: DataFrame, by: str, members: list[str], block: int, weight: str | None = None,
-         block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def deal(rows: DataFrame, by: str, members: list[str], block: int) -> DataFrame:
     """``rows`` with the pairs of blocks (``_i``, ``_j``) of their group that they go to.
 
-    A group of more than ``block`` rows, or ``block_bytes`` bytes in the column
-    ``weight``, has several blocks, and every two rows of a group meet under some pair.
+    A group of more than ``block`` rows has several blocks, and every two rows of a
+    group meet under some pair. The groups' sizes are read from a checkpoint.
     """
-    heavy = F.sum(F.octet_length(weight)) / block_bytes if weight else F.lit(1)
-    large = (rows.groupBy(by).agg(F.ceil(F.greatest(F.count("*") / block, heavy)).cast("int").alias("_n"))
-             .where("_n > 1"))
+    large = cut_lineage(rows.groupBy(by).agg(F.ceil(F.count("*") / block).cast("int").alias("_n")).where("_n > 1"))
     rows_ = rows.join(large, by, "left").withColumn("_n", F.coalesce("_n", F.lit(1)))
     rows_ = rows_.withColumn("_b", F.pmod(F.xxhash64(*members), F.col("_n")).cast("int"))
     dealt = rows_.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
@@ -382,10 +382,11 @@ def _store(k: int):
 class Region:
     """Exact links among sets, as a forest: enough edges to connect what is linked."""
 
-    def __init__(self, sets: list[np.ndarray], rule: Rule):
+    def __init__(self, sets: list[np.ndarray], rule: Rule, known: list[str] | None = None):
+        """``known`` names what each set is connected to already: equal names need no comparison."""
         self.sets, self.rule = sets, rule
         self.size = np.array([len(s) for s in sets])
-        self.root = np.arange(len(sets))
+        self.root = np.arange(len(sets)) if known is None else np.unique(known, return_inverse=True)[1].astype(np.int64)
         self.edges: list[tuple[int, int]] = []
         self._sketch = None
 
@@ -427,7 +428,7 @@ class Region:
             self._sketch = np.packbits(out, axis=1).view(_U)
         return self._sketch
 
-    def join(self, limit: int = 32, pivots: int = 6) -> list[tuple[int, int]]:
+    def join(self, limit: int = 3, pivots: int = 6) -> list[tuple[int, int]]:
         todo = [np.arange(len(self.sets))]
         while todo:
             cell = todo.pop()
@@ -476,21 +477,17 @@ class Region:
 
 def _join_region(rule: Rule):
     def run(table: pa.Table) -> pa.Table:
-        s1, s2 = table.column("s1").to_pylist(), table.column("s2").to_pylist()
+        s1, s2, known = (table.column(c).to_pylist() for c in ("s1", "s2", "root"))
         order = sorted(range(len(s1)), key=lambda i: (s1[i], s2[i]))
         elements = table.column("elements")
-        edges = Region([np.frombuffer(elements[i].as_buffer(), _U) for i in order], rule).join()
-        ends = [[order[e[side]] for e in edges] for side in (0, 1)]
-        name = lambda i: f"{s1[i] & (2 ** 64 - 1):016x}{s2[i] & (2 ** 64 - 1):016x}"
-        return pa.table({"a": pa.array([name(i) for i in ends[0]], pa.string()),
-                         "b": pa.array([name(i) for i in ends[1]], pa.string())})
+        own = names(s1, s2)
+        edges = Region([np.frombuffer(elements[i].as_buffer(), _U) for i in order], rule,
+                       [known[i] or own[i] for i in order]).join()
+        return pa.table({"a": pa.array([own[order[a]] for a, _ in edges], pa.string()),
+                         "b": pa.array([own[order[b]] for _, b in edges], pa.string())})
     return run
 
 
-def _node():
-    return F.lower(F.concat(F.lpad(F.hex("s1"), 16, "0"), F.lpad(F.hex("s2"), 16, "0")))
-
-
 def classes(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text",
             block: int = BLOCK) -> DataFrame:
     """(id, n_shingles, component_id, _k1, _k2) for every row of ``docs``.
@@ -499,7 +496,8 @@ def classes(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_i
     words split at ASCII white space; fewer than k words are one shingle). Rows
     link when their sets' Jaccard similarity is at least ``percent`` / 100;
     ``component_id`` is the smallest id reachable over links. Exact: no link is
-    lost and none added, up to equal 64-bit hashes of different shingles.
+    lost and none added, up to equal 64-bit hashes of different shingles. (Sets that
+    share a 64-bit key of the two they have are only looked at together.)
 
     Null texts and texts without words have no shingles and link with nothing;
     equal texts link whatever their number; null ids are not smaller than
@@ -507,9 +505,9 @@ def classes(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_i
     other columns are ignored; an empty table gives an empty result.
 
     Equal sets are one node from the start, and a worker sends a set's copies to
-    the meeting places once. A cell or region of more than ``block`` sets, or a
-    region of more than ``BLOCK_BYTES`` of them, is dealt to several tasks, each
-    with two blocks of it, so that all pairs still meet.
+    the meeting places once. A cell of more than ``block`` sets is dealt to several
+    tasks, each with the sketches of two blocks of it, so that all pairs still meet;
+    a region of more than ``block`` sets or ``BLOCK_BYTES`` of them is divided by pivots.
     """
     rule = Rule(percent)
     spark = docs.sparkSession
@@ -523,7 +521,7 @@ def classes(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_i
     cells = cut_lineage(met.repartition(shuffle_tasks(spark), "place").sortWithinPartitions("place", "s1")
                         .mapInArrow(_cells, "cell bigint, s1 bigint").distinct())
     # Sets that meet by chance (a passage many texts quote) are parted by their sketches.
-    bits = cut_lineage(slim.where("n > 0").groupBy("s1").agg(F.max(F.struct("n", "sketch")).alias("x"))
+    bits = cut_lineage(slim.where("n > 0").groupBy("s1", "s2").agg(F.max(F.struct("n", "sketch")).alias("x"))
                        .select("s1", "x.n", "x.sketch"))
     near = (deal(cells, "cell", ["s1"], block).join(bits, "s1").select("cell", "_i", "_j", "s1", "n", "sketch")
             .repartition(shuffle_tasks(spark), "cell", "_i", "_j").sortWithinPartitions("cell", "_i", "_j")
@@ -535,12 +533,12 @@ def classes(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_i
     texts = base.select("_k1", "_k2", "text").where("text is not null")
     sets = cut_lineage(texts.join(one, ["_k1", "_k2"]).select("s1", "s2", "region", "text")
                        .mapInArrow(_store(k), "s1 bigint, s2 bigint, region bigint, elements binary"))
-    dealt = deal(sets, "region", ["s1", "s2"], block, "elements")
-    edges = dealt.groupBy("region", "_i", "_j").applyInArrow(_join_region(rule), "a string, b string")
-    roots = connected(edges)
-    nodes = slim.where("n > 0").groupBy("s1", "s2").agg(F.min("_id").alias("low")).select(_node().alias("node"), "s1", "s2", "low")
-    nodes = nodes.join(roots, "node", "left").select("s1", "s2", "low", F.coalesce("root", "node").alias("root"))
-    lows = nodes.groupBy("root").agg(F.min("low").alias("component"))
+    groups, links = divide(sets, rule, block, BLOCK_BYTES)
+    edges = groups.groupBy("cell", "_i", "_j").applyInArrow(_join_region(rule), "a string, b string")
+    roots = connected(edges if links is None else edges.unionByName(links))
+    nodes = slim.where("n > 0").groupBy("s1", "s2").agg(F.min("_id").alias("low")).select(node_name().alias("node"), "s1", "s2", "low")
+    nodes = cut_lineage(nodes.join(roots, "node", "left").select("s1", "s2", "low", F.coalesce("root", "node").alias("root")))
+    lows = cut_lineage(nodes.groupBy("root").agg(F.min("low").alias("component")))
     named = cut_lineage(nodes.join(lows, "root").select("s1", "s2", "component"))
     out = slim.join(named, ["s1", "s2"], "left")
     component = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("_id"))

@@ -23,9 +23,9 @@ def executed(df):
 
 
 def test_a_node_with_half_of_the_edges_is_split(tight):
-    from pozo.llm.frames import connected, with_minimum
+    from pozo.llm.frames import Kept, connected, with_minimum
     e = tight.range(40000).select(F.when(F.col("id") % 2 == 0, -1).otherwise(F.col("id") % 9000).alias("u"), (F.col("id") + 10000).alias("v"))
     e = e.repartition(8)
-    assert "skew=true" in executed(with_minimum(e))
+    assert "skew=true" in executed(with_minimum(e, Kept(tight, "test")))
     roots = {r["node"]: r["root"] for r in connected(e, "u", "v").collect()}
     assert roots[10000] == -1 and len(roots) == 40000 + 4500 + 1 and all(roots[i + 10000] == i % 9000 for i in range(1, 40000, 2))
