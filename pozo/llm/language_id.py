@@ -26,6 +26,7 @@ from pozo.llm.textgrams import pieces, text_bytes
 
 DIMS = 4096
 ROWS = 512                     # texts vectorised at a time
+FIT_ROWS = 64                  # the same on the driver
 UNDETERMINED = "und"
 HEAD = 2048                    # characters of a sampled text that pieces are cut from
 PIECE_CHARS = [1 << i for i in range(2, 11)]
@@ -90,13 +91,22 @@ def _vectors(idf: np.ndarray):
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _blocks(batches):
             v = _weigh(gram_counts(part.column("text")), idf)
+            at = [np.flatnonzero(row).astype(np.uint16) for row in v]
             yield pa.RecordBatch.from_arrays(
-                [part.column("lang"), part.column("_h"), pa.array([row.tobytes() for row in v], pa.binary()),
+                [part.column("lang"), part.column("_h"), pa.array([i.tobytes() for i in at], pa.binary()),
+                 pa.array([row[i].tobytes() for row, i in zip(v, at)], pa.binary()),
                  pc.utf8_slice_codeunits(part.column("text"), 0, HEAD)],
-                names=["lang", "_h", "v", "head"])
+                names=["lang", "_h", "at", "v", "head"])
     return emit
 
 
+def _dense(at: list[bytes], values: list[bytes]) -> np.ndarray:
+    out = np.zeros((len(at), DIMS), np.float32)
+    for row, i, x in zip(out, at, values):
+        row[np.frombuffer(i, np.uint16)] = np.frombuffer(x, np.float32)
+    return out
+
+
 def cluster(vectors: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     """At most ``k`` unit centroids (spherical k-means, farthest-first start; deterministic)."""
     mean = vectors.mean(axis=0)
@@ -140,7 +150,7 @@ def _clean_cosines(vectors: np.ndarray, heads: list[str], idf: np.ndarray, k: in
     for half in (0, 1) if len(vectors) > 1 else ():
         centres = cluster(vectors[1 - half::2], k)
         texts = _pieces_of(heads[half::2])
-        parts = (_weigh(gram_counts(pa.array(texts[at:at + ROWS], pa.string())), idf) for at in range(0, len(texts), ROWS))
+        parts = (_weigh(gram_counts(pa.array(texts[at:at + FIT_ROWS], pa.string())), idf) for at in range(0, len(texts), FIT_ROWS))
         for v in [vectors[half::2], *parts]:
             best, size = (v @ centres.T).max(axis=1), length_class(v)
             for c in np.unique(size).tolist():
@@ -186,7 +196,7 @@ def learn(train: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
     Document frequencies count every labelled row. The clusters are fitted on
     a bounded sample: about ``sample`` rows, split evenly among the languages,
     those with the smallest hash of id and text. Vectors of the sample come to
-    the driver (16 KB each) with the texts' first ``HEAD`` characters, on which
+    the driver (their non-zero places, 24 KB each at most) with the texts' first ``HEAD`` characters, on which
     the least cosines are fitted. Rows with a null text or language teach nothing.
     """
     rows = (train.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"),
@@ -207,18 +217,19 @@ def learn(train: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
     part = rows.sparkSession.createDataFrame([(a, min(b, (1 << 63) - 1)) for a, b in below], "lang string, _most long")
     few = (rows.join(F.broadcast(part), "lang").where(F.col("_h").bitwiseAND(F.lit((1 << 63) - 1)) <= F.col("_most"))
            # Equal rows teach once, so which rows the bound lets through hangs on hashes alone.
-           .select("lang", "text", "_h").dropDuplicates(["lang", "_h"]).mapInArrow(_vectors(idf), "lang string, _h long, v binary, head string")
-           .limit(4 * sample + 100 * len(n)))
-    got: dict[str, list] = {}
-    for r in sorted(few.collect(), key=lambda r: (r["lang"], r["_h"] & ((1 << 63) - 1), r["v"])):
-        got.setdefault(r["lang"], []).append((r["v"], r["head"]))
+           .select("lang", "text", "_h").dropDuplicates(["lang", "_h"]).mapInArrow(_vectors(idf), "lang string, _h long, at binary, v binary, head string")
+           .limit(4 * sample + 100 * len(n))).toArrow()
+    lang_of = few.column("lang").to_pylist()
+    hashes = [h & ((1 << 63) - 1) for h in few.column("_h").to_pylist()]
     centres, names, clean = [], [], []
-    for lang in sorted(got):
-        v = np.stack([np.frombuffer(x, np.float32) for x, _ in got[lang][:each]])
+    for lang in sorted(set(lang_of)):
+        mine = sorted((i for i, x in enumerate(lang_of) if x == lang), key=lambda i: hashes[i])[:each]
+        rows = few.take(pa.array(mine))
+        v = _dense(rows.column("at").to_pylist(), rows.column("v").to_pylist())
         c = cluster(v, centroids)
         centres.append(c)
         names += [lang] * len(c)
-        clean.append(_clean_cosines(v, [head for _, head in got[lang][:each]], idf, centroids))
+        clean.append(_clean_cosines(v, rows.column("head").to_pylist(), idf, centroids))
     least = np.repeat(_least_cosines(clean), [len(c) for c in centres], axis=0)
     return LanguageModel(idf, np.concatenate(centres).astype(np.float32), names, least)
 
