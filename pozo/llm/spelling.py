@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pozo.llm.frames import cut_lineage, shuffle_tasks
 
 LETTERS = "A-Za-zÀ-ÿ"
-BLOCK = 4_000         # words per block aimed at
+BLOCK = 8_000         # words per block aimed at
 MAX_BLOCKS = 10_000   # beyond BLOCK * MAX_BLOCKS words blocks grow: the fences stay a bounded table
 FENCE = 64            # letters of a block's first and last word that are kept
 QUERIES = 4096        # queries walked together
@@ -216,8 +216,8 @@ def _scan(words: DataFrame, blocks: int, back: bool) -> DataFrame:
     # At most one row per block.
     fences = [tuple(r) for r in ranged.groupBy("block").agg(
         F.min("key").substr(1, FENCE), F.max("key").substr(1, FENCE)).collect()]
-    dealt = ranged.mapInArrow(_deal(sorted(fences, key=lambda f: (f[1], f[2]))),
-                              "block bigint, key string, n bigint, home boolean")
+    dealt = cut_lineage(ranged.mapInArrow(_deal(sorted(fences, key=lambda f: (f[1], f[2]))),
+                                          "block bigint, key string, n bigint, home boolean"))
     # Blocks in a row go to one task, by their rows: tasks are of one size.
     dealt = dealt.repartitionByRange(min(blocks, shuffle_tasks(words.sparkSession)), "block")
     return dealt.groupBy("block").applyInArrow(_block(back), FOUND)
