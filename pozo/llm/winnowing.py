@@ -22,7 +22,6 @@ from pozo.llm.textgrams import ALNUM, Words, gram_hashes, pieces, sliding_min
 
 WINDOW, GRAM = 10, 6
 BITS = 22
-WORDS = "[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"   # upper case included: for counting
 FINGERPRINTS = "_k1 bigint, _k2 bigint, fp bigint, len int, pos int, lead int, around string"
 
 
@@ -83,6 +82,16 @@ def _fingerprinter(lengths: tuple[int, ...], packed: bytes | None, whole_short:
     return run
 
 
+def _counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Number of words per row; the text goes no further."""
+    for batch in batches:
+        for part in pieces(batch, "_text"):
+            n = Words(part.column("_text"), ALNUM, lower=True).counts()
+            yield pa.RecordBatch.from_arrays(
+                [*[part.column(c) for c in ("_id", "_k1", "_k2")], pa.array(n, pa.int64())],
+                names=["_id", "_k1", "_k2", "n_words"])
+
+
 def _extender(window: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Equal words around each joined gram: the span of a document's words, where it holds a window."""
@@ -164,8 +173,9 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, gram:
     spans = find_spans(base, items, window, gram, text_col="_text", **item_columns)
     hits = spans.groupBy("_k1", "_k2").agg(
         F.collect_set(F.struct("lo", "hi")).alias("spans"), F.collect_set("item").alias("items"))
-    rows = base.select("_id", "_k1", "_k2",
-                       F.coalesce(F.regexp_count("_text", F.lit(WORDS)), F.lit(0)).cast("long").alias("n_words"))
+    kind = docs.schema[id_col].dataType.simpleString()
+    rows = (base.select("_id", "_k1", "_k2", "_text")
+            .mapInArrow(_counter, f"_id {kind}, _k1 bigint, _k2 bigint, n_words bigint"))
     out = rows.join(hits, ["_k1", "_k2"], "left")
     items_ = F.array_sort(F.coalesce("items", F.array().cast("array<string>")))
     n_hit = F.when(F.col("spans").isNull(), F.lit(0)).otherwise(covered(F.col("spans"))).cast("long")
