@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pozo.session import cut_lineage as checkpointed
 from pozo.session import ensure_checkpoint_dir
 
-__all__ = ["cut_lineage", "row_key", "scratch_path", "read_table", "connected", "shuffle_tasks"]
+__all__ = ["cut_lineage", "row_key", "scratch_path", "read_table", "connected", "shuffle_tasks", "join_counted"]
 
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -58,6 +58,30 @@ def row_key(*columns: str) -> list[Column]:
             F.xxhash64(F.lit(0x5bd1e995), *nulls, *reversed(cols)).alias("_k2")]
 
 
+def join_counted(rows: DataFrame, counted: DataFrame, keys: list[str], how: str = "inner", count: str = "c") -> DataFrame:
+    """``rows`` joined with ``counted``: one row per key, ``count`` the number of ``rows`` of it.
+
+    No task gets the rows of one key because the key is frequent. Keys with more
+    than 1 / (4 x shuffle tasks) of all counted rows are fewer than four times the
+    shuffle tasks, whatever the input: they are broadcast, and their rows are dealt
+    by their own hash from there on. All other keys meet in a shuffle join.
+    ``how`` is ``inner`` or ``left``; null keys match nothing.
+    """
+    counted = cut_lineage(counted)
+    tasks = shuffle_tasks(rows.sparkSession)
+    total = counted.agg(F.sum(count)).first()[0] or 0
+    values = [c for c in counted.columns if c not in keys]
+    is_heavy = F.col(count) > total / (4 * tasks)
+    heavy = counted.where(is_heavy).select(*keys, *[F.col(c).alias(f"_heavy_{c}") for c in values])
+    light = counted.where(~is_heavy).select(*keys, F.lit(0).alias("_salt"), *[F.col(c).alias(f"_light_{c}") for c in values])
+    stays = F.col(f"_heavy_{count}").isNull() & F.col(keys[0]).isNotNull()
+    spread = F.when(stays, 0).otherwise(1 + F.pmod(F.xxhash64(*rows.columns), F.lit(64 * tasks)).cast("int"))
+    out = (rows.join(F.broadcast(heavy), keys, "left").withColumn("_salt", spread)
+           .join(light, [*keys, "_salt"], "left")
+           .select(*rows.columns, *[F.coalesce(f"_heavy_{c}", f"_light_{c}").alias(c) for c in values]))
+    return out.where(F.col(count).isNotNull()) if how == "inner" else out
+
+
 class Kept:
     """Tables written to the shared folder for the steps of a loop.
 

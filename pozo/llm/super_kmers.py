@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pozo.llm.frames import row_key, shuffle_tasks
+from pozo.llm.frames import join_counted, row_key, shuffle_tasks
 from pozo.llm.textgrams import BLANKS, Words, gram_hashes, mix, pieces, sliding_min
 
 WINDOW, MINIMISER = 35, 8
@@ -181,14 +181,14 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, m: int = MINIMISER, ho
 
     ``docs`` has (_k1, _k2, _id, text), one row per text, equal rows included.
     Minimisers are counted by partial aggregation and join their super-k-mers
-    in a shuffle join that Spark may split. Those of more than ``hot``
+    without one task for a frequent one. Those of more than ``hot``
     super-k-mers (a passage that a large part of all documents shares) are not
     brought to one bucket: their windows are counted by a partial aggregation
-    over the windows themselves. Both ways give the same ranges.
+    over the windows themselves, which join their counts in the same way. Both
+    ways give the same ranges.
     """
     runs = docs.select("_k1", "_k2", "text").mapInArrow(_minimisers(window, m), "_k1 bigint, _k2 bigint, at int, n int, mini bigint")
-    often = runs.groupBy("mini").agg(F.count("*").alias("c")).where("c > 1")
-    again = runs.join(often, "mini")
+    again = join_counted(runs, runs.groupBy("mini").agg(F.count("*").alias("c")).where("c > 1"), ["mini"])
 
     def cut(part: DataFrame) -> DataFrame:
         wanted = part.groupBy("_k1", "_k2").agg(F.collect_set(F.struct("at", "n", "mini")).alias("spans"))
@@ -200,8 +200,8 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, m: int = MINIMISER, ho
             .mapInArrow(_bucket(window), "_k1 bigint, _k2 bigint, lo int, hi int"))
     windows = cut(again.where(F.col("c") > hot)).mapInArrow(
         _windows(window), "_k1 bigint, _k2 bigint, lo int, w1 bigint, w2 bigint")
-    counted = windows.groupBy("w1", "w2").agg(F.count("*").alias("c")).where("c > 1").drop("c")
-    warm = windows.join(counted, ["w1", "w2"]).select("_k1", "_k2", "lo", (F.col("lo") + window).alias("hi"))
+    counted = windows.groupBy("w1", "w2").agg(F.count("*").alias("c")).where("c > 1")
+    warm = join_counted(windows, counted, ["w1", "w2"]).select("_k1", "_k2", "lo", (F.col("lo") + window).alias("hi"))
     return cold.unionByName(warm)
 
 
