@@ -1,10 +1,11 @@
 """WARC archives with revisit records: write, read back, resolve.
 
-Headers (id, payload digest, length) are shuffled by digest first; payloads are
-not. The digest group's largest id becomes the response, the others become
-revisit records that refer to it. Records are then written with fresh headers,
-a payload only in responses. Reading parses records by their Content-Length and
-joins revisit records to the responses they refer to.
+Headers (id, payload digest, length) are shuffled by digest, without their
+payloads. The digest group's largest id becomes the response, the others become
+revisit records that refer to it. Payloads then travel once, by row key, to meet
+that decision. Records are written with fresh headers, a payload only in
+responses. Reading inflates archives piece by piece, parses records by their
+Content-Length and joins revisit records to the responses they refer to.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pozo.llm.frames import row_key
+from pozo.llm.frames import join_counted, row_key
 
 # Fixed values of the format
 VERSION = "WARC/1.1"
@@ -26,6 +27,7 @@ END = "\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 ID = "urn:page:"
+PIECE = 1 << 20
 
 READ_SCHEMA = ("record_type string, page_id string, uri string, payload_bytes bigint, payload_digest string, "
                "digest_ok boolean, refers_to string")
@@ -52,12 +54,11 @@ def resolve(headers: DataFrame, min_bytes: int = 0) -> DataFrame:
     only null ids carry are responses.
 
     The largest id per digest is a partial aggregate; the headers then join it
-    by digest, a shuffle join that Spark may split when one payload is frequent.
+    by digest, without one task for a frequent payload.
     """
     first = headers.groupBy("payload_digest").agg(F.max("page_id").alias("_first"), F.count("*").alias("_n"))
     # Digests seen once have nothing to join.
-    first = first.where("_n > 1").drop("_n")
-    joined = headers.join(first, "payload_digest", "left")
+    joined = join_counted(headers, first.where("_n > 1"), ["payload_digest"], "left", "_n").drop("_n")
     again = (F.col("payload_bytes") >= min_bytes) & F.col("_first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("_first"))
     return (joined.withColumn("record_type", F.when(again, "revisit").otherwise("response"))
             .withColumn("refers_to", F.when(again, F.col("_first"))).drop("_first"))
@@ -112,45 +113,85 @@ def write_archives(pages: DataFrame, path: str, date: str = "2000-01-01T00:00:00
     return path
 
 
-def _split(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    at = 0
-    while at < len(data):
-        if not data.startswith(VERSION.encode(), at):
-            raise ValueError(f"no record at byte {at}")
-        cut = data.index(b"\r\n\r\n", at)
-        head = dict(line.split(": ", 1) for line in data[at:cut].decode().split("\r\n")[1:])
-        begin = cut + 4
-        at = begin + int(head["Content-Length"])
-        yield head, data[begin:at]
-        at += 4
+def _inflated(data: pa.Buffer, gz: bool) -> Iterator[bytes]:
+    """The archive's bytes in pieces of at most ``PIECE``; any number of gzip members."""
+    stored = (data[at:at + PIECE].to_pybytes() for at in range(0, data.size, PIECE))
+    if not gz:
+        yield from stored
+        return
+    member, out = None, b""
+    while True:
+        if member is None or member.eof:
+            fed = (member.unused_data if member else b"") or next(stored, b"")
+            if not fed:
+                return
+            member = zlib.decompressobj(31)
+        elif member.unconsumed_tail or len(out) == PIECE:
+            fed = member.unconsumed_tail       # what it was given already, or still holds inside
+        else:
+            fed = next(stored, b"")
+            if not fed:
+                raise ValueError("an archive ends within a gzip member")
+        out = member.decompress(fed, PIECE)
+        yield out
+
+
+def _split(pieces: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
+    """(headers, block) of every record; holds one record and one piece at a time."""
+    held = bytearray()
+    head, ends = None, 0
+    for piece in pieces:
+        held += piece
+        done = 0
+        while True:
+            if head is None:
+                cut = held.find(END.encode(), done)
+                if cut < 0:
+                    break
+                if not held.startswith(VERSION.encode(), done):
+                    raise ValueError("no record where one should begin")
+                head = dict(line.split(": ", 1) for line in held[done:cut].decode().split("\r\n")[1:])
+                done, ends = cut + 4, int(head["Content-Length"])
+            if len(held) < done + ends + 4:
+                break
+            yield head, bytes(held[done:done + ends])
+            head, done = None, done + ends + 4
+        del held[:done]
+    if head is not None or held:
+        raise ValueError("an archive ends within a record")
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     bare = lambda v: None if v is None else v[1 + len(ID):-1] or None
+    kinds = [pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.bool_(), pa.string()]
+    names = ["record_type", "page_id", "uri", "payload_bytes", "payload_digest", "digest_ok", "refers_to"]
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
+
     for batch in batches:
         for path, cell in zip(batch.column(0).to_pylist(), batch.column(1)):
-            data = cell.as_buffer()
-            data = zlib.decompress(data, 31) if path.endswith(".gz") else data.to_pybytes()
             rows = []
-            for head, block in _split(data):
+            for head, block in _split(_inflated(cell.as_buffer(), path.endswith(".gz"))):
                 payload = block[block.index(b"\r\n\r\n") + 4:]
                 response = head["WARC-Type"] == "response"
                 digest = head["WARC-Payload-Digest"].removeprefix("sha1:")
                 own = base64.b32encode(hashlib.sha1(payload).digest()).decode() if response else digest
                 rows.append((head["WARC-Type"], bare(head["WARC-Record-ID"]), head.get("WARC-Target-URI"),
                              len(payload) if response else None, own, own == digest, bare(head.get("WARC-Refers-To"))))
+                if len(rows) == 4096:
+                    yield batch_of(rows)
+                    rows = []
             if rows:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.string(), pa.string(), pa.int64(),
-                                                                 pa.string(), pa.bool_(), pa.string()))],
-                    names=["record_type", "page_id", "uri", "payload_bytes", "payload_digest", "digest_ok", "refers_to"])
+                yield batch_of(rows)
 
 
 def read_archives(spark: SparkSession, path: str, id_type: str = "bigint") -> DataFrame:
     """Records below ``path``: (page_id, uri, payload_bytes, payload_digest, record_type,
     refers_to, digest_ok); a revisit has its response's length and digest.
 
-    A task holds one archive file at a time. Digests of responses are computed
+    A task holds one archive file, as stored, and one inflated record at a time;
+    gzip files may have one member or one per record. Digests of responses are computed
     anew from the payloads read. Revisits join the responses by record id and
     digest on headers alone.
     """
