@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pozo.llm.frames import join_counted, row_key, shuffle_tasks
+from pozo.llm.frames import Kept, cut_lineage, join_counted, row_key, shuffle_tasks
 from pozo.llm.textgrams import BLANKS, Words, gram_hashes, mix, pieces, sliding_min
 
 WINDOW, MINIMISER = 35, 8
@@ -65,13 +65,14 @@ def _packer(window: int):
         """Cut the asked-for super-k-mers out of each text."""
         for batch in batches:
             for part in pieces(batch, "text", 1 << 20):
-                row, (at, n, mini) = _flat(part.column("spans"))
+                row, (at, n, mini, hot) = _flat(part.column("spans"))
                 split = [(t or "").encode().split() for t in part.column("text").to_pylist()]
                 packed = [b" ".join(split[r][a:a + c + window - 1]).decode() for r, a, c in zip(row.tolist(), at.tolist(), n.tolist())]
                 take = pa.array(row)
                 yield pa.RecordBatch.from_arrays(
                     [part.column("_k1").take(take), part.column("_k2").take(take), pa.array(at, pa.int32()),
-                     pa.array(mini, pa.int64()), pa.array(packed, pa.string())], names=["_k1", "_k2", "at", "mini", "packed"])
+                     pa.array(mini, pa.int64()), pa.array(hot, pa.bool_()), pa.array(packed, pa.string())],
+                    names=["_k1", "_k2", "at", "mini", "hot", "packed"])
     return run
 
 
@@ -185,24 +186,25 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, m: int = MINIMISER, ho
     super-k-mers (a passage that a large part of all documents shares) are not
     brought to one bucket: their windows are counted by a partial aggregation
     over the windows themselves, which join their counts in the same way. Both
-    ways give the same ranges.
+    ways give the same ranges. The texts are cut once, into a table of the shared
+    folder that both ways read and that is deleted at the end.
     """
-    runs = docs.select("_k1", "_k2", "text").mapInArrow(_minimisers(window, m), "_k1 bigint, _k2 bigint, at int, n int, mini bigint")
-    again = join_counted(runs, runs.groupBy("mini").agg(F.count("*").alias("c")).where("c > 1"), ["mini"])
-
-    def cut(part: DataFrame) -> DataFrame:
-        wanted = part.groupBy("_k1", "_k2").agg(F.collect_set(F.struct("at", "n", "mini")).alias("spans"))
-        return (docs.join(wanted, ["_k1", "_k2"]).select("_id", "_k1", "_k2", "text", "spans")
-                .mapInArrow(_packer(window), "_k1 bigint, _k2 bigint, at int, mini bigint, packed string"))
-
     spark = docs.sparkSession
-    cold = (cut(again.where(F.col("c") <= hot)).repartition(shuffle_tasks(spark), "mini").sortWithinPartitions("mini")
+    kept = Kept(spark, "super-k-mers")
+    runs = docs.select("_k1", "_k2", "text").mapInArrow(_minimisers(window, m), "_k1 bigint, _k2 bigint, at int, n int, mini bigint")
+    often = runs.groupBy("mini").agg(F.count("*").alias("c")).where("c > 1")
+    wanted = (join_counted(runs, often, ["mini"]).groupBy("_k1", "_k2")
+              .agg(F.collect_set(F.struct("at", "n", "mini", (F.col("c") > hot).alias("hot"))).alias("spans")))
+    packed = kept.write(docs.join(wanted, ["_k1", "_k2"]).select("_k1", "_k2", "text", "spans").mapInArrow(
+        _packer(window), "_k1 bigint, _k2 bigint, at int, mini bigint, hot boolean, packed string"))
+    cold = (packed.where("not hot").drop("hot").repartition(shuffle_tasks(spark), "mini").sortWithinPartitions("mini")
             .mapInArrow(_bucket(window), "_k1 bigint, _k2 bigint, lo int, hi int"))
-    windows = cut(again.where(F.col("c") > hot)).mapInArrow(
-        _windows(window), "_k1 bigint, _k2 bigint, lo int, w1 bigint, w2 bigint")
+    windows = packed.where("hot").mapInArrow(_windows(window), "_k1 bigint, _k2 bigint, lo int, w1 bigint, w2 bigint")
     counted = windows.groupBy("w1", "w2").agg(F.count("*").alias("c")).where("c > 1")
     warm = join_counted(windows, counted, ["w1", "w2"]).select("_k1", "_k2", "lo", (F.col("lo") + window).alias("hi"))
-    return cold.unionByName(warm)
+    spans = cut_lineage(cold.unionByName(warm))
+    kept.drop()
+    return spans
 
 
 def drop_repeats(docs: DataFrame, window: int = WINDOW, m: int = MINIMISER, hot: int = HOT,
