@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pozo.llm.frames import row_key
+from pozo.llm.license_texts import BODIES
 
 K = 3
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -35,7 +36,7 @@ class Template:
 BASE = [Template("mit", "under the mit license", True), Template("apache-2", "apache license version 2", True),
         Template("cc-by-nc", "cc by nc", True)]
 
-# Passages that public licenses and their notices use.
+# Passages that public licenses and their notices use, and whole bodies of short ones.
 PASSAGES = [
     Template("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated "
              "documentation files the software to deal in the software without restriction"),
@@ -54,6 +55,7 @@ PASSAGES = [
     Template("cc0", "the person who associated a work with this deed has dedicated the work to the public domain"),
     Template("unlicense", "this is free and unencumbered software released into the public domain"),
     Template("all-rights-reserved", "all rights reserved", coverage=1.0),
+    *[Template(label, body) for label, body in BODIES.items()],
 ]
 
 

@@ -420,6 +420,26 @@ def test_license_phrases(documents, empty):
         scan(df, passages=[Template("x", "too short")]).count()
 
 
+def test_license_bodies(spark):
+    from pozo.llm.license_scan import scan, template_words
+    from pozo.llm.license_texts import BODIES
+    noise = "one two three four five six seven "
+    names = list(BODIES)
+    rows = [(i, noise * 3 + "Copyright Ana. All rights reserved. " + BODIES[n].upper() + " " + noise) for i, n in enumerate(names)]
+    rows += [(100 + i, "# " + BODIES[n].replace("\n", "\n# ").replace("software", "very software", 1)) for i, n in enumerate(names)]
+    rows += [(200 + i, " ".join(template_words(BODIES[n])[::-1])) for i, n in enumerate(names)]
+    rows += [(300, "the software is provided to the public and the use of this software is free, without warranty of any kind"),
+             (301, "in no event shall the author be liable; redistribution in binary form is permitted for any purpose")]
+    got = {r["doc_id"]: r for r in scan(spark.createDataFrame(rows, "doc_id long, text string"), base=[]).collect()}
+    also = {"bsd-2": {"bsd"}, "bsd-3": {"bsd"}}
+    for i, n in enumerate(names):
+        assert set(got[i]["labels"].split(",")) == {n, "all-rights-reserved"} | also.get(n, set())
+        whole = max(f["last"] - f["lo"] + 1 for f in got[i]["found"] if f["label"] == n)
+        assert whole == len(template_words(BODIES[n]))
+        assert set(got[100 + i]["labels"].split(",")) == {n} | also.get(n, set())
+    assert all(got[i]["labels"] == "" for i in got if i >= 200)
+
+
 def test_languages(spark):
     from pozo.llm.language_id import held_out, identify, learn
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
