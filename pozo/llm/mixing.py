@@ -7,11 +7,11 @@ costs more than the one before, so nothing is repeated while unused words
 would do. The flow says how many words each pattern gives; documents are then
 chosen in a seeded order until the pattern's words are reached.
 
-Only patterns that overlap compete. A source that shares no pattern with
-another one is a network of its own with a single path, and its flow is known:
-its quota, or all copies of its words. So with any number of disjoint sources
-targets, flows and selection are Spark tables; the driver's flow solves the
-overlapping rest, whose patterns are bounded.
+Only patterns that overlap compete. Sources that share no pattern with others
+are a network of their own, and the flow of the whole is that of its networks.
+So with any number of disjoint sources targets, networks and selection are Spark
+tables, and tasks solve the flow of each network; where sources overlap, one flow
+on the driver solves all patterns, whose number is bounded.
 """
 
 from __future__ import annotations
@@ -67,7 +67,7 @@ def min_cost_flow(arcs: list[tuple[int, int, int, float]], nodes: int, source: i
             x = queue.popleft()
             queued[x] = False
             for e in head[x]:
-                if room[e] and dist[x] + cost[e] < dist[to[e]] - 1e-9:
+                if room[e] > 0 and dist[x] + cost[e] < dist[to[e]] - 1e-9:
                     dist[to[e]], via[to[e]] = dist[x] + cost[e], e
                     if not queued[to[e]]:
                         queued[to[e]] = True
@@ -105,6 +105,18 @@ def route(patterns: dict[tuple, int], quotas: dict, repeats: int = 2) -> dict[tu
     return out
 
 
+def network_flows(patterns: Column, quotas: Column, repeats: int = 2) -> Column:
+    """Words given by every pattern of a row's network, in their order: :func:`route` in tasks.
+
+    ``patterns`` is an array of (members: places in ``quotas``, size), ``quotas`` the
+    words wanted from the network's sources. A row holds its whole network.
+    """
+    def give(pats, wanted):
+        flows = route({tuple(p["members"]): p["size"] for p in pats}, dict(enumerate(wanted)), repeats)
+        return [sum(flows[tuple(p["members"])].values()) for p in pats]
+    return F.udf(give, "array<bigint>")(patterns, quotas)
+
+
 def choose(slim: DataFrame, words: DataFrame, seed_bits: int = 12) -> DataFrame:
     """Add ``copies`` to rows (members, size, _h, ...): whole documents in hash order until
     the words their pattern gives are reached, to the nearest document.
@@ -223,16 +235,16 @@ def mix_disjoint(docs: DataFrame, source: Column, targets: Callable[[DataFrame],
     """:func:`mix` for documents of one source each, with ``source_size`` and ``target``.
 
     ``targets`` maps (source, size) to (source, size, target). Each source is a network
-    of one path, whose largest flow of least cost is its rounded target, at most
-    ``repeats`` times its words. Sources, targets and flows stay in Spark, whatever
-    their number. Nulls, ties and empties as in :func:`mix`.
+    of its own, with one pattern, whose flow a task solves. Sources, targets and flows
+    stay in Spark, whatever their number. Nulls, ties and empties as in :func:`mix`.
     """
     slim = _slim(docs, F.array(source), seed, id_col, text_col)
     sizes = cut_lineage(slim.groupBy("members").agg(F.sum("size").alias("size"), F.count("*").alias("n")))
     aim = targets(sizes.select(F.get("members", F.lit(0)).alias("source"), "size")).select(
         F.array("source").alias("_a"), F.col("target"))
+    pattern = F.struct(F.array(F.lit(0)).alias("members"), "size")
     words = cut_lineage(sizes.join(aim, F.col("members").eqNullSafe(F.col("_a"))).drop("_a").withColumn(
-        "give", F.least(F.rint("target").cast("long"), repeats * F.col("size"))))
+        "give", network_flows(F.array(pattern), F.array(F.coalesce("target", repeats * F.col("size"))), repeats)[0]))
     facts = words.select(F.col("members").alias("_a"), F.col("size").alias("source_size"), "target")
     out = _named(choose(slim, words), id_col)
     return out.join(facts, F.col("members").eqNullSafe(F.col("_a"))).drop("_a")

@@ -219,6 +219,33 @@ def test_mix_reaches_targets(documents, empty):
     assert sum(f.get("a", 0) for f in flow.values()) == 25 and sum(f.get("b", 0) for f in flow.values()) == 10
 
 
+def flowing(monkeypatch):
+    """The flow of every network is replaced by half of its words (by value: tasks don't import this file)."""
+    from pozo.llm import mixing
+    namespace: dict = {}
+    exec("half = lambda patterns, quotas, repeats=2: {p: {s: n // 2 for s in p} for p, n in patterns.items()}", namespace)
+    monkeypatch.setattr(mixing, "route", namespace["half"])
+
+
+def test_networks_are_solved_by_the_flow(spark, documents, monkeypatch):
+    from pozo.llm.mixing import network_flows, route, source_report
+    networks = [([((0,), 10), ((0, 1), 10), ((1,), 10)], [15.0, 15.0]), ([((0,), 10), ((0, 1), 10)], [25.0, 10.0]),
+                ([((0,), 7)], [3.5]), ([((0,), 7)], [99.0]), ([((0,), 0)], [0.0]), ([], [])]
+    df = spark.createDataFrame(networks, "p array<struct<members: array<int>, size: long>>, q array<double>").repartition(3)
+    for r in df.select("p", "q", network_flows(F.col("p"), F.col("q")).alias("give")).collect():
+        flows = route({tuple(x["members"]): x["size"] for x in r["p"]}, dict(enumerate(r["q"])))
+        assert r["give"] == [sum(flows[tuple(x["members"])].values()) for x in r["p"]]
+        assert sum(r["give"]) == min(sum(round(q) for q in r["q"]), 2 * sum(x["size"] for x in r["p"]))
+    # the report's words come from the flow
+    flowing(monkeypatch)
+    size, taken, largest = Counter(), Counter(), Counter()
+    for r in source_report(documents).collect():
+        size[r["source"]] += r["size"]
+        taken[r["source"]] += r["taken"]
+        largest[r["source"]] = max(largest[r["source"]], r["size"])
+    assert size and all(abs(taken[s] - size[s] // 2) <= largest[s] / 2 + 1 for s in size)
+
+
 @pytest.mark.parametrize("hot", [20_000, 1])
 def test_repeated_windows(documents, empty, hot):
     from pozo.llm.super_kmers import drop_repeats
