@@ -510,6 +510,21 @@ def test_far_texts_are_rejected_and_short_clean_ones_stay(spark):
     assert not [r["text"] for r in kept if r["doc_id"] < 0] and len(kept) >= 0.99 * docs.where("text rlike '\\\\p{L}'").count()
 
 
+def test_mixture_stage_takes_what_the_flow_gives(spark, documents, monkeypatch):
+    import corpus_pipeline
+    docs = documents.where("doc_id is not null").dropDuplicates(["doc_id"]).cache()
+    size, largest = Counter(), Counter()
+    for r in docs.collect():
+        n = len(split(r["text"], BLANK, low=False))
+        size[r["source"]] += n
+        largest[r["source"]] = max(largest[r["source"]], n)
+    flowing(monkeypatch)
+    taken = Counter()
+    for r in corpus_pipeline.mixture(spark, docs, "").collect():
+        taken[r["source"]] += len(split(r["text"], BLANK, low=False))
+    assert size and all(abs(taken[s] - size[s] // 2) <= largest[s] / 2 + 1 for s in size)
+
+
 def test_pipeline_on_awkward_rows(spark, documents, empty, tmp_path):
     import corpus_pipeline
     bench = spark.createDataFrame([(1, "no such words in any text of this small test corpus here")], "item_id long, text string")
