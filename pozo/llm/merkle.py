@@ -370,16 +370,18 @@ class Manifest:
     """The trees over a table: ``leaves`` (every row's place), ``rounds`` of nodes and
     parents per language, ``top`` of both over the subroots.
 
-    ``table()`` is the manifest: a row per parent. ``verify(replacement)`` folds
-    another digest into every leaf's place.
+    ``table()`` is the manifest: a row per parent. ``verify()`` folds ``replacement``, or
+    the leaf itself where that is null, into every leaf's place.
     """
 
     def __init__(self, docs: DataFrame, replacement: Column | None = None, id_col: str = "doc_id",
                  fields: tuple[str, ...] = FIELDS, group_col: str = "lang", levels: int = LEVELS):
         self.levels = levels
         leaf = leaf_digest([F.col(c) for c in fields])
-        slim = docs.select(F.col(id_col).alias("id"), F.col(group_col).alias("lang"), leaf.alias("digest"),
-                           (leaf if replacement is None else replacement).alias("replacement"))
+        other = F.lit(None).cast("binary") if replacement is None else replacement
+        # Written once, so texts are read and hashed in one pass: numbering samples its rows, then deals them.
+        slim = cut_lineage(docs.select(F.col(id_col).alias("id"), F.col(group_col).alias("lang"), leaf.alias("digest"),
+                                       other.alias("replacement"))).withColumn("replacement", F.coalesce("replacement", "digest"))
         # Equal ids of one language are ordered by their digests.
         numbered = _numbered(slim, "lang", ["id", "digest"])
         langs = _numbered(numbered.select("lang").distinct(), None, ["lang"]).select(
@@ -441,7 +443,7 @@ def verify_tampered(docs: DataFrame, every: int = 3, levels: int = LEVELS) -> Da
     """
     lower = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     chosen = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % every == 0, F.lit(False))
-    changed = leaf_digest([F.when(chosen, lower).otherwise(F.col("text")) if c == "text" else F.col(c) for c in FIELDS])
+    changed = F.when(chosen, leaf_digest([lower if c == "text" else F.col(c) for c in FIELDS]))
     out = Manifest(docs, changed, levels=levels).verify()
     return out.select(F.col("id").alias("doc_id"), "leaf", "subroot", "root", "proof_sha256", "folded_root",
                       (F.col("folded_root") == F.col("root")).alias("verified"))

@@ -92,6 +92,21 @@ def test_manifest_equals_plain_trees(spark, per_chunk):
         assert merkle.verify_tampered(docs.where("false")).count() == 0
 
 
+def test_manifest_reads_every_text_once(spark):
+    """A text was made and hashed for the sample of the numbering and again for its shuffle."""
+    from pozo.llm import merkle
+    made = spark.sparkContext.accumulator(0)
+
+    def text(i):
+        made.add(1)
+        return f"Text {i}"
+    docs = spark.range(90).select(F.col("id").alias("doc_id"), F.udf(text)("id").alias("text"), F.lit("en").alias("lang"),
+                                  F.lit("s").alias("source"), F.lit(1).alias("n_chars")).repartition(3)
+    got = sorted((tuple(r) for r in merkle.verify_tampered(docs).collect()), key=repr)
+    assert made.value == 90
+    assert got == plain_manifest([r.asDict() for r in docs.collect()])
+
+
 def test_manifest_rows_keep_the_state_before_every_slot(spark):
     from pozo.llm import merkle
     docs = spark.range(100).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"), F.lit("en").alias("lang"),
