@@ -100,8 +100,8 @@ def test_manifest_reads_every_text_once(spark):
     def text(i):
         made.add(1)
         return f"Text {i}"
-    docs = spark.range(90).select(F.col("id").alias("doc_id"), F.udf(text)("id").alias("text"), F.lit("en").alias("lang"),
-                                  F.lit("s").alias("source"), F.lit(1).alias("n_chars")).repartition(3)
+    docs = spark.range(90, numPartitions=3).select(F.col("id").alias("doc_id"), F.udf(text)("id").alias("text"), F.lit("en").alias("lang"),
+                                                   F.lit("s").alias("source"), F.lit(1).alias("n_chars"))
     got = sorted((tuple(r) for r in merkle.verify_tampered(docs).collect()), key=repr)
     assert made.value == 90
     assert got == plain_manifest([r.asDict() for r in docs.collect()])
