@@ -21,7 +21,7 @@ from pozo.llm.frames import read_table, scratch_path  # noqa: E402
 from pozo.llm.hash_tree import shard_rows  # noqa: E402
 from pozo.llm.jaccard import one_per_class  # noqa: E402
 from pozo.llm.language_id import identify, learn  # noqa: E402
-from pozo.llm.mixing import mix_disjoint, taken_rows  # noqa: E402
+from pozo.llm.mixing import mix_networks, taken_rows  # noqa: E402
 from pozo.llm.winnowing import clean_rows  # noqa: E402
 
 
@@ -66,9 +66,10 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents of the mix, each as often as it is taken (at most twice).
 
     A null source is a source of its own, the last by name. Texts without words
-    add nothing and go. Rows of equal id and text are taken equally often.
+    add nothing and go. Rows of equal id and text are one document of all their
+    sources, which share its words by the flow; they are taken equally often.
     """
-    return taken_rows(docs, mix_disjoint(docs, F.col("source")))
+    return taken_rows(docs, mix_networks(docs, F.col("source")))
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -9,9 +9,10 @@ chosen in a seeded order until the pattern's words are reached.
 
 Only patterns that overlap compete. Sources that share no pattern with others
 are a network of their own, and the flow of the whole is that of its networks.
-So with any number of disjoint sources targets, networks and selection are Spark
-tables, and tasks solve the flow of each network; where sources overlap, one flow
-on the driver solves all patterns, whose number is bounded.
+So targets, patterns, networks and selection are Spark tables, and tasks solve the
+flow of each network (:func:`mix_networks`; :func:`mix_disjoint` where a row has one
+source only). :func:`mix` takes any quotas, and one flow on the driver solves all
+patterns, whose number is bounded there.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pozo.llm.frames import cut_lineage, shuffle_tasks
+from pozo.llm.frames import connected, cut_lineage, shuffle_tasks
 
 WORDS = "[^\\x20\\x09-\\x0D]+"
 
@@ -117,6 +118,33 @@ def network_flows(patterns: Column, quotas: Column, repeats: int = 2) -> Column:
     return F.udf(give, "array<bigint>")(patterns, quotas)
 
 
+def network_words(patterns: DataFrame, targets: DataFrame, repeats: int = 2) -> DataFrame:
+    """Add ``give``, the words of the flow, to patterns (members, size, n); ``targets`` is (source, size, target).
+
+    Sources that meet in a pattern, directly or by others, are one network: one row,
+    solved by one task. Patterns without words link nothing and give nothing. A
+    network is sorted by names, so reruns agree where several flows cost the least.
+    """
+    pats = cut_lineage(patterns.withColumn("_p", F.monotonically_increasing_id()))
+    aim = cut_lineage(targets.select("source", F.coalesce("target", repeats * F.col("size")).cast("double").alias("target"))
+                      .withColumn("_s", F.monotonically_increasing_id()))
+    lines = cut_lineage(pats.where("size > 0").select("_p", F.size("members").alias("_k"), F.explode("members").alias("_m"))
+                        .join(aim, F.col("_m").eqNullSafe(F.col("source"))).drop("_m"))
+    # Patterns that join sources are the nodes below zero.
+    roots = connected(lines.where("_k > 1").select((-1 - F.col("_p")).alias("a"), F.col("_s").alias("b")))
+    lines = lines.join(roots, F.col("_s") == F.col("node"), "left").withColumn("_net", F.coalesce("root", "_s"))
+    quotas = lines.groupBy("_net").agg(F.sort_array(F.collect_set(F.struct("source", "_s", "target"))).alias("q"))
+    nets = (lines.groupBy("_net", "_p").agg(F.collect_list("_s").alias("_at")).join(pats, "_p")
+            .groupBy("_net").agg(F.sort_array(F.collect_list(F.struct("members", "size", "_p", "_at"))).alias("p"))
+            .join(quotas, "_net").withColumn("_order", F.col("q._s")))
+    places = F.transform("p", lambda p: F.struct(
+        F.array_sort(F.transform(p["_at"], lambda s: (F.array_position("_order", s) - 1).cast("int"))).alias("members"),
+        p["size"].alias("size")))
+    given = (nets.select(F.col("p._p").alias("_p"), network_flows(places, F.col("q.target"), repeats).alias("give"))
+             .select(F.explode(F.arrays_zip("_p", "give")).alias("g")).select("g._p", "g.give"))
+    return pats.join(given, "_p", "left").select("members", "size", "n", F.coalesce("give", F.lit(0)).alias("give"))
+
+
 def choose(slim: DataFrame, words: DataFrame, seed_bits: int = 12) -> DataFrame:
     """Add ``copies`` to rows (members, size, _h, ...): whole documents in hash order until
     the words their pattern gives are reached, to the nearest document.
@@ -182,12 +210,16 @@ def spark_targets(sizes: DataFrame, weights: Sequence[float] = (5, 2, 1), share:
     return ranked.select("source", "size", target.cast("double").alias("target"))
 
 
-def _slim(docs: DataFrame, members: Column, seed: int, id_col: str, text_col: str) -> DataFrame:
-    return cut_lineage(docs.select(
+def _measured(docs: DataFrame, members: Column, seed: int, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(
         F.col(id_col).alias("_id"), F.array_sort(F.array_distinct(F.coalesce(members, F.array()))).alias("members"),
         F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORDS)), F.lit(0)).cast("long").alias("size"),
         F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)).alias("_h"),
-        F.xxhash64(F.col(text_col), F.lit(seed), F.col(id_col)).alias("_h2")))
+        F.xxhash64(F.col(text_col), F.lit(seed), F.col(id_col)).alias("_h2"))
+
+
+def _slim(docs: DataFrame, members: Column, seed: int, id_col: str, text_col: str) -> DataFrame:
+    return cut_lineage(_measured(docs, members, seed, id_col, text_col))
 
 
 def _named(out: DataFrame, id_col: str) -> DataFrame:
@@ -211,7 +243,7 @@ def mix(docs: DataFrame, members: Column, quotas: Callable[[dict], dict] | dict,
     empty table gives an empty result. Here sources may overlap: the totals of
     all patterns come to the driver, and more than ``max_patterns`` of them raise an
     error, nothing is dropped. For sources that do not overlap there is no such
-    bound: :func:`mix_disjoint`.
+    bound: :func:`mix_disjoint`, :func:`mix_networks`.
     """
     slim = _slim(docs, members, seed, id_col, text_col)
     got = slim.groupBy("members").agg(F.sum("size").alias("size"), F.count("*").alias("n")).limit(max_patterns + 1).collect()
@@ -250,6 +282,29 @@ def mix_disjoint(docs: DataFrame, source: Column, targets: Callable[[DataFrame],
     return out.join(facts, F.col("members").eqNullSafe(F.col("_a"))).drop("_a")
 
 
+def mix_networks(docs: DataFrame, source: Column, targets: Callable[[DataFrame], DataFrame] = spark_targets,
+                 repeats: int = 2, seed: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """:func:`mix` for documents listed under any number of sources: (id, text key, size, members, copies, taken).
+
+    Rows of equal id and text are one document, which belongs to the sources of all its
+    rows; its size is the words of its rows, which are taken equally often, at most
+    ``repeats`` times. ``targets`` maps (source, words of its rows) to (source, size,
+    target). Sources, patterns, networks and flows stay in Spark, whatever their number;
+    a task holds the patterns of one network. Nulls, ties and empties as in :func:`mix`.
+    """
+    key = ["_id", "_h", "_h2"]
+    rows = _measured(docs, F.array(source), seed, id_col, text_col)
+    # Copies of a row are counted first: a group of the second aggregate holds a row per source.
+    parts = rows.groupBy(*key, F.get("members", F.lit(0)).alias("source")).agg(F.sum("size").alias("words"))
+    slim = cut_lineage(parts.groupBy(*key).agg(F.collect_list(F.struct("source", "words")).alias("parts"), F.sum("words").alias("size"))
+                       .withColumn("members", F.array_sort(F.col("parts.source"))))
+    sizes = cut_lineage(slim.select(F.explode("parts").alias("p")).groupBy(F.col("p.source").alias("source"))
+                        .agg(F.sum("p.words").alias("size")))
+    slim = slim.drop("parts")
+    patterns = slim.groupBy("members").agg(F.sum("size").alias("size"), F.count("*").alias("n"))
+    return _named(choose(slim, network_words(patterns, targets(sizes), repeats)), id_col)
+
+
 def source_report(docs: DataFrame, source_col: str = "source", seed: int = 0, id_col: str = "doc_id", **options) -> DataFrame:
     """:func:`mix_disjoint` to :func:`spark_targets`:
     (id, size, source_size, target, taken, source, copies, text_key)."""
@@ -258,8 +313,8 @@ def source_report(docs: DataFrame, source_col: str = "source", seed: int = 0, id
 
 
 def taken_rows(docs: DataFrame, mixed: DataFrame, seed: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, unchanged, each in as many copies as ``mixed`` (of :func:`mix`
-    or :func:`mix_disjoint` with the same seed) takes of it.
+    """The rows of ``docs``, unchanged, each in as many copies as ``mixed`` (of :func:`mix`,
+    :func:`mix_disjoint` or :func:`mix_networks` with the same seed) takes of it.
 
     Rows of equal id and text are treated alike. Rows without words add
     nothing to a mix and are left out.

@@ -525,6 +525,80 @@ def test_mixture_stage_takes_what_the_flow_gives(spark, documents, monkeypatch):
     assert size and all(abs(taken[s] - size[s] // 2) <= largest[s] / 2 + 1 for s in size)
 
 
+def listed_documents(spark):
+    """Documents of one source, of several (a row for each), twice under one, without an id, without words."""
+    rows, text = [], lambda i: f"t{i} " * (5 + i * 7 % 11)
+    for lo, hi, sources in [(0, 300, ["a"]), (300, 800, ["a", "b"]), (800, 950, ["b"]), (950, 1100, ["b", None]), (1100, 1200, [None]),
+                            (1200, 1500, ["x"]), (1500, 1600, ["x", "y"]), (1600, 1900, ["y"]), (1900, 2100, ["z", "z"])]:
+        rows += [(i, text(i), s) for i in range(lo, hi) for s in sources]
+    rows += [(None, text(3), "z"), (None, text(4), "z"), (7, text(8), "z")] + [(5000, " ", s) for s in ("a", "x", "z", "w")]
+    return rows, spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+
+
+def mixed_by_hand(rows):
+    """Words of sources and of (sorted) patterns, and the flow over all patterns at once."""
+    from pozo.llm.mixing import route
+    size, listed, of = Counter(), defaultdict(set), Counter()
+    for i, t, s in rows:
+        size[s] += len(t.split())
+        listed[i, t].add(s)
+        of[i, t] += len(t.split())
+    pattern = {d: tuple(sorted(s, key=lambda x: (x is None, x or ""))) for d, s in listed.items()}
+    words = Counter()
+    for d, p in pattern.items():
+        words[p] += of[d]
+    flows = route({p: n for p, n in words.items() if n}, plain_targets(dict(size)))
+    return size, pattern, of, words, {p: sum(f.values()) for p, f in flows.items()}
+
+
+def copy_cost(give, words):
+    return sum(max(0, g - words[p]) for p, g in give.items())
+
+
+def test_networks_of_overlapping_sources_flow_as_one(spark):
+    from pozo.llm.mixing import mix_networks, network_words
+    rows, docs = listed_documents(spark)
+    size, pattern, of, words, flow = mixed_by_hand(rows)
+    df = spark.createDataFrame([(list(p), n, 1) for p, n in words.items()], "members array<string>, size long, n long").repartition(4)
+    aim = spark.createDataFrame([(s, size[s], t) for s, t in plain_targets(dict(size)).items()], "source string, size long, target double")
+    give = {tuple(r["members"]): r["give"] for r in network_words(df, aim).collect()}
+    assert set(give) == set(words) and all(0 <= g <= 2 * words[p] for p, g in give.items())
+    # a least-cost flow of the networks costs what that of the whole does, and is as large
+    for net in ({"a", "b", None}, {"x", "y"}, {"z"}, {"w"}):
+        mine, plain = ({p: g for p, g in f.items() if words[p] and set(p) <= net} for f in (give, flow))
+        assert sum(mine.values()) == sum(plain.values()) and copy_cost(mine, words) == copy_cost(plain, words)
+    # documents come once, with the words of all their rows and the sources of all
+    got = mix_networks(docs, F.col("source")).collect()
+    again = mix_networks(docs.repartition(2), F.col("source")).collect()
+    plain = lambda r: (r["doc_id"], tuple(r["text_key"]), r["size"], r["members"], r["copies"], r["taken"])
+    assert sorted(map(plain, got), key=repr) == sorted(map(plain, again), key=repr)
+    assert Counter((tuple(r["members"]), r["size"]) for r in got) == Counter((p, of[d]) for d, p in pattern.items())
+    taken = Counter()
+    for r in got:
+        assert r["copies"] in (0, 1, 2)
+        taken[tuple(r["members"])] += r["taken"]
+    assert all(abs(taken[p] - give[p]) <= max(of[d] for d in of if pattern[d] == p) / 2 + 1 for p in words)
+    assert mix_networks(docs.where("false"), F.col("source")).count() == 0
+
+
+def test_mixture_stage_mixes_documents_of_several_sources(spark):
+    import corpus_pipeline
+    rows, docs = listed_documents(spark)
+    size, pattern, of, words, flow = mixed_by_hand(rows)
+    listed = Counter(rows)
+    out = Counter(map(tuple, corpus_pipeline.mixture(spark, docs, "").collect()))
+    taken = Counter()
+    for (i, t, s), n in out.items():
+        assert n % listed[i, t, s] == 0 and n // listed[i, t, s] in (1, 2)
+        assert all(out[i, t, x] * listed[i, t, s] == n * listed[i, t, x] for x in pattern[i, t])
+        taken[pattern[i, t]] += n * len(t.split())
+    # as many words as the flow gives, network by network
+    for net in ({"a", "b", None}, {"x", "y"}, {"z"}, {"w"}):
+        inside = [p for p in words if set(p) <= net]
+        slack = sum(max(of[d] for d in of if pattern[d] == p) / 2 + 1 for p in inside)
+        assert abs(sum(taken[p] for p in inside) - sum(flow.get(p, 0) for p in inside)) <= slack
+
+
 def test_pipeline_on_awkward_rows(spark, documents, empty, tmp_path):
     import corpus_pipeline
     bench = spark.createDataFrame([(1, "no such words in any text of this small test corpus here")], "item_id long, text string")
