@@ -53,8 +53,8 @@ def weighted_targets(sizes: dict, weights: Sequence[float] = (5, 2, 1), share: f
 
 
 def min_cost_flow(arcs: list[tuple[int, int, int, float]], nodes: int, source: int, sink: int) -> list[int]:
-    """Flow on every arc (from, to, capacity, cost) of a largest flow of least cost
-    (successive shortest paths)."""
+    """Flow on every arc (from, to, capacity, cost) of a largest flow of least cost: shortest
+    paths, of those the ones with fewest arcs, all filled before distances are taken again."""
     head: list[list[int]] = [[] for _ in range(nodes)]
     to, room, cost = [], [], []
     for a, b, capacity, price in arcs:
@@ -62,27 +62,41 @@ def min_cost_flow(arcs: list[tuple[int, int, int, float]], nodes: int, source: i
             head[x].append(len(to))
             to.append(y), room.append(c), cost.append(p)
     while True:
-        dist, via = [float("inf")] * nodes, [-1] * nodes
-        dist[source], queue, queued = 0.0, deque([source]), [False] * nodes
+        dist, steps = [float("inf")] * nodes, [nodes + 1] * nodes
+        dist[source], steps[source], queue, queued = 0.0, 0, deque([source]), [False] * nodes
         while queue:
             x = queue.popleft()
             queued[x] = False
             for e in head[x]:
-                if room[e] > 0 and dist[x] + cost[e] < dist[to[e]] - 1e-9:
-                    dist[to[e]], via[to[e]] = dist[x] + cost[e], e
-                    if not queued[to[e]]:
-                        queued[to[e]] = True
-                        queue.append(to[e])
-        if via[sink] < 0:
+                y, d = to[e], dist[x] + cost[e]
+                if room[e] > 0 and (d < dist[y] - 1e-9 or (d < dist[y] + 1e-9 and steps[x] + 1 < steps[y])):
+                    dist[y], steps[y] = d, steps[x] + 1
+                    if not queued[y]:
+                        queued[y] = True
+                        queue.append(y)
+        if dist[sink] == float("inf"):
             return room[1::2]
-        path, x = [], sink
-        while x != source:
-            path.append(via[x])
-            x = to[via[x] ^ 1]
-        push = min(room[e] for e in path)
-        for e in path:
-            room[e] -= push
-            room[e ^ 1] += push
+        # Steps rise along every path, so no node is met twice; its arcs are tried once.
+        tried, path, x = [0] * nodes, [], source
+        while x != source or tried[x] < len(head[x]):
+            if x == sink:
+                push = min(room[e] for e in path)
+                for e in path:
+                    room[e] -= push
+                    room[e ^ 1] += push
+                full = next(i for i, e in enumerate(path) if room[e] <= 0)
+                x = to[path[full] ^ 1]
+                del path[full:]
+            elif tried[x] == len(head[x]):
+                x = to[path.pop() ^ 1]
+                tried[x] += 1
+            else:
+                e = head[x][tried[x]]
+                if room[e] > 0 and steps[to[e]] == steps[x] + 1 and abs(dist[x] + cost[e] - dist[to[e]]) < 1e-9:
+                    path.append(e)
+                    x = to[e]
+                else:
+                    tried[x] += 1
 
 
 def route(patterns: dict[tuple, int], quotas: dict, repeats: int = 2) -> dict[tuple, dict]:

@@ -525,6 +525,32 @@ def test_mixture_stage_takes_what_the_flow_gives(spark, documents, monkeypatch):
     assert size and all(abs(taken[s] - size[s] // 2) <= largest[s] / 2 + 1 for s in size)
 
 
+def test_route_is_a_largest_flow_of_least_cost():
+    import random
+    from pozo.llm.mixing import route
+    rnd = random.Random(3)
+    for _ in range(300):
+        k, repeats = rnd.randint(1, 5), rnd.randint(1, 3)
+        quotas = {s: rnd.uniform(0, 80) for s in range(k)}
+        pats = {tuple(sorted(rnd.sample(range(k), rnd.randint(1, k)))): rnd.randint(0, 30) for _ in range(rnd.randint(0, 9))}
+        flow = route(pats, quotas, repeats)
+        assert all(sum(f.get(s, 0) for f in flow.values()) <= round(quotas[s]) for s in quotas)
+        assert all(set(f) <= set(p) and sum(f.values()) <= repeats * pats[p] for p, f in flow.items())
+        # the smallest cut with r copies of every pattern
+        cut = lambda r, s: sum(round(quotas[i]) for i in s) + sum(r * n for p, n in pats.items() if not set(p) <= s)
+        sides = [{i for i in range(k) if b >> i & 1} for b in range(2 ** k)]
+        most = [min(cut(r, s) for s in sides) for r in range(repeats + 1)]
+        give = {p: sum(f.values()) for p, f in flow.items()}
+        cost = sum(min(max(g - r * pats[p], 0), pats[p]) * r ** 2 for p, g in give.items() for r in range(repeats))
+        assert sum(give.values()) == most[-1] and cost == sum((most[r + 1] - most[r]) * r ** 2 for r in range(repeats))
+    # thousands of patterns in one network, as many words as the quotas want
+    pats = {}
+    while len(pats) < 6000:
+        pats[tuple(sorted(rnd.sample(range(400), 2)))] = rnd.randint(1, 5000)
+    quotas = {s: 1.2 * sum(pats.values()) / 400 for s in range(400)}
+    assert sum(sum(f.values()) for f in route(pats, quotas).values()) == sum(round(q) for q in quotas.values())
+
+
 def listed_documents(spark):
     """Documents of one source, of several (a row for each), twice under one, without an id, without words."""
     rows, text = [], lambda i: f"t{i} " * (5 + i * 7 % 11)
